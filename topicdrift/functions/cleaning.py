@@ -7,7 +7,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 # Executors get the helpers of this module with the query; nothing to install there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -46,7 +46,7 @@ VARIANTS = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 

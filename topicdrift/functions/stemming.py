@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 # Executors get the helpers of this module with the query; nothing to install there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -123,6 +123,6 @@ def _stem_lists(lists: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), stems, mask=lists.is_null())
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def stem_tokens(tokens: pa.Array) -> pa.Array:
     return _stem_lists(tokens)

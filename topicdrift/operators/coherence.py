@@ -16,22 +16,20 @@ EPSILON = 1e-12
 MOST_TERMS = 62
 
 
-def _numbered(topics: DataFrame) -> DataFrame:
-    """``(topic, term, bit)``: terms of a topic numbered by powers of two."""
-    place = F.row_number().over(Window.partitionBy("topic").orderBy("term")) - 1
-    return (
-        topics.select("topic", "term")
-        .distinct()
-        .withColumn("_place", place)
-        .withColumn(
-            "bit",
-            F.when(F.col("_place") < MOST_TERMS, F.expr("shiftleft(1L, _place)"))
-            .otherwise(F.raise_error(F.lit(f"a topic has more than {MOST_TERMS} terms"))),
-        )
-        .drop("_place")
+def _term_lists(topics: DataFrame) -> DataFrame:
+    """``(topic, terms)``: the distinct terms of each topic, sorted; their places number them."""
+    terms = F.sort_array(F.collect_set("term"))
+    return topics.groupBy("topic").agg(
+        F.when(F.size(terms) <= MOST_TERMS, terms)
+        .otherwise(F.raise_error(F.lit(f"a topic has more than {MOST_TERMS} terms")))
+        .alias("terms")
     )
 
 
+def _bit(place: str):
+    return F.expr(f"shiftleft(1L, {place})")
+
+
 def window_total(documents: DataFrame, tokens: str = "tokens", window: int = WINDOW) -> DataFrame:
     """One row ``windows``: a document shorter than the window is one, an empty one none."""
     length = F.size(tokens)
@@ -47,8 +45,12 @@ def window_masks(
     ``topics`` is the small side (topics x terms) and is broadcast. Only occurrences of
     topic terms are shuffled, once, by document.
     """
-    numbered = _numbered(topics)
-    terms = numbered.select("term").distinct()
+    numbered = (
+        _term_lists(topics)
+        .select("topic", F.posexplode("terms").alias("_place", "term"))
+        .select("topic", "term", _bit("_place").alias("bit"))
+    )
+    terms = topics.select("term").distinct()
     last_start = F.greatest(F.size(tokens) - window, F.lit(0))
     occurrences = (
         documents.select(key, last_start.alias("_last"), F.posexplode(tokens).alias("_at", "term"))
@@ -94,10 +96,13 @@ def window_cooccurrence(
     ``a = b`` counts the windows with that term; pairs that never meet have ``n = 0``.
     """
     masks = window_masks(documents, topics, key, tokens, window)
-    numbered = _numbered(topics)
-    left = numbered.select("topic", F.col("term").alias("a"), F.col("bit").alias("_a"))
-    right = numbered.select("topic", F.col("term").alias("b"), F.col("bit").alias("_b"))
-    pairs = left.join(right, "topic").where("a <= b").withColumn("_both", F.col("_a").bitwiseOR(F.col("_b")))
+    pairs = (
+        _term_lists(topics)
+        .select("topic", "terms", F.posexplode("terms").alias("_i", "a"))
+        .select("topic", "_i", "a", F.posexplode("terms").alias("_j", "b"))
+        .where("_i <= _j")
+        .select("topic", "a", "b", _bit("_i").bitwiseOR(_bit("_j")).alias("_both"))
+    )
     holds = F.col("mask").bitwiseAND(F.col("_both")) == F.col("_both")
     return (
         pairs.join(masks, "topic", "left")
@@ -111,10 +116,13 @@ def npmi(counts: DataFrame, total: DataFrame) -> DataFrame:
 
     A pair with a term that never occurs scores 0, a pair in every window 1.
     """
-    alone = counts.where("a = b").select("topic", F.col("a").alias("term"), F.col("n").alias("_n"))
-    first = alone.select("topic", F.col("term").alias("a"), F.col("_n").alias("_n_a"))
-    second = alone.select("topic", F.col("term").alias("b"), F.col("_n").alias("_n_b"))
-    windows = total.scalar().cast("double")
+    alone = F.when(F.col("a") == F.col("b"), F.col("n"))
+    known = counts.select(
+        "topic", "a", "b", "n",
+        F.max(alone).over(Window.partitionBy("topic", "a")).alias("_n_a"),
+        F.max(alone).over(Window.partitionBy("topic", "b")).alias("_n_b"),
+        total.scalar().cast("double").alias("_windows"),
+    )
     both = F.col("n") / F.col("_windows")
     apart = (F.col("_n_a") / F.col("_windows")) * (F.col("_n_b") / F.col("_windows"))
     score = (
@@ -122,14 +130,14 @@ def npmi(counts: DataFrame, total: DataFrame) -> DataFrame:
         .when(F.col("n") == F.col("_windows"), F.lit(1.0))
         .otherwise(F.log((both + EPSILON) / apart) / -F.log(both + EPSILON))
     )
-    joined = counts.join(first, ["topic", "a"]).join(second, ["topic", "b"])
-    return joined.withColumn("_windows", windows).select("topic", "a", "b", score.alias("npmi"))
+    return known.select("topic", "a", "b", score.alias("npmi"))
 
 
 def topic_coherence(scores: DataFrame) -> DataFrame:
     """``(topic, coherence)``: mean cosine between each term's vector and their sum."""
-    mirrored = scores.where("a <> b").select("topic", F.col("b").alias("a"), F.col("a").alias("b"), "npmi")
-    full = scores.unionByName(mirrored)
+    there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    directions = F.when(F.col("a") == F.col("b"), F.array(there)).otherwise(F.array(there, back))
+    full = scores.select("topic", "npmi", F.inline(directions))
     column_sum = F.sum("npmi").over(Window.partitionBy("topic", "b"))
     summed = full.withColumn("_sum", column_sum)
     norms = F.sqrt(F.sum(F.col("npmi") * F.col("npmi"))) * F.sqrt(F.sum(F.col("_sum") * F.col("_sum")))

@@ -50,3 +50,9 @@ def stored_vectors(
         rows.select(*keys, layout.alias("features")),
         T.StructType([*kept, T.StructField("features", VectorUDT())]),
     )
+
+
+def entries(vectors: DataFrame, keys: Sequence[str], features: str = "features") -> DataFrame:
+    """``(keys, size, indices, values)`` of sparse vectors."""
+    parts = vectors.select(*keys, F.unwrap_udt(features).alias("_parts"))
+    return parts.select(*keys, "_parts.size", "_parts.indices", "_parts.values")

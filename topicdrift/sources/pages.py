@@ -10,10 +10,14 @@ from ..runtime import broadcast_if_small
 
 # One row per <page>. Attributes carry the reader's prefix "_", so the attribute
 # "_idx" is "__idx". An array of revisions reads pages with none, one or many.
-PAGE_SCHEMA = T.StructType.fromDDL(
-    "__idx LONG, _pageid LONG, _ns LONG, _title STRING, "
-    "revisions STRUCT<rev: ARRAY<STRUCT<_timestamp: STRING, _VALUE: STRING>>>"
-)
+REVISION = T.StructType([T.StructField("_timestamp", T.StringType()), T.StructField("_VALUE", T.StringType())])
+PAGE_SCHEMA = T.StructType([
+    T.StructField("__idx", T.LongType()),
+    T.StructField("_pageid", T.LongType()),
+    T.StructField("_ns", T.LongType()),
+    T.StructField("_title", T.StringType()),
+    T.StructField("revisions", T.StructType([T.StructField("rev", T.ArrayType(REVISION))])),
+])
 
 # The eleven titles of the test sub-corpus.
 SAMPLE_TITLES = (
