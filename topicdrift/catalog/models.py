@@ -24,6 +24,7 @@ ITERATIONS = 5
 MIN_DF = 5
 KEYS = ["doc_id", "title", "year"]
 PERIOD_K = 10
+PARALLELISM = 4
 
 
 def _fitted(spark, folder, **settings):
@@ -185,8 +186,8 @@ def _listed_tokens(trial, run: str) -> str:
     if config.stem:
         parts.append(stem_sql(f"SELECT DISTINCT unnest(tokens) AS term FROM {source}", f"{run}_").lstrip(",\n"))
         parts.append(
-            f"{run}_stemmed AS (SELECT doc_id, list(stem ORDER BY at) FILTER (stem IS NOT NULL) AS tokens FROM "
-            f"(SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS at FROM {source}) "
+            f"{run}_stemmed AS (SELECT doc_id, list(stem ORDER BY place) AS tokens FROM "
+            f"(SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS place FROM {source}) "
             f"JOIN {run}_stems USING (term) GROUP BY doc_id)"
         )
         source = f"{run}_stemmed"
@@ -199,7 +200,7 @@ def _listed_tokens(trial, run: str) -> str:
 def _register_sweep(name: str, listed: tuple, iterations: int) -> None:
     @query(name, inputs.with_marked(_sweep_sql(listed, _listed_tokens)))
     def run(spark, folder):
-        scores = trials.sweep(inputs.marked(spark, folder), listed, "doc_id", SEED, max_iter=iterations)
+        scores = trials.sweep(inputs.marked(spark, folder), listed, "doc_id", SEED, max_iter=iterations, parallelism=PARALLELISM)
         return _checked_scores(scores)
 
 

@@ -50,11 +50,10 @@ def window_masks(
         .select("topic", F.posexplode("terms").alias("_place", "term"))
         .select("topic", "term", _bit("_place").alias("bit"))
     )
-    terms = topics.select("term").distinct()
     last_start = F.greatest(F.size(tokens) - window, F.lit(0))
     occurrences = (
         documents.select(key, last_start.alias("_last"), F.posexplode(tokens).alias("_at", "term"))
-        .join(F.broadcast(terms), "term")
+        .join(F.broadcast(topics.select("term")), "term", "left_semi")
         .repartition(key)
     )
     # An occurrence lies in the windows starting at _first.._final. Neighbours of the

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from itertools import groupby
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cleaning import clean
@@ -79,50 +80,75 @@ def sweep(
     vocabulary_size: int = terms.VOCABULARY_SIZE,
     max_iter: int | None = None,
     subsampling_rate: float = 0.05,
+    parallelism: int = 1,
 ) -> DataFrame:
     """One row per trial; see ``SCORES``. ``max_iter`` overrides the trials' own.
 
     Texts are cleaned and cut once per run of trials with the same cleaning and tokens,
     vectors are built once per vocabulary, and the topics of such a run are scored
     together in one pass over the tokens. Only scores and topic terms reach the driver.
+    ``parallelism`` runs, or fits of a single run, are under way at a time; each run keeps
+    its token table cached.
     """
-    rows = []
-    for _, run in groupby(trials, lambda trial: (trial.cleaning, trial.tokens)):
-        rows += _run(corpus, list(run), key, seed, terms_per_topic, window, vocabulary_size, max_iter, subsampling_rate)
-    return corpus.sparkSession.createDataFrame(rows, SCORES)
+    runs = [list(run) for _, run in groupby(trials, lambda trial: (trial.cleaning, trial.tokens))]
+    beside = max(1, parallelism // len(runs)) if runs else 1
+    settings = (key, seed, terms_per_topic, window, vocabulary_size, max_iter, subsampling_rate, beside)
+    scored = _side_by_side(corpus, lambda run: _run(corpus, run, *settings), runs, parallelism)
+    return corpus.sparkSession.createDataFrame([row for rows in scored for row in rows], SCORES)
 
 
-def _run(corpus, trials, key, seed, terms_per_topic, window, vocabulary_size, max_iter, subsampling_rate) -> list:
-    spark = corpus.sparkSession
+def _side_by_side(corpus: DataFrame, work: Callable, items: list, parallelism: int) -> list:
+    if parallelism == 1 or len(items) < 2:
+        return [work(item) for item in items]
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(corpus.sparkSession)(work), items, chunksize=1)
+
+
+def _run(
+    corpus, trials, key, seed, terms_per_topic, window, vocabulary_size, max_iter, subsampling_rate, beside
+) -> list[tuple]:
     texts = clean(nonempty(corpus), trials[0].cleaning)
     table = token_table(texts, trials[0].tokens, [key]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         documents = table.count()
         bag = terms.bag_of_words(table, [key], keep_empty=True)
         statistics = stored(terms.term_statistics(bag))
-        rows, listed = [], []
-        for min_df, group in groupby(trials, lambda trial: trial.min_df):
+        inputs = {}
+        for min_df in {trial.min_df for trial in trials}:
             weights = stored(terms.idf(terms.vocabulary(statistics, min_df, vocabulary_size), F.lit(documents)))
             size = weights.count()
-            vectored = vectors.stored_vectors(bag, weights, [key], size)
-            for trial in group:
-                model = topics.fit(vectored, trial.k, max_iter or trial.max_iter, seed, subsampling_rate)
-                best = topics.topic_terms(model, weights, terms_per_topic).collect()
-                by_topic = [
-                    [entry["term"] for entry in sorted(best, key=lambda entry: entry["rank"]) if entry["topic"] == topic]
-                    for topic in range(trial.k)
-                ]
-                listed += [(len(rows), topic, term) for topic, words in enumerate(by_topic) for term in words]
-                perplexity = topics.log_perplexity(model, vectored)
-                rows.append([trial.config, trial.k, min_df, documents, size, perplexity, None, by_topic])
-        # All topics of the run get one number each and share one pass over the tokens.
-        named = spark.createDataFrame(listed, "trial int, number int, term string").select(
-            "trial", F.struct("trial", "number").alias("topic"), "term"
-        )
-        scores = coherence.coherence_cv(table, named, key, window=window)
-        means = scores.groupBy(F.col("topic.trial").alias("trial")).agg(F.avg("coherence").alias("mean"))
-        for place, mean in means.collect():
-            rows[place][6] = mean
-        return [tuple(row) for row in rows]
+            inputs[min_df] = (weights, size, vectors.stored_vectors(bag, weights, [key], size))
+
+        def fit(trial: Trial) -> tuple[list[list[str]], float]:
+            weights, _, vectored = inputs[trial.min_df]
+            model = topics.fit(vectored, trial.k, max_iter or trial.max_iter, seed, subsampling_rate)
+            best = topics.topic_terms(model, weights, terms_per_topic).collect()
+            ranked = sorted((row["topic"], row["rank"], row["term"]) for row in best)
+            by_topic = [[term for topic, _, term in ranked if topic == number] for number in range(trial.k)]
+            return by_topic, topics.log_perplexity(model, vectored)
+
+        fitted = _side_by_side(corpus, fit, trials, beside)
+        coherences = _mean_coherence(table, [by_topic for by_topic, _ in fitted], key, window)
+        return [
+            (trial.config, trial.k, trial.min_df, documents, inputs[trial.min_df][1], perplexity, mean, by_topic)
+            for trial, (by_topic, perplexity), mean in zip(trials, fitted, coherences)
+        ]
     finally:
         table.unpersist()
+
+
+def _mean_coherence(table: DataFrame, models: list[list[list[str]]], key: str, window: int) -> list[float | None]:
+    """Mean topic coherence of each model; all topics share one pass over the tokens."""
+    listed = [
+        (model, topic, term)
+        for model, by_topic in enumerate(models)
+        for topic, words in enumerate(by_topic)
+        for term in words
+    ]
+    named = table.sparkSession.createDataFrame(listed, "model int, number int, term string").select(
+        F.struct("model", "number").alias("topic"), "term"
+    )
+    scores = coherence.coherence_cv(table, named, key, window=window)
+    means = scores.groupBy(F.col("topic.model").alias("model")).agg(F.avg("coherence").alias("mean"))
+    found = {row["model"]: row["mean"] for row in means.collect()}
+    return [found.get(model) for model in range(len(models))]
