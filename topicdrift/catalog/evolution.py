@@ -118,20 +118,23 @@ scores AS (SELECT topic, a, b, CASE WHEN pa = 0 OR pb = 0 THEN 0.0 WHEN joint =
            ELSE ln((joint + 1e-12) / (pa * pb)) / -ln(joint + 1e-12) END AS npmi FROM shares)"""
 
 
-def _language_topics(spark, folder):
-    counted = terms.grouped_bag(terms.bag_of_words(inputs.tokens(spark, folder, "lang"), ["lang"]), ["lang"])
-    return stored(terms.top_terms(counted, ["lang"], "tf").withColumnRenamed("lang", "topic"))
+def _tokens_and_topics(spark, folder):
+    """Token lists, kept as a table because several passes read them, and the topics."""
+    documents = stored(inputs.tokens(spark, folder, "lang"))
+    counted = terms.grouped_bag(terms.bag_of_words(documents, ["lang"]), ["lang"])
+    topics = stored(terms.top_terms(counted, ["lang"], "tf").withColumnRenamed("lang", "topic"))
+    return documents, topics
 
 
 @query("window_cooccurrence", inputs.with_corpus(WINDOWS_SQL + "\nSELECT * FROM counts"))
 def window_cooccurrence(spark, folder):
-    return coherence.window_cooccurrence(inputs.tokens(spark, folder), _language_topics(spark, folder), "doc_id")
+    return coherence.window_cooccurrence(*_tokens_and_topics(spark, folder), "doc_id")
 
 
 @query("npmi", inputs.with_corpus(SCORES_SQL + "\nSELECT topic, a, b, round(npmi, 6) AS npmi FROM scores"))
 def npmi(spark, folder):
-    documents = inputs.tokens(spark, folder)
-    counts = coherence.window_cooccurrence(documents, _language_topics(spark, folder), "doc_id")
+    documents, topics = _tokens_and_topics(spark, folder)
+    counts = coherence.window_cooccurrence(documents, topics, "doc_id")
     return coherence.npmi(counts, coherence.window_total(documents)).withColumn("npmi", F.round("npmi", 6))
 
 
@@ -142,5 +145,5 @@ cosines AS (SELECT w.topic, w.a, sum(npmi * v) / (sqrt(sum(npmi * npmi)) * sqrt(
             FROM whole w JOIN sums s ON w.topic = s.topic AND w.b = s.b GROUP BY w.topic, w.a)
 SELECT topic, round(avg(cosine), 6) AS coherence FROM cosines GROUP BY topic"""))
 def coherence_cv(spark, folder):
-    scored = coherence.coherence_cv(inputs.tokens(spark, folder), _language_topics(spark, folder), "doc_id")
+    scored = coherence.coherence_cv(*_tokens_and_topics(spark, folder), "doc_id")
     return scored.withColumn("coherence", F.round("coherence", 6))

@@ -35,6 +35,7 @@ def _fitted(spark, folder, **settings):
 def _fitted_periods(spark, folder):
     return fit_topics_per_period(
         inputs.corpus(spark, folder), SEED, tokens=inputs.ALL_TOKENS, k=PERIOD_K, max_iter=ITERATIONS, min_df=2,
+        parallelism=PARALLELISM,
     )
 
 

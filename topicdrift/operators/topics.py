@@ -9,6 +9,8 @@ from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from ..runtime import side_by_side
+
 DISTRIBUTION = "topicDistribution"
 
 
@@ -25,15 +27,18 @@ def fit(
 
 def fit_per_period(
     vectors: DataFrame, periods: Sequence[str], k: int, max_iter: int, seed: int,
-    subsampling_rate: float = 0.05,
+    subsampling_rate: float = 0.05, parallelism: int = 1,
 ) -> dict[str, LDAModel]:
     """One model per period over the same vocabulary; periods without documents are left out."""
-    present = {row["period"] for row in vectors.select("period").distinct().collect()}
-    return {
-        period: fit(vectors.where(F.col("period") == period), k, max_iter, seed, subsampling_rate)
-        for period in periods
-        if period in present
-    }
+    found = {row["period"] for row in vectors.select("period").distinct().collect()}
+    present = [period for period in periods if period in found]
+    models = side_by_side(
+        vectors.sparkSession,
+        lambda period: fit(vectors.where(F.col("period") == period), k, max_iter, seed, subsampling_rate),
+        present,
+        parallelism,
+    )
+    return dict(zip(present, models))
 
 
 def topic_terms(model: LDAModel, vocabulary: DataFrame, n: int = 10) -> DataFrame:

@@ -108,6 +108,7 @@ def fit_topics_per_period(
     vocabulary_size: int = terms.VOCABULARY_SIZE,
     weighting: str = vectors.TFIDF,
     subsampling_rate: float = 0.05,
+    parallelism: int = 1,
 ) -> FittedPeriods:
     """One model per period over documents ``(title, period)`` of a corpus with ``year``.
 
@@ -128,5 +129,5 @@ def fit_topics_per_period(
     finally:
         bag.unpersist()
     names = [name for _, _, name in periods]
-    models = topics.fit_per_period(rows, names, k, max_iter, seed, subsampling_rate)
+    models = topics.fit_per_period(rows, names, k, max_iter, seed, subsampling_rate, parallelism)
     return FittedPeriods(models, weights, rows)

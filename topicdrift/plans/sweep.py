@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import groupby
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cleaning import clean
 from ..operators import coherence, terms, topics, vectors
 from ..operators.corpus import nonempty
-from ..runtime import stored
+from ..runtime import side_by_side, stored
 from .text import TokenConfig, token_table
 
 SCORES = (
@@ -93,17 +92,10 @@ def sweep(
     runs = [list(run) for _, run in groupby(trials, lambda trial: (trial.cleaning, trial.tokens))]
     beside = max(1, parallelism // len(runs)) if runs else 1
     settings = (key, seed, terms_per_topic, window, vocabulary_size, max_iter, subsampling_rate, beside)
-    scored = _side_by_side(corpus, lambda run: _run(corpus, run, *settings), runs, parallelism)
+    scored = side_by_side(corpus.sparkSession, lambda run: _run(corpus, run, *settings), runs, parallelism)
     return corpus.sparkSession.createDataFrame([row for rows in scored for row in rows], SCORES)
 
 
-def _side_by_side(corpus: DataFrame, work: Callable, items: list, parallelism: int) -> list:
-    if parallelism == 1 or len(items) < 2:
-        return [work(item) for item in items]
-    with ThreadPool(min(parallelism, len(items))) as pool:
-        return pool.map(inheritable_thread_target(corpus.sparkSession)(work), items, chunksize=1)
-
-
 def _run(
     corpus, trials, key, seed, terms_per_topic, window, vocabulary_size, max_iter, subsampling_rate, beside
 ) -> list[tuple]:
@@ -127,7 +119,7 @@ def _run(
             by_topic = [[term for topic, _, term in ranked if topic == number] for number in range(trial.k)]
             return by_topic, topics.log_perplexity(model, vectored)
 
-        fitted = _side_by_side(corpus, fit, trials, beside)
+        fitted = side_by_side(corpus.sparkSession, fit, trials, beside)
         coherences = _mean_coherence(table, [by_topic for by_topic, _ in fitted], key, window)
         return [
             (trial.config, trial.k, trial.min_df, documents, inputs[trial.min_df][1], perplexity, mean, by_topic)

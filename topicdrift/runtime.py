@@ -1,10 +1,13 @@
-"""Where intermediate tables go, and the size check in front of every broadcast."""
+"""Where intermediate tables go, the size check in front of every broadcast, parallel jobs."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 BROADCAST_LIMIT_BYTES = 64 << 20
@@ -66,3 +69,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def side_by_side(spark: SparkSession, work: Callable, items: Sequence, parallelism: int) -> list:
+    """Results of ``work`` per item, in order; up to ``parallelism`` submit jobs at a time."""
+    if parallelism == 1 or len(items) < 2:
+        return [work(item) for item in items]
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items, chunksize=1)
