@@ -57,11 +57,18 @@ def test_summary_of_nothing_is_null(spark):
     assert set(summary.revision_summary(summary.first_last_revision(rows)).first()) == {None}
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@pytest.mark.parametrize("bins", [0, summary.MEDIAN_BINS])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.integers(-(2**62), 2**62), st.integers(-3, 3)), min_size=1, max_size=30))
-def test_medians(spark, values):
+def test_medians(spark, bins, values):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(summary, "MEDIAN_BINS", bins)
+        check_medians(spark, values)
+
+
+def check_medians(spark, values):
     rows = spark.createDataFrame([(value, None) for value in values], "x bigint, y bigint")
-    found = {row["measure"]: row["median"] for row in summary.exact_medians(rows, ["x", "y"]).collect()}
+    found = {row["measure"]: row["median"] for row in summary.exact_medians(summary.value_counts(rows, ["x", "y"])).collect()}
     ordered = sorted(values)
     middle = ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2]
     assert found.keys() == {"x"} and found["x"] * 2 == pytest.approx(middle, abs=1e-3)
@@ -74,3 +81,9 @@ def test_year_of_ntz_ignores_the_session_zone(spark):
     micros = rows.select(summary.epoch_micros("t").alias("m"))
     assert micros.first()["m"] == 1_000_000
     assert micros.select(summary.from_micros(F.col("m"))).first()[0] == datetime(1970, 1, 1, 0, 0, 1)
+
+
+def test_micros_of_times_the_session_zone_skips(spark):
+    rows = spark.sql("select timestamp_ntz'2003-04-06 02:30:00.25' t union all select timestamp_ntz'1969-12-31 23:59:59'")
+    found = {row["m"] for row in rows.select(summary.epoch_micros("t").alias("m")).collect()}
+    assert found == {1049596200250000, -1000000}

@@ -14,14 +14,15 @@ LIMITS = ((1, 3), (4, 6), (7, 9), (10, 1000000))
 K = len(LIMITS)
 
 SHARES_SQL = inputs.TOKENS_SQL + ",\nshares AS (SELECT doc_id, title, year, [" + ", ".join(
-    f"len(list_filter(tokens, lambda w: length(w) BETWEEN {low} AND {high})) / len(tokens)" for low, high in LIMITS
-) + "] AS shares FROM tokens WHERE len(tokens) > 0),\nlong AS (SELECT doc_id, title, year, unnest(shares) AS share, generate_subscripts(shares, 1) - 1 AS topic FROM shares)"
+    f"len(list_filter(tokens, lambda w: length(w) BETWEEN {low} AND {high})) / nullif(len(tokens), 0)" for low, high in LIMITS
+) + "] AS shares FROM tokens),\nlong AS (SELECT doc_id, title, year, unnest(shares) AS share, generate_subscripts(shares, 1) - 1 AS topic FROM shares)"
 
 
 def shares(spark, folder):
-    words = inputs.tokens(spark, folder, "title", "year").where(F.size("tokens") > 0)
+    # No filter on the token lists: it would be moved down and cut the texts a second time.
+    words = inputs.tokens(spark, folder, "title", "year")
     parts = [
-        F.size(F.expr(f"filter(tokens, word -> length(word) BETWEEN {low} AND {high})")) / F.size("tokens")
+        F.try_divide(F.size(F.expr(f"filter(tokens, word -> length(word) BETWEEN {low} AND {high})")), F.size("tokens"))
         for low, high in LIMITS
     ]
     return words.select("doc_id", "title", "year", F.array(*parts).alias("shares"))

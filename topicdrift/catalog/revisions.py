@@ -171,5 +171,5 @@ def event_value_medians(spark, folder):
     events = inputs.table(spark, folder, "events").select(
         "event_id", "user_id", summary.epoch_micros("ts").alias("micros"), (-F.col("user_id")).alias("below_zero")
     )
-    medians = summary.exact_medians(events, ["event_id", "user_id", "micros", "below_zero"])
+    medians = summary.exact_medians(summary.value_counts(events, events.columns))
     return medians.withColumn("median", F.col("median").cast("double"))

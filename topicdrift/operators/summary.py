@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..runtime import stored
+
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
-# Bits decided per step of the median search: a step counts at most 2^22 bins per measure.
+# Bits left open after each step of the median search, so that a step counts at most 2^22
+# bins per measure. With no more distinct values than that, one step counts the values.
 MEDIAN_SHIFTS = (42, 21, 0)
+MEDIAN_BINS = 1 << 22
 
 
 def epoch_micros(timestamp: str) -> Column:
-    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, {timestamp})")
+    """Microseconds since the epoch of a timestamp without zone, whatever the session zone.
+
+    Put together from date and time of day: a difference of timestamps would go through
+    the session zone and move times that its clock changes skip.
+    """
+    days = F.datediff(F.col(timestamp).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    minutes = (days * 24 + F.hour(timestamp)) * 60 + F.minute(timestamp)
+    seconds = F.date_part(F.lit("SECOND"), F.col(timestamp))
+    return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
 
 
 def from_micros(micros: Column) -> Column:
@@ -35,16 +49,21 @@ def first_last_revision(
     )
 
 
-def exact_medians(df: DataFrame, measures: list[str]) -> DataFrame:
-    """``(measure, median)`` of integer columns, the middle two averaged; NULLs do not count.
-
-    Equal values are counted first. Three steps then look for the middle value, 21 bits
-    at a time: each counts bins inside the bin found before and keeps the one with the
-    wanted rank. No task sorts all values or holds all distinct ones.
-    """
+def value_counts(df: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """``(measure, value, m)``: how often each value of some integer columns occurs, as a
+    stored table; NULLs do not count."""
     entries = [F.struct(F.lit(name).alias("measure"), F.col(name).cast("bigint").alias("value")) for name in measures]
     values = df.select(F.inline(F.array(*entries))).where("value is not null")
-    counts = values.groupBy("measure", "value").agg(F.count("*").alias("m"))
+    return stored(values.groupBy("measure", "value").agg(F.count("*").alias("m")))
+
+
+def exact_medians(counts: DataFrame) -> DataFrame:
+    """``(measure, median)`` of ``value_counts``, the middle two values averaged.
+
+    Of many distinct values, three steps look for the middle ones, 21 bits at a time:
+    each counts bins inside the bin found before and keeps the one with the wanted rank.
+    So no task holds more than ``MEDIAN_BINS`` rows of a measure.
+    """
     ranks = F.array(F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1)
     wanted = (
         counts.groupBy("measure")
@@ -52,7 +71,8 @@ def exact_medians(df: DataFrame, measures: list[str]) -> DataFrame:
         .select("measure", F.lit(0).cast("bigint").alias("bin"), F.posexplode(ranks).alias("side", "rank"))
     )
     outer = F.lit(0).cast("bigint")
-    for shift in MEDIAN_SHIFTS:
+    shifts = MEDIAN_SHIFTS if counts.count() > MEDIAN_BINS else (0,)
+    for shift in shifts:
         inner = F.shiftright("value", shift)
         bins = counts.groupBy("measure", outer.alias("bin"), inner.alias("inner")).agg(F.sum("m").alias("m"))
         upto = Window.partitionBy("measure", "side").orderBy("inner").rowsBetween(Window.unboundedPreceding, 0)
@@ -66,12 +86,20 @@ def exact_medians(df: DataFrame, measures: list[str]) -> DataFrame:
     return wanted.groupBy("measure").agg((F.sum(F.col("bin").cast("decimal(20,0)")) / 2).alias("median"))
 
 
+def measure_statistics(counts: DataFrame) -> DataFrame:
+    """``(measure, mean, median, min, max)`` of ``value_counts``; means are exact decimals."""
+    weighted = F.col("value").cast("decimal(20,0)") * F.col("m")
+    totals = counts.groupBy("measure").agg(
+        (F.sum(weighted) / F.sum("m")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
+    )
+    return totals.join(exact_medians(counts), "measure")
+
+
 def revision_summary(pages: DataFrame) -> DataFrame:
     """One row of statistics over ``first_last_revision``: mean, median, least and greatest
     date, mean and median size, each of the first and of the last revisions.
 
-    Dates are averaged as exact decimals of microseconds; pages without revisions do not
-    count, and without any page all columns are NULL.
+    Pages without revisions do not count, and without any page all columns are NULL.
     """
     flat = pages.select(
         *[
@@ -83,28 +111,13 @@ def revision_summary(pages: DataFrame) -> DataFrame:
             )
         ]
     )
-    names = flat.columns
-    totals = [
-        total
-        for name in names
-        for total in (
-            F.avg(F.col(name).cast("decimal(20,0)")).alias(f"{name}_mean"),
-            F.min(name).alias(f"{name}_min"),
-            F.max(name).alias(f"{name}_max"),
-        )
-    ]
-    medians = exact_medians(flat, names).agg(
-        *[F.max(F.when(F.col("measure") == name, F.col("median"))).alias(f"{name}_median") for name in names]
-    )
-    # Both sides are aggregates of exactly one row.
-    one_row = flat.agg(*totals).withColumn("_one", F.lit(1)).join(
-        F.broadcast(medians.withColumn("_one", F.lit(1))), "_one"
-    )
+    known = measure_statistics(value_counts(flat, flat.columns))
     columns = []
     for side in ("earliest", "latest"):
         for statistic in ("mean", "median", "min", "max"):
-            micros = F.round(F.col(f"{side}_date_{statistic}"), 0)
+            micros = F.max(F.when(F.col("measure") == f"{side}_date", F.round(statistic, 0)))
             columns.append(from_micros(micros).alias(f"{side}_date_{statistic}"))
         for statistic in ("mean", "median"):
-            columns.append(F.col(f"{side}_size_{statistic}").cast("double").alias(f"{side}_size_{statistic}"))
-    return one_row.select(*columns)
+            size = F.max(F.when(F.col("measure") == f"{side}_size", F.col(statistic)))
+            columns.append(size.cast("double").alias(f"{side}_size_{statistic}"))
+    return known.agg(*columns)

@@ -17,10 +17,17 @@ DISTRIBUTION = "topicDistribution"
 def fit(
     vectors: DataFrame, k: int, max_iter: int, seed: int, subsampling_rate: float = 0.05
 ) -> LDAModel:
-    """Online LDA over ``features``; the same seed and table give the same model."""
+    """Online LDA over ``features``; the same seed and table give the same model.
+
+    Iterations read the vectors from the cache: the caller's, if ``vectors`` is cached,
+    else one kept for this fit.
+    """
+    lda = LDA(k=k, maxIter=max_iter, seed=seed, subsamplingRate=subsampling_rate)
+    if vectors.is_cached:
+        return lda.fit(vectors)
     features = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return LDA(k=k, maxIter=max_iter, seed=seed, subsamplingRate=subsampling_rate).fit(features)
+        return lda.fit(features)
     finally:
         features.unpersist()
 

@@ -101,15 +101,16 @@ def _run(
 ) -> list[tuple]:
     texts = clean(nonempty(corpus), trials[0].cleaning)
     table = token_table(texts, trials[0].tokens, [key]).persist(StorageLevel.MEMORY_AND_DISK)
+    inputs = {}
     try:
         documents = table.count()
         bag = terms.bag_of_words(table, [key], keep_empty=True)
         statistics = stored(terms.term_statistics(bag))
-        inputs = {}
         for min_df in {trial.min_df for trial in trials}:
             weights = stored(terms.idf(terms.vocabulary(statistics, min_df, vocabulary_size), F.lit(documents)))
             size = weights.count()
-            inputs[min_df] = (weights, size, vectors.stored_vectors(bag, weights, [key], size))
+            vectored = vectors.stored_vectors(bag, weights, [key], size).persist(StorageLevel.MEMORY_AND_DISK)
+            inputs[min_df] = (weights, size, vectored)
 
         def fit(trial: Trial) -> tuple[list[list[str]], float]:
             weights, _, vectored = inputs[trial.min_df]
@@ -127,6 +128,8 @@ def _run(
         ]
     finally:
         table.unpersist()
+        for _, _, vectored in inputs.values():
+            vectored.unpersist()
 
 
 def _mean_coherence(table: DataFrame, models: list[list[list[str]]], key: str, window: int) -> list[float | None]:
