@@ -57,6 +57,10 @@ def test_models_per_period(corpus):
     assert len(rows) == len({(row["title"], row["period"]) for row in rows}) == 12
     assert all(len(row[topics.DISTRIBUTION]) == 2 for row in rows)
     assert fitted.topic_terms(3).count() == 3 * 2 * 3
+    lines = sinks.report_lines(sinks.topic_lists(fitted.topic_terms(3), "period"), "Topics for period ").collect()
+    assert len(lines) == 3 * 3
+    first = fitted.topic_terms(3).where("period = '2001-2005' AND topic = 0").orderBy("rank").collect()
+    assert "Topic 1: " + ", ".join(row["term"] for row in first) in {row["text"] for row in lines}
 
 
 def test_other_years_can_shape_the_vocabulary(corpus):

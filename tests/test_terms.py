@@ -44,7 +44,7 @@ def test_vectors_equal_the_library_s(spark, documents, weighting):
     bag = terms.bag_of_words(documents, ["doc_id"], keep_empty=True)
     statistics = stored(terms.term_statistics(bag))
     weights = stored(terms.idf(terms.vocabulary(statistics, min_df=1, size=4), terms.document_count(documents)))
-    made = vectors.stored_vectors(bag, weights, ["doc_id"], 4, weighting)
+    made = vectors.stored_vectors(bag, weights, ["doc_id"], weighting)
     listed = [row["term"] for row in weights.orderBy("term_id").collect()]
     filled = documents.withColumn("tokens", F.coalesce("tokens", F.array()))
     counted = CountVectorizerModel.from_vocabulary(listed, inputCol="tokens", outputCol="counts").transform(filled)
@@ -60,7 +60,7 @@ def test_vectors_equal_the_library_s(spark, documents, weighting):
 def test_binary_vectors(spark, documents):
     bag = terms.bag_of_words(documents, ["doc_id"])
     weights = stored(terms.idf(terms.vocabulary(stored(terms.term_statistics(bag))), F.lit(6)))
-    made = vectors.stored_vectors(bag, weights, ["doc_id"], 5, vectors.COUNT, binary=True)
+    made = vectors.stored_vectors(bag, weights, ["doc_id"], vectors.COUNT, binary=True)
     assert all(set(row["features"].values) == {1.0} for row in made.collect())
 
 
@@ -83,3 +83,11 @@ def test_grouped_bag_is_the_bag_of_the_joined_texts(spark):
     rows = spark.createDataFrame([(1, "x", ["a", "b"]), (2, "x", ["b"]), (3, None, ["c"])], "doc_id int, g string, tokens array<string>")
     summed = terms.grouped_bag(terms.bag_of_words(rows, ["g"]), ["g"])
     assert {tuple(row) for row in summed.collect()} == {("x", "a", 1), ("x", "b", 2), (None, "c", 1)}
+
+
+def test_an_empty_vocabulary_is_refused(spark, documents):
+    bag = terms.bag_of_words(documents, ["doc_id"])
+    statistics = stored(terms.term_statistics(bag))
+    weights = stored(terms.idf(terms.vocabulary(statistics, min_df=99), F.lit(6)))
+    with pytest.raises(ValueError, match="empty"):
+        vectors.stored_vectors(bag, weights, ["doc_id"])

@@ -91,7 +91,7 @@ def vector_totals(spark, folder):
     table = inputs.tokens(spark, folder)
     weights = _weights(spark, folder, 5)
     bag = terms.bag_of_words(table, KEYS, keep_empty=True)
-    made = vectors.stored_vectors(bag, weights, KEYS, weights.count(), weighting=vectors.COUNT)
+    made = vectors.stored_vectors(bag, weights, KEYS, vectors.COUNT)
     parts = vectors.entries(made, KEYS)
     return parts.select(
         "doc_id",

@@ -9,7 +9,9 @@ up before the shuffle, from which all single and pair counts follow.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..runtime import BROADCAST_LIMIT_BYTES, size_in_bytes
 
 WINDOW = 110
 EPSILON = 1e-12
@@ -26,7 +28,7 @@ def _term_lists(topics: DataFrame) -> DataFrame:
     )
 
 
-def _bit(place: str):
+def _bit(place: str) -> Column:
     return F.expr(f"shiftleft(1L, {place})")
 
 
@@ -42,9 +44,11 @@ def window_masks(
 ) -> DataFrame:
     """``(topic, mask, n)``: number of windows that hold exactly the topic terms of the mask.
 
-    ``topics`` is the small side (topics x terms) and is broadcast. Only occurrences of
-    topic terms are shuffled, once, by document.
+    ``topics`` is the small side (topics x terms), broadcast if it measures so. Only
+    occurrences of topic terms are shuffled, once, by document.
     """
+    listed = topics.select("topic", "term")
+    small = F.broadcast if size_in_bytes(listed) <= BROADCAST_LIMIT_BYTES else lambda df: df
     numbered = (
         _term_lists(topics)
         .select("topic", F.posexplode("terms").alias("_place", "term"))
@@ -53,7 +57,7 @@ def window_masks(
     last_start = F.greatest(F.size(tokens) - window, F.lit(0))
     occurrences = (
         documents.select(key, last_start.alias("_last"), F.posexplode(tokens).alias("_at", "term"))
-        .join(F.broadcast(topics.select("term")), "term", "left_semi")
+        .join(small(listed.select("term")), "term", "left_semi")
         .repartition(key)
     )
     # An occurrence lies in the windows starting at _first.._final. Neighbours of the
@@ -67,7 +71,7 @@ def window_masks(
         .withColumn("_leaves", F.coalesce(F.lead("_first").over(along) > F.col("_final") + 1, F.lit(True)))
         .where("_enters or _leaves")
     )
-    bits = stretches.join(F.broadcast(numbered), "term")
+    bits = stretches.join(small(numbered), "term")
     changes = bits.select(
         key,
         "topic",

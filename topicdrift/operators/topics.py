@@ -9,7 +9,7 @@ from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import side_by_side
+from ..runtime import broadcast_if_small, side_by_side
 
 DISTRIBUTION = "topicDistribution"
 
@@ -51,7 +51,7 @@ def fit_per_period(
 def topic_terms(model: LDAModel, vocabulary: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` heaviest terms of each topic: ``(topic, rank, term, weight)``.
 
-    The topics' k x n term ids are the broadcast side.
+    The topics' k x n term ids are the broadcast side, if they measure small.
     """
     described = model.describeTopics(n).select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("_place", "_entry")
@@ -62,7 +62,7 @@ def topic_terms(model: LDAModel, vocabulary: DataFrame, n: int = 10) -> DataFram
         F.col("_entry.termIndices").alias("term_id"),
         F.col("_entry.termWeights").alias("weight"),
     )
-    named = vocabulary.select("term_id", "term").join(F.broadcast(ids), "term_id")
+    named = vocabulary.select("term_id", "term").join(broadcast_if_small(ids), "term_id")
     return named.select("topic", "rank", "term", "weight")
 
 

@@ -12,21 +12,27 @@ from ..runtime import broadcast_if_small, stored
 TFIDF = "tfidf"
 COUNT = "count"
 
+ENTRY_BYTES = 16
+PARTITION_BYTES = 256 << 20
+
 
 def stored_vectors(
-    bag: DataFrame, weights: DataFrame, keys: Sequence[str], size: int,
-    weighting: str = TFIDF, binary: bool = False,
+    bag: DataFrame, weights: DataFrame, keys: Sequence[str], weighting: str = TFIDF, binary: bool = False
 ) -> DataFrame:
-    """``(keys, features)`` of bags over a vocabulary ``(term_id, term, idf)``, as a stored table.
+    """``(keys, features)`` of bags over a vocabulary ``(term_id, term, df, idf)``, as a stored table.
 
     ``bag`` has one row per keys and term; keys without a known term get a vector of
-    zeros. A row has at most ``size`` entries, the vocabulary's length. Entries move once,
-    to an equal number of partitions in a fixed order, because the topic model samples by
-    partition and position. They are written in the storage layout of a sparse vector and
-    read back as vectors, without leaving the JVM.
+    zeros. A row has at most as many entries as the vocabulary. Entries move once, to
+    partitions of even size in a fixed order, because the topic model samples by partition
+    and position; the sum of ``df`` tells their number beforehand. They are written in the
+    storage layout of a sparse vector and read back as vectors, without leaving the JVM.
     """
     keys = list(keys)
-    partitions = int(bag.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size, entries_expected = weights.agg(F.count("*"), F.sum("df")).first()
+    if not size:
+        raise ValueError("the vocabulary is empty")
+    cores = bag.sparkSession.sparkContext.defaultParallelism
+    partitions = max(cores, -(-entries_expected * ENTRY_BYTES // PARTITION_BYTES))
     listed = broadcast_if_small(weights.select("term", "term_id", "idf"))
     count = F.lit(1.0) if binary else F.col("tf").cast("double")
     value = count * F.col("idf") if weighting == TFIDF else count

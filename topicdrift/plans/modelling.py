@@ -88,7 +88,7 @@ def fit_topics(
     try:
         bag = terms.bag_of_words(table, keys, keep_empty=True)
         weights = stored_weights(bag, table.count(), min_df, vocabulary_size)
-        rows = vectors.stored_vectors(bag, weights, keys, weights.count(), weighting)
+        rows = vectors.stored_vectors(bag, weights, keys, weighting)
     finally:
         table.unpersist()
     return Fitted(topics.fit(rows, k, max_iter, seed, subsampling_rate), weights, rows)
@@ -125,7 +125,7 @@ def fit_topics_per_period(
     try:
         documents = bag.select(*group).distinct().count()
         weights = stored_weights(bag, documents, min_df, vocabulary_size)
-        rows = vectors.stored_vectors(bag, weights, group, weights.count(), weighting)
+        rows = vectors.stored_vectors(bag, weights, group, weighting)
     finally:
         bag.unpersist()
     names = [name for _, _, name in periods]

@@ -108,9 +108,8 @@ def _run(
         statistics = stored(terms.term_statistics(bag))
         for min_df in {trial.min_df for trial in trials}:
             weights = stored(terms.idf(terms.vocabulary(statistics, min_df, vocabulary_size), F.lit(documents)))
-            size = weights.count()
-            vectored = vectors.stored_vectors(bag, weights, [key], size).persist(StorageLevel.MEMORY_AND_DISK)
-            inputs[min_df] = (weights, size, vectored)
+            vectored = vectors.stored_vectors(bag, weights, [key]).persist(StorageLevel.MEMORY_AND_DISK)
+            inputs[min_df] = (weights, weights.count(), vectored)
 
         def fit(trial: Trial) -> tuple[list[list[str]], float]:
             weights, _, vectored = inputs[trial.min_df]

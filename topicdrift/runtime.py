@@ -50,7 +50,7 @@ def size_in_bytes(df: DataFrame) -> int:
     width = F.lit(ROW_OVERHEAD_BYTES + 8 * len(df.columns)).cast("bigint")
     for field in df.schema:
         if isinstance(field.dataType, T.StringType):
-            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+            width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
     return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
 
 

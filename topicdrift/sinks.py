@@ -5,6 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+# How the report names scores, in its order.
+SCORE_LABELS = {"log_perplexity": "Perplexity: ", "coherence": "Coherence Score: "}
+
+
+def topic_lists(terms: DataFrame, group: str) -> DataFrame:
+    """``(config, topics)`` from ``(group, topic, rank, term)``: one row per group, for reports."""
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "term")))
+    lists = terms.groupBy(group, "topic").agg(F.transform(ranked, lambda row: row["term"]).alias("_terms"))
+    ordered = F.array_sort(F.collect_list(F.struct("topic", "_terms")))
+    topics = F.transform(ordered, lambda row: row["_terms"]).alias("topics")
+    return lists.groupBy(F.col(group).alias("config")).agg(topics)
+
+
 def score_table(scores: DataFrame) -> DataFrame:
     """``(Topics, Coherence, Perplexity)`` of a sweep, by number of topics."""
     return scores.select(
@@ -18,10 +31,10 @@ def write_scores(scores: DataFrame, path: str) -> None:
 
 
 def report_lines(scores: DataFrame, header: str = "Preprocessing Variant: ") -> DataFrame:
-    """``(config, line, text)``: header, one line per topic, perplexity and coherence, per setting.
+    """``(config, line, text)``: header, one line per topic, and the scores, per setting.
 
-    ``scores`` needs ``config, topics, log_perplexity, coherence``. ``text`` is what a text
-    file holds; order by ``config, line``.
+    ``scores`` needs ``config, topics``; ``log_perplexity`` and ``coherence`` are reported
+    if it has them. ``text`` is what a text file holds; order by ``config, line``.
     """
     named = F.transform(
         "topics",
@@ -30,10 +43,11 @@ def report_lines(scores: DataFrame, header: str = "Preprocessing Variant: ") ->
     lines = F.concat(
         F.array(F.concat(F.lit(header), "config")),
         named,
-        F.array(
-            F.concat(F.lit("Perplexity: "), F.col("log_perplexity").cast("string")),
-            F.concat(F.lit("Coherence Score: "), F.col("coherence").cast("string")),
-        ),
+        *[
+            F.array(F.concat(F.lit(label), F.col(column).cast("string")))
+            for column, label in SCORE_LABELS.items()
+            if column in scores.columns
+        ],
     )
     return scores.select("config", F.posexplode(lines).alias("line", "text"))
 
