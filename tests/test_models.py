@@ -3,7 +3,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from topicdrift import sinks
-from topicdrift.operators import topics
+from topicdrift.operators import evolution, topics
 from topicdrift.plans import sweep
 from topicdrift.plans.modelling import fit_topics, fit_topics_per_period
 from topicdrift.plans.text import TokenConfig
@@ -43,6 +43,12 @@ def test_distributions_add_up(fitted):
     assert topics.log_perplexity(fitted.model, fitted.vectors) > 0
 
 
+def test_title_filter_reaches_the_scan(fitted):
+    rows = evolution.title_trajectory(fitted.topic_distribution(), ["t0", "t1"], topics.DISTRIBUTION, 2)
+    assert "PushedFilters: [In(title, [t0,t1])]" in plan_of(rows)
+    assert {row["title"] for row in rows.collect()} == {"t0", "t1"}
+
+
 def test_same_seed_same_model(corpus, fitted):
     again = fit_topics(corpus.repartition(7), ["doc_id", "title", "year"], seed=3, tokens=PLAIN, k=2, max_iter=15, subsampling_rate=0.5)
     show = lambda model: [tuple(row) for row in model.topic_terms().orderBy("topic", "rank").collect()]

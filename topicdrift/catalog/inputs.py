@@ -7,6 +7,7 @@ every text is used whole.
 
 from __future__ import annotations
 
+import os
 import zipfile
 from pathlib import Path
 
@@ -72,7 +73,8 @@ vocabulary AS (
 
 def english_stop_words_sql() -> str:
     """Spark's English list as SQL strings, read from the library that ships it."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
+    homes = (Path(pyspark.__file__).parent, Path(os.environ.get("SPARK_HOME", "/opt/spark")))
+    jar = next(jar for home in homes for jar in (home / "jars").glob("spark-mllib_*.jar"))
     with zipfile.ZipFile(jar) as archive:
         words = archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
     return ", ".join("'" + word.strip().replace("'", "''") + "'" for word in words if word.strip())

@@ -15,16 +15,17 @@ from .registry import query
 @query("xml_scan", inputs.with_marked("""
 SELECT title, strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, content FROM marked"""))
 def xml_scan(spark, folder):
-    """Marked revisions written as page XML, read back with the given schema."""
+    """Marked revisions written as page XML in folders, read back by a glob with the given schema."""
     path = new_table_path(spark)
     number = F.col("doc_id")
     stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = inputs.marked(spark, folder).select(
         number.alias("__idx"), number.alias("_pageid"), F.lit(0).cast("bigint").alias("_ns"), F.col("title").alias("_title"),
         F.struct(F.array(F.struct(stamp.alias("_timestamp"), F.col("content").alias("_VALUE"))).alias("rev")).alias("revisions"),
+        F.substring_index("title", "_", -1).alias("folder"),
     )
-    rows.write.format("xml").option("rowTag", "page").option("rootTag", "pages").save(path)
-    return pages.revisions(pages.read_pages(spark, path))
+    rows.write.format("xml").option("rowTag", "page").option("rootTag", "pages").partitionBy("folder").save(path)
+    return pages.revisions(pages.read_pages(spark, f"{path}/*/*.xml"))
 
 
 # Whole revisions, plus pages without any revision and blanked pages.

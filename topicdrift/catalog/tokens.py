@@ -136,14 +136,14 @@ def ngrams_multi_distinct(spark, folder):
     return _shown(table.withColumn("tokens", F.sort_array("tokens")))
 
 
-PIPELINE_SQL = f""",
+STEPS_SQL = f""",
 tokens AS (SELECT doc_id, list_filter({inputs.words_sql(clean_sql('wiki'))}, lambda w: NOT list_contains({OWN_SQL}, w)) AS tokens
            FROM marked)"""
 
 
-@query("token_pipeline", inputs.with_marked(PIPELINE_SQL + _shown_sql(
+@query("token_steps", inputs.with_marked(STEPS_SQL + _shown_sql(
     f"list_concat(tokens, {_ngrams_sql(2)})", "tokens")))
-def token_pipeline(spark, folder):
+def token_steps(spark, folder):
     """Markup removed, words cut, own stop words dropped, single words and 2-grams joined."""
     texts = clean(inputs.marked(spark, folder), "wiki")
     return _shown(token_table(texts, TokenConfig(stop_words=OWN_STOP_WORDS, ngrams=(1, 2)), KEYS))

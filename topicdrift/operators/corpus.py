@@ -17,7 +17,7 @@ PERIODS = (
 )
 
 # Longest text one row of ``period_documents`` starts to collect, in characters.
-PIECE_CHARS = 64 << 20
+PIECE_CHARS = 16 << 20
 
 
 def nonempty(df: DataFrame, column: str = "content") -> DataFrame:

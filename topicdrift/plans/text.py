@@ -16,7 +16,7 @@ ENGLISH = "english"
 
 @dataclass(frozen=True)
 class TokenConfig:
-    """Switches of the token pipeline, in the order the steps run.
+    """Switches of the token steps, in the order they run.
 
     ``stop_words``: ``"english"`` for Spark's list, a tuple for an own list, ``None`` for
     none. An own list replaces the English one unless ``extend_english`` is set.
