@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicdrift.llm import oracle, substring_dedup
+from topicdrift.llm import oracle, packing, substring_dedup, token_files
+from topicdrift.runtime import new_table_path
+
+#: The installed tokenizer files; other folders can be given to the operators.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +27,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_table_path(spark)
+    token_files.write(table(spark, sf_dir, "documents"), folder, WORD_BPE)
+    return token_files.read(spark, folder, with_ids=False)
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_packing": op2_packing,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE: dict[str, str] = {
