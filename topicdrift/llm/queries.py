@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicdrift.llm import near_dedup, oracle, packing, substring_dedup, token_files
+from topicdrift.llm import lm, near_dedup, oracle, packing, substring_dedup, token_files
 from topicdrift.runtime import new_table_path
 
 #: The installed tokenizer files; other folders can be given to the operators.
@@ -36,6 +36,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_table_path(spark)
     token_files.write(table(spark, sf_dir, "documents"), folder, WORD_BPE)
@@ -46,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
     "op5_near_dedup": op5_near_dedup,
+    "op8_lm_scores": op8_lm_scores,
     "op10_token_files": op10_token_files,
 }
 
