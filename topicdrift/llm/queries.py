@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicdrift.llm import lm, near_dedup, oracle, packing, substring_dedup, token_files
+from topicdrift.llm import lm, near_dedup, oracle, packing, substring_dedup, token_files, toxicity
 from topicdrift.runtime import new_table_path
 
 #: The installed tokenizer files; other folders can be given to the operators.
@@ -31,6 +31,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        F.col("id").alias("doc_id"), lm.held_out("id", 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = near_dedup.linked(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -49,6 +58,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
     "op5_near_dedup": op5_near_dedup,
     "op8_lm_scores": op8_lm_scores,
     "op10_token_files": op10_token_files,

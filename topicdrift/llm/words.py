@@ -8,6 +8,7 @@ batches with `pieces`.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,16 +83,28 @@ class Words:
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.per_doc = np.bincount(self.doc, minlength=len(offsets) - 1)
         self.first = np.concatenate([[0], np.cumsum(self.per_doc)])
-        self.hash = self._hash()
+        self._total = self._sums()
+        self.hash = mix(self.range_hash(self.start, self.end))
 
     def __len__(self) -> int:
         return len(self.start)
 
-    def _hash(self) -> np.ndarray:
-        up, down = _power(_BASES[0], len(self.data) + 1)
+    def _sums(self) -> np.ndarray:
+        up, _ = _power(_BASES[0], len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, dtype=np.uint64)
         np.cumsum(_BYTE_CODE[self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        return total
+
+    def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from start to end, the same wherever they stand."""
+        _, down = _power(_BASES[0], len(self.data) + 1)
+        return (self._total[end] - self._total[start]) * down[start]
+
+    def only(self, chosen: np.ndarray) -> Words:
+        """The chosen words alone, for `range_hash`; windows would join words that were apart."""
+        out = copy.copy(self)
+        out.start, out.end, out.doc, out.hash = self.start[chosen], self.end[chosen], self.doc[chosen], self.hash[chosen]
+        return out
 
     def windows(self, size: int, lane: int = 1) -> np.ndarray:
         """Hashes of the runs of `size` words that start at word 0, 1, ...; see `inside` for which stay in a text."""
