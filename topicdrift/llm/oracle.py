@@ -21,3 +21,87 @@ WITH d AS (
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)"""
+
+URL_REPUTATION = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), h AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*'), '') AS path
+  FROM u
+), l AS (
+  SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS outcome FROM labels
+  WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id
+), g AS (
+  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix,
+    count(outcome) AS n, coalesce(sum(outcome), 0) AS bad
+  FROM h LEFT JOIN l USING (page_id) GROUP BY host
+), d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM g GROUP BY suffix, domain
+), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix
+), o AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS rate FROM s
+), levels AS (
+  SELECT 'suffix' AS level, n, bad FROM s UNION ALL SELECT 'domain', n, bad FROM d UNION ALL SELECT 'host', n, bad FROM g
+), m AS (
+  SELECT level, sum(n) AS pages, sum(bad) AS bad, sum(n * n) AS squares, count(*) AS groups, sum(bad) / sum(n) AS mean
+  FROM levels WHERE n > 0 GROUP BY level
+), k AS (
+  SELECT m.level, any_value(pages) AS pages, any_value(m.bad) AS bad, any_value(groups) AS groups,
+    (sum(x.n * (x.bad / x.n - mean) * (x.bad / x.n - mean)) - any_value(mean * (1 - mean)) * (any_value(groups) - 1))
+    / (any_value(mean * (1 - mean)) * (any_value(pages) - any_value(squares) / any_value(pages) - (any_value(groups) - 1)) + 1e-12) AS related
+  FROM m JOIN (SELECT * FROM levels WHERE n > 0) x USING (level) GROUP BY m.level
+), strength AS (
+  SELECT level, CASE WHEN bad = 0 OR bad = pages OR groups < 2 OR related <= 1 / 10001.0 THEN 10000.0 ELSE greatest(1.0, 1 / related - 1) END AS k FROM k
+), ss AS (
+  SELECT suffix, (bad + coalesce((SELECT k FROM strength WHERE level = 'suffix'), 10000.0) * (SELECT rate FROM o)) / (n + coalesce((SELECT k FROM strength WHERE level = 'suffix'), 10000.0)) AS rate FROM s
+), dd AS (
+  SELECT domain, (bad + coalesce((SELECT k FROM strength WHERE level = 'domain'), 10000.0) * rate) / (n + coalesce((SELECT k FROM strength WHERE level = 'domain'), 10000.0)) AS rate FROM d JOIN ss USING (suffix)
+), hh AS (
+  SELECT host, n, (bad + coalesce((SELECT k FROM strength WHERE level = 'host'), 10000.0) * rate) / (n + coalesce((SELECT k FROM strength WHERE level = 'host'), 10000.0)) AS rate FROM g JOIN dd USING (domain)
+), r AS (
+  SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (n + coalesce((SELECT k FROM strength WHERE level = 'host'), 10000.0) + 1)) AS lower FROM hh
+), judged AS (
+  SELECT page_id, h.host, path, lower,
+    CASE WHEN (h.host = 'example.net' OR ends_with(h.host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN (h.host = 'example.com' OR ends_with(h.host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN (h.host = 'org' OR ends_with(h.host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN (h.host = 'net' OR ends_with(h.host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM h JOIN r USING (host)
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM judged"""
+
+QUALITY_RULES = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), w AS (
+  SELECT doc_id, i, array_to_string(list_slice(words, i, i + 4), ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) >= 5)
+), twice AS (
+  SELECT doc_id, gram FROM w GROUP BY doc_id, gram HAVING count(*) > 1
+), r AS (
+  SELECT doc_id, count(*) AS n FROM (
+    SELECT DISTINCT doc_id, i + k AS i FROM (SELECT w.doc_id, w.i FROM w JOIN twice USING (doc_id, gram)), (SELECT unnest(range(0, 5)) AS k)
+  ) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, line, length(regexp_replace(line, '[ \t\n\x0B\f\r]', '', 'g')) AS solid
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')
+), c AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(solid) FILTER (
+    (regexp_matches(line, '[.!?:;…。！？]["''”’»)\]]*[ \t\x0B\f\r]*$') OR regexp_matches(line, '[.!?] .*[.!?] '))
+    AND length(line) - length(translate(line, '|»›•·', '')) < 3
+    AND NOT regexp_matches(line, '(?i)cookie|all rights reserved|copyright|©|privacy policy|terms of (use|service)|javascript|lorem ipsum|subscribe|sign up|log ?in|click here|read more|share this|licen[sc]ed under|released under')
+    AND (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) / greatest(solid, 1) <= 0.1
+    AND (length(line) - length(regexp_replace(line, '\p{Lu}', '', 'g'))) / greatest(solid, 1) <= 0.6), 0) AS solid
+  FROM lines GROUP BY doc_id
+), b AS (
+  SELECT d.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, coalesce(c.solid, 0) AS solid
+  FROM d LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND solid >= 0.5 * word_chars AS kept
+FROM b"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicdrift.llm import lm, near_dedup, oracle, packing, substring_dedup, token_files, toxicity
+from topicdrift.llm import html_text, lm, near_dedup, oracle, packing, quality_rules, substring_dedup, token_files, toxicity, url_reputation
 from topicdrift.runtime import new_table_path
 
 #: The installed tokenizer files; other folders can be given to the operators.
@@ -45,10 +45,23 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_reputation.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("clean")
+
+
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_table_path(spark)
     token_files.write(table(spark, sf_dir, "documents"), folder, WORD_BPE)
@@ -60,10 +73,15 @@ QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op5_near_dedup": op5_near_dedup,
+    "op6_url_reputation": op6_url_reputation,
+    "op7_quality_rules": op7_quality_rules,
     "op8_lm_scores": op8_lm_scores,
+    "op9_html_text": op9_html_text,
     "op10_token_files": op10_token_files,
 }
 
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op6_url_reputation": oracle.URL_REPUTATION,
+    "op7_quality_rules": oracle.QUALITY_RULES,
 }
