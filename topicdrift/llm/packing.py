@@ -136,7 +136,7 @@ def packed(
         packer = Packer(task, 0, length, windows, least_cut)
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for doc, ids in zip(names, encoded(batch.column(1).to_pylist(), path, kind, end), strict=True):
+            for doc, ids in zip(names, encoded(batch.column(1), path, kind, end), strict=True):
                 packer.add(doc, 0, ids, len(ids))
                 if len(packer.done) >= _ROWS:
                     yield _batch(packer.done, task)

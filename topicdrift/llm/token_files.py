@@ -45,7 +45,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, kind: str, end: int) -
 
     held = 0
     for batch in batches:
-        for doc, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), path, kind, end), strict=True):
+        for doc, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), path, kind, end), strict=True):
             docs.append(doc)
             parts.append(ids)
             held += len(ids)
