@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicdrift.llm import html_text, lm, near_dedup, oracle, packing, quality_rules, substring_dedup, token_files, toxicity, url_reputation
+from topicdrift.llm import decontamination, html_text, lm, near_dedup, oracle, packing, quality_rules, substring_dedup, token_files, toxicity, url_reputation
 from topicdrift.runtime import new_table_path
 
 #: The installed tokenizer files; other folders can be given to the operators.
@@ -40,6 +40,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = near_dedup.linked(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_decontamination": op4_decontamination,
     "op5_near_dedup": op5_near_dedup,
     "op6_url_reputation": op6_url_reputation,
     "op7_quality_rules": op7_quality_rules,

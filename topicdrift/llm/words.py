@@ -108,13 +108,7 @@ class Words:
 
     def windows(self, size: int, lane: int = 1) -> np.ndarray:
         """Hashes of the runs of `size` words that start at word 0, 1, ...; see `inside` for which stay in a text."""
-        n = len(self) - size + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
-        up, down = _power(_BASES[lane], len(self) + 1)
-        total = np.zeros(len(self) + 1, dtype=np.uint64)
-        np.cumsum(self.hash * up[: len(self)], out=total[1:])
-        return mix((total[size:] - total[:n]) * down[:n])
+        return window_hashes(self.hash, size, lane)
 
     def inside(self, size: int) -> np.ndarray:
         """Whether the window of `size` words from word i lies in one text."""
@@ -122,6 +116,17 @@ class Words:
         return self.doc[:n] == self.doc[size - 1 :] if n > 0 else np.zeros(0, dtype=bool)
 
 
+def window_hashes(values: np.ndarray, size: int, lane: int = 1) -> np.ndarray:
+    """Hash of every run of `size` values."""
+    n = len(values) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    up, down = _power(_BASES[lane], len(values) + 1)
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    return mix((total[size:] - total[:n]) * down[:n])
+
+
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     """Least value of every run of `size` values."""
     done, out = 1, x
