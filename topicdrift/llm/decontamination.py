@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicdrift.llm.exchange import nullable
 from topicdrift.llm.words import Words, member, mix, pieces, window_hashes
 
 WINDOW = 13
@@ -199,45 +200,61 @@ def contaminated(
     texts and null item ids match nothing. Null texts of documents have no words; null doc_ids
     stay null. Repeated rows match each. Empty tables give none. Other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, first_word long, n_words long, same_values boolean"
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    held, size, out = [], 0, []
+    kinds = {"doc_id": pa.int64(), "item_id": pa.int64(), "first_word": pa.int64(), "n_words": pa.int64(), "same_values": pa.bool_()}
 
     def against(index) -> DataFrame:
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = index.value
             for batch in batches:
-                ids, result = batch.column("doc_id").to_pylist(), []
-                for first, data, offsets in pieces(batch.column("text")):
-                    for text, item, word, n, same in matches(templates(data, offsets), own, literals):
-                        result.append((ids[first + text], own.ids[item], word, n, same))
-                columns = list(zip(*result, strict=True)) if result else [()] * 5
-                kinds = (*[pa.int64()] * 4, pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "first_word", "n_words", "same_values"])
+                ids, own = batch.column("doc_id").to_pylist(), index.value.ids
+                result = [(ids[text], own[item], *more) for text, item, *more in _found(batch.column("text"), index.value, literals)]
+                columns = list(zip(*result, strict=True)) if result else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+        return rows.mapInArrow(find, "doc_id long, item_id long, first_word long, n_words long, same_values boolean")
+
+    out = [against(index) for index in _shards(benchmark, window, literals, shard_bytes)]
+    result = out[0]
+    for more in out[1:]:
+        result = result.union(more)
+    return result
+
 
-        return rows.mapInArrow(find, schema)
+def _found(texts: pa.Array, index: Shard, literals: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    for first, data, offsets in pieces(texts):
+        for text, *more in matches(templates(data, offsets), index, literals):
+            yield first + text, *more
 
-    def close() -> None:
-        out.append(against(spark.sparkContext.broadcast(shard(held, window, literals))))
 
+def _shards(benchmark: DataFrame, window: int, literals: int, shard_bytes: int) -> Iterator:
+    """Broadcast indexes of the benchmark, one at a time, in order of items; at least one."""
+    context = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    held, size, done = [], 0, 0
     for item, text in items.orderBy("item_id", "text").toLocalIterator():
         held.append((item, text))
         size += len(text) + 64
         if size >= shard_bytes:
-            close()
-            held, size = [], 0
-    if held or not out:
-        close()
-    result = out[0]
-    for more in out[1:]:
-        result = result.union(more)
-    return result
+            yield context.broadcast(shard(held, window, literals))
+            held, size, done = [], 0, done + 1
+    if held or not done:
+        yield context.broadcast(shard(held, window, literals))
+
+
+def clean(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, shard_bytes: int = SHARD_BYTES,
+) -> DataFrame:
+    """Rows that hold no benchmark item; same columns. Every row is judged by its own text."""
+
+    def without(rows: DataFrame, index) -> DataFrame:
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[[text for text, *_ in _found(batch.column("text"), index.value, literals)]] = False
+                yield batch.filter(pa.array(keep))
 
+        return rows.mapInArrow(choose, nullable(docs.schema))
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold no benchmark item; same columns. Rows without an id go only if their own text holds one."""
-    found = contaminated(docs.where("doc_id IS NOT NULL"), benchmark).select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_anti").select(docs.columns)
-    return kept.union(docs.where("doc_id IS NULL"))
+    for index in _shards(benchmark, window, literals, shard_bytes):
+        docs = without(docs, index)
+    return docs

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicdrift.llm.exchange import nullable
 from topicdrift.llm.lm import held_out
 from topicdrift.llm.words import Words, mix, pieces
 
@@ -218,6 +219,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: int
     return train(sample, ones / max(every, 1))
 
 
+def _chances(texts: pa.Array, model: Model) -> np.ndarray:
+    values = []
+    for _, data, offsets in pieces(texts):
+        words = Words(data, offsets, lower=True)
+        row, feature, times = _counted(words)
+        share = np.sqrt(times / words.per_doc[row]) if len(row) else times
+        values.append(np.bincount(row, share * model.weights[feature], len(offsets) - 1))
+    return model.chance(np.concatenate(values) if values else np.zeros(0))
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """id and score (0 to 1) of every document.
 
@@ -227,15 +238,19 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value.weights
         for batch in batches:
-            values = []
-            for _, data, offsets in pieces(batch.column("text")):
-                words = Words(data, offsets, lower=True)
-                row, feature, times = _counted(words)
-                share = np.sqrt(times / words.per_doc[row]) if len(row) else times
-                values.append(np.bincount(row, share * weights[feature], len(offsets) - 1))
-            chance = shared.value.chance(np.concatenate(values) if values else np.zeros(0))
+            chance = _chances(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(chance, pa.float64())], ["id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(score, "id long, score double")
+
+
+def kept(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """Rows whose score is below the limit; same columns. Every row is judged by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_chances(batch.column("text"), shared.value) < limit))
+
+    return docs.mapInArrow(choose, nullable(docs.schema))
