@@ -17,7 +17,8 @@ from tokenizers import Tokenizer
 
 from topicdrift.llm.words import Words, mix, pieces
 
-#: Places of a worker's table (20 bytes each, ids apart). When half are taken, it starts anew.
+#: Places of a worker's table (20 bytes each, ids apart). When half are taken, it starts anew; it
+#: grows only where the words of one text, or of a few together, need more.
 TABLE_PLACES = 1 << 22
 
 _NONE, _DOT, _COMMA, _END = range(4)
@@ -63,12 +64,13 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.kind, self.end = kind, end
+        self.places = TABLE_PLACES
         self.fixed = [np.zeros(0, "<u2"), *self.whole([".", ","]), np.array([end], "<u2")]
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(TABLE_PLACES, dtype=np.uint64)
-        self.entry = np.zeros(TABLE_PLACES, dtype=np.int32)
+        self.keys = np.zeros(self.places, dtype=np.uint64)
+        self.entry = np.zeros(self.places, dtype=np.int32)
         self.pool, self.first, self.size = np.zeros(1 << 16, "<u2"), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.entries = self.used = 0
         self._append(self.fixed)
@@ -91,7 +93,7 @@ class Encoder:
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Entry of each key; -1 if it is not in the table."""
-        mask = np.uint64(TABLE_PLACES - 1)
+        mask = np.uint64(self.places - 1)
         out, rest, at = np.full(len(keys), -1, dtype=np.int32), np.arange(len(keys)), keys & mask
         while len(rest):
             here = self.keys[at]
@@ -102,7 +104,7 @@ class Encoder:
         return out
 
     def _insert(self, keys: np.ndarray, entries: np.ndarray) -> None:
-        mask, at = np.uint64(TABLE_PLACES - 1), keys & np.uint64(TABLE_PLACES - 1)
+        mask, at = np.uint64(self.places - 1), keys & np.uint64(self.places - 1)
         while len(keys):
             free = np.flatnonzero(self.keys[at] == 0)
             self.keys[at[free]] = keys[free]
@@ -121,7 +123,9 @@ class Encoder:
         if len(missing):
             new, where = np.unique(keys[missing], return_index=True)
             where = missing[where]
-            if self.entries + len(new) > TABLE_PLACES // 2:
+            if self.entries + len(new) > self.places // 2:
+                while len(new) + len(self.fixed) > self.places // 2 or self.entries == len(self.fixed):
+                    self.places, self.entries = 2 * self.places, 0
                 self._clear()
                 return self._entries(words, end, form)
             data, before = words.data.tobytes(), (" ", "\n", "")
