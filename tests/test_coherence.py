@@ -69,8 +69,15 @@ def test_terms_in_every_window(spark):
     assert coherence.coherence_cv(documents, topics, "doc_id").first()["coherence"] == pytest.approx(1.0)
 
 
-def test_too_many_terms_are_refused(spark):
-    documents = spark.createDataFrame([(1, ["t1"])], "doc_id int, tokens array<string>")
-    topics = spark.createDataFrame([(0, f"t{i}") for i in range(63)], "topic int, term string")
-    with pytest.raises(Exception, match="more than 62"):
-        coherence.window_cooccurrence(documents, topics, "doc_id").collect()
+@pytest.mark.parametrize("literal", [10_000, 0])
+def test_topics_of_a_hundred_terms(spark, monkeypatch, literal):
+    monkeypatch.setattr(coherence, "LITERAL_TERMS", literal)
+    rng = random.Random(2)
+    terms = [f"t{i:03d}" for i in range(100)]
+    rows = [(i, [rng.choice(terms + ["x"] * 30) for _ in range(rng.choice([0, 5, 60]))]) for i in range(30)]
+    documents = spark.createDataFrame(rows, "doc_id int, tokens array<string>")
+    listed = spark.createDataFrame([(0, term) for term in terms], "topic int, term string")
+    found = {(r["a"], r["b"]): r["n"] for r in coherence.window_cooccurrence(documents, listed, "doc_id", window=10).collect()}
+    windows = [set(t[k : k + 10]) for _, t in rows if t for k in range(max(len(t) - 10, 0) + 1)]
+    assert len(found) == 5050
+    assert all(n == sum(a in seen and b in seen for seen in windows) for (a, b), n in found.items())

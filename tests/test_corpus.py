@@ -1,10 +1,11 @@
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from topicdrift.operators import corpus
-from topicdrift.runtime import broadcast_if_small, size_in_bytes
+from topicdrift.runtime import broadcast_if_small, intermediate_tables, shared_folder, size_in_bytes, stored
 from topicdrift.sources import pages
 
 PAGE = '<?xml version="1.0"?><api batchcomplete=""><query><pages>{}</pages></query></api>'
@@ -83,7 +84,7 @@ def joined():
 @pytest.mark.parametrize("limit", [1 << 20, 300, 40])
 def test_period_documents_in_pieces_are_whole(spark, limit):
     df = spark.createDataFrame(ROWS, SCHEMA).repartition(5)
-    pieces = corpus.period_documents(df, piece_chars=limit).collect()
+    pieces = corpus.period_pieces(df, limit).collect()
     found = {}
     for row in sorted(pieces, key=lambda row: row["piece"]):
         group = (row["title"], row["period"])
@@ -94,6 +95,49 @@ def test_period_documents_in_pieces_are_whole(spark, limit):
     assert len(pieces) > len(found) if limit < 1000 else len(pieces) == len(found)
 
 
+def test_period_documents_and_texts(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA).repartition(5)
+    whole = corpus.period_documents(df, most_chars=1 << 20).collect()
+    assert {(row["title"], row["period"]): row["content"] for row in whole} == joined() and len(whole) == len(joined())
+    with pytest.raises(ValueError, match="period_texts"):
+        corpus.period_documents(df, most_chars=40)
+    groups = {}
+    for row in sorted(corpus.period_texts(df).collect(), key=lambda row: row["position"]):
+        texts = groups.setdefault((row["title"], row["period"]), [])
+        assert row["position"] == len(texts)
+        texts.append(row["content"])
+    assert {group: " ".join(texts) for group, texts in groups.items()} == {group: text for group, text in joined().items() if group in groups}
+
+
+def test_one_large_xml_file_is_read_by_many_tasks(spark, tmp_path):
+    pages_text = "".join(
+        f'<page _idx="{i}" pageid="{i}" ns="0" title="P &amp; {i} a/b"/>' if i % 3 == 0
+        else f"<page _idx='{i}' pageid=\"{i}\" ns=\"0\" title=\"P{i}\"><revisions>"
+        + "".join(f'<rev timestamp="2003-02-0{k}T00:00:00Z"> text {i}\n&lt;b&gt; {k} </rev>' for k in range(1, 1 + i % 3))
+        + "</revisions></page>\n"
+        for i in range(3000)
+    )
+    (tmp_path / "big.xml").write_text(f'<?xml version="1.0"?><api><warnings><main>page</main></warnings><query><pages>{pages_text}</pages></query></api>')
+    plain = spark.read.format("xml").schema(pages.PAGE_SCHEMA).option("rowTag", "page").option("ignoreSurroundingSpaces", "false")
+    expected = sorted(map(str, plain.load(f"{tmp_path}/big.xml").collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 40_000)
+    try:
+        read = pages.read_pages(spark, f"{tmp_path}/*.xml")
+        assert read.rdd.getNumPartitions() > 5
+        assert sorted(map(str, read.collect())) == expected and len(expected) == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_intermediate_tables_are_deleted(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = {path.name for path in folder.iterdir()}
+    with intermediate_tables(spark):
+        df = stored(spark.range(5))
+        assert df.count() == 5 and len({path.name for path in folder.iterdir()} - before) == 1
+    assert {path.name for path in folder.iterdir()} == before
+
+
 def test_running_total_equals_a_window(spark):
     df = spark.createDataFrame(ROWS, SCHEMA).withColumn("v", F.col("doc_id") % 10)
     found = {row["doc_id"]: row["total"] for row in corpus.running_total(df, "v", ["title", "period"], ["timestamp", "doc_id"]).collect()}

@@ -23,7 +23,7 @@ def corpus(spark):
 
 @pytest.fixture(scope="module")
 def fitted(corpus):
-    return fit_topics(corpus, ["doc_id", "title", "year"], seed=3, tokens=PLAIN, k=2, max_iter=15, subsampling_rate=0.5)
+    return fit_topics(corpus, ["doc_id", "title", "year"], seed=3, vocabulary_size=None, tokens=PLAIN, k=2, max_iter=15, subsampling_rate=0.5)
 
 
 def test_model_separates_the_vocabularies(fitted):
@@ -49,14 +49,32 @@ def test_title_filter_reaches_the_scan(fitted):
     assert {row["title"] for row in rows.collect()} == {"t0", "t1"}
 
 
-def test_same_seed_same_model(corpus, fitted):
-    again = fit_topics(corpus.repartition(7), ["doc_id", "title", "year"], seed=3, tokens=PLAIN, k=2, max_iter=15, subsampling_rate=0.5)
-    show = lambda model: [tuple(row) for row in model.topic_terms().orderBy("topic", "rank").collect()]
-    assert show(again) == show(fitted)
+def _shown(model):
+    rows = model.topic_terms().orderBy("topic", "rank").collect()
+    return [(row["topic"], row["rank"], row["term"]) for row in rows], [row["weight"] for row in rows]
+
+
+@pytest.mark.parametrize(("partitions", "split"), [(7, None), (1, None), (23, 2000), (3, 500)])
+def test_same_seed_same_model(spark, corpus, fitted, partitions, split):
+    """Neither the corpus's partitions nor how files are packed into tasks change a model."""
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.shuffle.partitions", 3 + partitions)
+    try:
+        again = fit_topics(
+            corpus.repartition(partitions), ["doc_id", "title", "year"], seed=3, vocabulary_size=None, tokens=PLAIN, k=2, max_iter=15,
+            subsampling_rate=0.5,
+        )
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    terms, weights = _shown(again)
+    assert terms == _shown(fitted)[0]
+    assert weights == pytest.approx(_shown(fitted)[1], abs=1e-9)
 
 
 def test_models_per_period(corpus):
-    fitted = fit_topics_per_period(corpus, seed=1, tokens=PLAIN, k=2, max_iter=4, subsampling_rate=0.9, parallelism=2)
+    fitted = fit_topics_per_period(corpus, seed=1, vocabulary_size=None, tokens=PLAIN, k=2, max_iter=4, subsampling_rate=0.9, parallelism=2)
     assert list(fitted.models) == ["2001-2005", "2006-2011", "2012-2018"]
     rows = fitted.topic_distribution().collect()
     assert {row["period"] for row in rows} == set(fitted.models)
@@ -70,7 +88,7 @@ def test_models_per_period(corpus):
 
 
 def test_other_years_can_shape_the_vocabulary(corpus):
-    fitted = fit_topics_per_period(corpus, seed=1, tokens=PLAIN, k=2, max_iter=2, keep_other_years=True)
+    fitted = fit_topics_per_period(corpus, seed=1, vocabulary_size=None, tokens=PLAIN, k=2, max_iter=2, keep_other_years=True)
     assert fitted.vectors.where(F.col("period").isNull()).count() > 0
 
 
@@ -78,7 +96,7 @@ def test_sweep_and_its_reports(spark, corpus, tmp_path):
     trials = [
         sweep.Trial("a", "none", PLAIN, 1, 2, 3), sweep.Trial("b", "none", PLAIN, 2, 3, 3), sweep.Trial("c", "wiki", PLAIN, 1, 2, 3),
     ]
-    scores = sweep.sweep(corpus, trials, "doc_id", seed=2, terms_per_topic=4, window=10, subsampling_rate=0.5, parallelism=2)
+    scores = sweep.sweep(corpus, trials, "doc_id", seed=2, vocabulary_size=None, terms_per_topic=4, window=10, subsampling_rate=0.5, parallelism=2)
     rows = scores.collect()
     assert [(row["config"], row["k"], row["min_df"], row["documents"], row["vocabulary"]) for row in rows] == [
         ("a", 2, 1, 80, 10), ("b", 3, 2, 80, 10), ("c", 2, 1, 80, 10)]
@@ -93,5 +111,16 @@ def test_sweep_and_its_reports(spark, corpus, tmp_path):
     assert sum(line.startswith("Topic 1: ") for line in lines) == 3
 
 
+def test_equal_trials_share_a_fit(corpus, monkeypatch):
+    fits = []
+    real = topics.fit_ordered
+    monkeypatch.setattr(topics, "fit_ordered", lambda *more: fits.append(more[1:3]) or real(*more))
+    kept = TokenConfig(stop_words=None, cleanup="disabled")
+    trials = [sweep.Trial("a", "none", PLAIN, 1, 2, 3), sweep.Trial("b", "none", kept, 1, 2, 3), sweep.Trial("c", "none", PLAIN, 1, 3, 3)]
+    rows = sweep.sweep(corpus, trials, "doc_id", seed=2, vocabulary_size=None, terms_per_topic=4, window=10).collect()
+    assert sorted(fits) == [(2, 3), (3, 3)]
+    assert [row["config"] for row in rows] == ["a", "b", "c"] and rows[0]["coherence"] == rows[1]["coherence"]
+
+
 def test_grids():
     assert [len(grid) for grid in (sweep.CLEANING_TRIALS, sweep.TOKEN_TRIALS, sweep.NGRAM_TRIALS, sweep.MIN_DF_TRIALS, sweep.TOPIC_TRIALS)] == [10, 3, 6, 5, 8]

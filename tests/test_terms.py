@@ -7,7 +7,7 @@ from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.sql import functions as F
 
 from topicdrift.operators import terms, vectors
-from topicdrift.runtime import stored
+from topicdrift.runtime import new_table_path, stored
 
 DOCS = [(1, "b a b c".split()), (2, "a".split()), (3, []), (4, "c c d a".split()), (5, None), (6, ["zz"])]
 
@@ -28,13 +28,13 @@ def test_bag_without_a_shuffle(spark, documents):
 
 def test_vocabulary_order_cut_and_min_df(spark, documents):
     statistics = stored(terms.term_statistics(terms.bag_of_words(documents, ["doc_id"], keep_empty=True)))
-    assert [tuple(row) for row in terms.vocabulary(statistics).collect()] == [
+    assert [tuple(row) for row in terms.vocabulary(statistics, size=None).orderBy("term_id").collect()] == [
         (0, "a", 3, 3), (1, "c", 3, 2), (2, "b", 2, 1), (3, "d", 1, 1), (4, "zz", 1, 1)
     ]
     for size in range(1, 6):
-        assert [row["term"] for row in terms.vocabulary(statistics, size=size).collect()] == ["a", "c", "b", "d", "zz"][:size]
-    assert [row["term"] for row in terms.vocabulary(statistics, min_df=2).collect()] == ["a", "c"]
-    assert terms.vocabulary(statistics, min_df=9).count() == 0
+        assert [row["term"] for row in terms.vocabulary(statistics, size=size).orderBy("term_id").collect()] == ["a", "c", "b", "d", "zz"][:size]
+    assert [row["term"] for row in terms.vocabulary(statistics, min_df=2, size=None).orderBy("term_id").collect()] == ["a", "c"]
+    assert terms.vocabulary(statistics, min_df=9, size=None).count() == 0
     sizes = terms.vocabulary_sizes(statistics, [1, 2, 3, 4]).collect()
     assert [tuple(row) for row in sizes] == [(1, 5), (2, 2), (3, 1), (4, 0)]
 
@@ -45,21 +45,65 @@ def test_vectors_equal_the_library_s(spark, documents, weighting):
     statistics = stored(terms.term_statistics(bag))
     weights = stored(terms.idf(terms.vocabulary(statistics, min_df=1, size=4), terms.document_count(documents)))
     made = vectors.stored_vectors(bag, weights, ["doc_id"], weighting)
+    alone = vectors.document_vectors(documents, weights, ["doc_id"], weighting)
     listed = [row["term"] for row in weights.orderBy("term_id").collect()]
     filled = documents.withColumn("tokens", F.coalesce("tokens", F.array()))
     counted = CountVectorizerModel.from_vocabulary(listed, inputCol="tokens", outputCol="counts").transform(filled)
     counted = IDF(inputCol="counts", outputCol="weighted").fit(counted).transform(counted)
     column = "weighted" if weighting == "tfidf" else "counts"
     expected = {row["doc_id"]: row[column].toArray().tolist() for row in counted.collect()}
-    found = {row["doc_id"]: row["features"].toArray().tolist() for row in made.collect()}
-    assert found.keys() == expected.keys()
-    for key in found:
-        assert found[key] == pytest.approx(expected[key], abs=1e-12)
+    for rows in (made, alone):
+        found = {row["doc_id"]: row["features"].toArray().tolist() for row in rows.collect()}
+        assert found.keys() == expected.keys()
+        for key in found:
+            assert found[key] == pytest.approx(expected[key], abs=1e-12)
+
+
+def test_document_vectors_move_no_entry(spark, documents, monkeypatch):
+    statistics = stored(terms.term_statistics(terms.bag_of_words(documents, ["doc_id"])))
+    weights = stored(terms.idf(terms.vocabulary(statistics, size=None), F.lit(6)))
+    seen = []
+    monkeypatch.setattr(vectors, "stored", lambda df, *more: seen.append(plan_of(df)) or df)
+    vectors.document_vectors(spark.read.parquet(_written(documents)), weights, ["doc_id"])
+    assert seen and all("Exchange" not in plan for plan in seen)
+
+
+def _written(df):
+    path = new_table_path(df.sparkSession)
+    df.write.parquet(path)
+    return path
+
+
+def test_a_vocabulary_too_large_for_a_model_names_the_remedy(spark, documents, monkeypatch):
+    statistics = stored(terms.term_statistics(terms.bag_of_words(documents, ["doc_id"])))
+    weights = stored(terms.idf(terms.vocabulary(statistics, size=None), F.lit(6)))
+    monkeypatch.setattr(vectors, "MODEL_TERMS", 2)
+    with pytest.raises(ValueError, match="min_df"):
+        vectors.document_vectors(documents, weights, ["doc_id"])
+
+
+def test_numbering_over_many_slices(spark):
+    statistics = spark.range(500).selectExpr("concat('t', id) AS term", "id % 7 AS n", "id AS df")
+    listed = terms.vocabulary(statistics.repartition(20), min_df=1, size=None).collect()
+    ordered = sorted(((-row["n"], row["term"]) for row in listed))
+    assert [(-row["n"], row["term"]) for row in sorted(listed, key=lambda row: row["term_id"])] == ordered
+    assert sorted(row["term_id"] for row in listed) == list(range(499))
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_lemmas_looked_up_and_joined_agree(spark, documents, monkeypatch, limit):
+    monkeypatch.setattr(terms, "BROADCAST_LIMIT_BYTES", limit)
+    lemmas = spark.createDataFrame([("a", "x"), ("a", "y"), ("zz", "z")], "form string, lemma string")
+    found = terms.lemmatize(documents, lemmas, ["doc_id"])
+    assert limit == 0 or "Exchange" not in plan_of(terms.lemmatize(spark.read.parquet(_written(documents)), lemmas, ["doc_id"]))
+    change = {"a": "x", "zz": "z"}
+    expected = {doc_id: [change.get(word, word) for word in tokens or []] for doc_id, tokens in DOCS}
+    assert {row["doc_id"]: row["tokens"] or [] for row in found.collect()} == expected
 
 
 def test_binary_vectors(spark, documents):
     bag = terms.bag_of_words(documents, ["doc_id"])
-    weights = stored(terms.idf(terms.vocabulary(stored(terms.term_statistics(bag))), F.lit(6)))
+    weights = stored(terms.idf(terms.vocabulary(stored(terms.term_statistics(bag)), size=None), F.lit(6)))
     made = vectors.stored_vectors(bag, weights, ["doc_id"], vectors.COUNT, binary=True)
     assert all(set(row["features"].values) == {1.0} for row in made.collect())
 
@@ -88,6 +132,6 @@ def test_grouped_bag_is_the_bag_of_the_joined_texts(spark):
 def test_an_empty_vocabulary_is_refused(spark, documents):
     bag = terms.bag_of_words(documents, ["doc_id"])
     statistics = stored(terms.term_statistics(bag))
-    weights = stored(terms.idf(terms.vocabulary(statistics, min_df=99), F.lit(6)))
+    weights = stored(terms.idf(terms.vocabulary(statistics, min_df=99, size=None), F.lit(6)))
     with pytest.raises(ValueError, match="empty"):
         vectors.stored_vectors(bag, weights, ["doc_id"])

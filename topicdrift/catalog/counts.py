@@ -22,7 +22,7 @@ def _statistics(spark, folder):
 
 def _weights(spark, folder, min_df=1):
     documents = terms.document_count(inputs.table(spark, folder, "documents"))
-    return stored(terms.idf(terms.vocabulary(_statistics(spark, folder), min_df), documents))
+    return stored(terms.idf(terms.vocabulary(_statistics(spark, folder), min_df, size=None), documents))
 
 
 def _wide_ids(listed):
@@ -36,12 +36,12 @@ def bag_of_words(spark, folder):
 
 @query("vocabulary", inputs.with_corpus(inputs.vocabulary_sql(1) + "\nSELECT * FROM vocabulary"))
 def vocabulary(spark, folder):
-    return _wide_ids(terms.vocabulary(_statistics(spark, folder)))
+    return _wide_ids(terms.vocabulary(_statistics(spark, folder), size=None))
 
 
 @query("vocabulary_mindf", inputs.with_corpus(inputs.vocabulary_sql(10) + "\nSELECT * FROM vocabulary"))
 def vocabulary_mindf(spark, folder):
-    return _wide_ids(terms.vocabulary(_statistics(spark, folder), min_df=10))
+    return _wide_ids(terms.vocabulary(_statistics(spark, folder), min_df=10, size=None))
 
 
 SIZES_SQL = " UNION ALL ".join(
@@ -88,10 +88,7 @@ def term_counts(spark, folder):
 @query("vector_totals", inputs.with_corpus(inputs.vocabulary_sql(5) + VECTOR_SQL))
 def vector_totals(spark, folder):
     """The model's count vectors, one per document: entries, sum and length."""
-    table = inputs.tokens(spark, folder)
-    weights = _weights(spark, folder, 5)
-    bag = terms.bag_of_words(table, KEYS, keep_empty=True)
-    made = vectors.stored_vectors(bag, weights, KEYS, vectors.COUNT)
+    made = vectors.document_vectors(inputs.tokens(spark, folder), _weights(spark, folder, 5), KEYS, vectors.COUNT)
     parts = vectors.entries(made, KEYS)
     return parts.select(
         "doc_id",
@@ -101,6 +98,22 @@ def vector_totals(spark, folder):
     )
 
 
+BINARY_SQL = VECTOR_SQL.replace("sum(tf)", "count(tf)")
+
+
+@query("vector_presence", inputs.with_corpus(inputs.vocabulary_sql(5) + BINARY_SQL))
+def vector_presence(spark, folder):
+    """Binary vectors of bags: 1 for each known term of a document."""
+    bag = terms.bag_of_words(inputs.tokens(spark, folder), KEYS, keep_empty=True)
+    made = vectors.stored_vectors(bag, _weights(spark, folder, 5), KEYS, vectors.COUNT, binary=True)
+    return vectors.entries(made, KEYS).select(
+        "doc_id",
+        F.size("indices").cast("bigint").alias("entries"),
+        F.aggregate("values", F.lit(0.0), lambda total, value: total + value).cast("bigint").alias("words"),
+        F.col("size").cast("bigint").alias("size"),
+    )
+
+
 @query("top_terms_per_group", inputs.with_corpus(inputs.WORDS_SQL + f""",
 dated AS (SELECT *, {inputs.PERIOD_SQL} AS period FROM words),
 inside AS (SELECT doc_id FROM corpus WHERE {inputs.PERIOD_SQL} IS NOT NULL),

@@ -68,7 +68,7 @@ def vocabulary_sql(min_df: int) -> str:
     return STATISTICS_SQL + f""",
 vocabulary AS (
   SELECT row_number() OVER (ORDER BY n DESC, term) - 1 AS term_id, term, n, df
-  FROM (SELECT * FROM statistics WHERE df >= {min_df} ORDER BY n DESC, term LIMIT {terms.VOCABULARY_SIZE}))"""
+  FROM (SELECT * FROM statistics WHERE df >= {min_df}))"""
 
 
 def english_stop_words_sql() -> str:

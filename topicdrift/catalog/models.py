@@ -7,10 +7,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import evolution, topics
+from ..operators import evolution, terms, topics, vectors
 from ..operators.corpus import PERIODS
 from ..plans import sweep as trials
-from ..plans.modelling import fit_topics, fit_topics_per_period
+from ..plans.modelling import (
+    FINAL_ITERATIONS, FINAL_TOKENS, FINAL_TOPICS, PERIOD_ITERATIONS, PERIOD_TOPICS, fit_topics, fit_topics_per_period, stored_weights,
+)
 from ..plans.text import TokenConfig
 from . import inputs
 from .cleaning import clean_sql
@@ -19,24 +21,49 @@ from .registry import query
 from .tokens import OWN_SQL, _ngrams_sql
 
 SEED = 17
-K = 5
-ITERATIONS = 5
-MIN_DF = 5
+K = FINAL_TOPICS
 KEYS = ["doc_id", "title", "year"]
-PERIOD_K = 10
+PERIOD_K = PERIOD_TOPICS
 PARALLELISM = 4
 
 
-def _fitted(spark, folder, **settings):
-    defaults = {"cleaning": "none", "tokens": inputs.ALL_TOKENS, "k": K, "max_iter": ITERATIONS, "min_df": MIN_DF}
-    return fit_topics(inputs.corpus(spark, folder), KEYS, SEED, **{**defaults, **settings})
+def _fitted(spark, folder):
+    """The final model at its own settings, over all terms."""
+    return fit_topics(inputs.marked(spark, folder), KEYS, SEED, vocabulary_size=None)
 
 
 def _fitted_periods(spark, folder):
-    return fit_topics_per_period(
-        inputs.corpus(spark, folder), SEED, tokens=inputs.ALL_TOKENS, k=PERIOD_K, max_iter=ITERATIONS, min_df=2,
-        parallelism=PARALLELISM,
+    """The models per period at their own settings, over all terms."""
+    return fit_topics_per_period(inputs.corpus(spark, folder), SEED, vocabulary_size=None, parallelism=PARALLELISM)
+
+
+def _listed_tokens(trial, run: str) -> str:
+    """Token lists of a trial over ``marked``, by its switches; stems by their own SQL."""
+    config: TokenConfig = trial.tokens
+    text = clean_sql(trial.cleaning)
+    listed = f"[{inputs.english_stop_words_sql()}]" if config.stop_words == "english" else (
+        "[" + ", ".join(f"'{word}'" for word in config.stop_words) + "]"
     )
+    words = f"list_filter({inputs.words_sql(text, config.lowercase)}, lambda w: NOT list_contains({listed}, lower(w)))"
+    parts = [f"{run}_words AS (SELECT doc_id, {words} AS tokens FROM marked)"]
+    source = f"{run}_words"
+    if config.stem:
+        parts.append(stem_sql(f"SELECT DISTINCT unnest(tokens) AS term FROM {source}", f"{run}_").lstrip(",\n"))
+        parts.append(
+            f"{run}_stemmed AS (SELECT doc_id, list(stem ORDER BY place) AS tokens FROM "
+            f"(SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS place FROM {source}) "
+            f"JOIN {run}_stems USING (term) GROUP BY doc_id)"
+        )
+        source = f"{run}_stemmed"
+    lists = ["tokens" if n == 1 else _ngrams_sql(n) for n in config.ngrams]
+    joined = reduce(lambda left, right: f"list_concat({left}, {right})", lists)
+    parts.append(f"{run} AS (SELECT doc_id, {joined} AS tokens FROM {source})")
+    return ",\n".join(parts)
+
+
+# The final model's vocabulary, by its own SQL.
+FINAL_SQL = ",\n" + _listed_tokens(trials.Trial("final", tokens=FINAL_TOKENS), "final") + """,
+vocabulary AS (SELECT DISTINCT unnest(tokens) AS term FROM final)"""
 
 
 def _checked_terms(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -49,20 +76,43 @@ def _checked_terms(rows: DataFrame, group: list[str]) -> DataFrame:
     ).withColumn("topic", F.col("topic").cast("bigint"))
 
 
-@query("lda_fit", inputs.with_corpus(inputs.vocabulary_sql(MIN_DF) + f"""
+@query("lda_fit", inputs.with_marked(FINAL_SQL + f"""
 SELECT topic, (SELECT count(*) FROM vocabulary) AS terms, CAST(1.0 AS DOUBLE) AS weight FROM range({K}) AS t(topic)"""))
 def lda_fit(spark, folder):
     """Each topic is a distribution over the whole vocabulary."""
     fitted = _fitted(spark, folder)
-    whole = fitted.topic_terms(fitted.vocabulary.count())
-    summed = whole.groupBy("topic").agg(F.count("term").alias("terms"), F.round(F.sum("weight"), 6).alias("weight"))
-    return summed.withColumn("topic", F.col("topic").cast("bigint"))
+    size, matrix = fitted.vocabulary.count(), fitted.model.topicsMatrix().toArray()
+    sums = [(topic, float(total)) for topic, total in enumerate((matrix / matrix.sum(axis=0)).sum(axis=0))]
+    rows = spark.createDataFrame(sums, "topic bigint, weight double")
+    return rows.select("topic", F.lit(size).cast("bigint").alias("terms"), F.round("weight", 6).alias("weight"))
+
 
+PLANTED = 2
+PLANTED_TERMS = 5
 
-@query("lda_topics")
+
+@query("lda_topics", f"""
+SELECT CAST({PLANTED} AS BIGINT) AS topics, CAST({PLANTED} AS BIGINT) AS groups, CAST({PLANTED * PLANTED_TERMS} AS BIGINT) AS terms,
+  CAST(1 AS BIGINT) AS most_groups_of_a_topic""")
 def lda_topics(spark, folder):
-    """The topics themselves: ten terms each."""
-    return _fitted(spark, folder).topic_terms().orderBy("topic", "rank")
+    """Planted topics are found: documents with even and with odd ids get words of their own.
+
+    Each word of a text becomes one of five terms of its document's group, by its length. A
+    topic's five heaviest terms must be those of one group, and both groups must be found.
+    """
+    group = F.col("doc_id") % PLANTED
+    planted = inputs.tokens(spark, folder).select("doc_id", F.transform(
+        "tokens", lambda word: F.concat(F.lit("g"), group.cast("string"), F.lit("_"), (F.length(word) % PLANTED_TERMS).cast("string"))
+    ).alias("tokens"))
+    weights = stored_weights(terms.bag_of_words(planted, ["doc_id"]), planted.count(), 1, None)
+    made = vectors.document_vectors(planted, weights, ["doc_id"], vectors.COUNT)
+    model = topics.fit(made, ["doc_id"], PLANTED, PERIOD_ITERATIONS, SEED)
+    best = topics.topic_terms(model, weights, PLANTED_TERMS).withColumn("group", F.substring("term", 1, 2))
+    by_topic = best.groupBy("topic").agg(F.count_distinct("group").alias("groups"))
+    most = by_topic.agg(F.max("groups").alias("most_groups_of_a_topic"))
+    return best.agg(
+        F.count_distinct("topic").alias("topics"), F.count_distinct("group").alias("groups"), F.count_distinct("term").alias("terms"),
+    ).withColumn("most_groups_of_a_topic", most.scalar())
 
 
 @query("topic_terms", f"""
@@ -75,7 +125,7 @@ def topic_terms(spark, folder):
 SELECT doc_id, title, year, CAST({K} AS BIGINT) AS topics, CAST(1.0 AS DOUBLE) AS total FROM corpus"""))
 def topic_distribution(spark, folder):
     """One distribution per document, adding up to 1."""
-    shares = _fitted(spark, folder, min_df=1).topic_distribution()
+    shares = _fitted(spark, folder).topic_distribution()
     total = F.aggregate(topics.DISTRIBUTION, F.lit(0.0), lambda total, share: total + share)
     return shares.select(*KEYS, F.size(topics.DISTRIBUTION).cast("bigint").alias("topics"), F.round(total, 6).alias("total"))
 
@@ -85,33 +135,45 @@ SELECT year, CAST(count(*) AS DOUBLE) AS mass, CAST(1.0 AS DOUBLE) AS shares, CA
 FROM corpus GROUP BY year"""))
 def topic_prevalence(spark, folder):
     """Model shares by year: a year's mass is its number of documents, its shares add up to 1."""
-    shares = _fitted(spark, folder, min_df=1).topic_distribution()
+    shares = _fitted(spark, folder).topic_distribution()
     mass = evolution.prevalence_share(evolution.topic_mass(shares, topics.DISTRIBUTION, ["year"], K), ["year"])
     return mass.groupBy("year").agg(
         F.round(F.sum("total"), 4).alias("mass"), F.round(F.sum("share"), 6).alias("shares"), F.count("topic").alias("topics")
     )
 
 
-@query("topic_heatmap")
-def topic_heatmap(spark, folder):
-    """The flagship: corpus, model, shares by year, one column per topic."""
+def heatmap(spark, folder):
+    """Corpus, model, shares by year, one column per topic."""
     shares = _fitted(spark, folder).topic_distribution()
     mass = evolution.topic_mass(shares, topics.DISTRIBUTION, ["year"], K)
     return evolution.prevalence_pivot(evolution.prevalence_share(mass, ["year"]), ["year"], "topic", range(K))
 
 
-@query("log_perplexity", inputs.with_corpus(inputs.vocabulary_sql(MIN_DF) + """
-SELECT count(*) AS documents, (SELECT count(*) FROM vocabulary) AS vocabulary, true AS finite, true AS plausible FROM corpus"""))
+@query("topic_heatmap", inputs.with_corpus(f"""
+SELECT DISTINCT year, CAST({K} AS BIGINT) AS topics, CAST(1.0 AS DOUBLE) AS total, true AS in_range FROM corpus"""))
+def topic_heatmap(spark, folder):
+    """The flagship, by what is determined: a column per topic, shares from 0 to 1 that add up to 1 each year."""
+    shares = heatmap(spark, folder)
+    columns = F.array(*[name for name in shares.columns if name != "year"])
+    total = F.aggregate(columns, F.lit(0.0), lambda total, share: total + share)
+    return shares.select(
+        "year", F.size(columns).cast("bigint").alias("topics"), F.round(total, 6).alias("total"),
+        F.forall(columns, lambda share: share.between(0.0, 1.0)).alias("in_range"),
+    )
+
+
+@query("log_perplexity", inputs.with_marked(FINAL_SQL + """
+SELECT count(*) AS documents, (SELECT count(*) FROM vocabulary) AS vocabulary, true AS below_even, true AS below_two FROM corpus"""))
 def log_perplexity(spark, folder):
-    """The bound is finite and below that of equally likely words by far more than twice."""
+    """The bound is below that of equally likely words, and below that of a model of two topics."""
     fitted = _fitted(spark, folder)
-    bound = topics.log_perplexity(fitted.model, fitted.vectors)
-    size = fitted.vocabulary.count()
+    bound, size = topics.log_perplexity(fitted.model, fitted.vectors), fitted.vocabulary.count()
+    two = topics.log_perplexity(topics.fit(fitted.vectors, KEYS, 2, FINAL_ITERATIONS, SEED), fitted.vectors)
     return fitted.vectors.agg(F.count("*").alias("documents")).select(
         "documents",
         F.lit(size).cast("bigint").alias("vocabulary"),
-        (~F.isnan(F.lit(bound)) & (F.abs(F.lit(bound)) < float("inf"))).alias("finite"),
-        F.lit(bound).between(0.0, 2.0 * F.log(F.lit(float(size)))).alias("plausible"),
+        (F.lit(bound) < F.log(F.lit(float(size)))).alias("below_even"),
+        (F.lit(bound) < F.lit(two)).alias("below_two"),
     )
 
 
@@ -152,61 +214,38 @@ def _checked_scores(scores: DataFrame) -> DataFrame:
     )
 
 
-def _sweep_sql(listed, tokens_of) -> str:
-    """One vocabulary count per run of trials; ``tokens_of`` gives a token list over ``marked``."""
-    runs, rows = [], []
-    for i, trial in enumerate(listed):
-        previous = listed[i - 1] if i else None
-        if previous is None or (previous.cleaning, previous.tokens) != (trial.cleaning, trial.tokens):
-            run = f"run{i}"
-            runs.append(tokens_of(trial, run))
+def _sweep_sql(listed) -> str:
+    """One vocabulary count for all trials with the same cleaning and tokens."""
+    names, runs, rows = {}, [], []
+    for trial in listed:
+        inputs_of = (trial.cleaning, trial.tokens)
+        if inputs_of not in names:
+            run = names[inputs_of] = f"run{len(names)}"
+            runs.append(_listed_tokens(trial, run))
             runs.append(
                 f"{run}_df AS (SELECT term, count(DISTINCT doc_id) AS df FROM "
                 f"(SELECT doc_id, unnest(tokens) AS term FROM {run}) GROUP BY term)"
             )
+        run = names[inputs_of]
         rows.append(
             f"SELECT '{trial.config}' AS config, CAST({trial.k} AS BIGINT) AS k, CAST({trial.min_df} AS BIGINT) AS min_df, "
             f"(SELECT count(*) FROM {run}) AS documents, "
-            f"(SELECT least(count(*), 262144) FROM {run}_df WHERE df >= {trial.min_df}) AS vocabulary, "
+            f"(SELECT count(*) FROM {run}_df WHERE df >= {trial.min_df}) AS vocabulary, "
             f"CAST({trial.k} AS BIGINT) AS topics, CAST(10 AS BIGINT) AS least_terms, "
             f"true AS perplexity_known, true AS coherence_in_range"
         )
     return ",\n" + ",\n".join(runs) + "\n" + "\nUNION ALL ".join(rows)
 
 
-def _listed_tokens(trial, run: str) -> str:
-    """Token lists of a trial over ``marked``, by its switches; stems by their own SQL."""
-    config: TokenConfig = trial.tokens
-    text = clean_sql(trial.cleaning)
-    listed = f"[{inputs.english_stop_words_sql()}]" if config.stop_words == "english" else (
-        "[" + ", ".join(f"'{word}'" for word in config.stop_words) + "]"
-    )
-    words = f"list_filter({inputs.words_sql(text, config.lowercase)}, lambda w: NOT list_contains({listed}, lower(w)))"
-    parts = [f"{run}_words AS (SELECT doc_id, {words} AS tokens FROM marked)"]
-    source = f"{run}_words"
-    if config.stem:
-        parts.append(stem_sql(f"SELECT DISTINCT unnest(tokens) AS term FROM {source}", f"{run}_").lstrip(",\n"))
-        parts.append(
-            f"{run}_stemmed AS (SELECT doc_id, list(stem ORDER BY place) AS tokens FROM "
-            f"(SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS place FROM {source}) "
-            f"JOIN {run}_stems USING (term) GROUP BY doc_id)"
-        )
-        source = f"{run}_stemmed"
-    lists = ["tokens" if n == 1 else _ngrams_sql(n) for n in config.ngrams]
-    joined = reduce(lambda left, right: f"list_concat({left}, {right})", lists)
-    parts.append(f"{run} AS (SELECT doc_id, {joined} AS tokens FROM {source})")
-    return ",\n".join(parts)
-
-
-def _register_sweep(name: str, listed: tuple, iterations: int) -> None:
-    @query(name, inputs.with_marked(_sweep_sql(listed, _listed_tokens)))
+def _register_sweep(name: str, listed: tuple) -> None:
+    @query(name, inputs.with_marked(_sweep_sql(listed)))
     def run(spark, folder):
-        scores = trials.sweep(inputs.marked(spark, folder), listed, "doc_id", SEED, max_iter=iterations, parallelism=PARALLELISM)
+        scores = trials.sweep(inputs.marked(spark, folder), listed, "doc_id", SEED, vocabulary_size=None, parallelism=PARALLELISM)
         return _checked_scores(scores)
 
 
-_register_sweep("sweep_cleaning", trials.CLEANING_TRIALS, 3)
-_register_sweep("sweep_tokens", trials.TOKEN_TRIALS, 3)
-_register_sweep("sweep_ngrams", trials.NGRAM_TRIALS, 3)
-_register_sweep("sweep_mindf", trials.MIN_DF_TRIALS, 3)
-_register_sweep("sweep_k", trials.TOPIC_TRIALS, 3)
+_register_sweep("sweep_cleaning", trials.CLEANING_TRIALS)
+_register_sweep("sweep_tokens", trials.TOKEN_TRIALS)
+_register_sweep("sweep_ngrams", trials.NGRAM_TRIALS)
+_register_sweep("sweep_mindf", trials.MIN_DF_TRIALS)
+_register_sweep("sweep_k", trials.TOPIC_TRIALS)

@@ -12,19 +12,33 @@ from . import inputs
 from .registry import query
 
 
-@query("xml_scan", inputs.with_marked("""
-SELECT title, strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, content FROM marked"""))
-def xml_scan(spark, folder):
-    """Marked revisions written as page XML in folders, read back by a glob with the given schema."""
-    path = new_table_path(spark)
-    number = F.col("doc_id")
+# Three documents are the revisions of one page; web pages stand for pages without any.
+XML_SQL = """
+SELECT 'page ' || CAST(doc_id // 3 AS VARCHAR) AS title, strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, content FROM marked
+UNION ALL SELECT url, NULL, NULL FROM pages"""
+
+
+def _xml_pages(spark, folder):
     stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    rows = inputs.marked(spark, folder).select(
-        number.alias("__idx"), number.alias("_pageid"), F.lit(0).cast("bigint").alias("_ns"), F.col("title").alias("_title"),
-        F.struct(F.array(F.struct(stamp.alias("_timestamp"), F.col("content").alias("_VALUE"))).alias("rev")).alias("revisions"),
-        F.substring_index("title", "_", -1).alias("folder"),
+    number = F.floor(F.col("doc_id") / 3)
+    revision = F.struct(stamp.alias("_timestamp"), F.col("content").alias("_VALUE"))
+    several = inputs.marked(spark, folder).groupBy(number.alias("__idx")).agg(F.collect_list(revision).alias("rev"))
+    several = several.select("__idx", F.format_string("page %d", "__idx").alias("_title"), "rev")
+    nothing = F.lit(None).cast(several.schema["rev"].dataType).alias("rev")
+    none = inputs.table(spark, folder, "pages").select(F.col("page_id").alias("__idx"), F.col("url").alias("_title"), nothing)
+    rows = several.unionByName(none)
+    return rows.select(
+        "__idx", F.col("__idx").alias("_pageid"), F.lit(0).cast("bigint").alias("_ns"), "_title",
+        F.when(F.col("rev").isNotNull(), F.struct("rev")).alias("revisions"), F.pmod("__idx", F.lit(4)).alias("folder"),
     )
-    rows.write.format("xml").option("rowTag", "page").option("rootTag", "pages").partitionBy("folder").save(path)
+
+
+@query("xml_scan", inputs.with_marked(XML_SQL))
+def xml_scan(spark, folder):
+    """Pages with no, one and several revisions, written as XML in folders and read back by a glob."""
+    path = new_table_path(spark)
+    pages_xml = _xml_pages(spark, folder)
+    pages_xml.write.format("xml").option("rowTag", "page").option("rootTag", "pages").partitionBy("folder").save(path)
     return pages.revisions(pages.read_pages(spark, f"{path}/*/*.xml"))
 
 
@@ -82,10 +96,19 @@ def corpus_subset_literal(spark, folder):
 
 
 @query("period_documents", inputs.with_corpus(f"""
-SELECT title, {inputs.PERIOD_SQL} AS period, CAST(0 AS BIGINT) AS piece, string_agg(content, ' ' ORDER BY timestamp, doc_id) AS content
+SELECT title, {inputs.PERIOD_SQL} AS period, string_agg(content, ' ' ORDER BY timestamp, doc_id) AS content
 FROM corpus GROUP BY ALL"""))
 def period_documents(spark, folder):
-    return revisions.period_documents(revisions.with_period(inputs.corpus(spark, folder)))
+    return revisions.period_documents(revisions.with_period(inputs.corpus(spark, folder)), most_chars=1 << 30)
+
+
+@query("period_texts", inputs.with_corpus(f"""
+SELECT title, {inputs.PERIOD_SQL} AS period,
+  CAST(row_number() OVER (PARTITION BY title, {inputs.PERIOD_SQL} ORDER BY timestamp, doc_id) - 1 AS BIGINT) AS position, content
+FROM corpus WHERE content IS NOT NULL"""))
+def period_texts(spark, folder):
+    """The same in long form, for groups of any size."""
+    return revisions.period_texts(revisions.with_period(inputs.corpus(spark, folder)))
 
 
 @query("period_documents_in_pieces", inputs.with_corpus(f""",
@@ -94,8 +117,7 @@ ends AS (SELECT *, sum(chars) OVER (PARTITION BY title, period ORDER BY timestam
 SELECT title, period, CAST((total - chars) // 20000 AS BIGINT) AS piece, string_agg(content, ' ' ORDER BY timestamp, doc_id) AS content
 FROM ends GROUP BY ALL"""))
 def period_documents_in_pieces(spark, folder):
-    """The same with a limit that long groups exceed."""
-    return revisions.period_documents(revisions.with_period(inputs.corpus(spark, folder)), piece_chars=20000)
+    return revisions.period_pieces(revisions.with_period(inputs.corpus(spark, folder)), piece_chars=20000)
 
 
 @query("running_total", inputs.with_corpus("""

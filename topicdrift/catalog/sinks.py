@@ -72,10 +72,11 @@ def parquet_roundtrip(spark, folder):
 
 
 @query("ingest_by_year", inputs.with_corpus("""
-SELECT doc_id, title, year, content FROM corpus WHERE year BETWEEN 2006 AND 2011"""))
+SELECT doc_id, title, year, content, year BETWEEN 2006 AND 2011 AS listed FROM corpus"""))
 def ingest_by_year(spark, folder):
-    """Revisions written by year; a range of years then reads only its directories."""
+    """Revisions written by year and read back: a range of years, which reads only its directories, and the rest."""
     path = new_table_path(spark)
     ingest(inputs.corpus(spark, folder).drop("lang"), path)
-    read = spark.read.parquet(path).where(F.col("year").between(2006, 2011))
-    return read.select("doc_id", "title", F.col("year").cast("bigint").alias("year"), "content")
+    read, inside = spark.read.parquet(path), F.col("year").between(2006, 2011)
+    both = read.where(inside).withColumn("listed", F.lit(True)).unionByName(read.where(~inside).withColumn("listed", F.lit(False)))
+    return both.select("doc_id", "title", F.col("year").cast("bigint").alias("year"), "content", "listed")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -113,16 +114,16 @@ def porter_stem(word: str) -> str:
     return _final_e_and_l(word)
 
 
-def _stem_lists(lists: pa.Array) -> pa.Array:
-    """Each distinct word of the batch is stemmed once; the rest is Arrow index work."""
+def map_distinct(lists: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    """Lists of changed words: each distinct word of the batch is changed once; the rest is Arrow index work."""
     coded = lists.flatten().dictionary_encode()
     known = coded.dictionary.to_pylist()
-    stems = pa.array([porter_stem(word) for word in known], pa.string()).take(coded.indices)
+    changed = pa.array([change(word) for word in known], pa.string()).take(coded.indices)
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     offsets = np.concatenate(([0], np.cumsum(lengths))).astype("int32")
-    return pa.ListArray.from_arrays(pa.array(offsets), stems, mask=lists.is_null())
+    return pa.ListArray.from_arrays(pa.array(offsets), changed, mask=lists.is_null())
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def stem_tokens(tokens: pa.Array) -> pa.Array:
-    return _stem_lists(tokens)
+    return map_distinct(tokens, porter_stem)

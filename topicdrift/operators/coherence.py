@@ -1,10 +1,10 @@
 """Sliding-window topic coherence "c_v" (Roeder, Both, Hinneburg: Exploring the Space of
 Topic Coherence Measures, WSDM 2015) over a token table.
 
-Windows are never listed. For each topic the set of its terms inside the window is a
-bit mask that changes only where a term enters or leaves. Summing the stretches
-between changes gives the number of windows per mask: at most 2^n rows per topic, added
-up before the shuffle, from which all single and pair counts follow.
+Windows are never listed. For each topic the set of its terms inside the window changes
+only where a term enters or leaves. The set is a bit mask in as many words as the longest
+topic needs. Stretches between changes with one mask are added up, partly before the
+shuffle; a mask then gives its pairs of terms, which are added up by topic and pair.
 """
 
 from __future__ import annotations
@@ -15,21 +15,14 @@ from ..runtime import BROADCAST_LIMIT_BYTES, size_in_bytes
 
 WINDOW = 110
 EPSILON = 1e-12
-MOST_TERMS = 62
+WORD_BITS = 62
+# Distinct topic terms up to which they are looked for inside the row.
+LITERAL_TERMS = 10_000
 
 
 def _term_lists(topics: DataFrame) -> DataFrame:
     """``(topic, terms)``: the distinct terms of each topic, sorted; their places number them."""
-    terms = F.sort_array(F.collect_set("term"))
-    return topics.groupBy("topic").agg(
-        F.when(F.size(terms) <= MOST_TERMS, terms)
-        .otherwise(F.raise_error(F.lit(f"a topic has more than {MOST_TERMS} terms")))
-        .alias("terms")
-    )
-
-
-def _bit(place: str) -> Column:
-    return F.expr(f"shiftleft(1L, {place})")
+    return topics.groupBy("topic").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
 def window_total(documents: DataFrame, tokens: str = "tokens", window: int = WINDOW) -> DataFrame:
@@ -39,27 +32,38 @@ def window_total(documents: DataFrame, tokens: str = "tokens", window: int = WIN
     return documents.agg(F.coalesce(F.sum(count.cast("bigint")), F.lit(0)).alias("windows"))
 
 
+def _occurrences(documents: DataFrame, listed: DataFrame, key: str, tokens: str, window: int) -> DataFrame:
+    """``(key, _last, _at, term)``: places of topic terms; other tokens never leave the row.
+
+    Very long lists of terms are joined instead, broadcast if they measure small.
+    """
+    last_start = F.greatest(F.size(tokens) - window, F.lit(0)).alias("_last")
+    places = F.transform(tokens, lambda term, at: F.struct(at.alias("_at"), term.alias("term")))
+    terms = listed.select("term").distinct()
+    if terms.limit(LITERAL_TERMS + 1).count() <= LITERAL_TERMS:
+        words = [row["term"] for row in terms.collect()]
+        inside = F.filter(places, lambda place: place["term"].isin(words))
+        return documents.select(key, last_start, F.inline(inside))
+    small = F.broadcast if size_in_bytes(terms) <= BROADCAST_LIMIT_BYTES else lambda df: df
+    return documents.select(key, last_start, F.inline(places)).join(small(terms), "term", "left_semi")
+
+
 def window_masks(
     documents: DataFrame, topics: DataFrame, key: str, tokens: str = "tokens", window: int = WINDOW
 ) -> DataFrame:
-    """``(topic, mask, n)``: number of windows that hold exactly the topic terms of the mask.
+    """``(topic, masks, n)``: number of windows that hold exactly the topic terms of the masks.
 
-    ``topics`` is the small side (topics x terms), broadcast if it measures so. Only
+    Bit ``p % 62`` of word ``p / 62`` stands for the term with place ``p`` in the topic's sorted
+    list. ``topics`` is the small side (topics x terms), broadcast if it measures so. Only
     occurrences of topic terms are shuffled, once, by document.
     """
     listed = topics.select("topic", "term")
     small = F.broadcast if size_in_bytes(listed) <= BROADCAST_LIMIT_BYTES else lambda df: df
-    numbered = (
-        _term_lists(topics)
-        .select("topic", F.posexplode("terms").alias("_place", "term"))
-        .select("topic", "term", _bit("_place").alias("bit"))
-    )
-    last_start = F.greatest(F.size(tokens) - window, F.lit(0))
-    occurrences = (
-        documents.select(key, last_start.alias("_last"), F.posexplode(tokens).alias("_at", "term"))
-        .join(small(listed.select("term")), "term", "left_semi")
-        .repartition(key)
-    )
+    lists = _term_lists(topics)
+    longest = lists.agg(F.max(F.size("terms"))).first()[0] or 1
+    words = [f"_word{i}" for i in range(-(-longest // WORD_BITS))]
+    numbered = lists.select("topic", F.posexplode("terms").alias("_place", "term"))
+    occurrences = _occurrences(documents, listed, key, tokens, window).repartition(key)
     # An occurrence lies in the windows starting at _first.._final. Neighbours of the
     # same term that touch form one stretch: only its two ends matter.
     first = F.greatest(F.col("_at") - (window - 1), F.lit(0))
@@ -71,24 +75,28 @@ def window_masks(
         .withColumn("_leaves", F.coalesce(F.lead("_first").over(along) > F.col("_final") + 1, F.lit(True)))
         .where("_enters or _leaves")
     )
-    bits = stretches.join(small(numbered), "term")
-    changes = bits.select(
+    changes = stretches.join(small(numbered), "term").select(
         key,
         "topic",
+        "_place",
         F.inline(
             F.array(
-                F.struct(F.col("_first").alias("_start"), F.when(F.col("_enters"), F.col("bit")).alias("_change")),
-                F.struct((F.col("_final") + 1).alias("_start"), F.when(F.col("_leaves"), -F.col("bit")).alias("_change")),
+                F.struct(F.col("_first").alias("_start"), F.when(F.col("_enters"), F.lit(1)).alias("_sign")),
+                F.struct((F.col("_final") + 1).alias("_start"), F.when(F.col("_leaves"), F.lit(-1)).alias("_sign")),
             )
         ),
-    ).where(F.col("_change").isNotNull())
+    ).where(F.col("_sign").isNotNull())
     starts = Window.partitionBy(key, "topic").orderBy("_start")
+    upto = starts.rowsBetween(Window.unboundedPreceding, 0)
+    bit = F.expr(f"shiftleft(1L, _place % {WORD_BITS})")
+    here = [F.when(F.floor(F.col("_place") / WORD_BITS) == i, bit * F.col("_sign")).otherwise(0) for i in range(len(words))]
     spans = changes.select(
         "topic",
-        F.sum("_change").over(starts.rowsBetween(Window.unboundedPreceding, 0)).alias("mask"),
+        *[F.sum(word).over(upto).alias(name) for word, name in zip(here, words)],
         (F.lead("_start").over(starts) - F.col("_start")).cast("bigint").alias("_span"),
     )
-    return spans.where("_span > 0 and mask > 0").groupBy("topic", "mask").agg(F.sum("_span").alias("n"))
+    held = spans.where(F.col("_span") > 0).where(" or ".join(f"{name} > 0" for name in words))
+    return held.groupBy("topic", *words).agg(F.sum("_span").alias("n")).select("topic", F.array(*words).alias("masks"), "n")
 
 
 def window_cooccurrence(
@@ -99,19 +107,17 @@ def window_cooccurrence(
     ``a = b`` counts the windows with that term; pairs that never meet have ``n = 0``.
     """
     masks = window_masks(documents, topics, key, tokens, window)
-    pairs = (
-        _term_lists(topics)
-        .select("topic", "terms", F.posexplode("terms").alias("_i", "a"))
-        .select("topic", "_i", "a", F.posexplode("terms").alias("_j", "b"))
-        .where("_i <= _j")
-        .select("topic", "a", "b", _bit("_i").bitwiseOR(_bit("_j")).alias("_both"))
-    )
-    holds = F.col("mask").bitwiseAND(F.col("_both")) == F.col("_both")
-    return (
-        pairs.join(masks, "topic", "left")
-        .groupBy("topic", "a", "b")
-        .agg(F.coalesce(F.sum(F.when(holds, F.col("n"))), F.lit(0)).alias("n"))
-    )
+    lists = _term_lists(topics)
+    small = F.broadcast if size_in_bytes(topics.select("topic", "term")) <= BROADCAST_LIMIT_BYTES else lambda df: df
+    bit_set = f"shiftright(element_at(masks, cast(p div {WORD_BITS} as int) + 1), cast(p % {WORD_BITS} as int)) & 1 = 1"
+    present = F.expr(f"transform(filter(sequence(0, size(terms) - 1), p -> {bit_set}), p -> terms[p])")
+    held = masks.join(small(lists), "topic").select("topic", "n", present.alias("present"))
+    paired = held.select("topic", "n", "present", F.posexplode("present").alias("_i", "a"))
+    paired = paired.select("topic", "n", "a", F.explode(F.expr("slice(present, _i + 1, size(present))")).alias("b"))
+    met = paired.groupBy("topic", "a", "b").agg(F.sum("n").alias("n"))
+    first = lists.select("topic", "terms", F.posexplode("terms").alias("_i", "a"))
+    pairs = first.select("topic", "a", F.explode(F.expr("slice(terms, _i + 1, size(terms))")).alias("b"))
+    return pairs.join(met, ["topic", "a", "b"], "left").select("topic", "a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def npmi(counts: DataFrame, total: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..runtime import broadcast_if_small
-
-VOCABULARY_SIZE = 1 << 18
+from ..functions.lemmas import lemmas_of
+from ..runtime import BROADCAST_LIMIT_BYTES, broadcast_if_small, size_in_bytes, stored
+from .corpus import running_total
 
 
 def bag_of_words(df: DataFrame, keys: Sequence[str], tokens: str = "tokens", keep_empty: bool = False) -> DataFrame:
@@ -44,22 +44,18 @@ def term_statistics(bag: DataFrame) -> DataFrame:
     return bag.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
 
 
-def vocabulary(statistics: DataFrame, min_df: int = 1, size: int = VOCABULARY_SIZE) -> DataFrame:
-    """The most frequent terms in at least ``min_df`` documents: ``(term_id, term, n, df)``.
+def vocabulary(statistics: DataFrame, min_df: int = 1, *, size: int | None) -> DataFrame:
+    """Terms in at least ``min_df`` documents: ``(term_id, term, n, df)``.
 
-    Ids follow falling ``n``, ties by term. The count the last term must reach is read
-    off the histogram of ``n`` first, so that only about ``size`` terms meet in one task
-    however many distinct terms there are. ``statistics`` is read twice: pass a stored or
-    cached table.
+    Ids follow falling ``n``, ties by term. ``size`` keeps the most frequent terms only;
+    ``None`` keeps all. Ids come from range partitions and their offsets, so that no task
+    holds more than a slice however many distinct terms there are.
     """
     kept = statistics.where(F.col("df") >= min_df)
-    falling = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    histogram = kept.groupBy("n").agg(F.count("*").alias("_terms"))
-    reached = histogram.withColumn("_reached", F.sum("_terms").over(falling))
-    least = reached.where(F.col("_reached") >= size).agg(F.max("n")).scalar()
-    top = kept.where(F.col("n") >= F.coalesce(least, F.lit(0))).orderBy(F.desc("n"), "term").limit(size)
-    number = F.row_number().over(Window.orderBy(F.desc("n"), "term")) - 1
-    return top.select(number.alias("term_id"), "term", "n", "df")
+    ranked = kept.select((-F.col("n")).alias("_fall"), "term", F.lit(1).cast("bigint").alias("_one"), "n", "df")
+    numbered = running_total(ranked, "_one", [], ["_fall", "term"], "_place", ["n", "df"])
+    listed = numbered.select((F.col("_place") - 1).cast("int").alias("term_id"), "term", "n", "df")
+    return listed if size is None else listed.where(F.col("term_id") < size)
 
 
 def vocabulary_sizes(statistics: DataFrame, thresholds: Sequence[int]) -> DataFrame:
@@ -104,15 +100,16 @@ def lemmatize(
 ) -> DataFrame:
     """Tokens replaced by their lemma from a table ``(form, lemma)``; others stay.
 
-    ``keys`` identify a row; it comes back with the keys and its list in order.
+    ``keys`` identify a row; it comes back with the keys and its list in order. A table that
+    measures small is looked up inside each batch, each distinct word once, without a shuffle;
+    a larger one is joined.
     """
     keys = list(keys)
-    one_each = lemmas.groupBy(F.col("form").alias("_token")).agg(F.min("lemma").alias("lemma"))
-    listed = broadcast_if_small(one_each)
-    words = df.select(*keys, F.posexplode_outer(tokens).alias("_position", "_token"))
-    named = words.join(listed, "_token", "left").select(
-        *keys, "_position", F.coalesce("lemma", "_token").alias("_word")
-    )
+    one_each = stored(lemmas.groupBy("form").agg(F.min("lemma").alias("lemma")))
+    if size_in_bytes(one_each) <= BROADCAST_LIMIT_BYTES:
+        return df.select(*keys, lemmas_of({row["form"]: row["lemma"] for row in one_each.collect()})(tokens).alias(tokens))
+    words = df.select(*keys, F.posexplode_outer(tokens).alias("_position", "form"))
+    named = words.join(one_each, "form", "left").select(*keys, "_position", F.coalesce("lemma", "form").alias("_word"))
     word = F.when(F.col("_word").isNotNull(), F.struct("_position", "_word"))
     in_order = F.transform(F.array_sort(F.collect_list(word)), lambda row: row["_word"])
     return named.groupBy(*keys).agg(in_order.alias(tokens))

@@ -13,35 +13,54 @@ from ..runtime import broadcast_if_small, side_by_side
 
 DISTRIBUTION = "topicDistribution"
 
+LEAST_PARTITIONS = 8
+PARTITION_ROWS = 4096
+
+
+def in_fixed_order(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``vectors`` in partitions and an order that follow from the rows alone.
+
+    The model samples by partition and position, and a table's files come back in any
+    order. The number of partitions follows the rows, never the cores. ``keys`` identify
+    a row.
+    """
+    partitions = max(LEAST_PARTITIONS, -(-vectors.count() // PARTITION_ROWS))
+    return vectors.select(*keys, "features").repartition(partitions, *keys).sortWithinPartitions(*keys)
+
 
 def fit(
-    vectors: DataFrame, k: int, max_iter: int, seed: int, subsampling_rate: float = 0.05
+    vectors: DataFrame, keys: Sequence[str], k: int, max_iter: int, seed: int, subsampling_rate: float = 0.05
 ) -> LDAModel:
-    """Online LDA over ``features``; the same seed and table give the same model.
+    """Online LDA over ``features``; the same seed and rows give the same model.
 
-    Iterations read the vectors from the cache: the caller's, if ``vectors`` is cached,
-    else one kept for this fit.
+    Iterations read the vectors from the cache, one vector per row shuffled once into a
+    fixed order. Weights can differ in their last digits, as sums of tasks come in any order.
     """
-    lda = LDA(k=k, maxIter=max_iter, seed=seed, subsamplingRate=subsampling_rate)
-    if vectors.is_cached:
-        return lda.fit(vectors)
-    features = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    ordered = in_fixed_order(vectors, keys).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return lda.fit(features)
+        return fit_ordered(ordered, k, max_iter, seed, subsampling_rate)
     finally:
-        features.unpersist()
+        ordered.unpersist()
+
+
+def fit_ordered(vectors: DataFrame, k: int, max_iter: int, seed: int, subsampling_rate: float = 0.05) -> LDAModel:
+    """A fit over vectors that the caller has put into a fixed order and cached."""
+    return LDA(k=k, maxIter=max_iter, seed=seed, subsamplingRate=subsampling_rate).fit(vectors)
 
 
 def fit_per_period(
-    vectors: DataFrame, periods: Sequence[str], k: int, max_iter: int, seed: int,
+    vectors: DataFrame, keys: Sequence[str], periods: Sequence[str], k: int, max_iter: int, seed: int,
     subsampling_rate: float = 0.05, parallelism: int = 1,
 ) -> dict[str, LDAModel]:
-    """One model per period over the same vocabulary; periods without documents are left out."""
+    """One model per period over the same vocabulary; periods without documents are left out.
+
+    Vectors stored by period let each fit read its own folder only.
+    """
     found = {row["period"] for row in vectors.select("period").distinct().collect()}
     present = [period for period in periods if period in found]
     models = side_by_side(
         vectors.sparkSession,
-        lambda period: fit(vectors.where(F.col("period") == period), k, max_iter, seed, subsampling_rate),
+        lambda period: fit(vectors.where(F.col("period") == period), keys, k, max_iter, seed, subsampling_rate),
         present,
         parallelism,
     )

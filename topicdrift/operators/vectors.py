@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..runtime import broadcast_if_small, stored
@@ -12,39 +13,66 @@ from ..runtime import broadcast_if_small, stored
 TFIDF = "tfidf"
 COUNT = "count"
 
-ENTRY_BYTES = 16
-PARTITION_BYTES = 256 << 20
+# Terms of a topic model at most: its matrix of topics and terms is held by the driver.
+MODEL_TERMS = 1 << 23
+
+
+def document_vectors(
+    tokens: DataFrame, weights: DataFrame, keys: Sequence[str], weighting: str = TFIDF, binary: bool = False
+) -> DataFrame:
+    """``(keys, features)`` of token lists over a vocabulary ``(term_id, term, idf)``, as a stored table.
+
+    One narrow pass: each row becomes its own vector, unknown terms vanish inside the row,
+    nothing is shuffled. Terms and idf go through the driver, which a topic model's matrix
+    of topics and terms does anyway; `MODEL_TERMS` bounds them.
+    """
+    keys = list(keys)
+    listed = _listed(weights)
+    counter = CountVectorizerModel.from_vocabulary([row["term"] for row in listed], "tokens", "features", binary=binary)
+    filled = F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")
+    counted = counter.transform(tokens.select(*keys, filled))
+    features = F.col("features")
+    if weighting == TFIDF:
+        scale = ElementwiseProduct(scalingVec=Vectors.dense([row["idf"] for row in listed]), inputCol="features", outputCol="_scaled")
+        counted, features = scale.transform(counted), F.col("_scaled")
+    return stored(counted.select(*keys, features.alias("features")))
+
+
+def _listed(weights: DataFrame) -> list:
+    """Vocabulary rows by id, if a model can hold them."""
+    size = weights.count()
+    if not size:
+        raise ValueError("the vocabulary is empty")
+    if size > MODEL_TERMS:
+        raise ValueError(f"a model of {size} terms is too large; raise min_df to leave rare terms out")
+    return weights.select("term_id", "term", "idf").orderBy("term_id").collect()
 
 
 def stored_vectors(
-    bag: DataFrame, weights: DataFrame, keys: Sequence[str], weighting: str = TFIDF, binary: bool = False
+    bag: DataFrame, weights: DataFrame, keys: Sequence[str], weighting: str = TFIDF, binary: bool = False,
+    partition_by: Sequence[str] = (),
 ) -> DataFrame:
-    """``(keys, features)`` of bags over a vocabulary ``(term_id, term, df, idf)``, as a stored table.
+    """``(keys, features)`` of added-up bags over a vocabulary ``(term_id, term, idf)``, as a stored table.
 
-    ``bag`` has one row per keys and term; keys without a known term get a vector of
-    zeros. A row has at most as many entries as the vocabulary. Entries move once, to
-    partitions of even size in a fixed order, because the topic model samples by partition
-    and position; the sum of ``df`` tells their number beforehand. They are written in the
-    storage layout of a sparse vector and read back as vectors, without leaving the JVM.
+    For bags that are sums over several texts; see `document_vectors` for single ones.
+    ``bag`` has one row per keys and term; keys without a known term get a vector of zeros.
+    Unknown terms are gone before the exchange, so a row gathers as many entries as the
+    vocabulary has at most. Vectors are written in the storage layout of a sparse vector
+    and read back, without leaving the JVM.
     """
     keys = list(keys)
-    size, entries_expected = weights.agg(F.count("*"), F.sum("df")).first()
+    size = weights.count()
     if not size:
         raise ValueError("the vocabulary is empty")
-    cores = bag.sparkSession.sparkContext.defaultParallelism
-    partitions = max(cores, -(-entries_expected * ENTRY_BYTES // PARTITION_BYTES))
+    if size > MODEL_TERMS:
+        raise ValueError(f"a model of {size} terms is too large; raise min_df to leave rare terms out")
     listed = broadcast_if_small(weights.select("term", "term_id", "idf"))
     count = F.lit(1.0) if binary else F.col("tf").cast("double")
     value = count * F.col("idf") if weighting == TFIDF else count
-    entry = F.when(F.col("term_id").isNotNull(), F.struct("term_id", value.alias("value")))
-    rows = (
-        bag.join(listed, "term", "left")
-        .select(*keys, entry.alias("_entry"))
-        .repartition(partitions, *keys)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("_entry")).alias("_entries"))
-        .sortWithinPartitions(*keys)
-    )
+    known = bag.join(listed, "term").select(*keys, F.struct("term_id", value.alias("value")).alias("_entry"))
+    nothing = F.lit(None).cast(known.schema["_entry"].dataType).alias("_entry")
+    every = bag.select(*keys).distinct().select(*keys, nothing)
+    rows = known.unionByName(every).groupBy(*keys).agg(F.sort_array(F.collect_list("_entry")).alias("_entries"))
     layout = F.struct(
         F.lit(0).cast("tinyint").alias("type"),
         F.lit(size).alias("size"),
@@ -55,6 +83,7 @@ def stored_vectors(
     return stored(
         rows.select(*keys, layout.alias("features")),
         T.StructType([*kept, T.StructField("features", VectorUDT())]),
+        partition_by,
     )
 
 

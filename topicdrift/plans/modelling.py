@@ -63,22 +63,23 @@ class FittedPeriods:
         return topics.period_topic_distribution(self.models, self.vectors)
 
 
-def stored_weights(bag: DataFrame, documents: int, min_df: int, vocabulary_size: int) -> DataFrame:
-    """Vocabulary of a bag with idf, as a stored table of at most ``vocabulary_size`` rows."""
+def stored_weights(bag: DataFrame, documents: int, min_df: int, vocabulary_size: int | None) -> DataFrame:
+    """Vocabulary of a bag with idf, as a stored table; ``vocabulary_size`` None keeps all terms."""
     statistics = stored(terms.term_statistics(bag))
-    return stored(terms.idf(terms.vocabulary(statistics, min_df, vocabulary_size), F.lit(documents)))
+    return stored(terms.idf(terms.vocabulary(statistics, min_df, size=vocabulary_size), F.lit(documents)))
 
 
 def fit_topics(
     corpus: DataFrame,
     keys: Sequence[str],
     seed: int,
+    *,
+    vocabulary_size: int | None,
     cleaning: str = "wiki",
     tokens: TokenConfig = FINAL_TOKENS,
     k: int = FINAL_TOPICS,
     max_iter: int = FINAL_ITERATIONS,
     min_df: int = 1,
-    vocabulary_size: int = terms.VOCABULARY_SIZE,
     weighting: str = vectors.TFIDF,
     subsampling_rate: float = 0.05,
 ) -> Fitted:
@@ -88,15 +89,17 @@ def fit_topics(
     try:
         bag = terms.bag_of_words(table, keys, keep_empty=True)
         weights = stored_weights(bag, table.count(), min_df, vocabulary_size)
-        rows = vectors.stored_vectors(bag, weights, keys, weighting)
+        rows = vectors.document_vectors(table, weights, keys, weighting)
     finally:
         table.unpersist()
-    return Fitted(topics.fit(rows, k, max_iter, seed, subsampling_rate), weights, rows)
+    return Fitted(topics.fit(rows, keys, k, max_iter, seed, subsampling_rate), weights, rows)
 
 
 def fit_topics_per_period(
     corpus: DataFrame,
     seed: int,
+    *,
+    vocabulary_size: int | None,
     key: str = "doc_id",
     cleaning: str = "none",
     tokens: TokenConfig = PERIOD_TOKENS,
@@ -105,7 +108,6 @@ def fit_topics_per_period(
     k: int = PERIOD_TOPICS,
     max_iter: int = PERIOD_ITERATIONS,
     min_df: int = 1,
-    vocabulary_size: int = terms.VOCABULARY_SIZE,
     weighting: str = vectors.TFIDF,
     subsampling_rate: float = 0.05,
     parallelism: int = 1,
@@ -125,9 +127,9 @@ def fit_topics_per_period(
     try:
         documents = bag.select(*group).distinct().count()
         weights = stored_weights(bag, documents, min_df, vocabulary_size)
-        rows = vectors.stored_vectors(bag, weights, group, weighting)
+        rows = vectors.stored_vectors(bag, weights, group, weighting, partition_by=["period"])
     finally:
         bag.unpersist()
     names = [name for _, _, name in periods]
-    models = topics.fit_per_period(rows, names, k, max_iter, seed, subsampling_rate, parallelism)
+    models = topics.fit_per_period(rows, ["title"], names, k, max_iter, seed, subsampling_rate, parallelism)
     return FittedPeriods(models, weights, rows)

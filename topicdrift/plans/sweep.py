@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
-from itertools import groupby
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
@@ -12,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.cleaning import clean
 from ..operators import coherence, terms, topics, vectors
 from ..operators.corpus import nonempty
-from ..runtime import side_by_side, stored
+from ..functions.tokens import SHRINK
+from ..runtime import intermediate_tables, side_by_side, stored
 from .text import TokenConfig, token_table
 
 SCORES = (
@@ -23,7 +23,7 @@ SCORES = (
 
 @dataclass(frozen=True)
 class Trial:
-    """One setting. Trials that agree in cleaning and tokens should stand next to each other."""
+    """One setting."""
 
     config: str
     cleaning: str = "wiki"
@@ -74,57 +74,68 @@ def sweep(
     trials: Sequence[Trial],
     key: str,
     seed: int,
+    *,
+    vocabulary_size: int | None,
     terms_per_topic: int = 10,
     window: int = coherence.WINDOW,
-    vocabulary_size: int = terms.VOCABULARY_SIZE,
-    max_iter: int | None = None,
     subsampling_rate: float = 0.05,
     parallelism: int = 1,
 ) -> DataFrame:
-    """One row per trial; see ``SCORES``. ``max_iter`` overrides the trials' own.
-
-    Texts are cleaned and cut once per run of trials with the same cleaning and tokens,
-    vectors are built once per vocabulary, and the topics of such a run are scored
-    together in one pass over the tokens. Only scores and topic terms reach the driver.
-    ``parallelism`` runs, or fits of a single run, are under way at a time; each run keeps
-    its token table cached.
+    """One row per trial; see ``SCORES``.
+
+    Texts are cleaned and cut once for all trials with the same cleaning and tokens, vectors
+    are built once per vocabulary, and their topics are scored together in one pass over
+    the tokens. Trials that differ in nothing but the clean-up of blanks, which tokens do not
+    show, share a fit. Only scores and topic terms reach the driver. ``parallelism`` runs, or
+    fits of a single run, are under way at a time; each run keeps its token table cached.
+    Intermediate tables are deleted at the end.
     """
-    runs = [list(run) for _, run in groupby(trials, lambda trial: (trial.cleaning, trial.tokens))]
+    runs: dict[tuple, list[Trial]] = {}
+    for trial in trials:
+        runs.setdefault(_inputs(trial), []).append(trial)
     beside = max(1, parallelism // len(runs)) if runs else 1
-    settings = (key, seed, terms_per_topic, window, vocabulary_size, max_iter, subsampling_rate, beside)
-    scored = side_by_side(corpus.sparkSession, lambda run: _run(corpus, run, *settings), runs, parallelism)
-    return corpus.sparkSession.createDataFrame([row for rows in scored for row in rows], SCORES)
+    settings = (key, seed, terms_per_topic, window, vocabulary_size, subsampling_rate, beside)
+    with intermediate_tables(corpus.sparkSession):
+        scored = side_by_side(corpus.sparkSession, lambda run: _run(corpus, run, *settings), list(runs.values()), parallelism)
+    rows = {trial: row for run, found in zip(runs.values(), scored) for trial, row in zip(run, found)}
+    return corpus.sparkSession.createDataFrame([rows[trial] for trial in trials], SCORES)
+
 
+def _inputs(trial: Trial) -> tuple:
+    """What a trial's token table depends on."""
+    return trial.cleaning, replace(trial.tokens, cleanup=SHRINK)
 
-def _run(
-    corpus, trials, key, seed, terms_per_topic, window, vocabulary_size, max_iter, subsampling_rate, beside
-) -> list[tuple]:
-    texts = clean(nonempty(corpus), trials[0].cleaning)
-    table = token_table(texts, trials[0].tokens, [key]).persist(StorageLevel.MEMORY_AND_DISK)
+
+def _run(corpus, trials, key, seed, terms_per_topic, window, vocabulary_size, subsampling_rate, beside) -> list[tuple]:
+    cleaning, tokens = _inputs(trials[0])
+    table = token_table(clean(nonempty(corpus), cleaning), tokens, [key]).persist(StorageLevel.MEMORY_AND_DISK)
     inputs = {}
     try:
         documents = table.count()
-        bag = terms.bag_of_words(table, [key], keep_empty=True)
-        statistics = stored(terms.term_statistics(bag))
+        statistics = stored(terms.term_statistics(terms.bag_of_words(table, [key])))
         for min_df in {trial.min_df for trial in trials}:
-            weights = stored(terms.idf(terms.vocabulary(statistics, min_df, vocabulary_size), F.lit(documents)))
-            vectored = vectors.stored_vectors(bag, weights, [key]).persist(StorageLevel.MEMORY_AND_DISK)
-            inputs[min_df] = (weights, weights.count(), vectored)
-
-        def fit(trial: Trial) -> tuple[list[list[str]], float]:
-            weights, _, vectored = inputs[trial.min_df]
-            model = topics.fit(vectored, trial.k, max_iter or trial.max_iter, seed, subsampling_rate)
+            weights = stored(terms.idf(terms.vocabulary(statistics, min_df, size=vocabulary_size), F.lit(documents)))
+            vectored = topics.in_fixed_order(vectors.document_vectors(table, weights, [key]), [key])
+            inputs[min_df] = (weights, weights.count(), vectored.persist(StorageLevel.MEMORY_AND_DISK))
+
+        def fit(setting: tuple[int, int, int]) -> tuple[list[list[str]], float]:
+            min_df, k, max_iter = setting
+            weights, _, vectored = inputs[min_df]
+            model = topics.fit_ordered(vectored, k, max_iter, seed, subsampling_rate)
             best = topics.topic_terms(model, weights, terms_per_topic).collect()
             ranked = sorted((row["topic"], row["rank"], row["term"]) for row in best)
-            by_topic = [[term for topic, _, term in ranked if topic == number] for number in range(trial.k)]
+            by_topic = [[term for topic, _, term in ranked if topic == number] for number in range(k)]
             return by_topic, topics.log_perplexity(model, vectored)
 
-        fitted = side_by_side(corpus.sparkSession, fit, trials, beside)
-        coherences = _mean_coherence(table, [by_topic for by_topic, _ in fitted], key, window)
-        return [
-            (trial.config, trial.k, trial.min_df, documents, inputs[trial.min_df][1], perplexity, mean, by_topic)
-            for trial, (by_topic, perplexity), mean in zip(trials, fitted, coherences)
-        ]
+        settings = list(dict.fromkeys((trial.min_df, trial.k, trial.max_iter) for trial in trials))
+        fitted = side_by_side(corpus.sparkSession, fit, settings, beside)
+        means = _mean_coherence(table, [by_topic for by_topic, _ in fitted], key, window)
+        found = {setting: (*fit, mean) for setting, fit, mean in zip(settings, fitted, means)}
+        rows = []
+        for trial in trials:
+            by_topic, perplexity, mean = found[trial.min_df, trial.k, trial.max_iter]
+            rows.append((trial.config, trial.k, trial.min_df, documents, inputs[trial.min_df][1], perplexity, mean, by_topic))
+        return rows
     finally:
         table.unpersist()
         for _, _, vectored in inputs.values():

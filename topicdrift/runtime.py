@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -30,18 +31,45 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+# Paths of intermediate tables, one list per open scope; threads of a scope share its list.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Owns the intermediate tables made inside: they are deleted when the scope ends.
+
+    A result that reads them lazily must be written or collected inside the scope. Without
+    a scope the tables stay until the folder of ``spark.checkpoint.dir`` is cleaned.
+    """
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def new_table_path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/topicdrift-{uuid.uuid4().hex}"
+    """A new path in the shared folder; the innermost open scope owns it."""
+    path = f"{shared_folder(spark).rstrip('/')}/topicdrift-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
-def stored(df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+def stored(df: DataFrame, schema: T.StructType | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
     path = new_table_path(spark)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
 
 

@@ -26,21 +26,22 @@ SAMPLE_TITLES = (
     "Transphobia", "Identity politics", "Racism in the United States",
 )
 
-# The four titles charted by year.
-CHART_TITLES = (
-    "Intersectionality", "Feminism", "Racism in the United States", "Gender equality",
-)
+
+# A page without content is one empty element; others end at their own end tag.
+PAGE_END = "</page>"
+ONE_PAGE = r"""(?s)<page(?:\s(?:[^>"']|"[^"]*"|'[^']*')*)?/>|<page[\s>].*?</page>"""
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page rows of all XML files under a path or glob; the schema is given, not inferred."""
-    return (
-        spark.read.format("xml")
-        .schema(PAGE_SCHEMA)
-        .option("rowTag", "page")
-        .option("ignoreSurroundingSpaces", "false")
-        .load(path)
-    )
+    """Page rows of all XML files under a path or glob; the schema is given, not inferred.
+
+    Files are cut at the end of a page, so a large file is read by many tasks. What stands
+    before the first page and after the last is left out.
+    """
+    chunks = spark.read.option("lineSep", PAGE_END).text(path)
+    found = F.regexp_extract_all(F.concat("value", F.lit(PAGE_END)), F.lit(ONE_PAGE), F.lit(0))
+    parsed = F.from_xml("page", PAGE_SCHEMA, {"ignoreSurroundingSpaces": "false"})
+    return chunks.select(F.explode(found).alias("page")).select(parsed.alias("page")).select("page.*")
 
 
 def revisions(pages: DataFrame) -> DataFrame:
