@@ -27,13 +27,16 @@ from topicdrift.llm.exchange import ROWS_PER_BLOCK, cells, in_blocks, joined, pa
 from topicdrift.llm.words import Words, mix, pieces
 from topicdrift.runtime import stored
 
-#: Whole size of the filter. About 9 bits for each of 57 million distinct pairs; larger corpora want more.
-FILTER_BYTES = 64 << 20
+#: Largest size of the whole filter, and of a segment. About 9 bits for each of 43 million distinct pairs; larger corpora want more.
+FILTER_BYTES = 48 << 20
+SEGMENT_BYTES = 2 << 20
+#: Bytes of text scored at a time.
+SCORED_BYTES = 1 << 20
 MOST_PROBES = 6
 MOST_LEVELS = 40
 STRENGTHS = tuple(10.0 ** (x / 2) for x in range(0, 13))
 #: Entries a task holds before it sends its counts.
-HELD = 6_000_000
+HELD = 2_000_000
 
 _END = np.uint64(0x3C6EF372FE94F82B)
 
@@ -113,12 +116,16 @@ def fill_segment(keys: np.ndarray, counts: np.ndarray, segment_bytes: int) -> tu
     levels = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
     entries, bits = max(1, int(levels.sum())), np.uint64(segment_bytes * 8)
     probes = int(min(MOST_PROBES, max(1, round(segment_bytes * 8 / entries * math.log(2)))))
-    flags = np.zeros(segment_bytes * 8, dtype=bool)
+    places = [np.zeros(0, dtype=np.uint64)]
     for level in range(1, int(levels.max(initial=0)) + 1):
         hashes = _level_hash(keys[levels >= level], level)
-        for probe in range(probes):
-            flags[_bit(hashes, probe, bits).astype(np.int64)] = True
-    return np.packbits(flags, bitorder="little").tobytes(), probes
+        places += [np.unique(_bit(hashes, probe, bits)) for probe in range(probes)]
+    at = np.unique(np.concatenate(places))
+    byte, flag = (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+    first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]]) if len(byte) else byte
+    out = np.zeros(segment_bytes, dtype=np.uint8)
+    out[byte[first]] = np.bitwise_or.reduceat(flag, first) if len(first) else flag
+    return out.tobytes(), probes
 
 
 #: Count that stands for a level: the geometric mean of its least and largest.
@@ -146,7 +153,7 @@ def scored(
     held = held_out("id", fold)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("held", held)
     blocked, parts = in_blocks(rows, "id", "text", "held", rows_per_block=rows_per_block)
-    segment_bytes = max(64, filter_bytes // parts)
+    segment_bytes = max(64, min(SEGMENT_BYTES, filter_bytes // parts))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {0: [], 1: []}
@@ -208,7 +215,7 @@ def scored(
         chance = (counts + 0.5) / (total + 0.5 * (distinct + 1))
         log_chance = np.log10(chance)
         training, out = ~table["held"].to_numpy(zero_copy_only=False), []
-        for first, data, offsets in pieces(table["text"]):
+        for first, data, offsets in pieces(table["text"], SCORED_BYTES):
             texts = len(offsets) - 1
             words = Words(data, offsets, lower=True)
             tokens = _tokens(words)
