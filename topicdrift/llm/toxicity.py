@@ -38,6 +38,10 @@ BEGINNINGS = (4, 6)
 LEXICON_VOTERS = 64
 LABEL_ROUNDS = 30
 TRAIN_ROUNDS = 80
+#: Texts of the sample that must have a feature of the classifier.
+LEAST_TEXTS = 4
+#: Greatest log-odds of a text without known features.
+UNKNOWN = -0.4
 _SIZE = 1 << FEATURE_BITS
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[[ord(c) for c in ".,!?;:|*$%&#\"'()"]] = True
@@ -159,20 +163,25 @@ def train(sample: list, share: float) -> Model:
     weight = np.where(given > 0, share / given.mean(), (1 - share) / (1 - given.mean()))
     target = label_model(_votes(row, feature, rate, patterns, given, weight), given, weight)
 
-    value = np.sqrt(rate)
+    # what only a few texts have would be learnt by heart
+    common = np.bincount(feature, minlength=_SIZE)[feature] >= LEAST_TEXTS
+    row, feature, value = row[common], feature[common], np.sqrt(rate[common])
     del rate
     kept = np.arange(len(sample)) % 5 == 0
     fit = ~kept[row]
     frow, ffeature, fvalue = row[fit], feature[fit], value[fit]
     mass = np.where(kept, 0, weight) / weight[~kept].sum()
 
+    # the bias is the prior, so that a text without known features has it, too
+    prior = float(np.log(share / (1 - share)))
+
     def gradient(at: np.ndarray) -> np.ndarray:
-        z = np.bincount(frow, fvalue * at[ffeature], len(sample)) + at[-1]
+        z = np.bincount(frow, fvalue * at[ffeature], len(sample)) + prior
         off = mass * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
-        return np.append(np.bincount(ffeature, fvalue * off[frow], _SIZE) + 1e-5 * at[:-1], off.sum())
+        return np.bincount(ffeature, fvalue * off[frow], _SIZE) + 1e-5 * at
 
-    at = _adam(gradient, np.zeros(_SIZE + 1), 0.3, TRAIN_ROUNDS)
-    z = np.bincount(row, value * at[feature], len(sample)) + at[-1]
+    at = _adam(gradient, np.zeros(_SIZE), 0.3, TRAIN_ROUNDS)
+    z = np.bincount(row, value * at[feature], len(sample)) + prior
     own, mass = z[kept], (weight / weight[kept].sum())[kept]
     bounded = np.clip(target[kept], 0.01, 0.99)
 
@@ -181,7 +190,9 @@ def train(sample: list, share: float) -> Model:
         return np.array([(off * own).sum(), off.sum()])
 
     slope, shift = _adam(calibration, np.array([1.0, 0.0]), 0.05, 1500) if target[kept].min() < 0.5 < target[kept].max() else (1.0, 0.0)
-    return Model(at[:-1].astype(np.float32), float(at[-1]), float(max(slope, 0.1)), float(shift))
+    slope = float(max(slope, 0.1))
+    # calibration must not call a text toxic of which nothing is known
+    return Model(at.astype(np.float32), prior, slope, float(min(shift, UNKNOWN - slope * prior)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: int = 0, rows: int = SAMPLE_ROWS) -> Model:
