@@ -84,7 +84,7 @@ def test_posterior_keeps_the_threshold():
     needed = least_matches()
     assert needed == sorted(needed) and len(needed) == VALUES // 16
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 2**16, (20_000, VALUES), dtype=np.uint16)
+    a = rng.integers(0, 2**8, (20_000, VALUES), dtype=np.uint8)
     equal = rng.random(a.shape) < THRESHOLD / 100
     assert len(survivors(a, np.where(equal, a, a + 1), needed)[0]) > 19_990
     equal = rng.random(a.shape) < 0.3

@@ -1,16 +1,22 @@
 """Near-duplicate documents: banded MinHash candidates, sequential Bayesian verification.
 
-1. Every text becomes a set of hashed word shingles, its size, a 128-bit hash of the set and a
-   signature of 128 MinHash values of 16 bits. Documents with one set are one class, named by
-   its smallest id; only classes go on, so copies cost a row each and no pair.
-2. The signature is cut into 32 bands of 4 values. Classes that agree in a band share a bucket.
+1. Every text becomes a set of hashed word shingles, its size, a 128-bit hash of the set and 512
+   MinHash values. Documents with one set are one class, named by its smallest id; only classes
+   go on, so copies cost a row each and no pair.
+2. The first 128 values, 16 bits of each, are cut into 32 bands of 4. Classes that agree in a
+   band share a bucket. Of all values 8 bits are kept as the signature.
 3. In each bucket all members are compared with its smallest one, the hub (no pairs of members).
 4. Comparing reads signatures 16 values at a time. Matches so far give a Beta posterior of the
    similarity; a pair goes as soon as the probability that it reaches the threshold is below
    `MISS`. Survivors are verified exactly on their full shingle sets.
-5. Verified links give components. Members of a bucket that are in different components then
-   may still be linked with each other: these are compared, tile by tile, by step 4. Pairs
-   inside a component need no comparison, as they cannot change the result.
+5. Verified links give components. Members of a bucket that are in different components may
+   still be linked with each other: their signatures are compared, tile by tile, by step 4. Of
+   the survivors each member first sends its most similar partner to the exact check, then
+   (where its component is still another one) the next few, at last all, so that no pair between
+   two components is left unchecked. Pairs inside a component need no check, as they cannot
+   change the result.
+
+Joins are hinted to sort and merge, so that plans, and what they cost, are alike at every size.
 
 At the threshold a pair shares no bucket with probability (1 - 0.75**4)**32 = 5e-6.
 """
@@ -29,12 +35,15 @@ from topicdrift.llm.words import Words, mix, pieces
 from topicdrift.runtime import stored
 
 SHINGLE = 5
-VALUES = 128
+VALUES = 512
 BAND = 4
+BANDED = 128
 BATCH = 16
 #: Similarity in percent.
 THRESHOLD = 75
-MISS = 1e-7
+MISS = 1e-4
+#: Partners that a member sends to the exact check, round by round; the last round has no limit.
+PARTNERS = (1, 8, 1 << 62)
 #: Members of a side of a tile.
 TILE = 256
 
@@ -64,50 +73,51 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, size: int = SHINGLE) -> Iter
                 yield grams[:0]
 
 
-def signatures(sets: list[np.ndarray]) -> list[bytes | None]:
-    """128 16-bit MinHash values of each set; None for an empty one."""
+def signatures(sets: list[np.ndarray]) -> list[tuple[bytes, list[int]] | tuple[None, None]]:
+    """Signature and band keys of each set; None for an empty one."""
     full = [i for i, own in enumerate(sets) if len(own)]
-    out: list[bytes | None] = [None] * len(sets)
+    out: list = [(None, None)] * len(sets)
     if full:
         values = (np.concatenate([sets[i] for i in full]) >> np.uint64(32)).astype(np.uint32)
         starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]])
         found = np.empty((len(full), VALUES), dtype=np.uint32)
         for j in range(VALUES):
             found[:, j] = np.minimum.reduceat((values ^ _FLIP[j]) * _FACTOR[j], starts)
-        short = ((found * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2")
-        for i, row in zip(full, short, strict=True):
-            out[i] = row.tobytes()
+        found *= np.uint32(0x9E3779B1)
+        bands = np.ascontiguousarray((found[:, :BANDED] >> np.uint32(16)).astype("<u2")).view("<i8")
+        short = (found >> np.uint32(24)).astype(np.uint8)
+        for i, row, keys in zip(full, short, bands, strict=True):
+            out[i] = row.tobytes(), keys.tolist()
     return out
 
 
 def sketched(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """id, n_shingles, class_a and class_b (a hash of the set), signature."""
+    """id, n_shingles, class_a and class_b (a hash of the set), signature, bands."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets = batch.column(0), []
-            out: tuple[list, ...] = ([], [], [], [])
-
-            def flush(sets=sets, out=out) -> None:
-                out[3].extend(signatures(sets))
-                for own in sets:
-                    out[0].append(len(own))
-                    out[1].append(int(np.sum(mix(own), dtype=np.uint64).astype(np.int64)))
-                    out[2].append(int(np.sum(mix(own ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64).astype(np.int64)))
+            sets, rows = [], []
+
+            def flush(sets=sets, rows=rows) -> None:
+                for own, (signature, bands) in zip(sets, signatures(sets), strict=True):
+                    a, b = (int(np.sum(mix(own ^ np.uint64(salt)), dtype=np.uint64).astype(np.int64)) for salt in (0, 0x5851F42D4C957F2D))
+                    rows.append((len(own), a, b, signature, bands))
                 sets.clear()
 
             held = 0
             for own in shingle_sets(batch.column(1), size):
                 sets.append(own)
                 held += len(own)
-                if held > 1 << 19:
+                if held > 1 << 18:
                     flush()
                     held = 0
             flush()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, out, kinds)], ["id", "n_shingles", "class_a", "class_b", "signature"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            arrays = [pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n_shingles", "class_a", "class_b", "signature", "bands"])
 
-    return docs.mapInArrow(sketch, "id long, n_shingles long, class_a long, class_b long, signature binary")
+    return docs.mapInArrow(sketch, "id long, n_shingles long, class_a long, class_b long, signature binary, bands array<long>")
 
 
 def least_matches(threshold: int = THRESHOLD, miss: float = MISS) -> list[int]:
@@ -126,19 +136,19 @@ def least_matches(threshold: int = THRESHOLD, miss: float = MISS) -> list[int]:
     return out
 
 
-def survivors(a: np.ndarray, b: np.ndarray, needed: list[int]) -> np.ndarray:
-    """Indices of rows of two signature matrices that no batch prunes."""
+def survivors(a: np.ndarray, b: np.ndarray, needed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of rows of two signature matrices that no batch prunes, and how many values match."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
     for step, least in enumerate(needed):
         own = slice(step * BATCH, (step + 1) * BATCH)
         matches = matches + (a[alive, own] == b[alive, own]).sum(axis=1)
         keep = matches >= least
         alive, matches = alive[keep], matches[keep]
-    return alive
+    return alive, matches
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, VALUES)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, VALUES)
 
 
 def _pruned(pairs: DataFrame, classes: DataFrame, threshold: int, miss: float) -> DataFrame:
@@ -147,21 +157,18 @@ def _pruned(pairs: DataFrame, classes: DataFrame, threshold: int, miss: float) -
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = survivors(_matrix(batch.column("sa")), _matrix(batch.column("sb")), needed)
+            keep, _ = survivors(_matrix(batch.column("sa")), _matrix(batch.column("sb")), needed)
             yield batch.select(["a", "b"]).take(pa.array(keep))
 
     own = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
     other = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold
-    both = pairs.join(other, "b").join(own, "a").where(fits)
+    both = pairs.hint("merge").join(other, "b").hint("merge").join(own, "a").where(fits)
     return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: int, size: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: int, size: int) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold, with both counts. Stored."""
-    pairs = stored(pairs)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stored(docs.join(wanted, "id", "left_semi"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,13 +185,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: int, size: int) -> D
             found = batch.select(["a", "b"]).append_column("same", pa.array(same, pa.int64())).append_column("united", pa.array(union, pa.int64()))
             yield found.filter(pa.array([100 * x >= threshold * y > 0 for x, y in zip(same, union, strict=True)], pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    other, own = (texts.select(F.col("id").alias(name), F.col("text").alias(f"t{name}")) for name in "ba")
+    both = pairs.hint("merge").join(other, "b").hint("merge").join(own, "a")
     return stored(both.mapInArrow(check, "a long, b long, same long, united long"))
 
 
-def _rest(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold: int, miss: float) -> DataFrame:
+def _rest(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold: int, miss: float, most: int) -> DataFrame:
     """Pairs that share a bucket and lie in different components, the hub's apart; pruned.
 
+    Of each member's pairs in a tile the `most` with the most matches; `cut` says that it has more.
+
     The members of a bucket that are in the hub's component are never compared with each other.
     They and the others are cut into chunks; a tile is a chunk of the others against any chunk.
     """
@@ -209,7 +219,7 @@ def _rest(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold:
     ))).select("bucket", F.col("chunk").alias("left"), "right", "rep", "component", F.lit(True).alias("is_left"))
     as_right = chunked.withColumn("left", F.explode(F.expr("if(main, sequence(0, others - 1), sequence(0, chunk))"))).select(
         "bucket", "left", name(F.col("chunk"), F.col("main")).alias("right"), "rep", "component", F.lit(False).alias("is_left"))
-    rows = as_left.union(as_right).join(classes.select("rep", "n_shingles", "signature"), "rep")
+    rows = as_left.union(as_right).hint("merge").join(classes.select("rep", "n_shingles", "signature"), "rep")
 
     def compare(table: pa.Table) -> pa.Table:
         side = table["is_left"].to_numpy(zero_copy_only=False)
@@ -221,12 +231,17 @@ def _rest(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold:
             (ca[:, None] != cb[None, :])
             & (np.minimum(na[:, None], nb[None, :]) * 100 >= np.maximum(na[:, None], nb[None, :]) * threshold)
         )
-        if len(i):
-            keep = survivors(_matrix(left["signature"])[i], _matrix(right["signature"])[j], needed)
-            i, j = i[keep], j[keep]
-        return pa.table({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
+        keep, matches = survivors(_matrix(left["signature"])[i], _matrix(right["signature"])[j], needed)
+        i, j = i[keep], j[keep]
+        order = np.lexsort((b[j], -matches, i))
+        i, j = i[order], j[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        cut = np.bincount(i, minlength=len(a))[i] > most
+        i, j, cut = i[rank < most], j[rank < most], cut[rank < most]
+        return pa.table({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "cut": cut})
 
-    return rows.groupBy("bucket", "left", "right").applyInArrow(compare, "a long, b long").distinct()
+    found = rows.groupBy("bucket", "left", "right").applyInArrow(compare, "a long, b long, cut boolean")
+    return stored(found.groupBy("a", "b").agg(F.max("cut").alias("cut")))
 
 
 def linked(
@@ -246,23 +261,28 @@ def linked(
     sketches = stored(sketched(rows, size))
     keys = ["class_a", "class_b", "n_shingles"]
     full = sketches.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = full.groupBy(keys).agg(F.min(F.struct("id", "signature")).alias("least"))
-    classes = stored(classes.select(*keys, F.col("least.id").alias("rep"), F.col("least.signature").alias("signature")))
+    classes = full.groupBy(keys).agg(F.min(F.struct("id", "signature", "bands")).alias("least"))
+    classes = stored(classes.select(*keys, F.col("least.id").alias("rep"), "least.signature", "least.bands"))
 
-    bands = VALUES // BAND
-    band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))
-    bucket = F.xxhash64("band", F.expr(f"substring(signature, band * {2 * BAND} + 1, {2 * BAND})"))
-    banded = classes.select("rep", "signature", band.alias("band")).select("rep", bucket.alias("bucket"))
+    banded = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
     buckets = stored(banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub < most").drop("most"))
     members = stored(banded.join(buckets, "bucket"))
 
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _verified(_pruned(stars, classes, threshold, miss), named, threshold, size)
-    labels = components(links)
-    more = _verified(_rest(members, classes, labels, threshold, miss), named, threshold, size)
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = components(links)
+    texts = stored(named.hint("merge").join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    links = _verified(_pruned(stars, classes, threshold, miss), texts, threshold, size)
+    labels, tested = components(links), None
+    for most in PARTNERS:
+        rest = _rest(members, classes, labels, threshold, miss, most)
+        new = rest.select("a", "b")
+        new = stored(new if tested is None else new.join(tested, ["a", "b"], "left_anti"))
+        more = _verified(new, texts, threshold, size)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+        if rest.where("cut").isEmpty():
+            break
+        tested = new if tested is None else tested.union(new)
     by_class = classes.select(*keys, "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     by_class = stored(by_class.select(*keys, "rep", F.coalesce("component", "rep").alias("component_id")))
     found = sketches.select("id", *keys).join(by_class, keys, "left")
