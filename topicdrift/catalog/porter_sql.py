@@ -6,13 +6,23 @@ expressions over words whose vowels were replaced by 1 and whose other letters b
 
 from __future__ import annotations
 
-# Suffix tables of the paper, longest suffix first where one ends in another.
+# The suffix tables of the paper, (suffix, replacement).
 STEP_2 = (
-    "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous "
-    "ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
+    ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
+    ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+)
+STEP_3 = (
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"),
+    ("ful", ""), ("ness", ""),
+)
+STEP_4 = (
+    ("al", ""), ("ance", ""), ("ence", ""), ("er", ""), ("ic", ""),
+    ("able", ""), ("ible", ""), ("ant", ""), ("ement", ""), ("ment", ""),
+    ("ent", ""), ("ion", ""), ("ou", ""), ("ism", ""), ("ate", ""),
+    ("iti", ""), ("ous", ""), ("ive", ""), ("ize", ""),
 )
-STEP_3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-STEP_4 = "al: ance: ence: er: ic: able: ible: ant: ement: ment: ent: ion: ou: ism: ate: iti: ous: ive: ize:"
 
 # y is a vowel after a consonant; a run of y alternates.
 SHAPE = (
@@ -45,9 +55,9 @@ def _cut(word: str, length: int) -> str:
     return f"substr({word}, 1, length({word}) - {length})"
 
 
-def _table(listed: str, measure: int) -> str:
+def _table(listed: tuple, measure: int) -> str:
     """One CASE over a suffix table: the longest suffix that fits decides."""
-    pairs = sorted((pair.split(":") for pair in listed.split()), key=lambda pair: -len(pair[0]))
+    pairs = sorted(listed, key=lambda pair: -len(pair[0]))
     cases = []
     for suffix, replacement in pairs:
         rest = _cut("w", len(suffix))
