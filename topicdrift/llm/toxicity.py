@@ -40,6 +40,8 @@ LABEL_ROUNDS = 30
 TRAIN_ROUNDS = 80
 #: Texts of the sample that must have a feature of the classifier.
 LEAST_TEXTS = 4
+#: Rows of the sample that are summed together.
+CHUNK_ROWS = 500
 #: Greatest log-odds of a text without known features.
 UNKNOWN = -0.4
 _SIZE = 1 << FEATURE_BITS
@@ -127,19 +129,57 @@ def label_model(votes: np.ndarray, given: np.ndarray, weight: np.ndarray) -> np.
     return chance
 
 
-def _votes(row: np.ndarray, feature: np.ndarray, rate: np.ndarray, patterns: np.ndarray, given: np.ndarray, weight: np.ndarray) -> np.ndarray:
+class _Rates:
+    """Square roots of the rates of the sample's features, row by row; sums go chunk by chunk."""
+
+    def __init__(self, sample: list):
+        seen = np.zeros(_SIZE, dtype=np.int32)
+        for x in sample:
+            seen[np.frombuffer(x.features, "<u4")] += 1
+        common = seen >= LEAST_TEXTS  # what only a few texts have would be learnt by heart
+        feature, value = [], []
+        for x in sample:
+            own = np.frombuffer(x.features, "<u4")
+            keep = common[own]
+            feature.append(own[keep].astype(np.int32))
+            value.append(np.sqrt(np.frombuffer(x.times, "<u4")[keep] / max(x.n_words, 1)).astype(np.float32))
+        self.rows = len(sample)
+        self.starts = np.r_[0, np.cumsum([len(x) for x in feature])]
+        self.feature, self.value = np.concatenate(feature), np.concatenate(value)
+
+    def _chunks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        for a in range(0, self.rows, CHUNK_ROWS):
+            b = min(self.rows, a + CHUNK_ROWS)
+            own = slice(self.starts[a], self.starts[b])
+            row = np.repeat(np.arange(b - a), np.diff(self.starts[a : b + 1]))
+            yield a, b, row, self.feature[own], self.value[own]
+
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        """For each row the sum of its values times the features' weights."""
+        return np.concatenate([np.bincount(row, value * weights[feature], b - a) for a, b, row, feature, value in self._chunks()])
+
+    def back(self, weights: np.ndarray, power: int = 1) -> np.ndarray:
+        """For each feature the sum of its values, to a power, times the rows' weights."""
+        return sum(np.bincount(feature, value**power * weights[a:b][row], _SIZE) for a, b, row, feature, value in self._chunks())
+
+    def columns(self, chosen: np.ndarray) -> np.ndarray:
+        """Rates of some features as a dense matrix."""
+        slot, out = np.full(_SIZE, -1), np.zeros((self.rows, len(chosen)))
+        slot[chosen] = np.arange(len(chosen))
+        for a, _, row, feature, value in self._chunks():
+            own = slot[feature] >= 0
+            out[a + row[own], slot[feature[own]]] = value[own] ** 2
+        return out
+
+
+def _votes(rates: _Rates, patterns: np.ndarray, given: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """0/1 votes of the lexicon and pattern voters."""
-    rows, ones, zeros = len(given), weight * (given > 0), weight * (given == 0)
-    mean = [np.bincount(feature, rate * own[row], _SIZE) / own.sum() for own in (ones, zeros)]
-    square = [np.bincount(feature, rate * rate * own[row], _SIZE) / own.sum() for own in (ones, zeros)]
+    ones, zeros = weight * (given > 0), weight * (given == 0)
+    mean = [rates.back(own / own.sum(), 2) for own in (ones, zeros)]
+    square = [rates.back(own / own.sum(), 4) for own in (ones, zeros)]
     spread = sum(np.maximum(s - m * m, 0) for s, m in zip(square, mean, strict=True))
     chosen = np.argsort(-(mean[0] - mean[1]) / np.sqrt(spread + 1e-9), kind="stable")[:LEXICON_VOTERS]
-    slot = np.full(_SIZE, -1)
-    slot[chosen] = np.arange(len(chosen))
-    own = slot[feature] >= 0
-    values = np.zeros((rows, len(chosen)))
-    values[row[own], slot[feature[own]]] = rate[own]
-    values = np.column_stack([values, patterns])
+    values = np.column_stack([rates.columns(chosen), patterns])
     out = np.zeros(values.shape, dtype=bool)
     for j in range(values.shape[1]):
         positive = values[:, j][values[:, j] > 0]
@@ -155,34 +195,22 @@ def train(sample: list, share: float) -> Model:
     if not len(given) or given.min() == given.max():
         likely = float(np.clip(given.mean(), 0.01, 0.99)) if len(given) else 0.01
         return Model(np.zeros(_SIZE, dtype=np.float32), float(np.log(likely / (1 - likely))))
-    feature = [np.frombuffer(x.features, "<u4") for x in sample]
-    row = np.repeat(np.arange(len(sample), dtype=np.int32), [len(x) for x in feature])
-    feature = np.concatenate(feature).astype(np.int32)
-    rate = np.concatenate([np.frombuffer(x.times, "<u4") for x in sample]) / np.maximum(np.array([x.n_words for x in sample]), 1)[row]
-    patterns = np.array([x.patterns for x in sample])
+    rates, patterns = _Rates(sample), np.array([x.patterns for x in sample])
+    sample.clear()
     weight = np.where(given > 0, share / given.mean(), (1 - share) / (1 - given.mean()))
-    target = label_model(_votes(row, feature, rate, patterns, given, weight), given, weight)
-
-    # what only a few texts have would be learnt by heart
-    common = np.bincount(feature, minlength=_SIZE)[feature] >= LEAST_TEXTS
-    row, feature, value = row[common], feature[common], np.sqrt(rate[common])
-    del rate
-    kept = np.arange(len(sample)) % 5 == 0
-    fit = ~kept[row]
-    frow, ffeature, fvalue = row[fit], feature[fit], value[fit]
-    mass = np.where(kept, 0, weight) / weight[~kept].sum()
+    target = label_model(_votes(rates, patterns, given, weight), given, weight)
 
+    kept = np.arange(rates.rows) % 5 == 0
+    mass = np.where(kept, 0, weight) / weight[~kept].sum()
     # the bias is the prior, so that a text without known features has it, too
     prior = float(np.log(share / (1 - share)))
 
     def gradient(at: np.ndarray) -> np.ndarray:
-        z = np.bincount(frow, fvalue * at[ffeature], len(sample)) + prior
-        off = mass * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
-        return np.bincount(ffeature, fvalue * off[frow], _SIZE) + 1e-5 * at
+        off = mass * (1 / (1 + np.exp(-np.clip(rates.dot(at) + prior, -30, 30))) - target)
+        return rates.back(off) + 1e-5 * at
 
     at = _adam(gradient, np.zeros(_SIZE), 0.3, TRAIN_ROUNDS)
-    z = np.bincount(row, value * at[feature], len(sample)) + prior
-    own, mass = z[kept], (weight / weight[kept].sum())[kept]
+    own, mass = (rates.dot(at) + prior)[kept], (weight / weight[kept].sum())[kept]
     bounded = np.clip(target[kept], 0.01, 0.99)
 
     def calibration(at: np.ndarray) -> np.ndarray:
