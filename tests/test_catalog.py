@@ -8,6 +8,8 @@ import pytest
 
 from check import _rows
 from __spark_entry__ import entry, oracle_sql, queries
+from topicdrift.catalog import ORACLE, QUERIES
+from topicdrift.runtime import intermediate_tables
 
 FOLDER = "/root/testdata/sf0.001"
 SLOW = ("sweep_",)
@@ -21,10 +23,13 @@ def database():
     return connection
 
 
-@pytest.mark.parametrize("name", [name for name in oracle_sql() if not name.startswith(SLOW)])
+@pytest.mark.parametrize("name", [name for name in ORACLE if not name.startswith(SLOW)])
 def test_equals_sql(spark, database, name):
-    frame = queries()[name](spark, FOLDER)
-    result = database.execute(oracle_sql()[name])
+    with intermediate_tables(spark):
+        _compare(QUERIES[name](spark, FOLDER), database.execute(ORACLE[name]))
+
+
+def _compare(frame, result):
     names = [column[0] for column in result.description]
     assert sorted(frame.columns) == sorted(names)
     assert _rows(frame.columns, frame.collect()) == _rows(names, result.fetchall())
