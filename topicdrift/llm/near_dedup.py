@@ -12,8 +12,8 @@
 5. Verified links give components. Members of a bucket that are in different components may
    still be linked with each other: their signatures are compared, tile by tile, by step 4. Of
    the survivors each member first sends its most similar partner to the exact check, then
-   (where its component is still another one) the next few, at last all, so that no pair between
-   two components is left unchecked. Pairs inside a component need no check, as they cannot
+   (where its component is still another one) all, so that no pair between two components is
+   left unchecked. Pairs inside a component need no check, as they cannot
    change the result.
 
 Joins are hinted to sort and merge, so that plans, and what they cost, are alike at every size.
@@ -43,9 +43,9 @@ BATCH = 16
 THRESHOLD = 75
 MISS = 1e-4
 #: Partners that a member sends to the exact check, round by round; the last round has no limit.
-PARTNERS = (1, 8, 1 << 62)
+PARTNERS = (1, 1 << 62)
 #: Members of a side of a tile.
-TILE = 256
+TILE = 1024
 
 _RNG = np.random.default_rng(11)
 _FLIP = _RNG.integers(0, 2**32, VALUES, dtype=np.uint32)
