@@ -202,7 +202,7 @@ def _rest(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold:
     label = labels.select(F.col("node").alias("rep"), "component")
     hubs = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
     placed = members.join(label, "rep", "left").join(hubs, "hub", "left").select(
-        "bucket", "rep", "hub", F.coalesce("component", "rep").alias("component"),
+        "bucket", "band", "rep", "hub", F.coalesce("component", "rep").alias("component"),
         (F.coalesce("component", "rep") == F.coalesce("hub_component", "hub")).alias("main"),
     )
     placed = stored(placed.where("rep <> hub"))
@@ -216,10 +216,10 @@ def _rest(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold:
     as_left = chunked.where(~F.col("main")).withColumn("right", F.explode(F.concat(
         F.transform(F.expr("sequence(chunk, others - 1)"), lambda i: F.lit(2) * i),
         F.expr("if(mains > 0, transform(sequence(0, mains - 1), i -> 2 * i + 1), array())"),
-    ))).select("bucket", F.col("chunk").alias("left"), "right", "rep", "component", F.lit(True).alias("is_left"))
+    ))).select("bucket", "band", F.col("chunk").alias("left"), "right", "rep", "component", F.lit(True).alias("is_left"))
     as_right = chunked.withColumn("left", F.explode(F.expr("if(main, sequence(0, others - 1), sequence(0, chunk))"))).select(
-        "bucket", "left", name(F.col("chunk"), F.col("main")).alias("right"), "rep", "component", F.lit(False).alias("is_left"))
-    rows = as_left.union(as_right).hint("merge").join(classes.select("rep", "n_shingles", "signature"), "rep")
+        "bucket", "band", "left", name(F.col("chunk"), F.col("main")).alias("right"), "rep", "component", F.lit(False).alias("is_left"))
+    rows = as_left.union(as_right).hint("merge").join(classes.select("rep", "n_shingles", "signature", "bands"), "rep")
 
     def compare(table: pa.Table) -> pa.Table:
         side = table["is_left"].to_numpy(zero_copy_only=False)
@@ -233,6 +233,11 @@ def _rest(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold:
         )
         keep, matches = survivors(_matrix(left["signature"])[i], _matrix(right["signature"])[j], needed)
         i, j = i[keep], j[keep]
+        # a pair counts in the first band it shares, so that it is sent once
+        keys = [np.array(side["bands"].to_pylist(), dtype=np.int64).reshape(-1, BANDED // BAND) for side in (left, right)]
+        shared = keys[0][i] == keys[1][j]
+        first = shared.argmax(axis=1) == table["band"][0].as_py() if len(i) else np.zeros(0, dtype=bool)
+        i, j, matches = i[first], j[first], matches[first]
         order = np.lexsort((b[j], -matches, i))
         i, j = i[order], j[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
@@ -264,7 +269,7 @@ def linked(
     classes = full.groupBy(keys).agg(F.min(F.struct("id", "signature", "bands")).alias("least"))
     classes = stored(classes.select(*keys, F.col("least.id").alias("rep"), "least.signature", "least.bands"))
 
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
+    banded = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", "band", F.xxhash64("band", "key").alias("bucket"))
     buckets = stored(banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub < most").drop("most"))
     members = stored(banded.join(buckets, "bucket"))
 
