@@ -41,7 +41,7 @@ BANDED = 128
 BATCH = 16
 #: Similarity in percent.
 THRESHOLD = 75
-MISS = 1e-4
+MISS = 1e-6
 #: Partners that a member sends to the exact check, round by round; the last round has no limit.
 PARTNERS = (1, 1 << 62)
 #: Members of a side of a tile.
