@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from conftest_llm import EDGES, lowered, prose
 
-from topicdrift.llm.lm import LEVEL_COUNT, LogFrequencyFilter, fill_segment, scored
+from topicdrift.llm.lm import LEVEL_COUNT, LogFrequencyFilter, fill_segment, scored, segment_size
 from topicdrift.llm.words import mix
 
 ROWS = EDGES + [(50 + i, prose(i % 9, 120, 60)) for i in range(40)]
@@ -62,3 +62,21 @@ def test_no_training_and_no_rows(make):
     for r in scored(make(held)).collect():
         assert r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.score == pytest.approx(r.base_score)
     assert scored(make(held).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [2_000, 200_000])
+def test_segments_grow_with_their_entries(n):
+    """The error rate is that of the bits of an entry, however many entries there are."""
+    keys = mix(np.arange(n, dtype=np.uint64))
+    counts = np.random.default_rng(5).zipf(1.6, n)
+    size = segment_size(counts)
+    assert LogFrequencyFilter([(0, *fill_segment(keys, counts, size))], 1, size).trust > 0.995
+
+
+def test_no_size_bounds_the_pairs(make, spark, monkeypatch):
+    """Nothing is broadcast, and every pair is found at its level, whatever the number of pairs."""
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("the filter is broadcast"))
+    rows = [(i, prose(i % 6, 300, 4000)) for i in range(120)]
+    found = {r.id: r.score for r in scored(make(rows), rows_per_block=7).collect()}
+    wide = {r.id: r.score for r in scored(make(rows), rows_per_block=7, filter_bytes=64 << 20).collect()}
+    assert found == pytest.approx(wide, rel=1e-2)  # a pair in 1000 is taken for a known one

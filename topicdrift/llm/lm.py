@@ -1,22 +1,21 @@
 """Language-model scores from a log-frequency Bloom filter of word-pair counts.
 
-Training documents are read once; each task counts the words and word pairs it has met, and
-sends every distinct one with its count to the part of an index that owns its hash. Parts add
-up. Counts of words stay exact, in a table. Counts of pairs are quantised to powers of two and
-put into a Bloom filter: a pair of level q enters as (pair, 1) .. (pair, q), and a reader asks
-for level 1, 2, ... until one is missing. Each part fills its own segment of the filter, whose
-whole size is a parameter, and so is what the broadcast costs.
+A block of documents sends each of its distinct words and word pairs once, with the number of
+times training documents of the block have it, to the part of an index that owns its hash. Parts
+add up and answer the blocks that asked. Counts of words are exact. Counts of pairs are quantised
+to powers of two and put into a Bloom filter, a segment for each part: a pair of level q enters as
+(pair, 1) .. (pair, q), and a reader asks for level 1, 2, ... until one is missing. A segment is
+sized by the entries it holds (`BITS_PER_ENTRY`), so its error rate does not depend on how large the
+corpus is, and it stays in the task that owns the part: nothing of it is broadcast or collected.
 
 The probability of a word w after v is (c(v, w) + k * p(w)) / (c(v) + k), with p(w) from exact
-counts. A count read from the filter is multiplied by 1 - (its false-positive rate), so that an
-overfull filter takes the model back to p(w). k is the one of `STRENGTHS` under which all training
-documents are likeliest, each without its own occurrences.
+counts. A count read from a segment is multiplied by 1 - (its false-positive rate). k is the one of
+`STRENGTHS` under which all training documents are likeliest, each without its own occurrences.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +26,14 @@ from topicdrift.llm.exchange import ROWS_PER_BLOCK, cells, in_blocks, joined, pa
 from topicdrift.llm.words import Words, mix, pieces
 from topicdrift.runtime import stored
 
-#: Largest size of the whole filter, and of a segment. About 9 bits for each of 43 million distinct pairs; larger corpora want more.
-FILTER_BYTES = 48 << 20
-SEGMENT_BYTES = 2 << 20
+#: Bits of the filter for each entry: with six probes 1 in 1000 absent entries is found by mistake.
+BITS_PER_ENTRY = 16
+LEAST_BYTES = 64
 #: Bytes of text scored at a time.
 SCORED_BYTES = 1 << 20
 MOST_PROBES = 6
 MOST_LEVELS = 40
 STRENGTHS = tuple(10.0 ** (x / 2) for x in range(0, 13))
-#: Entries a task holds before it sends its counts.
-HELD = 2_000_000
 
 _END = np.uint64(0x3C6EF372FE94F82B)
 
@@ -63,6 +60,15 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them; `_wide` takes the width from their number."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
+
+
+def _wide(cell: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(cell, f"u{len(cell) // n}").astype("i8")
+
+
 class LogFrequencyFilter:
     """Segments of one Bloom filter; a key belongs to the segment that owns its range."""
 
@@ -111,9 +117,18 @@ def _bit(hashes: np.ndarray, probe: int, bits: np.uint64) -> np.ndarray:
     return ((other >> np.uint64(32)) * bits) >> np.uint64(32)
 
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
+
+
+def segment_size(counts: np.ndarray) -> int:
+    """Bytes of a segment that gives every entry of the quantised counts its bits."""
+    return max(LEAST_BYTES, math.ceil(int(_levels(counts).sum()) * BITS_PER_ENTRY / 8))
+
+
 def fill_segment(keys: np.ndarray, counts: np.ndarray, segment_bytes: int) -> tuple[bytes, int]:
     """Bits of a segment that holds the quantised counts, and the number of probes."""
-    levels = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
+    levels = _levels(counts)
     entries, bits = max(1, int(levels.sum())), np.uint64(segment_bytes * 8)
     probes = int(min(MOST_PROBES, max(1, round(segment_bytes * 8 / entries * math.log(2)))))
     flags = np.zeros(segment_bytes * 8, dtype=bool)
@@ -135,7 +150,7 @@ def held_out(id_col: str, fold: int, folds: int = 5):
 
 def scored(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 1,
-    filter_bytes: int = FILTER_BYTES, rows_per_block: int = ROWS_PER_BLOCK,
+    filter_bytes: int | None = None, rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Scores of all documents under a model of those that are not held out.
 
@@ -143,71 +158,71 @@ def scored(
     A-Z lowered and one end for each text; null texts are empty (one end). Scores are log10.
     Null ids are training documents. Rows that share an id are rows of their own. Other columns
     are ignored. Without training documents counts are 0 and both scores agree. An empty table
-    gives none.
+    gives none. The filter grows with the pairs; `filter_bytes` gives it a fixed size instead, and
+    counts read from an overfull one fade to p(w).
     """
-    spark = docs.sparkSession
     held = held_out("id", fold)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("held", held)
     blocked, parts = in_blocks(rows, "id", "text", "held", rows_per_block=rows_per_block)
-    segment_bytes = max(64, min(SEGMENT_BYTES, filter_bytes // parts))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {0: [], 1: []}
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for kind, own in found.items():
-                keys, counts = _merged(own)
-                own.clear()
-                for batch in to_parts(kind, keys, parts, counts=counts).to_batches():
-                    yield batch
-
-        for batch in batches:
-            for _, data, offsets in pieces(batch.column(0)):
-                tokens = _tokens(Words(data, offsets, lower=True))
-                for kind, keys in ((0, tokens), (1, _pairs(tokens))):
-                    found[kind].append(np.unique(keys, return_counts=True))
-                if sum(len(x[0]) for own in found.values() for x in own) > HELD:
-                    yield from sent()
-        yield from sent()
-
-    def add(table: pa.Table) -> pa.Table:
-        kind, part = table["block"][0].as_py(), table["part"][0].as_py()
-        keys, counts = _merged(list(zip(cells(table["keys"], "u8"), cells(table["counts"], "i8"), strict=True)))
-        row = {"kind": kind, "part": part, "keys": keys.tobytes(), "counts": counts.tobytes(), "total": int(counts.sum()), "distinct": len(keys), "probes": 0}
-        if kind:
-            bits, probes = fill_segment(keys, counts, segment_bytes)
-            row |= {"keys": bits, "counts": None, "probes": probes}
-        types = {"kind": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "total": pa.int64(), "distinct": pa.int64(), "probes": pa.int32()}
-        return pa.table({name: pa.array([row[name]], kind) for name, kind in types.items()})
-
-    sent = rows.where("NOT held").select("text").mapInArrow(count, "part int, block int, keys binary, counts binary")
-    index = stored(sent.groupBy("block", "part").applyInArrow(add, "kind int, part int, keys binary, counts binary, total long, distinct long, probes int"))
-    words = index.where("kind = 0").select("part", "keys", "counts")
-    total, distinct = index.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    segments = index.where("kind = 1").select("part", "keys", "probes").collect()
-    pairs = spark.sparkContext.broadcast(LogFrequencyFilter([(r.part, r["keys"], r.probes) for r in segments], parts, segment_bytes))
-    del segments
-
-    def distinct_tokens(table: pa.Table) -> np.ndarray:
-        found = [np.unique(_tokens(Words(data, offsets, lower=True))) for _, data, offsets in pieces(table["text"])]
-        return np.unique(joined(found, "u8"))
+    fixed_bytes = None if filter_bytes is None else max(LEAST_BYTES, filter_bytes // parts)
 
     def ask(table: pa.Table) -> pa.Table:
-        return to_parts(table["block"][0].as_py(), distinct_tokens(table), parts)
+        training, found = ~table["held"].to_numpy(zero_copy_only=False), ([], [])
+        for first, data, offsets in pieces(table["text"]):
+            words = Words(data, offsets, lower=True)
+            tokens = _tokens(words)
+            learnt = np.repeat(training[first : first + len(words.per_doc)], words.per_doc + 1).astype("i8")
+            for own, keys in zip(found, (tokens, _pairs(tokens)), strict=True):
+                own.append(_merged([(keys, learnt)]))
+        out = []
+        for kind, own in enumerate(found):
+            keys, counts = _merged(own)
+            sent, bounds = to_parts(table["block"][0].as_py(), keys, parts), part_bounds(keys, parts)
+            narrow = [_narrow(counts[bounds[p] : bounds[p + 1]]) for p in sent["part"].to_pylist()]
+            sent = sent.append_column("counts", pa.array(narrow, pa.binary()))
+            out.append(sent.append_column("kind", pa.array(np.full(len(sent), kind), pa.int32())))
+        return pa.concat_tables(out)
 
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        keys, counts = joined(cells(known["keys"], "u8"), "u8"), joined(cells(known["counts"], "i8"), "i8")
-        replies = []
-        for wanted in cells(asked["keys"], "u8"):
-            place = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-            replies.append((np.where(keys[place] == wanted, counts[place], 0) if len(keys) else np.zeros(len(wanted), "i8")).tobytes())
-        return pa.table({"block": asked["block"], "part": asked["part"], "counts": pa.array(replies, pa.binary())})
+    def answer(asked: pa.Table) -> pa.Table:
+        wanted = cells(asked["keys"], "u8")
+        keys, counts = _merged([(x, _wide(cell, len(x))) for x, cell in zip(wanted, asked["counts"].to_pylist(), strict=True)])
+        learnt, reply, trust = counts > 0, counts, 1.0
+        if asked["kind"][0].as_py():
+            size = fixed_bytes or segment_size(counts[learnt])
+            pairs = LogFrequencyFilter([(0, *fill_segment(keys[learnt], counts[learnt], size))], 1, size)
+            reply, trust = pairs.levels(keys), pairs.trust
+        once = np.arange(len(wanted)) == 0
+        return pa.table({
+            "block": asked["block"], "part": asked["part"], "kind": asked["kind"],
+            "reply": pa.array([_narrow(reply[np.searchsorted(keys, x)]) for x in wanted], pa.binary()),
+            "trust": pa.array(np.full(len(wanted), trust)),
+            "total": pa.array(once * counts.sum()), "distinct": pa.array(once * np.count_nonzero(learnt)),
+        })
+
+    by_block = blocked.groupBy("block")
+    asked = by_block.applyInArrow(ask, "part int, block int, keys binary, counts binary, kind int")
+    answers = stored(asked.groupBy("kind", "part").applyInArrow(
+        answer, "block int, part int, kind int, reply binary, trust double, total long, distinct long"
+    ))
+    total, distinct = answers.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, model = distinct_tokens(table), pairs.value
-        bounds, counts = part_bounds(keys, parts), np.zeros(len(keys), dtype=np.int64)
-        for part, own in zip(answers["part"].to_pylist(), cells(answers["counts"], "i8"), strict=True):
-            counts[bounds[part] : bounds[part + 1]] = own
+        seen: tuple[list, list] = ([], [])
+        for _, data, offsets in pieces(table["text"]):
+            tokens = _tokens(Words(data, offsets, lower=True))
+            seen[0].append(np.unique(tokens))
+            seen[1].append(np.unique(_pairs(tokens)))
+        keys, pairs = (np.unique(joined(x, "u8")) for x in seen)
+        counts = np.zeros(len(keys), dtype=np.int64)
+        levels, trust = np.zeros(len(pairs), dtype=np.uint8), np.zeros(len(pairs))
+        bounds = part_bounds(keys, parts), part_bounds(pairs, parts)
+        for kind, part, reply, trusted in zip(*(answers[x].to_pylist() for x in ("kind", "part", "reply", "trust")), strict=True):
+            own = slice(bounds[kind][part], bounds[kind][part + 1])
+            found = _wide(reply, own.stop - own.start)
+            if kind:
+                levels[own], trust[own] = found, trusted
+            else:
+                counts[own] = found
         chance = (counts + 0.5) / (total + 0.5 * (distinct + 1))
         log_chance = np.log10(chance)
         training, out = ~table["held"].to_numpy(zero_copy_only=False), []
@@ -219,8 +234,8 @@ def scored(
             place = np.searchsorted(keys, tokens)
             own, p = counts[place].astype(float), chance[place]
             context = np.r_[float(counts[np.searchsorted(keys, _END)]), own[:-1]]
-            after = LEVEL_COUNT[model.levels(_pairs(tokens))]
-            after = np.minimum(after, np.minimum(own, context)) * model.trust
+            pair = np.searchsorted(pairs, _pairs(tokens))
+            after = np.minimum(LEVEL_COUNT[levels[pair]], np.minimum(own, context)) * trust[pair]
             learnt = np.repeat(training[first : first + texts], np.diff(np.r_[starts, len(tokens)]))
             less_after, less_context = np.maximum(after - learnt, 0), np.maximum(context - learnt, 0)
             scores, alone = np.empty((texts, len(STRENGTHS))), np.empty((texts, len(STRENGTHS)))
@@ -238,9 +253,6 @@ def scored(
             }))
         return pa.concat_tables(out)
 
-    by_block = blocked.groupBy("block")
-    asked = by_block.applyInArrow(ask, "part int, block int, keys binary")
-    answers = asked.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(answer, "block int, part int, counts binary")
     found = stored(by_block.cogroup(answers.groupBy("block")).applyInArrow(
         score, "id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, alone array<double>"
     ))
