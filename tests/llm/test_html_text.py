@@ -36,3 +36,16 @@ def test_table(spark):
     found = extracted(pages).collect()
     assert sorted((repr(r.page_id), r.text, r.n_chars) for r in found) == sorted((repr(i), main_text(h), len(main_text(h))) for i, _, h, _ in rows)
     assert extracted(pages.limit(0)).count() == 0
+
+
+LONG = PROSE + " " + PROSE
+
+
+@pytest.mark.parametrize(("page", "expected"), [
+    (f"<main><h1>T</h1><p>lead</p><article>{LONG}</article></main>", f"T\nlead\n{LONG}"),
+    (f"<article>{PROSE}</article><article>{LONG}</article>", f"{PROSE}\n{LONG}"),
+    (f"<article>one<article>{LONG}</article>three</article>", f"one\n{LONG}\nthree"),
+    (f"<p>one</p><article>{LONG}</article><p>{PROSE}</p>", f"one\n{LONG}\n{PROSE}"),
+])
+def test_articles_are_one_span(page, expected):
+    assert main_text(page) == expected

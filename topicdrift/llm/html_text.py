@@ -3,10 +3,10 @@
 Markup is stripped into lines: a line is the text of a block element, and lines know whether
 they stand in an article. Scripts, styles, forms, menus, headers, footers, sidebars, notices,
 adverts, comments and hidden elements give no line. The lengths of the lines are then summed
-over sliding windows: the text begins at the surge point, where the sums rise above a level and
-stay there for a window, and ends at the dive point, where they fall to nearly nothing. Where
-the page marks an article, surge and dive points are its own first and last line, as short
-headings and last paragraphs belong to it, too. All lines between the two are kept.
+over sliding windows: a text begins at a surge point, where the sums rise above a level, and ends
+at a dive point, where they fall to nearly nothing. A line of an article weighs as much as the
+level, so short headings and last paragraphs belong to it. All runs and short gaps between them are
+kept; where the page marks articles, all lines from the first to the last of theirs are one run.
 """
 
 from __future__ import annotations
@@ -115,38 +115,33 @@ def lines_of(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def _between(lengths: list[int]) -> tuple[int, int]:
-    """First and last line but one of the run with the most text between a surge and a dive point."""
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    best, at, i = (0, 0), 0, 0
+def _runs(weights: list[int]) -> list[tuple[int, int]]:
+    """First line and last but one of each run from a surge to a dive point; gaps of up to a window are closed."""
+    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+    runs: list[tuple[int, int]] = []
+    i = 0
     while i < len(sums):
-        if sums[i] < SURGE or not lengths[i]:
+        if sums[i] < SURGE:
             i += 1
             continue
         begin = i
         while i < len(sums) and sums[i] >= DIVE:
             i += 1
-        end = min(len(lengths), i)
-        if sum(lengths[begin:end]) > at:
-            best, at = (begin, end), sum(lengths[begin:end])
-    return best
+        if runs and begin - runs[-1][1] <= WINDOW:
+            begin = runs.pop()[0]
+        runs.append((begin, i))
+    return runs
 
 
 def main_text(page: str | None) -> str:
     """Main text, blocks joined by newlines; empty if the page has none."""
     lines = lines_of(page or "")
-    totals: dict[int, int] = {}
-    for line, article in lines:
-        if article:
-            totals[article] = totals.get(article, 0) + len(line)
-    if totals:
-        # an article and what is nested in it: the largest, and all lines between its first and last
-        chosen = max(totals, key=lambda x: (totals[x], -x))
-        at = [i for i, (_, article) in enumerate(lines) if article == chosen]
-        begin, end = at[0], at[-1] + 1
-    else:
-        begin, end = _between([len(line) for line, _ in lines])
-    return "\n".join(line for line, _ in lines[begin:end])
+    marked = [i for i, (_, article) in enumerate(lines) if article]
+    weights = [len(line) for line, _ in lines]
+    if marked:
+        for i in range(marked[0], marked[-1] + 1):
+            weights[i] = max(weights[i], SURGE)
+    return "\n".join(line for begin, end in _runs(weights) for line, _ in lines[begin:end])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
