@@ -49,3 +49,28 @@ LONG = PROSE + " " + PROSE
 ])
 def test_articles_are_one_span(page, expected):
     assert main_text(page) == expected
+
+
+def paragraphs(*sizes):
+    return "".join(f"<p>{'word ' * (n // 5)}{'x' * (n % 5)}</p>" for n in sizes)
+
+
+@pytest.mark.parametrize("sizes", [(30, 200, 200, 6), (200, 5, 4, 6, 200, 200), (200, 3, 3, 3, 3, 3, 3, 200)])
+def test_no_block_between_or_after_is_lost(sizes):
+    assert main_text(paragraphs(*sizes)).count("\n") == len(sizes) - 1
+
+
+@pytest.mark.parametrize(("page", "expected"), [
+    ("<article><p class=ad>x<p>Body<p>Body</article>", "Body\nBody"),
+    ("<article><ul><li class=ad>x<ul><li>no</ul><li>i</ul><p>y</article>", "i\ny"),
+    ("<article><ul><li>i<li class=ad>x</ul><p>y</article>", "i\ny"),
+    ("<article><table><tr><td class=ad>x<td>a<tr><td>b</table></article>", "a\nb"),
+    ("<article><div><p class=ad>x</div>y</article>", "y"),
+    (f"<div class='content has-sidebar'><p>{PROSE}</p></div>", PROSE),
+    (f"<h1 class='page-header'>T</h1><p>{PROSE}</p>", f"T\n{PROSE}"),
+    (f"<div class='sidebar wrapper'><p>{PROSE}</p><div class=ad>no</div><p>z</p></div>", f"{PROSE}\nz"),
+    (f"<div class=ad>no<script>{LONG}</script></div><p>{PROSE}</p>", PROSE),
+    (f"<p>one</p><article>{LONG}</article>three", f"one\n{LONG}\nthree"),
+])
+def test_nothing_else_is_dropped(page, expected):
+    assert main_text(page) == expected

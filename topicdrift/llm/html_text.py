@@ -38,6 +38,13 @@ UNWANTED = (
     "header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related "
     "replies respond share sharing sidebar signup social sponsor sponsored subscribe tags teaser toolbar widget"
 )
+#: Elements whose end tag may be missing, and the start tags that end them; the end of what holds them does, too.
+ENDED_BY = {
+    "p": frozenset(BLOCKS.split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
+    "td": frozenset("td th tr tbody tfoot".split()), "th": frozenset("td th tr tbody tfoot".split()), "tr": frozenset("tr tbody tfoot".split()),
+}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HOLDERS = frozenset("div section body td th center blockquote aside".split())
 _RAW, _PARTS, _ARTICLES, _BLOCKS, _VOID, _UNWANTED = (frozenset(x.split()) for x in (RAW, PARTS, ARTICLES, BLOCKS, VOID, UNWANTED))
 
 _TOKEN = re.compile(
@@ -47,6 +54,13 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
+#: Compound names in which an unwanted word only says what stands beside the text, or what the text is about.
+_BESIDE = re.compile(r"(?:^|[\s\"'])(?:has|with|without|no|not|is|page|post|entry|article|content)[-_][\w-]*|\w+[-_](?:price|prices|value)\b", re.IGNORECASE)
+
+
+def _named(attributes: str) -> bool:
+    """Whether a class, id or role names an unwanted part."""
+    return any(_UNWANTED & set(_WORD.findall(_BESIDE.sub(" ", x).lower())) for x in _NAMES.findall(attributes))
 
 
 def _unwanted(name: str, attributes: str, inside: bool) -> bool:
@@ -54,24 +68,41 @@ def _unwanted(name: str, attributes: str, inside: bool) -> bool:
     if name in _PARTS:
         return not (name == "header" and inside)
     if not attributes or name in ("body", "html") or name in _ARTICLES:
-        return bool(attributes) and name == "article" and any(_UNWANTED & set(_WORD.findall(x.lower())) for x in _NAMES.findall(attributes))
-    if _HIDDEN.search(attributes):
-        return True
-    return any(_UNWANTED & set(_WORD.findall(x.lower())) for x in _NAMES.findall(attributes))
+        return bool(attributes) and name == "article" and _named(attributes)
+    return bool(_HIDDEN.search(attributes)) or name not in HEADINGS and _named(attributes)
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """(text, number of the article or 0) of each block with text, in order."""
-    out: list[tuple[str, int]] = []
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """(text, number of the article or 0, number of the innermost holder) of each block with text, in order.
+
+    A part left out for its class that holds more text than all lines beside it is a wrapper, and is kept;
+    where lines of an article are left, no other part is.
+    """
+    kept: set[int] = set()
+    while True:
+        lines, parts = _lines(page, kept)
+        if not parts or any(article for _, article, _ in lines):
+            return lines
+        size, begin = max((sum(len(line) for line, _, _ in _lines(page[a:b], {0})[0]), -a) for a, b in parts)
+        if size <= SURGE or size <= sum(len(line) for line, _, _ in lines):
+            return lines
+        kept.add(-begin)
+
+
+def _lines(page: str, kept: set[int]) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
+    """Lines, and where parts left out for their class begin and end; those that begin at `kept` are not left out."""
+    out: list[tuple[str, int, int]] = []
+    parts: list[tuple[int, int]] = []
     text: list[str] = []
     articles, open_articles, article = 0, [], 0
-    skip, depth, place = "", 0, 0
+    holders, holder, named = 0, [("", 0)], -1
+    skip, depth, inner, place = "", 0, 0, 0
 
     def close() -> None:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                out.append((line, article))
+                out.append((line, article, holder[-1][1]))
             text.clear()
 
     for token in _TOKEN.finditer(page):
@@ -84,18 +115,33 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         closing, attributes = bool(token[1] or token[4]), token[3] or ""
         if skip:
             # raw text ends at its own end tag only; another part ends at an article, too, as its own end may be missing
-            if name == skip:
+            ended = False
+            if skip in ENDED_BY:
+                if not closing and not inner and name in ENDED_BY[skip]:
+                    ended = True
+                elif name in _BLOCKS and name not in _VOID and name not in ENDED_BY:
+                    ended = closing and not inner
+                    inner += 0 if ended else -1 if closing else 1
+                elif closing and name == skip and not inner:
+                    depth = 0
+            elif name == skip:
                 depth += -1 if closing else 0 if attributes.endswith("/") else 1
-            if depth and not (name in _ARTICLES and not closing and skip not in _RAW and not _unwanted(name, attributes, False)):
+            if depth and not ended and not (name in _ARTICLES and not closing and skip not in _RAW and not _unwanted(name, attributes, False)):
                 continue
+            if named >= 0:
+                parts.append((named, token.start()))
+            skip, named = "", -1
             if not depth:
-                skip = ""
                 continue
-            skip, depth = "", 0
-        if not closing and name not in _VOID and not attributes.endswith("/") and (name in _RAW or _unwanted(name, attributes, bool(open_articles))):
+            depth = 0
+        if not closing and name not in _VOID and not attributes.endswith("/") and (
+            name in _RAW or token.start() not in kept and _unwanted(name, attributes, bool(open_articles))
+        ):
             if name in _BLOCKS or name in _RAW:
                 close()
-            skip, depth = name, 1
+            skip, depth, inner = name, 1, 0
+            if name not in _RAW and name not in _PARTS and name not in _ARTICLES and not _HIDDEN.search(attributes):
+                named = token.start()
             continue
         if name == "br" or name in ("td", "th"):
             text.append(" ")
@@ -109,10 +155,19 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                 while open_articles.pop()[0] != name:
                     pass
             article = open_articles[-1][1] if open_articles else 0
+        if name in HOLDERS:
+            if not closing:
+                holders += 1
+                holder.append((name, holders))
+            elif any(x == name for x, _ in holder):
+                while holder.pop()[0] != name:
+                    pass
     if not skip:
         text.append(page[place:])
+    elif named >= 0:
+        parts.append((named, len(page)))
     close()
-    return out
+    return out, parts
 
 
 def _runs(weights: list[int]) -> list[tuple[int, int]]:
@@ -136,12 +191,24 @@ def _runs(weights: list[int]) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     """Main text, blocks joined by newlines; empty if the page has none."""
     lines = lines_of(page or "")
-    marked = [i for i, (_, article) in enumerate(lines) if article]
-    weights = [len(line) for line, _ in lines]
+    marked = [i for i, (_, article, _) in enumerate(lines) if article]
+    weights = [len(line) for line, _, _ in lines]
     if marked:
         for i in range(marked[0], marked[-1] + 1):
             weights[i] = max(weights[i], SURGE)
-    return "\n".join(line for begin, end in _runs(weights) for line, _ in lines[begin:end])
+    out, done = [], 0
+    for begin, end in _runs(weights):
+        # short blocks around a run belong to it if they stand in the same holder as its edge
+        if end <= done:
+            continue
+        begin = max(begin, done)
+        while begin > done and lines[begin - 1][2] == lines[begin][2]:
+            begin -= 1
+        while 0 < end < len(lines) and lines[end][2] == lines[end - 1][2]:
+            end += 1
+        out += [line for line, _, _ in lines[begin:end]]
+        done = max(done, end)
+    return "\n".join(out)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
