@@ -105,3 +105,17 @@ def test_stage_and_empty_table(make):
     assert sorted((r.doc_id for r in left.collect()), key=repr) == sorted([2, 9, None, 8, 7], key=repr)
     found, _ = linked(docs.limit(0))
     assert found.count() == 0 and kept(docs.limit(0)).count() == 0
+
+
+def test_stage_keeps_one_row_of_each_group(make):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(2, a), (5, b), (5, a + " end"), (2, a), (2, a), (6, b + " end"), (5, b), (2, a + " other"), (None, c), (None, c), (None, c + " end"), (4, None), (4, "")]
+    left = kept(make(rows)).collect()
+    assert sorted((repr(r.doc_id), (r.text or "")[:20]) for r in left) == sorted(
+        [("2", a[:20]), ("5", b[:20]), ("None", c[:20]), ("4", ""), ("4", "")])
+
+
+def test_stage_keeps_both_texts_of_a_shared_id(make):
+    a, b = prose(1, 60), prose(2, 60)
+    left = kept(make([(2, a), (2, b), (7, a + " end"), (8, b + " end")])).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == sorted([(2, a), (2, b)])

@@ -296,8 +296,23 @@ def linked(
     return found.select("id", "n_shingles", one("rep"), one("component_id")), links
 
 
+def _one_each(docs: DataFrame) -> DataFrame:
+    """The row of the smallest id in each component of rows, whatever ids the rows share."""
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    found, _ = linked(keyed, "row_key")
+    ids = keyed.select("row_key", "doc_id").distinct()
+    labels = found.select(F.col("id").alias("row_key"), "component_id").distinct()
+    least = ids.join(labels, "row_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("least"))
+    return keyed.dropDuplicates(["row_key"]).join(least.select("least.row_key"), "row_key", "left_semi").select(docs.columns)
+
+
 def kept(docs: DataFrame) -> DataFrame:
-    """Documents that are the smallest of their component; same columns. Rows without an id stay."""
-    found, _ = linked(docs)
-    first = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").union(docs.where("doc_id IS NULL")).select(docs.columns)
+    """One row of each component, the one of the smallest id; same columns.
+
+    Every row is judged by its own text: rows that share an id and hold other texts are documents of
+    their own, and a row repeated with its id and text stays once (any one, if other columns differ).
+    Rows without an id are compared with each other only, and one of each group stays.
+    """
+    named, nameless = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    left = _one_each(named)
+    return left if nameless.isEmpty() else left.union(_one_each(nameless))
