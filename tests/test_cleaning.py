@@ -2,7 +2,7 @@ import html
 import re
 
 import pytest
-from conftest import plan_of
+from plan_text import plan_of
 
 from topicdrift.functions.cleaning import VARIANTS, clean
 

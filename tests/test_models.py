@@ -1,5 +1,5 @@
 import pytest
-from conftest import plan_of
+from plan_text import plan_of
 from pyspark.sql import functions as F
 
 from topicdrift import sinks

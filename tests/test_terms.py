@@ -2,7 +2,7 @@ import math
 from collections import Counter
 
 import pytest
-from conftest import plan_of
+from plan_text import plan_of
 from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.sql import functions as F
 

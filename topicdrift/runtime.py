@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
@@ -31,8 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-# Paths of intermediate tables, one list per open scope; threads of a scope share its list.
-_scopes: list[list[str]] = []
+# Paths of intermediate tables, one list per open scope of a thread; see `side_by_side` for the
+# threads that work for a scope.
+_open = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_open, "scopes"):
+        _open.scopes = []
+    return _open.scopes
 
 
 @contextmanager
@@ -43,11 +51,12 @@ def intermediate_tables(spark: SparkSession) -> Iterator[None]:
     a scope the tables stay until the folder of ``spark.checkpoint.dir`` is cleaned.
     """
     own: list[str] = []
-    _scopes.append(own)
+    scopes = _scopes()
+    scopes.append(own)
     try:
         yield
     finally:
-        _scopes.remove(own)
+        scopes.remove(own)
         hadoop = spark.sparkContext._jsc.hadoopConfiguration()
         for name in own:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -57,8 +66,8 @@ def intermediate_tables(spark: SparkSession) -> Iterator[None]:
 def new_table_path(spark: SparkSession) -> str:
     """A new path in the shared folder; the innermost open scope owns it."""
     path = f"{shared_folder(spark).rstrip('/')}/topicdrift-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes():
+        _scopes()[-1].append(path)
     return path
 
 
@@ -100,8 +109,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def side_by_side(spark: SparkSession, work: Callable, items: Sequence, parallelism: int) -> list:
-    """Results of ``work`` per item, in order; up to ``parallelism`` submit jobs at a time."""
+    """Results of ``work`` per item, in order; up to ``parallelism`` submit jobs at a time.
+
+    Intermediate tables of all items belong to the scope open here.
+    """
     if parallelism == 1 or len(items) < 2:
         return [work(item) for item in items]
+    scopes = _scopes()
+
+    def scoped(item):
+        _open.scopes = list(scopes)
+        return work(item)
+
     with ThreadPool(min(parallelism, len(items))) as pool:
-        return pool.map(inheritable_thread_target(spark)(work), items, chunksize=1)
+        return pool.map(inheritable_thread_target(spark)(scoped), items, chunksize=1)
