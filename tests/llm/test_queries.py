@@ -18,6 +18,7 @@ def folder(tmp_path_factory, make, spark):
     spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").coalesce(1).write.parquet(f"{base}/pages.parquet")
     labels = [(1, 0, 0), (2, 1, 1), (3, None, 1), (4, 1, 0), (4, 0, 0), (None, 0, 0), (6, 0, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([(1, "One two X " + prose(4, 40)), (2, None), (3, "")], "item_id long, text string").coalesce(1).write.parquet(f"{base}/benchmark.parquet")
     return str(base)
 
 
@@ -26,7 +27,7 @@ def folder(tmp_path_factory, make, spark):
 def test_equals_sql(spark, folder, name, small):
     base = "/root/testdata/sf0.001" if small else folder
     database = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "benchmark"):
         files = f"{base}/{table}.parquet" if small else f"{base}/{table}.parquet/*.parquet"
         database.execute(f"CREATE VIEW {table} AS SELECT * FROM '{files}'")
     result = database.execute(ORACLE[name])

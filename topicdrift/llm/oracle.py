@@ -105,3 +105,71 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND solid >= 0.5 * word_chars AS kept
 FROM b"""
+
+# The remainder table of CRC-32 from its polynomial, and a step for each byte of a text. `crc(source, key, text)`
+# gives tables ending in `crc (key, crc)`.
+def _crc(source: str, key: str, text: str) -> str:
+    bits = "list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, byte)"
+    return f"""remainders AS MATERIALIZED (
+  SELECT list({bits} ORDER BY byte) AS rest FROM (SELECT unnest(range(0, 256)) AS byte)
+), coded AS MATERIALIZED (
+  SELECT {key}, list_transform(string_split(regexp_replace(hex(encode({text})), '(..)', '\\1 ', 'g'), ' ')[:-2],
+    lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM {source}
+), crc AS MATERIALIZED (
+  SELECT {key}, xor(list_reduce(bytes, lambda c, b: xor(c // 256, rest[xor(c % 256, b) + 1]), 4294967295), 4294967295) AS crc
+  FROM coded, remainders
+)"""
+
+
+TARGET_RESAMPLING = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM documents
+), wanted AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), counted AS MATERIALIZED (
+  SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word FROM words) GROUP BY ALL
+), listed AS (SELECT word FROM counted UNION SELECT word FROM wanted
+), """ + _crc("listed", "word", "word") + r""", bucketed AS MATERIALIZED (SELECT word, crc % 10000 AS bucket FROM crc
+), raw AS (SELECT bucket, sum(n) AS s FROM counted JOIN bucketed USING (word) GROUP BY bucket
+), target AS (SELECT bucket, count(*) AS t FROM wanted JOIN bucketed USING (word) GROUP BY bucket
+), gains AS MATERIALIZED (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM raw) + 10000.0::DOUBLE)
+    / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM target) + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM bucketed) LEFT JOIN raw USING (bucket) LEFT JOIN target USING (bucket)
+), weights AS (SELECT doc_id, sum(n * gain) AS weight FROM counted JOIN bucketed USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (doc_id)
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN place <= (SELECT count(*) * 10 // 100 FROM placed) THEN CAST(place AS BIGINT) END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)"""
+
+SHARDING = """
+WITH RECURSIVE rows AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size,
+    CAST('0x' || substr(sha256(coalesce(text, '')), 1, 15) AS BIGINT) AS own FROM documents
+), groups AS (SELECT own, CAST(sum(size) AS BIGINT) AS bytes FROM rows GROUP BY own
+), marked AS MATERIALIZED (SELECT own, bytes, bytes * 1536 > (SELECT sum(size) FROM rows) AS large FROM groups
+), items AS (
+  SELECT large, CASE WHEN large THEN own ELSE own % 6144 END AS item, CAST(sum(bytes) AS BIGINT) AS bytes FROM marked GROUP BY ALL
+), listed AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY bytes DESC, large DESC, item) AS place FROM items
+), placed AS (
+  SELECT CAST(0 AS BIGINT) AS place, list_transform(range(0, 24), lambda x: CAST(0 AS BIGINT)) AS loads, 0 AS shard
+  UNION ALL
+  SELECT next.place, list_transform(loads, lambda x, i: x + CASE WHEN i = list_position(loads, list_min(loads)) THEN bytes ELSE 0 END),
+    list_position(loads, list_min(loads)) - 1
+  FROM placed JOIN listed AS next ON next.place = placed.place + 1
+), found AS MATERIALIZED (
+  SELECT large, item, CAST(shard AS INTEGER) AS shard FROM listed JOIN placed USING (place)
+), crc_of AS (SELECT DISTINCT own, text FROM rows
+), """ + _crc("crc_of", "own", "text") + """
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM rows JOIN marked USING (own) JOIN crc USING (own)
+JOIN found ON found.large = marked.large AND found.item = CASE WHEN marked.large THEN own ELSE own % 6144 END"""

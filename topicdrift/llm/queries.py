@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicdrift.llm import decontamination, html_text, lm, near_dedup, oracle, packing, quality_rules, substring_dedup, token_files, toxicity, url_reputation
+from topicdrift.llm import decontamination, html_text, lm, near_dedup, oracle, packing, quality_rules, sharding, substring_dedup, target_resampling, token_files, toxicity, url_reputation, whitening
 from topicdrift.runtime import new_table_path
 
 #: The installed tokenizer files; other folders can be given to the operators.
@@ -72,6 +72,28 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder, with_ids=False)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviations that a long cannot hold are null; the operator has them as decimals."""
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = target_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+#: Shards of `op13_sharding`.
+SHARDS = 24
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(table(spark, sf_dir, "documents"), SHARDS)
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -83,10 +105,15 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_html_text": op9_html_text,
     "op10_token_files": op10_token_files,
+    "op11_whitening": op11_whitening,
+    "op12_target_resampling": op12_target_resampling,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op6_url_reputation": oracle.URL_REPUTATION,
     "op7_quality_rules": oracle.QUALITY_RULES,
+    "op12_target_resampling": oracle.TARGET_RESAMPLING,
+    "op13_sharding": oracle.SHARDING,
 }
