@@ -113,8 +113,8 @@ def test_sweep_and_its_reports(spark, corpus, tmp_path):
 
 def test_equal_trials_share_a_fit(corpus, monkeypatch):
     fits = []
-    real = topics.fit_ordered
-    monkeypatch.setattr(topics, "fit_ordered", lambda *more: fits.append(more[1:3]) or real(*more))
+    real = topics.fit_prepared
+    monkeypatch.setattr(topics, "fit_prepared", lambda *more: fits.append(more[1:3]) or real(*more))
     kept = TokenConfig(stop_words=None, cleanup="disabled")
     trials = [sweep.Trial("a", "none", PLAIN, 1, 2, 3), sweep.Trial("b", "none", kept, 1, 2, 3), sweep.Trial("c", "none", PLAIN, 1, 3, 3)]
     rows = sweep.sweep(corpus, trials, "doc_id", seed=2, vocabulary_size=None, terms_per_topic=4, window=10).collect()

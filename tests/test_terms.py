@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from plan_text import plan_of
 from pyspark.ml.feature import IDF, CountVectorizerModel
@@ -74,12 +75,24 @@ def _written(df):
     return path
 
 
-def test_a_vocabulary_too_large_for_a_model_names_the_remedy(spark, documents, monkeypatch):
+@pytest.mark.parametrize("weighting", [vectors.TFIDF, vectors.COUNT])
+@pytest.mark.parametrize("binary", [False, True])
+def test_broadcast_and_joined_vocabularies_agree(spark, documents, weighting, binary):
+    """Both give one vector per row, also rows without tokens and without a known term."""
     statistics = stored(terms.term_statistics(terms.bag_of_words(documents, ["doc_id"])))
-    weights = stored(terms.idf(terms.vocabulary(statistics, size=None), F.lit(6)))
-    monkeypatch.setattr(vectors, "MODEL_TERMS", 2)
-    with pytest.raises(ValueError, match="min_df"):
-        vectors.document_vectors(documents, weights, ["doc_id"])
+    weights = stored(terms.idf(terms.vocabulary(statistics, 2, size=None), F.lit(6)))
+    small, joined = (vectors.document_vectors(documents, weights, ["doc_id"], weighting, binary, limit) for limit in (1 << 26, 0))
+    found = sorted(map(str, vectors.entries(small, ["doc_id"]).collect()))
+    assert found == sorted(map(str, vectors.entries(joined, ["doc_id"]).collect()))
+    assert len(found) == documents.count()
+
+
+def test_dictionary_pieces_hold_all_terms_in_order(spark):
+    listed = spark.range(1000).selectExpr("id AS term_id", "concat('t', id) AS term", "id / 2 AS idf").repartition(7)
+    pieces = vectors.dictionary(listed).orderBy("first").collect()
+    table = pa.concat_tables([pa.ipc.open_stream(row["piece"]).read_all() for row in pieces])
+    assert table["term"].to_pylist() == [f"t{i}" for i in range(1000)]
+    assert table["idf"].to_pylist() == [i / 2 for i in range(1000)]
 
 
 def test_numbering_over_many_slices(spark):

@@ -81,10 +81,10 @@ SELECT topic, (SELECT count(*) FROM vocabulary) AS terms, CAST(1.0 AS DOUBLE) AS
 def lda_fit(spark, folder):
     """Each topic is a distribution over the whole vocabulary."""
     fitted = _fitted(spark, folder)
-    size, matrix = fitted.vocabulary.count(), fitted.model.topicsMatrix().toArray()
-    sums = [(topic, float(total)) for topic, total in enumerate((matrix / matrix.sum(axis=0)).sum(axis=0))]
-    rows = spark.createDataFrame(sums, "topic bigint, weight double")
-    return rows.select("topic", F.lit(size).cast("bigint").alias("terms"), F.round("weight", 6).alias("weight"))
+    sums = [F.sum(F.get("weights", F.lit(topic)) / total) for topic, total in enumerate(fitted.model.totals)]
+    rows = fitted.model.topics.agg(F.count_distinct("term_id").alias("terms"), F.array(*sums).alias("sums"))
+    return rows.select(F.posexplode("sums").alias("topic", "weight"), "terms").select(
+        F.col("topic").cast("bigint").alias("topic"), "terms", F.round("weight", 6).alias("weight"))
 
 
 PLANTED = 2

@@ -1,57 +1,281 @@
-"""Topic models, their terms and their distributions."""
+"""Topic models by online variational inference, with the topics as a table of terms.
+
+A model is a table ``(term_id, weights)``, an array of k weights per term; the driver holds a few
+numbers per topic only, so a vocabulary has no limit.
+
+* Rows are dealt once, by a hash of their keys, into slices (mini-batches); an iteration reads one
+  slice. Inside a slice, rows are in blocks of about `BLOCK_ENTRIES` entries, and a block asks for
+  each of its distinct terms once, however many of its rows hold it.
+* A term's weights are written by the slice that touched it, addressed to the slice that will ask
+  for it next. An iteration thus reads and writes the terms of its own slice only.
+* Weights that are not touched decay by the same factor; it is applied when they are read.
+* Starting weights follow from a hash of term, topic and seed and are not stored.
+
+Every iteration is a written table, so a lost executor costs a part of one iteration. The same rows
+and seed give the same model, up to the order in which tasks' sums are added.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..runtime import broadcast_if_small, side_by_side
+from ..functions.special import digamma, gamma_drawn, log_gamma, mixed, trigamma
+from ..runtime import BROADCAST_LIMIT_BYTES, broadcast_if_small, intermediate_tables, new_table_path, side_by_side, stored
+from .vectors import entries
 
 DISTRIBUTION = "topicDistribution"
 
-LEAST_PARTITIONS = 8
-PARTITION_ROWS = 4096
+#: Entries (terms of a row) of a block, and blocks of a slice at least.
+BLOCK_ENTRIES = 1 << 17
+LEAST_BLOCKS = 16
+
+# The usual learning rate (offset + iteration) ** -exponent, and the start of the weights.
+RATE_OFFSET = 1024
+RATE_EXPONENT = 0.51
+START_SHAPE = 100.0
+
+#: A row's topic weights are found when they change by less than this on average.
+CHANGE = 1e-3
+ROUNDS = 100
+
+_SCORE = "gamma array<double>, score double, mass double"
+_STATE = "term_id bigint, next int, m array<double>"
+
+
+@dataclass(frozen=True)
+class TopicModel:
+    """Topics as a stored table ``(term_id, weights)``; `totals` are the sums of the weights of each topic."""
+
+    k: int
+    terms: int
+    alpha: tuple[float, ...]
+    eta: float
+    totals: tuple[float, ...]
+    topics: DataFrame
+
 
+@dataclass(frozen=True)
+class Prepared:
+    """Vectors dealt into slices and blocks, for one or more fits.
+
+    `docs` ``(slice, block, indices, values)``; `asks` ``(slice, block, term_id, next, owner)``: the distinct
+    terms of a block, the slice that needs a term next, and the one block of the slice that answers for it.
+    Slices are numbered from 0 in the order of iterations; `rows` counts the rows of each.
+    """
+
+    docs: DataFrame
+    asks: DataFrame
+    rows: tuple[int, ...]
+    terms: int
+
+
+def _blocked(keys: Sequence[str | Column], seed: int, entry_count: int) -> Column:
+    blocks = max(LEAST_BLOCKS, -(-entry_count // BLOCK_ENTRIES))
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), *keys), F.lit(blocks)).cast("int")
 
-def in_fixed_order(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``vectors`` in partitions and an order that follow from the rows alone.
 
-    The model samples by partition and position, and a table's files come back in any
-    order. The number of partitions follows the rows, never the cores. ``keys`` identify
-    a row.
+def prepare(vectors: DataFrame, keys: Sequence[str], seed: int, subsampling_rate: float = 0.05) -> Prepared:
+    """Slices of about `subsampling_rate` of the rows of ``features``; rows without entries take no part.
+
+    ``keys`` identify a row and decide, with the seed, where it goes.
     """
-    partitions = max(LEAST_PARTITIONS, -(-vectors.count() // PARTITION_ROWS))
-    return vectors.select(*keys, "features").repartition(partitions, *keys).sortWithinPartitions(*keys)
+    slices = max(1, round(1 / subsampling_rate))
+    number = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(slices)).cast("int")
+    rows = entries(vectors, keys).withColumn("raw", number)
+    counted = rows.groupBy("raw").agg(
+        F.count_if(F.size("indices") > 0).alias("rows"), F.sum(F.size("indices")).alias("entries"), F.max("size").alias("terms")
+    ).collect()
+    full = sorted((row for row in counted if row["rows"]), key=lambda row: row["raw"])
+    if not full:
+        raise ValueError("no row has a term of the vocabulary")
+    order = F.array_position(F.array(*[F.lit(row["raw"]) for row in full]), F.col("raw")).cast("int") - 1
+    block = _blocked(keys, seed, max(row["entries"] for row in full))
+    dealt = rows.where(F.size("indices") > 0).select(order.alias("slice"), block.alias("block"), "indices", "values")
+    docs = stored(dealt, partition_by=["slice"])
+    asked = stored(docs.select("slice", "block", F.explode(F.col("indices").cast("array<bigint>")).alias("term_id")).distinct())
+    own = Window.partitionBy("term_id").orderBy("slice")
+    touched = asked.groupBy("term_id", "slice").agg(F.min("block").alias("answers"))
+    # A term's slices are at most as many as there are slices.
+    routed = touched.withColumn("next", F.coalesce(F.lead("slice").over(own), F.first("slice").over(own)))
+    asks = asked.join(routed, ["term_id", "slice"]).select("slice", "block", "term_id", "next", (F.col("block") == F.col("answers")).alias("owner"))
+    return Prepared(docs, stored(asks, partition_by=["slice"]), tuple(row["rows"] for row in full), max(row["terms"] for row in counted))
+
+
+def _start(ids: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Starting weights of terms, a row of k for each."""
+    places = ids.astype(np.uint64)[:, None] * np.uint64(k) + np.arange(k, dtype=np.uint64)
+    return gamma_drawn(places + mixed(np.array([seed], dtype=np.int64)), START_SHAPE)
+
+
+def _lists(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a list column and where each list starts (one more at the end); nulls are empty."""
+    sizes = [0 if one is None else one for one in pa.compute.list_value_length(column).to_pylist()]
+    flat = column.combine_chunks().flatten() if len(column) else pa.array([], pa.float64())
+    return flat.to_numpy(zero_copy_only=False).astype(kind), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _matrix(column: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of k numbers, and which rows are null (their numbers are 0)."""
+    null = column.is_null().to_numpy(zero_copy_only=False).astype(bool)
+    out = np.zeros((len(null), k))
+    if not null.all():
+        out[~null] = column.drop_null().combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+    return out, null
+
+
+def _infer(counts: np.ndarray, weights: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Topic weights of a row, exp(E[log share]), and the normalisers of its terms."""
+    gamma = np.ones(len(alpha))
+    share = np.exp(digamma(gamma) - digamma(gamma.sum(keepdims=True)))
+    norm = weights @ share + 1e-100
+    for _ in range(ROUNDS):
+        before = gamma
+        gamma = share * (weights.T @ (counts / norm)) + alpha
+        share = np.exp(digamma(gamma) - digamma(gamma.sum(keepdims=True)))
+        norm = weights @ share + 1e-100
+        if np.abs(gamma - before).mean() < CHANGE:
+            break
+    return gamma, share, norm
+
+
+def _alpha_step(alpha: np.ndarray, log_shares: np.ndarray, rows: int, rate: float) -> np.ndarray:
+    """A Newton step for the prior of rows, given their summed expected log shares."""
+    if len(alpha) < 2:
+        return alpha
+    gradient = rows * (digamma(alpha.sum(keepdims=True)) - digamma(alpha) + log_shares / rows)
+    c, q = rows * trigamma(alpha.sum(keepdims=True)), -rows * trigamma(alpha)
+    step = -(gradient - (gradient / q).sum() / (1 / c + (1 / q).sum())) / q
+    after = alpha + rate * step
+    return after if (after > 0).all() else alpha
 
 
 def fit(
     vectors: DataFrame, keys: Sequence[str], k: int, max_iter: int, seed: int, subsampling_rate: float = 0.05
-) -> LDAModel:
+) -> TopicModel:
     """Online LDA over ``features``; the same seed and rows give the same model.
 
-    Iterations read the vectors from the cache, one vector per row shuffled once into a
-    fixed order. Weights can differ in their last digits, as sums of tasks come in any order.
+    Rows without entries take no part. Raises if no row has any.
+    """
+    path = new_table_path(vectors.sparkSession)
+    with intermediate_tables(vectors.sparkSession):
+        return _fit(prepare(vectors, keys, seed, subsampling_rate), k, max_iter, seed, path)
+
+
+def fit_prepared(prepared: Prepared, k: int, max_iter: int, seed: int) -> TopicModel:
+    """A fit over vectors that are dealt already."""
+    spark = prepared.docs.sparkSession
+    path = new_table_path(spark)
+    with intermediate_tables(spark):
+        return _fit(prepared, k, max_iter, seed, path)
+
+
+def _fit(prepared: Prepared, k: int, max_iter: int, seed: int, path: str) -> TopicModel:
+    spark, slices, terms, corpus = prepared.docs.sparkSession, len(prepared.rows), prepared.terms, sum(prepared.rows)
+    eta, alpha = 1.0 / k, np.full(k, 1.0 / k)
+    above = _start_totals(spark, terms, k, seed) - terms * eta  # sums of what weights have above eta
+    rates = [(RATE_OFFSET + t) ** -RATE_EXPONENT for t in range(1, max_iter + 1)]
+    tables: list[str] = []
+
+    def decay(first: int, last: int) -> float:
+        """What is left after iterations first + 1 to last of weights that none of them touched."""
+        return float(np.prod([1 - rate for rate in rates[first:last]]))
+
+    def written(last: int, next_slice: Column) -> DataFrame:
+        """Rows of the last tables that match, with weights as they are after iteration `last`."""
+        since = max(0, last - slices)
+        left = F.element_at(F.array(*[F.lit(decay(t, last)) for t in range(since + 1, last + 1)]), F.col("t") - since)
+        rows = spark.read.schema(_STATE + ", t int").parquet(*tables[since:last]).where(next_slice)
+        return rows.withColumn("left", left).select("term_id", F.transform("m", lambda x: x * F.col("left")).alias("m"))
+
+    for t in range(1, max_iter + 1):
+        number, rate = (t - 1) % slices, rates[t - 1]
+        batch = prepared.rows[number]
+        asks, docs = (table.where(F.col("slice") == number).drop("slice") for table in (prepared.asks, prepared.docs))
+        if t > 1:
+            asks = asks.join(written(t - 1, F.col("next") == number), "term_id", "left")
+        else:
+            asks = asks.withColumn("m", F.lit(None).cast("array<double>"))
+        step = _step(k, alpha, eta, terms * eta + above, seed, decay(0, t - 1), rate, corpus / batch)
+        found = docs.groupBy("block").cogroup(asks.groupBy("block")).applyInArrow(step, _STATE)
+        added = F.array(*[F.sum(F.get("m", F.lit(j))) for j in range(k)])
+        table = found.groupBy("term_id").agg(F.max("next").alias("next"), added.alias("m")).withColumn("t", F.lit(t))
+        tables.append(new_table_path(spark))
+        table.write.parquet(tables[-1])
+        sums = {row["term_id"]: np.array(row["m"]) for row in spark.read.schema(_STATE).parquet(tables[-1]).where("term_id < 0").collect()}
+        above = (1 - rate) * above + sums[-1]
+        alpha = _alpha_step(alpha, sums[-2], batch, rate)
+
+    # A row is up to date if the slice it is addressed to has not come since it was written.
+    comes = F.col("t") + 1 + F.pmod(F.col("next") - F.pmod(F.col("t") - 1, F.lit(slices)) - 1, F.lit(slices))
+    touched = written(max_iter, (F.col("term_id") >= 0) & (comes > max_iter))
+    every = spark.range(terms).withColumnRenamed("id", "term_id").join(touched, "term_id", "left")
+    finish = _finish(k, eta, seed, decay(0, max_iter))
+    every.mapInArrow(finish, "term_id int, weights array<double>").write.parquet(path)
+    topics = spark.read.schema("term_id int, weights array<double>").parquet(path)
+    return TopicModel(k, terms, tuple(alpha.tolist()), eta, tuple((terms * eta + above).tolist()), topics)
+
+
+def _start_totals(spark, terms: int, k: int, seed: int) -> np.ndarray:
+    def add(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"sums": [_start(batch.column(0).to_numpy(), k, seed).sum(axis=0).tolist()]})
+
+    sums = spark.range(terms).mapInArrow(add, "sums array<double>")
+    return np.array(sums.agg(F.array(*[F.sum(F.get("sums", F.lit(j))) for j in range(k)])).first()[0])
+
+
+def _step(k: int, alpha: np.ndarray, eta: float, totals: np.ndarray, seed: int, start_left: float, rate: float, scale: float):
+    """Of a block: what its rows add to each of its terms; of the terms it answers for, also what they had.
+
+    The row of term -1 has the sums of what was added, that of -2 the expected log shares of all rows.
     """
-    ordered = in_fixed_order(vectors, keys).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return fit_ordered(ordered, k, max_iter, seed, subsampling_rate)
-    finally:
-        ordered.unpersist()
 
+    def step(docs: pa.Table, asks: pa.Table) -> pa.Table:
+        asks = asks.sort_by("term_id")
+        ids = asks["term_id"].to_numpy()
+        had, unknown = _matrix(asks["m"], k)
+        had[unknown] = (_start(ids[unknown], k, seed) - eta) * start_left
+        weights = np.exp(digamma(had + eta) - digamma(totals))
+        (places, starts), (counts, _) = _lists(docs["indices"], np.int64), _lists(docs["values"], float)
+        places = np.searchsorted(ids, places)
+        added, log_shares = np.zeros_like(weights), np.zeros(k)
+        for first, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            own, n = places[first:end], counts[first:end]
+            gamma, share, norm = _infer(n, weights[own], alpha)
+            added[own] += np.outer(n / norm, share)
+            log_shares += digamma(gamma) - digamma(gamma.sum(keepdims=True))
+        added *= weights * rate * scale
+        owner = asks["owner"].to_numpy(zero_copy_only=False).astype(bool)
+        after = added + np.where(owner[:, None], had * (1 - rate), 0.0)
+        rows = [*after, added.sum(axis=0), log_shares]
+        following = pa.concat_arrays([asks["next"].combine_chunks().cast(pa.int32()), pa.nulls(2, pa.int32())])
+        return pa.table({"term_id": pa.array(np.r_[ids, [-1, -2]].astype(np.int64)), "next": following, "m": pa.array(rows, pa.list_(pa.float64()))})
+
+    return step
+
+
+def _finish(k: int, eta: float, seed: int, start_left: float):
+    """Weights of terms; those never touched have what is left of their start."""
+
+    def finish(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            above, unknown = _matrix(pa.chunked_array([batch.column(1)]), k)
+            above[unknown] = (_start(ids[unknown], k, seed) - eta) * start_left
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(list(above + eta), pa.list_(pa.float64()))], ["term_id", "weights"])
 
-def fit_ordered(vectors: DataFrame, k: int, max_iter: int, seed: int, subsampling_rate: float = 0.05) -> LDAModel:
-    """A fit over vectors that the caller has put into a fixed order and cached."""
-    return LDA(k=k, maxIter=max_iter, seed=seed, subsamplingRate=subsampling_rate).fit(vectors)
+    return finish
 
 
 def fit_per_period(
     vectors: DataFrame, keys: Sequence[str], periods: Sequence[str], k: int, max_iter: int, seed: int,
     subsampling_rate: float = 0.05, parallelism: int = 1,
-) -> dict[str, LDAModel]:
+) -> dict[str, TopicModel]:
     """One model per period over the same vocabulary; periods without documents are left out.
 
     Vectors stored by period let each fit read its own folder only.
@@ -67,32 +291,132 @@ def fit_per_period(
     return dict(zip(present, models))
 
 
-def topic_terms(model: LDAModel, vocabulary: DataFrame, n: int = 10) -> DataFrame:
+def heaviest(model: TopicModel, n: int) -> DataFrame:
+    """``(topic, rank, term_id, weight)``, weights of a topic adding up to 1 over all terms; ties to the smaller id.
+
+    Each task sends its ``n`` heaviest terms of each topic.
+    """
+    totals, k = np.array(model.totals), model.k
+
+    def best(batches):
+        kept: list = [None] * k
+        for batch in batches:
+            ids, (weights, _) = batch.column(0).to_numpy(), _matrix(pa.chunked_array([batch.column(1)]), k)
+            for j in range(k):
+                own = np.stack([weights[:, j] / totals[j], ids]) if kept[j] is None else np.hstack([kept[j], [weights[:, j] / totals[j], ids]])
+                kept[j] = own[:, np.lexsort((own[1], -own[0]))[:n]]
+        for j, own in enumerate(kept):
+            if own is not None:
+                size = own.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(size, j, np.int32)), pa.array(own[1].astype(np.int32)), pa.array(own[0])], ["topic", "term_id", "weight"])
+
+    found = model.topics.mapInArrow(best, "topic int, term_id int, weight double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "term_id")))
+    return ranked.where(F.col("rank") <= n).select("topic", "rank", "term_id", "weight")
+
+
+def topic_terms(model: TopicModel, vocabulary: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` heaviest terms of each topic: ``(topic, rank, term, weight)``.
 
     The topics' k x n term ids are the broadcast side, if they measure small.
     """
-    described = model.describeTopics(n).select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("_place", "_entry")
-    )
-    ids = described.select(
-        "topic",
-        (F.col("_place") + 1).alias("rank"),
-        F.col("_entry.termIndices").alias("term_id"),
-        F.col("_entry.termWeights").alias("weight"),
-    )
-    named = vocabulary.select("term_id", "term").join(broadcast_if_small(ids), "term_id")
+    named = vocabulary.select("term_id", "term").join(broadcast_if_small(heaviest(model, n)), "term_id")
     return named.select("topic", "rank", "term", "weight")
 
 
-def topic_distribution(model: LDAModel, vectors: DataFrame) -> DataFrame:
-    """``vectors`` with the topic shares of each row as an array instead of the features."""
-    shares = vector_to_array(F.col(DISTRIBUTION)).alias(DISTRIBUTION)
+def _score(ids, raw, indices, values, alpha, totals, complete) -> pa.StructArray:
+    """Of each row of term ids and values: topic weights, score and mass; see `_scored`.
+
+    `ids` are the sorted terms whose weights are the rows of `raw`; all terms of the rows are among them.
+    """
+    weights, shares = np.exp(digamma(raw) - digamma(totals)), raw / totals
+    (places, starts), (counts, _) = _lists(indices, np.int64), _lists(values, float)
+    places = np.searchsorted(ids, places)
+    seen = (mixed(ids) & np.uint64(1)).astype(bool)
+    gammas, scores, masses = [], [], []
+    for first, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        own, n = places[first:end], counts[first:end]
+        asked = left = np.zeros(0, dtype=np.int64)
+        if complete:
+            other = ~seen[own]
+            asked, left = own[other], n[other]
+            own, n = own[~other], n[~other]
+        gamma, norm = alpha, np.ones(0)
+        if len(own):
+            gamma, _, norm = _infer(n, weights[own], alpha)
+        if complete:
+            scores.append(float((left * np.log(shares[asked] @ (gamma / gamma.sum()))).sum()))
+            masses.append(float(left.sum()))
+        else:
+            expected = digamma(gamma) - digamma(gamma.sum(keepdims=True))
+            scores.append(float(
+                (n * np.log(norm)).sum() + ((alpha - gamma) * expected).sum() + (log_gamma(gamma) - log_gamma(alpha)).sum()
+                + (log_gamma(alpha.sum(keepdims=True)) - log_gamma(gamma.sum(keepdims=True)))[0]
+            ))
+            masses.append(float(n.sum()))
+        gammas.append(gamma if first < end else np.zeros(len(alpha)))
+    return pa.StructArray.from_arrays(
+        [pa.array(gammas, pa.list_(pa.float64())), pa.array(scores, pa.float64()), pa.array(masses, pa.float64())], ["gamma", "score", "mass"]
+    )
+
+
+def _scored(model: TopicModel, vectors: DataFrame, complete: bool = False, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """``vectors`` with ``_gamma``, ``_score`` and ``_mass`` instead of the features.
+
+    The score is a row's part of the variational bound, its mass the sum of its values. With `complete`,
+    half of a row's terms (by a hash of the term) give its topics; the score is the log probability of
+    the other half, whose mass it is.
+
+    Topics of at most ``limit`` bytes are broadcast, and rows stay where they are, so that filters reach
+    their scan. Otherwise blocks of rows ask for their terms.
+    """
+    kept = [F.col(f"`{name}`") for name in vectors.columns if name != "features"]
+    k, alpha, totals, terms = model.k, np.array(model.alpha), np.array(model.totals), model.terms
+    if 8 * k * terms <= limit:
+        listed = model.topics.toArrow()
+        order = np.argsort(listed["term_id"].to_numpy())
+        held = vectors.sparkSession.sparkContext.broadcast(_matrix(listed["weights"], k)[0][order])
+
+        def score(batches):
+            for indices, values in batches:
+                yield _score(np.arange(terms), held.value, pa.chunked_array([indices]), pa.chunked_array([values]), alpha, totals, complete)
+
+        # The types of an iterator of several columns; annotations of this module are strings.
+        score.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+        parts = F.unwrap_udt("features")
+        scored = vectors.select(*kept, F.arrow_udf(score, _SCORE)(parts["indices"], parts["values"]).alias("_scored"))
+        return scored.select(*kept, *[F.col("_scored")[name].alias(f"_{name}") for name in ("gamma", "score", "mass")])
+
+    names = [name for name in vectors.columns if name != "features"]
+    rows = entries(vectors, [f"`{name}`" for name in names]).drop("size")
+    total = rows.agg(F.coalesce(F.sum(F.size("indices")), F.lit(0))).first()[0]
+    rows = rows.withColumn("_block", _blocked([*kept, "indices"], 0, total))
+    asked = rows.select(F.col("_block").alias("_asker"), F.explode("indices").alias("term_id")).distinct().join(model.topics, "term_id")
+
+    def score_block(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        asked = asked.sort_by("term_id")
+        found = _score(asked["term_id"].to_numpy(), _matrix(asked["weights"], k)[0], docs["indices"], docs["values"], alpha, totals, complete)
+        return pa.table({name: docs[name] for name in names} | {f"_{name}": found.field(name) for name in ("gamma", "score", "mass")})
+
+    fields = [T.StructField(name, rows.schema[name].dataType) for name in names]
+    extra = T.StructType.fromDDL("_gamma array<double>, _score double, _mass double").fields
+    return rows.groupBy("_block").cogroup(asked.groupBy("_asker")).applyInArrow(score_block, T.StructType([*fields, *extra]))
+
+
+def topic_distribution(model: TopicModel, vectors: DataFrame) -> DataFrame:
+    """``vectors`` with the topic shares of each row as an array instead of the features.
+
+    A row without a term of the vocabulary has shares of 0.
+    """
+    scored = _scored(model, vectors)
     kept = [name for name in vectors.columns if name != "features"]
-    return model.transform(vectors).select(*kept, shares)
+    total = F.aggregate("_gamma", F.lit(0.0), lambda total, one: total + one)
+    shares = F.transform("_gamma", lambda one: F.when(F.col("_total") > 0, one / F.col("_total")).otherwise(0.0))
+    return scored.withColumn("_total", total).select(*[F.col(f"`{name}`") for name in kept], shares.alias(DISTRIBUTION))
 
 
-def period_topic_distribution(models: Mapping[str, LDAModel], vectors: DataFrame) -> DataFrame:
+def period_topic_distribution(models: Mapping[str, TopicModel], vectors: DataFrame) -> DataFrame:
     """Shares of each row under the model of its own period."""
     parts = [
         topic_distribution(model, vectors.where(F.col("period") == period))
@@ -106,6 +430,36 @@ def period_topic_distribution(models: Mapping[str, LDAModel], vectors: DataFrame
     return united
 
 
-def log_perplexity(model: LDAModel, vectors: DataFrame) -> float:
+def _topics_bound(model: TopicModel) -> float:
+    """The part of the bound that depends on the topics alone."""
+    totals, eta, k = np.array(model.totals), model.eta, model.k
+
+    def add(batches):
+        for batch in batches:
+            weights, _ = _matrix(pa.chunked_array([batch.column(1)]), k)
+            expected = digamma(weights) - digamma(totals)
+            yield pa.RecordBatch.from_pydict({"part": [float(((eta - weights) * expected + log_gamma(weights) - log_gamma(np.array([eta]))).sum())]})
+
+    whole = model.topics.mapInArrow(add, "part double").agg(F.sum("part")).first()[0]
+    return whole + float((log_gamma(np.array([eta * model.terms])) - log_gamma(totals)).sum())
+
+
+def log_perplexity(model: TopicModel, vectors: DataFrame) -> float:
     """Upper bound on the log-perplexity per unit of weight, on the given vectors."""
-    return model.logPerplexity(vectors)
+    score, mass = _scored(model, vectors).agg(F.sum("_score"), F.sum("_mass")).first()
+    return -(score + _topics_bound(model)) / mass
+
+
+def held_out(keys: Sequence[str], percent: int = 10, seed: int = 0) -> Column:
+    """Whether a row belongs to the `percent` of 100 rows that a fit shall not see; follows from keys and seed."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit("held out"), *keys), F.lit(100)) < percent
+
+
+def held_out_log_perplexity(model: TopicModel, vectors: DataFrame) -> float:
+    """Log-perplexity per unit of weight of rows the model has not seen, by completion.
+
+    Half of the terms of each row give its topics (the topics of the model stay as they are); the
+    other half is scored by the row's mixture of topics. No bound: values of any models compare.
+    """
+    score, mass = _scored(model, vectors, complete=True).agg(F.sum("_score"), F.sum("_mass")).first()
+    return -score / mass

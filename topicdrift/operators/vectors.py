@@ -4,48 +4,82 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
-from pyspark.ml.linalg import Vectors, VectorUDT
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..runtime import broadcast_if_small, stored
+from ..runtime import BROADCAST_LIMIT_BYTES, broadcast_if_small, size_in_bytes, stored
+from .terms import bag_of_words
 
 TFIDF = "tfidf"
 COUNT = "count"
 
-# Terms of a topic model at most: its matrix of topics and terms is held by the driver.
-MODEL_TERMS = 1 << 23
+# How a sparse vector is stored.
+_LAYOUT = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 
 
 def document_vectors(
-    tokens: DataFrame, weights: DataFrame, keys: Sequence[str], weighting: str = TFIDF, binary: bool = False
+    tokens: DataFrame, weights: DataFrame, keys: Sequence[str], weighting: str = TFIDF, binary: bool = False,
+    limit: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """``(keys, features)`` of token lists over a vocabulary ``(term_id, term, idf)``, as a stored table.
 
-    One narrow pass: each row becomes its own vector, unknown terms vanish inside the row,
-    nothing is shuffled. Terms and idf go through the driver, which a topic model's matrix
-    of topics and terms does anyway; `MODEL_TERMS` bounds them.
+    A vocabulary that measures at most ``limit`` bytes is broadcast as a dictionary in the order of ids,
+    which tasks have put together; then each row becomes its own vector in one narrow pass, unknown
+    terms vanish inside the row, nothing is shuffled. A larger one is joined with the rows' bags
+    (`stored_vectors`). The driver sees no term. ``keys`` identify a row. Raises if there is no term.
     """
     keys = list(keys)
-    listed = _listed(weights)
-    counter = CountVectorizerModel.from_vocabulary([row["term"] for row in listed], "tokens", "features", binary=binary)
-    filled = F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")
-    counted = counter.transform(tokens.select(*keys, filled))
-    features = F.col("features")
-    if weighting == TFIDF:
-        scale = ElementwiseProduct(scalingVec=Vectors.dense([row["idf"] for row in listed]), inputCol="features", outputCol="_scaled")
-        counted, features = scale.transform(counted), F.col("_scaled")
-    return stored(counted.select(*keys, features.alias("features")))
-
-
-def _listed(weights: DataFrame) -> list:
-    """Vocabulary rows by id, if a model can hold them."""
-    size = weights.count()
-    if not size:
+    if weights.isEmpty():
         raise ValueError("the vocabulary is empty")
-    if size > MODEL_TERMS:
-        raise ValueError(f"a model of {size} terms is too large; raise min_df to leave rare terms out")
-    return weights.select("term_id", "term", "idf").orderBy("term_id").collect()
+    if size_in_bytes(weights.select("term_id", "term", "idf")) > limit:
+        return stored_vectors(bag_of_words(tokens, keys, keep_empty=True), weights, keys, weighting, binary)
+    pieces = dictionary(weights).orderBy("first").collect()
+    listed = tokens.sparkSession.sparkContext.broadcast([bytes(row["piece"]) for row in pieces])
+    fields = [tokens.schema[name] for name in keys]
+    schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in fields) + f", features {_LAYOUT}"
+
+    def count(batches):
+        known = pa.concat_tables([pa.ipc.open_stream(piece).read_all() for piece in listed.value]).combine_chunks()
+        terms, size = known["term"].combine_chunks(), len(known)
+        scale = known["idf"].to_numpy() if weighting == TFIDF else np.ones(size)
+        for batch in batches:
+            lists = batch.column(len(keys))
+            places = pa.compute.index_in(lists.flatten(), value_set=terms)
+            rows = np.repeat(np.arange(len(batch)), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            there = places.is_valid().to_numpy(zero_copy_only=False)
+            pairs, counts = np.unique(rows[there] * size + places.drop_null().to_numpy().astype(np.int64), return_counts=True)
+            indices = (pairs % size).astype(np.int32)
+            values = scale[indices] * (1.0 if binary else counts)
+            offsets = pa.array(np.searchsorted(pairs // size, np.arange(len(batch) + 1)).astype(np.int32))
+            vector = pa.StructArray.from_arrays([
+                pa.array(np.zeros(len(batch), np.int8)), pa.array(np.full(len(batch), size, np.int32)),
+                pa.ListArray.from_arrays(offsets, pa.array(indices)), pa.ListArray.from_arrays(offsets, pa.array(values, pa.float64())),
+            ], ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), vector], [*keys, "features"])
+
+    made = tokens.select(*keys, "tokens").mapInArrow(count, schema)
+    return stored(made, T.StructType([*fields, T.StructField("features", VectorUDT())]))
+
+
+def dictionary(weights: DataFrame) -> DataFrame:
+    """``(first, piece)``: terms and idf in the order of their ids, in pieces packed by tasks.
+
+    Ids must be 0, 1, 2, ... without gaps.
+    """
+
+    def pack(batches):
+        for table in batches:
+            sink = pa.BufferOutputStream()
+            columns = pa.RecordBatch.from_arrays([table.column(1), table.column(2)], ["term", "idf"])
+            with pa.ipc.new_stream(sink, columns.schema) as writer:
+                writer.write_batch(columns)
+            yield pa.RecordBatch.from_arrays([pa.array([table.column(0)[0].as_py()], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["first", "piece"])
+
+    numbered = weights.select(F.col("term_id").cast("int"), "term", "idf")
+    pieces = numbered.repartitionByRange("term_id").sortWithinPartitions("term_id")
+    return pieces.mapInArrow(pack, "first int, piece binary")
 
 
 def stored_vectors(
@@ -64,8 +98,6 @@ def stored_vectors(
     size = weights.count()
     if not size:
         raise ValueError("the vocabulary is empty")
-    if size > MODEL_TERMS:
-        raise ValueError(f"a model of {size} terms is too large; raise min_df to leave rare terms out")
     listed = broadcast_if_small(weights.select("term", "term_id", "idf"))
     count = F.lit(1.0) if binary else F.col("tf").cast("double")
     value = count * F.col("idf") if weighting == TFIDF else count

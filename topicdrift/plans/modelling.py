@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import LDAModel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cleaning import clean
@@ -30,7 +29,7 @@ PERIOD_TOKENS = TokenConfig(stem=True)
 class Fitted:
     """A model with the vocabulary and the vectors it was fitted on, both stored tables."""
 
-    model: LDAModel
+    model: topics.TopicModel
     vocabulary: DataFrame
     vectors: DataFrame
 
@@ -45,7 +44,7 @@ class Fitted:
 class FittedPeriods:
     """Models per period over one vocabulary."""
 
-    models: dict[str, LDAModel]
+    models: dict[str, topics.TopicModel]
     vocabulary: DataFrame
     vectors: DataFrame
 

@@ -115,13 +115,13 @@ def _run(corpus, trials, key, seed, terms_per_topic, window, vocabulary_size, su
         statistics = stored(terms.term_statistics(terms.bag_of_words(table, [key])))
         for min_df in {trial.min_df for trial in trials}:
             weights = stored(terms.idf(terms.vocabulary(statistics, min_df, size=vocabulary_size), F.lit(documents)))
-            vectored = topics.in_fixed_order(vectors.document_vectors(table, weights, [key]), [key])
-            inputs[min_df] = (weights, weights.count(), vectored.persist(StorageLevel.MEMORY_AND_DISK))
+            vectored = vectors.document_vectors(table, weights, [key])
+            inputs[min_df] = (weights, weights.count(), vectored, topics.prepare(vectored, [key], seed, subsampling_rate))
 
         def fit(setting: tuple[int, int, int]) -> tuple[list[list[str]], float]:
             min_df, k, max_iter = setting
-            weights, _, vectored = inputs[min_df]
-            model = topics.fit_ordered(vectored, k, max_iter, seed, subsampling_rate)
+            weights, _, vectored, prepared = inputs[min_df]
+            model = topics.fit_prepared(prepared, k, max_iter, seed)
             best = topics.topic_terms(model, weights, terms_per_topic).collect()
             ranked = sorted((row["topic"], row["rank"], row["term"]) for row in best)
             by_topic = [[term for topic, _, term in ranked if topic == number] for number in range(k)]
@@ -138,8 +138,6 @@ def _run(corpus, trials, key, seed, terms_per_topic, window, vocabulary_size, su
         return rows
     finally:
         table.unpersist()
-        for _, _, vectored in inputs.values():
-            vectored.unpersist()
 
 
 def _mean_coherence(table: DataFrame, models: list[list[list[str]]], key: str, window: int) -> list[float | None]:
