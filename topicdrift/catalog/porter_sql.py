@@ -89,12 +89,12 @@ def stem_sql(words: str, prefix: str = "") -> str:
     step_5a = f"CASE WHEN w LIKE '%e' AND ({_least(rest, 2)} OR ({_least(rest, 1)} AND NOT {_short(rest)})) THEN {rest} ELSE w END"
     step_5b = f"CASE WHEN w LIKE '%ll' AND {_least('w', 2)} THEN {rest} ELSE w END"
     steps = [step_1a, None, step_1c, _table(STEP_2, 1), _table(STEP_3, 1), _table(STEP_4, 2), step_5a, step_5b]
-    parts = [f"{prefix}s0 AS (SELECT term, lower(term) AS w FROM ({words}) AS listed)"]
+    parts = [f"{prefix}s0 AS MATERIALIZED (SELECT term, lower(term) AS w FROM ({words}) AS listed)"]
     for i, step in enumerate(steps, start=1):
         source = f"{prefix}s{i - 1}"
         if step is None:
             source, step = f"(SELECT term, w, {ends} AS r FROM {source})", step_1b
-        parts.append(f"{prefix}s{i} AS (SELECT term, {step} AS w FROM {source})")
+        parts.append(f"{prefix}s{i} AS MATERIALIZED (SELECT term, {step} AS w FROM {source})")
     parts.append(
         f"{prefix}stems AS (SELECT first.term, CASE WHEN length(first.w) < 3 THEN first.w ELSE last.w END AS stem "
         f"FROM {prefix}s0 AS first JOIN {prefix}s{len(steps)} AS last ON first.term = last.term)"
