@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from conftest_llm import EDGES, lowered, prose
 
+from topicdrift.llm import near_dedup
 from topicdrift.llm.components import components
 from topicdrift.llm.near_dedup import THRESHOLD, VALUES, kept, least_matches, linked, survivors
 
@@ -119,3 +120,35 @@ def test_stage_keeps_both_texts_of_a_shared_id(make):
     a, b = prose(1, 60), prose(2, 60)
     left = kept(make([(2, a), (2, b), (7, a + " end"), (8, b + " end")])).collect()
     assert sorted((r.doc_id, r.text) for r in left) == sorted([(2, a), (2, b)])
+
+
+def test_an_id_shared_by_two_texts(make):
+    """Links are those of the rows' own texts: A with A', B with B', and nothing between them."""
+    a, b = prose(1, 60), prose(2, 60)
+    found, _ = linked(make([(3, a), (5, a + " end"), (5, b), (7, b + " end")]))
+    assert sorted((r.id, r.component_id) for r in found.collect()) == [(3, 3), (5, 3), (5, 5), (7, 5)]
+
+
+def test_one_id_and_null_in_a_third_of_the_rows(make):
+    rows = [(i, prose(i, 40)) for i in range(30)] + [(50, prose(100 + i, 40)) for i in range(30)] + [(None, prose(200 + i // 2, 40)) for i in range(30)]
+    found, _ = linked(make(rows))
+    assert sorted(((r.id, r.component_id) for r in found.collect()), key=repr) == sorted(((i, i) for i, _ in rows), key=repr)
+    assert kept(make(rows)).count() == 30 + 30 + 15
+
+
+def test_clashing_names_come_back(spark):
+    text = prose(1, 60)
+    names = ["doc_id", "text", "row_key", "row", "key", "id", "a.b", "rep", "least"]
+    rows = [(2, text, "k2", 1, "x", 9, "dot", 3, 4), (1, text + " end", "k1", 5, "y", 8, "point", 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key string, row int, key string, id int, `a.b` string, rep int, least int")
+    left = kept(docs)
+    assert left.columns == names and [tuple(r) for r in left.collect()] == [rows[1]]
+
+
+@pytest.mark.parametrize("tile", [2, 5])
+def test_small_tiles_find_the_same(make, monkeypatch, tile):
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "SLICE", 2)
+    rows = families()
+    found, _ = linked(make(rows))
+    assert sorted(((r.id, r.n_shingles, r.component_id) for r in found.collect()), key=repr) == brute(rows)

@@ -49,6 +49,7 @@ def test_run_and_queries(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 200
     assert [name for name in queries.QUERIES if re.match(r"op\d+_", name)] == [
         "op1_substring_dedup", "op2_packing", "op3_toxicity", "op4_decontamination", "op5_near_dedup", "op6_url_reputation",
-        "op7_quality_rules", "op8_lm_scores", "op9_html_text", "op10_token_files"]
+        "op7_quality_rules", "op8_lm_scores", "op9_html_text", "op10_token_files", "op11_whitening",
+        "op12_target_resampling", "op13_sharding"]
     found = queries.op1_substring_dedup(spark, folder)
     assert found.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"] and words("a b")
