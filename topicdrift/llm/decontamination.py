@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicdrift.llm.exchange import nullable
+from topicdrift.llm.exchange import where_text
 from topicdrift.llm.words import Words, member, mix, pieces, window_hashes
 
 WINDOW = 13
@@ -80,7 +80,8 @@ class Templates:
         """Place and hash of the windows of `size` tokens with enough literals."""
         hashes = window_hashes(self.token, size)
         total = np.r_[0, np.cumsum(self.literal)]
-        at = np.flatnonzero(self.words.inside(size) & (total[size:] - total[: len(total) - size] >= min(literals, size)))
+        at = np.flatnonzero(self.words.inside(size))
+        at = at[total[at + size] - total[at] >= min(literals, size)]
         return at, hashes[at]
 
     def plain(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,13 +248,12 @@ def clean(
     """Rows that hold no benchmark item; same columns. Every row is judged by its own text."""
 
     def without(rows: DataFrame, index) -> DataFrame:
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, dtype=bool)
-                keep[[text for text, *_ in _found(batch.column("text"), index.value, literals)]] = False
-                yield batch.filter(pa.array(keep))
+        def judge(texts: pa.Array) -> np.ndarray:
+            keep = np.ones(len(texts), dtype=bool)
+            keep[[text for text, *_ in _found(texts, index.value, literals)]] = False
+            return keep
 
-        return rows.mapInArrow(choose, nullable(docs.schema))
+        return where_text(rows, judge)
 
     for index in _shards(benchmark, window, literals, shard_bytes):
         docs = without(docs, index)

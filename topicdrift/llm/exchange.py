@@ -1,6 +1,6 @@
 """Blocks of documents and a hash-divided index that blocks ask.
 
-A block is a set of documents fixed by their id, a bounded number of rows on average. Instead
+A block is a set of documents, a bounded number of rows and bytes on average. Instead
 of a row for each key and document, a block sends each distinct key once to the index part
 that owns it, in one binary cell for each (block, part). However hot a key is, a part receives
 it once from a block, and a block receives one answer.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +18,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents of a block, on average; the number of blocks follows the input.
+#: Documents and bytes of text of a block, on average; the number of blocks follows the input.
 ROWS_PER_BLOCK = 2048
+BYTES_PER_BLOCK = 32 << 20
 
 
-def in_blocks(docs: DataFrame, id_col: str, *columns: str, rows_per_block: int = ROWS_PER_BLOCK) -> tuple[DataFrame, int]:
-    """The id, the given columns and `block`; the number of blocks. Rows with one id share a block."""
-    blocks = max(1, math.ceil(docs.count() / rows_per_block))
-    number = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
-    return docs.select(id_col, *columns, number.alias("block")), blocks
+def in_blocks(
+    docs: DataFrame, id_col: str, text_col: str, *columns: str, rows_per_block: int = ROWS_PER_BLOCK, bytes_per_block: int = BYTES_PER_BLOCK
+) -> tuple[DataFrame, int]:
+    """The id, the text, the given columns and `block`; the number of blocks.
+
+    Rows are dealt by id, text and the partition that reads them, so that neither a repeated id, nor null
+    ids, nor a repeated row fill a block.
+    """
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col).cast("bigint"))).first()
+    blocks = max(1, math.ceil(rows / rows_per_block), math.ceil((size or 0) / bytes_per_block))
+    number = F.pmod(F.xxhash64(id_col, text_col, F.spark_partition_id()), F.lit(blocks)).cast("int")
+    return docs.select(id_col, text_col, *columns, number.alias("block")), blocks
+
+
+def where_text(docs: DataFrame, judge: Callable[[pa.Array], np.ndarray], text_col: str = "text") -> DataFrame:
+    """Rows for whose text `judge` says true, a batch at a time; same columns, whatever their names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    place = docs.columns.index(text_col)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(place))))
+
+    return plain.mapInArrow(choose, nullable(plain.schema)).toDF(*docs.columns)
 
 
 def part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:

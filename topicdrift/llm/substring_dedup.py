@@ -110,6 +110,10 @@ def _kept_text(words: Words, removed: np.ndarray, layout: str) -> pa.Array:
     return pa.StringArray.from_buffers(texts, pa.py_buffer(where.tobytes()), pa.py_buffer(data[mask].tobytes()))
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def factored(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -122,7 +126,7 @@ def factored(
     """Documents without the spans of `window` or more words that a document with a smaller id has too.
 
     Result: id, n_words, n_removed, kept (the text left), factors (first word, words, source id) and
-    carried: a struct of the columns named in `carry` and of `no_text` (the text is null).
+    carried: a struct of `no_text` (the text is null) and `columns`, a struct of those named in `carry`.
     Windows are judged on the input, not on what is left. layout "words" joins the kept words by
     one space; "original" cuts spans out and leaves the rest as it is.
 
@@ -130,7 +134,8 @@ def factored(
     id never match each other. Null ids are larger than any id and match no other null id; their
     id stays null. Other columns are ignored, whatever their names. An empty table gives none.
     """
-    row = F.struct(*[F.col(f"`{name}`") for name in carry], F.col(text_col).isNull().alias("no_text"))
+    columns = [F.struct(*[F.col(_quoted(name)) for name in carry]).alias("columns")] if carry else []
+    row = F.struct(F.col(text_col).isNull().alias("no_text"), *columns)
     kind = nullable(docs.select(row.alias("carried")).schema)["carried"].dataType
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.cast(kind).alias("carried"))
     blocked, blocks = in_blocks(narrow, "id", "text", "carried", rows_per_block=rows_per_block)
@@ -237,7 +242,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     others = tuple(name for name in docs.columns if name not in ("doc_id", "text"))
     found = factored(docs, window=window, layout="original", carry=others)
     values = {"doc_id": F.col("id"), "text": F.when(~F.col("carried.no_text"), F.col("kept"))}
-    values |= {name: F.col(f"carried.`{name}`") for name in others}
+    values |= {name: F.col(f"carried.columns.{_quoted(name)}") for name in others}
     if "n_chars" in values:
         values["n_chars"] = F.when(F.col("n_removed") == 0, values["n_chars"]).otherwise(F.length("kept"))
     left = found.where((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))

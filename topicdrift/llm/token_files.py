@@ -59,12 +59,13 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, kind: str, end: int) -
 def write(docs: DataFrame, folder: str, path: str, kind: str = "word", end: int = 2) -> None:
     """Ids of all documents, each followed by `end`, to `folder`, in ascending order of doc_id.
 
-    Null texts are empty. Null ids come first; repeated ids follow one another. Other columns are
-    ignored. An empty table gives a folder without blocks.
+    Null texts are empty. Null ids come first; repeated ids follow one another, in the order of a
+    hash of their texts, and may lie in several partitions. Other columns are ignored. An empty table gives a folder without blocks.
     """
     spark = docs.sparkSession
     scratch = new_table_path(spark)
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("read_by"))
+    ordered = rows.repartitionByRange("doc_id", "hash", "read_by").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     ordered.mapInArrow(lambda batches: _chunks(batches, path, kind, end), CHUNK).write.option("compression", "zstd").parquet(scratch)
     chunks = spark.read.schema(CHUNK).parquet(scratch)
 

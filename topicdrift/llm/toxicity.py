@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicdrift.llm.exchange import nullable
+from topicdrift.llm.exchange import where_text
 from topicdrift.llm.lm import held_out
 from topicdrift.llm.words import Words, mix, pieces
 
@@ -227,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: int
     """Model of `rows` labelled documents at most, none of the held-out fold.
 
     Labels without an id or a value do not count; an id labelled twice has its larger label.
-    Documents without text are empty. Without both labels the score is a constant.
+    Of rows with one id the smallest text counts. Documents without text are empty. Without both
+    labels the score is a constant.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     own = own.where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out("id", fold))
@@ -253,6 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: int
                 ], ["id", "label", "n_words", "features", "times", "patterns"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(drawn), "id")
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
     found = texts.select("id", "label", "text").mapInArrow(count, "id long, label int, n_words long, features binary, times binary, patterns array<double>")
     sample = sorted(found.collect(), key=lambda x: (mix(np.array([x.id], dtype=np.int64).view(np.uint64))[0], x.id, x.n_words))
     return train(sample, ones / max(every, 1))
@@ -287,9 +289,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def kept(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """Rows whose score is below the limit; same columns. Every row is judged by its own text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_chances(batch.column("text"), shared.value) < limit))
-
-    return docs.mapInArrow(choose, nullable(docs.schema))
+    return where_text(docs, lambda texts: _chances(texts, shared.value) < limit)
