@@ -40,6 +40,34 @@ def test_pages_with_none_one_and_two_revisions(spark, folder):
     assert rows[3] == ("B", "?", "?") and rows[4][0] == "C"
 
 
+def test_one_broken_page_is_listed_and_all_others_are_read(spark, tmp_path):
+    body = (
+        '<page _idx="1" title="A"><revisions><rev timestamp="2003-01-01T00:00:00Z">one</rev></revisions></page>'
+        '<page _idx="2" title="B"><revisions><rev timestamp="x">two</revisions></page>'
+        '<page _idx="3" title="C"><revisions><rev timestamp="x">three</rev></revisions>'
+        '<page _idx="4" title="D" /><page\n_idx="5" title="E"></page><page _idx="6" title="F"><revisions>'
+    )
+    (tmp_path / "one.xml").write_text("\n" + PAGE.format(body))
+    (tmp_path / "two.xml").write_text(PAGE.format('<page _idx="7" title="G"/>'))
+    read = pages.read_pages(spark, f"{tmp_path}/*.xml", lineage=True)
+    assert {(row["_title"], row[pages.FILE].rsplit("/", 1)[-1]) for row in read.collect()} == {
+        ("A", "one.xml"), ("D", "one.xml"), ("E", "one.xml"), ("G", "two.xml")}
+    assert pages.revisions(read).columns == ["title", "timestamp", "content", pages.FILE]
+    bad = pages.bad_pages(spark, f"{tmp_path}/*.xml").collect()
+    assert sorted(row["record"].split('"')[3] for row in bad) == ["B", "C", "F"]
+    assert all(row["file"].endswith("one.xml") and row["block_start"] == 0 for row in bad)
+
+
+def test_small_splits_read_the_same(spark, folder):
+    whole = sorted(map(str, pages.revisions(pages.read_pages(spark, f"{folder}/*/*.xml")).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 40)
+    try:
+        assert sorted(map(str, pages.revisions(pages.read_pages(spark, f"{folder}/*/*.xml")).collect())) == whole
+        assert pages.bad_pages(spark, f"{folder}/*/*.xml").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_years_are_utc_and_bad_dates_null(spark, folder):
     rows = corpus.with_year(corpus.nonempty(pages.revisions(pages.read_pages(spark, f"{folder}/*/*.xml"))))
     found = {(row["content"].strip(), row["timestamp"], row["year"]) for row in rows.collect()}
@@ -62,6 +90,15 @@ def test_ingest_prunes_years(spark, tmp_path):
     assert (tmp_path / "out" / "year=2003").exists()
 
 
+def test_one_year_again_keeps_the_others(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    pages.ingest(spark.createDataFrame([("a", 2003), ("b", 2004), ("c", 2005)], "content string, year int"), path)
+    pages.ingest(spark.createDataFrame([("d", 2004), ("e", 2004)], "content string, year int"), path, given_years_only=True)
+    assert sorted((row["content"], row["year"]) for row in spark.read.parquet(path).collect()) == [("a", 2003), ("c", 2005), ("d", 2004), ("e", 2004)]
+    pages.ingest(spark.createDataFrame([("f", 2006)], "content string, year int"), path)
+    assert [(row["content"], row["year"]) for row in spark.read.parquet(path).collect()] == [("f", 2006)]
+
+
 def test_period_edges(spark):
     rows = spark.createDataFrame([(year,) for year in (2000, 2001, 2005, 2006, 2011, 2012, 2018, 2019, 2024, 2025, None)], "year int")
     found = [row["period"] for row in corpus.with_period(rows).orderBy(F.col("year").asc_nulls_last()).collect()]

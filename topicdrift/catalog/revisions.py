@@ -42,6 +42,43 @@ def xml_scan(spark, folder):
     return pages.revisions(pages.read_pages(spark, f"{path}/*/*.xml"))
 
 
+@query("pages_by_file", inputs.with_corpus("""
+SELECT 'folder=' || CAST(number % 4 AS VARCHAR) AS folder, count(*) AS pages, CAST(sum(revisions) AS BIGINT) AS revisions
+FROM (SELECT doc_id // 3 AS number, count(*) AS revisions FROM corpus GROUP BY number
+  UNION ALL SELECT page_id, 0 FROM pages) GROUP BY number % 4"""))
+def pages_by_file(spark, folder):
+    """Pages and their revisions by the folder of the file that they were read from."""
+    path = new_table_path(spark)
+    _xml_pages(spark, folder).write.format("xml").option("rowTag", "page").option("rootTag", "pages").partitionBy("folder").save(path)
+    read = pages.read_pages(spark, f"{path}/*/*.xml", lineage=True)
+    revisions_of = F.coalesce(F.size("revisions.rev"), F.lit(0))
+    counted = read.groupBy(F.regexp_extract(pages.FILE, "(folder=[0-9]+)/[^/]*$", 1).alias("folder"))
+    return counted.agg(F.count("*").alias("pages"), F.sum(F.greatest(revisions_of, F.lit(0))).cast("bigint").alias("revisions"))
+
+
+def _broken_xml(spark, folder):
+    """A line of XML for each document: whole, without the end of its revision, without its end, or empty."""
+    title = F.format_string("page %d", "doc_id")
+    start = F.concat(F.lit('<page _idx="'), F.col("doc_id").cast("string"), F.lit('" title="'), title, F.lit('">'))
+    text = F.concat(F.lit('<revisions><rev timestamp="2004-01-01T00:00:00Z">'), F.regexp_replace(F.regexp_replace("content", "&", "&amp;"), "<", "&lt;"))
+    kind = F.col("doc_id") % 4
+    whole = F.concat(start, text, F.lit("</rev></revisions></page>"))
+    line = F.when(kind == 1, F.concat(start, text, F.lit("</revisions></page>"))).when(kind == 2, F.concat(start, text, F.lit("</rev></revisions>")))
+    line = line.when(kind == 3, F.concat(F.lit('<page title="'), title, F.lit('" />'))).otherwise(whole)
+    return inputs.corpus(spark, folder).select(line.alias("value"))
+
+
+@query("xml_bad_pages", inputs.with_corpus("""
+SELECT 'page ' || CAST(doc_id AS VARCHAR) AS title, doc_id % 4 IN (1, 2) AS bad, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS revisions FROM corpus"""))
+def xml_bad_pages(spark, folder):
+    """Half of the pages lack an end tag, inside or at their end: they are listed by file, all others are read."""
+    path = new_table_path(spark)
+    _broken_xml(spark, folder).write.text(path)
+    good = pages.revisions(pages.read_pages(spark, path)).select("title", F.lit(False).alias("bad"), F.col("content").isNotNull().cast("int").alias("revisions"))
+    bad = pages.bad_pages(spark, path).where(F.col("file").contains(path.rsplit("/", 1)[-1]))
+    return good.union(bad.select(F.regexp_extract("record", 'title="([^"]*)"', 1), F.lit(True), F.lit(0)))
+
+
 # Whole revisions, plus pages without any revision and blanked pages.
 PAGES_SQL = """,
 pages_seen AS (

@@ -80,3 +80,18 @@ def ingest_by_year(spark, folder):
     read, inside = spark.read.parquet(path), F.col("year").between(2006, 2011)
     both = read.where(inside).withColumn("listed", F.lit(True)).unionByName(read.where(~inside).withColumn("listed", F.lit(False)))
     return both.select("doc_id", "title", F.col("year").cast("bigint").alias("year"), "content", "listed")
+
+
+AGAIN = (2007, 2019)
+
+
+@query("ingest_year_again", inputs.with_corpus(f"""
+SELECT doc_id, title, year, CASE WHEN year IN {AGAIN} THEN upper(lang) || content ELSE content END AS content FROM corpus
+WHERE NOT (year = {AGAIN[0]} AND doc_id % 2 = 0)"""))
+def ingest_year_again(spark, folder):
+    """Two years written again, with other texts and one of them with fewer rows; all other years stay."""
+    path, rows = new_table_path(spark), inputs.corpus(spark, folder)
+    ingest(rows.drop("lang"), path)
+    changed = rows.where(F.col("year").isin(*AGAIN)).where(~((F.col("year") == AGAIN[0]) & (F.col("doc_id") % 2 == 0)))
+    ingest(changed.withColumn("content", F.concat(F.upper("lang"), "content")).drop("lang"), path, given_years_only=True)
+    return spark.read.parquet(path).select("doc_id", "title", F.col("year").cast("bigint").alias("year"), "content")

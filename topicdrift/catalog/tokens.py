@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from ..functions import tokens as words
 from ..functions.cleaning import clean
 from ..functions.stemming import stem_tokens
 from ..operators import terms
+from ..plans.stage import TokenSteps
 from ..plans.sweep import OWN_STOP_WORDS
 from ..plans.text import TokenConfig, token_table
-from ..runtime import stored
+from ..runtime import new_table_path, stored
 from . import inputs
 from .cleaning import clean_sql
 from .porter_sql import stem_sql
@@ -147,3 +149,31 @@ def token_steps(spark, folder):
     """Markup removed, words cut, own stop words dropped, single words and 2-grams joined."""
     texts = clean(inputs.marked(spark, folder), "wiki")
     return _shown(token_table(texts, TokenConfig(stop_words=OWN_STOP_WORDS, ngrams=(1, 2)), KEYS))
+
+
+@query("token_pipeline", inputs.with_marked(STEPS_SQL + _shown_sql(
+    f"list_concat(tokens, {_ngrams_sql(2)})", "tokens")))
+def token_pipeline(spark, folder):
+    """The steps as a pipeline that was saved and loaded again."""
+    path = new_table_path(spark)
+    steps = TokenSteps.of(TokenConfig(stop_words=OWN_STOP_WORDS, ngrams=(1, 2)), "wiki")
+    Pipeline(stages=[steps]).save(path)
+    return _shown(Pipeline.load(path).fit(inputs.marked(spark, folder)).transform(inputs.marked(spark, folder)))
+
+
+EXCEPTIONS = ("e.g.", "Mr.", "C++")
+RULES_SQL = r"e\.g\.|Mr\.|C\+\+|(?:\p{L}\.){2,}|[$#€£]?\p{Nd}+(?:[.,:/]\p{Nd}+)*%?|\p{L}[\p{L}\p{M}\p{Nd}]*(?:['’]\p{L}[\p{L}\p{M}\p{Nd}]*)*|[^ \t\n\x0B\f\r]|[ \t\n\x0B\f\r]+"
+
+
+@query("rule_tokens", inputs.with_marked(f""",
+cut AS (SELECT doc_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS i
+  FROM (SELECT doc_id, regexp_extract_all(content || ' U.S. (a) well-known don''t, e.g. C++ $3.50', '{RULES_SQL.replace("'", "''")}') AS p FROM marked)),
+placed AS (SELECT doc_id, piece, i, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS until FROM cut)
+SELECT doc_id, count(*) AS n, string_agg(piece || '@' || CAST(until - length(piece) AS VARCHAR) || '-' || CAST(until AS VARCHAR), ' ' ORDER BY i) AS tokens
+FROM placed WHERE NOT regexp_matches(piece, '^[ \\t\\n\\x0B\\f\\r]') GROUP BY doc_id"""))
+def rule_tokens(spark, folder):
+    """Tokens by rules, with their places; exceptions, initials, contractions, signs and hyphens are in every text."""
+    more = F.concat("content", F.lit(" U.S. (a) well-known don't, e.g. C++ $3.50")).alias("content")
+    cut = words.rule_tokens(inputs.marked(spark, folder).select("doc_id", more), exceptions=EXCEPTIONS)
+    shown = F.transform("tokens", lambda one: F.format_string("%s@%d-%d", one["token"], one["begin"], one["end"]))
+    return cut.select("doc_id", F.size("tokens").cast("bigint").alias("n"), F.array_join(shown, " ").alias("tokens"))

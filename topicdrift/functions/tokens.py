@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SHRINK = "shrink"
 DISABLED = "disabled"
@@ -57,3 +58,55 @@ def combined_ngrams(tokens: Column, sizes: Sequence[int], distinct: bool = False
     lists = [ngrams(tokens, n) for n in sizes]
     joined = lists[0] if len(lists) == 1 else F.concat(*lists)
     return F.array_distinct(joined) if distinct else joined
+
+
+# A cut into tokens by rules, the first that fits at a place decides: exceptions, initials with
+# their points (U.S.), numbers with a sign before and parts inside ($3.50, 12:30, 40%), words with
+# apostrophes inside (don't), any other character that is no blank by itself.
+BLANK = r"[ \t\n\x0B\f\r]"
+INITIALS = r"(?:\p{L}\.){2,}"
+NUMBER = r"[$#€£]?\p{Nd}+(?:[.,:/]\p{Nd}+)*%?"
+LETTERS = r"\p{L}[\p{L}\p{M}\p{Nd}]*"
+INSIDE = {"split": "['’]", "join": "['’-]"}
+#: Pieces whose lengths are added up together, when places are found.
+_RUN = 128
+
+
+def rule_pattern(exceptions: Sequence[str] = (), hyphens: str = "split") -> str:
+    """The rules as one pattern. Exceptions stand as they are, longest first; they end where no letter or digit follows."""
+    if hyphens not in INSIDE:
+        raise ValueError(f"hyphens must be 'split' or 'join', not {hyphens!r}")
+    listed = [
+        re.sub(r"([^\w\s])", r"\\\1", word) + (r"(?![\p{L}\p{Nd}])" if word[-1].isalnum() else "")
+        for word in sorted(set(exceptions), key=lambda word: (-len(word), word))
+    ]
+    return "|".join([*listed, INITIALS, NUMBER, f"{LETTERS}(?:{INSIDE[hyphens]}{LETTERS})*", r"[^ \t\n\x0B\f\r]"])
+
+
+def rule_tokens(
+    df: DataFrame, text: str = "content", tokens: str = "tokens", exceptions: Sequence[str] = (), hyphens: str = "split"
+) -> DataFrame:
+    """``df`` with ``tokens``, an array of ``(token, begin, end)`` cut by rules.
+
+    ``begin`` and ``end`` are places in characters, the end not included, so that a token is the text
+    between them. ``hyphens``: ``"split"`` gives ``well``, ``-``, ``known``, ``"join"`` gives ``well-known``.
+    NULL texts give NULL. Native expressions; places are running sums over runs of `_RUN` lengths.
+    """
+    pattern = f"{rule_pattern(exceptions, hyphens)}|{BLANK}+"
+    pieces = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    # Generators keep the arrays, which lambdas read again and again, from being computed inside these.
+    cut = df.withColumn("_cut", F.explode(F.array(F.struct(pieces.alias("pieces"), F.transform(pieces, F.length).alias("lengths")))))
+    add = "0, (total, n) -> total + n"
+    sums = (
+        f"transform(filter(sequence(0, size(_cut.lengths)), i -> i % {_RUN} = 0), "
+        f"i -> aggregate(slice(_cut.lengths, i + 1, {_RUN}), {add}))"
+    )
+    cut = cut.withColumn("_sums", F.explode(F.array(F.expr(sums))))
+    cut = cut.withColumn("_starts", F.explode(F.array(F.expr(f"transform(_sums, (n, i) -> aggregate(slice(_sums, 1, i), {add}))"))))
+    placed = F.expr(
+        f"transform(_cut.pieces, (piece, i) -> named_struct('token', piece, 'begin', "
+        f"_starts[i div {_RUN}] + aggregate(slice(_cut.lengths, cast(i div {_RUN} as int) * {_RUN} + 1, i % {_RUN}), {add})))"
+    )
+    kept = F.filter(placed, lambda one: ~one["token"].rlike(f"^{BLANK}"))
+    ended = F.transform(kept, lambda one: F.struct(one["token"].alias("token"), one["begin"].alias("begin"), (one["begin"] + F.length(one["token"])).alias("end")))
+    return cut.withColumn(tokens, ended).drop("_cut", "_sums", "_starts")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -49,15 +49,24 @@ def token_table(
     lemmas: DataFrame | None = None,
 ) -> DataFrame:
     """``(keys, tokens)``. Without lemmas this is one narrow pass over the texts."""
+    if lemmas is None:
+        return tokens_of(df.select(*keys, F.col(content).alias("tokens")), config, "tokens", "tokens")
+    plain = tokens_of(df.select(*keys, F.col(content).alias("tokens")), replace(config, stem=False, ngrams=(1,), distinct=False), "tokens", "tokens")
+    return _finished(lemmatize(plain, lemmas, keys), config, "tokens")
+
+
+def tokens_of(df: DataFrame, config: TokenConfig, content: str, tokens: str) -> DataFrame:
+    """``df`` with the tokens of a text column; all steps but lemmas, which need keys."""
     if config.cleanup not in (words.SHRINK, words.DISABLED):
         raise ValueError(f"cleanup must be 'shrink' or 'disabled', not {config.cleanup!r}")
     # Both clean-up modes give the same tokens, which hold no blanks: neither is run.
-    tokens = words.tokenize(F.col(content), config.lowercase, config.punctuation)
-    df = df.select(*keys, words.remove_stop_words(tokens, config.stop_list()).alias("tokens"))
-    if lemmas is not None:
-        df = lemmatize(df, lemmas, keys)
+    cut = words.tokenize(F.col(content), config.lowercase, config.punctuation)
+    return _finished(df.withColumn(tokens, words.remove_stop_words(cut, config.stop_list())), config, tokens)
+
+
+def _finished(df: DataFrame, config: TokenConfig, tokens: str) -> DataFrame:
     if config.stem:
-        df = df.withColumn("tokens", stem_tokens("tokens"))
+        df = df.withColumn(tokens, stem_tokens(tokens))
     if config.ngrams != (1,) or config.distinct:
-        df = df.withColumn("tokens", words.combined_ngrams(F.col("tokens"), config.ngrams, config.distinct))
+        df = df.withColumn(tokens, words.combined_ngrams(F.col(tokens), config.ngrams, config.distinct))
     return df

@@ -28,33 +28,62 @@ SAMPLE_TITLES = (
 
 
 # A page without content is one empty element; others end at their own end tag.
-PAGE_END = "</page>"
-ONE_PAGE = r"""(?s)<page(?:\s(?:[^>"']|"[^"]*"|'[^']*')*)?/>|<page[\s>].*?</page>"""
+PAGE = "<page"
+AFTER_START = r"^(?:\s*/?>|\s+[\w:])"
+ONE_PAGE = r"""(?s)^(?:<page(?:\s(?:[^>"']|"[^"]*"|'[^']*')*)?/>|<page[\s>].*?</page>)"""
 
+#: Column of `read_pages` with the file of a page.
+FILE = "_file"
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
+
+def _scanned(spark: SparkSession, path: str) -> DataFrame:
+    """``(page, bad, file, block_start)``: parsed pages, and the text of those that are no XML.
+
+    Files are cut where a page starts, so a large file is read by many tasks, and a page without an
+    end does not swallow the next one.
+    """
+    chunks = spark.read.option("lineSep", PAGE).text(path).where(F.col("value").rlike(AFTER_START))
+    pieces = chunks.select(
+        F.concat(F.lit(PAGE), "value").alias("piece"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+    )
+    found = F.regexp_extract("piece", ONE_PAGE, 0)
+    schema = T.StructType([*PAGE_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = F.from_xml(F.when(found != "", found), schema, {"ignoreSurroundingSpaces": "false"})
+    # A generator keeps the parsed page together: no later filter parses it again.
+    rows = pieces.select("file", "block_start", F.explode(F.array(F.struct(parsed.alias("page"), F.when(found == "", F.col("piece")).alias("open")))).alias("read"))
+    return rows.select("read.page", F.coalesce("read.open", "read.page._corrupt_record").alias("bad"), "file", "block_start")
+
+
+def read_pages(spark: SparkSession, path: str, lineage: bool = False) -> DataFrame:
     """Page rows of all XML files under a path or glob; the schema is given, not inferred.
 
-    Files are cut at the end of a page, so a large file is read by many tasks. What stands
-    before the first page and after the last is left out.
+    What stands before the first page and after the last is left out, and so are malformed pages,
+    which `bad_pages` lists. ``lineage`` adds the file of each page (`FILE`).
     """
-    chunks = spark.read.option("lineSep", PAGE_END).text(path)
-    found = F.regexp_extract_all(F.concat("value", F.lit(PAGE_END)), F.lit(ONE_PAGE), F.lit(0))
-    parsed = F.from_xml("page", PAGE_SCHEMA, {"ignoreSurroundingSpaces": "false"})
-    return chunks.select(F.explode(found).alias("page")).select(parsed.alias("page")).select("page.*")
+    rows = _scanned(spark, path).where("bad IS NULL")
+    names = [F.col(f"page.{field.name}") for field in PAGE_SCHEMA.fields]
+    return rows.select(*names, *[F.col("file").alias(FILE)] * lineage)
+
+
+def bad_pages(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, block_start, record)``: the text of each malformed page, its file, and the byte at which the task that read it began."""
+    return _scanned(spark, path).where("bad IS NOT NULL").select("file", "block_start", F.col("bad").alias("record"))
 
 
 def revisions(pages: DataFrame) -> DataFrame:
-    """``(title, timestamp, content)``, one row per revision.
+    """``(title, timestamp, content)``, one row per revision, and the file, if the pages have it.
 
     A page without revisions keeps one row of NULLs. Timestamps are strings ending
     in ``Z``; see ``operators.corpus.with_year`` for their parsing.
     """
-    exploded = pages.select(F.col("_title").alias("title"), F.explode_outer("revisions.rev").alias("rev"))
+    kept = [name for name in (FILE,) if name in pages.columns]
+    exploded = pages.select(F.col("_title").alias("title"), F.explode_outer("revisions.rev").alias("rev"), *kept)
     return exploded.select(
         "title",
         F.col("rev._timestamp").alias("timestamp"),
         F.col("rev._VALUE").alias("content"),
+        *kept,
     )
 
 
@@ -70,10 +99,14 @@ def subset(df: DataFrame, titles: Sequence[str] | DataFrame, column: str = "titl
     return df.join(listed, column, "left_semi")
 
 
-def ingest(df: DataFrame, path: str) -> None:
-    """Write dated revisions as parquet, one directory per year.
+def ingest(df: DataFrame, path: str, given_years_only: bool = False) -> None:
+    """Write dated revisions as parquet, one directory per year, in place of what is there.
 
-    The rebalance hint lets adaptive execution split a year that holds most rows and
-    join small ones, so files come out even in size.
+    ``given_years_only`` replaces the years that ``df`` has and keeps all others. The rebalance hint
+    lets adaptive execution split a year that holds most rows and join small ones, so files
+    come out even in size.
     """
-    df.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
+    writer = df.hint("rebalance", "year").write.mode("overwrite").partitionBy("year")
+    if given_years_only:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
