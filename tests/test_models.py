@@ -1,12 +1,17 @@
+import math
+
+import numpy as np
 import pytest
 from plan_text import plan_of
 from pyspark.sql import functions as F
 
 from topicdrift import sinks
-from topicdrift.operators import evolution, topics
+from topicdrift.functions import special
+from topicdrift.operators import evolution, terms, topics, vectors
 from topicdrift.plans import sweep
 from topicdrift.plans.modelling import fit_topics, fit_topics_per_period
-from topicdrift.plans.text import TokenConfig
+from topicdrift.plans.text import TokenConfig, token_table
+from topicdrift.runtime import stored
 
 PLAIN = TokenConfig(stop_words=None)
 
@@ -68,8 +73,8 @@ def test_same_seed_same_model(spark, corpus, fitted, partitions, split):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.set("spark.sql.shuffle.partitions", 4)
-    terms, weights = _shown(again)
-    assert terms == _shown(fitted)[0]
+    shown, weights = _shown(again)
+    assert shown == _shown(fitted)[0]
     assert weights == pytest.approx(_shown(fitted)[1], abs=1e-9)
 
 
@@ -122,5 +127,87 @@ def test_equal_trials_share_a_fit(corpus, monkeypatch):
     assert [row["config"] for row in rows] == ["a", "b", "c"] and rows[0]["coherence"] == rows[1]["coherence"]
 
 
+def test_a_stopped_sweep_goes_on(spark, corpus, tmp_path, monkeypatch):
+    """The third fit fails; the next run fits the third and the fourth only, and rows are those of a run that was not stopped."""
+    trials = [sweep.Trial("a", "none", PLAIN, 1, 2, 2), sweep.Trial("b", "none", PLAIN, 1, 3, 2), sweep.Trial("c", "none", PLAIN, 2, 2, 2), sweep.Trial("d", "wiki", PLAIN, 1, 2, 2)]
+    fits, real = [], topics.fit_prepared
+
+    def stopped(*more):
+        fits.append(more[1:3])
+        if len(fits) == 3:
+            raise RuntimeError("lost")
+        return real(*more)
+
+    run = lambda **more: sweep.sweep(corpus, trials, "doc_id", seed=2, vocabulary_size=None, terms_per_topic=4, window=10, **more)
+    monkeypatch.setattr(topics, "fit_prepared", stopped)
+    with pytest.raises(RuntimeError, match="lost"):
+        run(results=f"{tmp_path}/done")
+    assert sorted(row["config"] for row in sweep.stored_results(spark, f"{tmp_path}/done").collect()) == ["a", "b"]
+    rows = run(results=f"{tmp_path}/done").collect()
+    assert len(fits) == 3 + 2
+    plain = run().collect()
+    assert [row[:5] for row in rows] == [row[:5] for row in plain]
+    assert [row["coherence"] for row in rows] == pytest.approx([row["coherence"] for row in plain])
+    assert run(results=f"{tmp_path}/done").collect() == rows and len(fits) == 3 + 2 + 4
+
+
+def test_held_out_rows_are_likelier_with_their_topics(corpus):
+    both = fit_topics(corpus.where("doc_id < 60"), ["doc_id"], seed=3, vocabulary_size=None, tokens=PLAIN, k=2, max_iter=30, weighting="count", subsampling_rate=0.5)
+    one = fit_topics(corpus.where("doc_id < 60"), ["doc_id"], seed=3, vocabulary_size=None, tokens=PLAIN, k=1, max_iter=30, weighting="count", subsampling_rate=0.5)
+    unseen = topics_vectors(corpus.where("doc_id >= 60"), both.vocabulary)
+    assert topics.held_out_log_perplexity(both.model, unseen) < topics.held_out_log_perplexity(one.model, unseen) - 0.3
+
+
+def topics_vectors(rows, vocabulary):
+    return vectors.document_vectors(token_table(rows, PLAIN, ["doc_id"]), vocabulary, ["doc_id"], vectors.COUNT)
+
+
+def test_narrow_and_shuffled_inference_agree(fitted):
+    """With the topics broadcast, and with blocks of rows that ask for their terms."""
+    for complete in (False, True):
+        narrow, shuffled = (
+            sorted(topics._scored(fitted.model, fitted.vectors, complete, limit).collect(), key=lambda row: row["doc_id"]) for limit in (1 << 26, 0))
+        assert [row["doc_id"] for row in narrow] == [row["doc_id"] for row in shuffled] and len(narrow) == 80
+        for a, b in zip(narrow, shuffled):
+            assert a["_gamma"] == pytest.approx(b["_gamma"]) and a["_score"] == pytest.approx(b["_score"]) and a["_mass"] == b["_mass"]
+
+
+def test_against_a_model_in_one_process(corpus):
+    """The same iterations on dense matrices: every term's weights, touched or not, and the prior."""
+    rare = corpus.withColumn("content", F.concat("content", F.lit(" only"), F.translate(F.col("doc_id").cast("string"), "0123456789", "abcdefghij")))
+    table = token_table(rare, PLAIN, ["doc_id"])
+    weights = stored(terms.idf(terms.vocabulary(stored(terms.term_statistics(terms.bag_of_words(table, ["doc_id"]))), 1, size=None), F.lit(81)))
+    made = vectors.document_vectors(table, weights, ["doc_id"], vectors.COUNT)
+    k, rounds, seed, slices = 3, 7, 5, 4
+    model = topics.fit(made, ["doc_id"], k, rounds, seed, 1 / slices)
+    rows = vectors.entries(made, ["doc_id"]).withColumn("slice", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(slices))).collect()
+    size, eta, alpha = rows[0]["size"], 1 / k, np.full(k, 1 / k)
+    lam = topics._start(np.arange(size), k, seed)
+    batches = [[r for r in rows if r["slice"] == s] for s in range(slices)]
+    for t in range(1, rounds + 1):
+        batch, rate = batches[(t - 1) % slices], (1024 + t) ** -0.51
+        beta = np.exp(special.digamma(lam) - special.digamma(lam.sum(axis=0)))
+        added, logs = np.zeros_like(lam), np.zeros(k)
+        for r in batch:
+            n = np.array(r["values"])
+            gamma, share, norm = topics._infer(n, beta[r["indices"]], alpha)
+            added[r["indices"]] += np.outer(n / norm, share)
+            logs += special.digamma(gamma) - special.digamma(gamma.sum(keepdims=True))
+        lam = (1 - rate) * lam + rate * (eta + len(rows) / len(batch) * added * beta)
+        alpha = topics._alpha_step(alpha, logs, len(batch), rate)
+    found = np.array([r["weights"] for r in model.topics.orderBy("term_id").collect()])
+    assert np.allclose(found, lam, rtol=1e-9) and np.allclose(model.totals, lam.sum(axis=0)) and np.allclose(model.alpha, alpha)
+
+
+def test_special_functions():
+    x = np.array([0.01, 0.3, 1.0, 2.5, 10.0, 1000.0])
+    assert np.allclose(special.log_gamma(x), [math.lgamma(one) for one in x], atol=1e-10)
+    step = 1e-5 * x
+    assert np.allclose(special.digamma(x), (special.log_gamma(x + step) - special.log_gamma(x - step)) / (2 * step), rtol=1e-5)
+    assert np.allclose(special.trigamma(x), (special.digamma(x + step) - special.digamma(x - step)) / (2 * step), rtol=1e-5)
+    drawn = special.gamma_drawn(np.arange(200_000), 100.0)
+    assert abs(drawn.mean() - 1) < 0.002 and abs(drawn.std() - 0.1) < 0.002 and np.array_equal(drawn[:9], special.gamma_drawn(np.arange(9), 100.0))
+
+
 def test_grids():
     assert [len(grid) for grid in (sweep.CLEANING_TRIALS, sweep.TOKEN_TRIALS, sweep.NGRAM_TRIALS, sweep.MIN_DF_TRIALS, sweep.TOPIC_TRIALS)] == [10, 3, 6, 5, 8]

@@ -14,6 +14,7 @@ from ..plans.modelling import (
     FINAL_ITERATIONS, FINAL_TOKENS, FINAL_TOPICS, PERIOD_ITERATIONS, PERIOD_TOPICS, fit_topics, fit_topics_per_period, stored_weights,
 )
 from ..plans.text import TokenConfig
+from ..runtime import side_by_side, stored
 from . import inputs
 from .cleaning import clean_sql
 from .porter_sql import stem_sql
@@ -87,32 +88,82 @@ def lda_fit(spark, folder):
         F.col("topic").cast("bigint").alias("topic"), "terms", F.round("weight", 6).alias("weight"))
 
 
-PLANTED = 2
-PLANTED_TERMS = 5
+# Planted topics: each has a run of terms, and neighbours share those at its ends.
+PLANTED = 8
+PLANTED_TERMS = 80
+PLANTED_STEP = 62
+PLANTED_KEYS = ["doc_id"]
+PLANTED_RATE = 0.25
+PLANTED_ITERATIONS = 60
+PLANTED_LEARNING = (10.0, 0.7)
+PLANTED_SEEDS = (1, 2, 3)
+
+
+def _planted(spark, folder):
+    """Token lists of the corpus with every word replaced by a term of a planted topic.
+
+    Four of five words of a text get a term of its own topic, the others of any topic, by a
+    hash of text, place and word; a topic's first terms are the commonest.
+    """
+    def term(word, place):
+        drawn = F.xxhash64("doc_id", place, word)
+        topic = F.when(F.pmod(drawn, F.lit(5)) < 4, F.col("doc_id") % PLANTED).otherwise(F.pmod(F.shiftright(drawn, 8), F.lit(PLANTED)))
+        part = F.pmod(F.shiftright(drawn, 16), F.lit(10_000)) / 10_000.0
+        return F.concat(F.lit("t"), (topic * PLANTED_STEP + F.floor(part * part * PLANTED_TERMS)).cast("string"))
+
+    return stored(inputs.tokens(spark, folder).select("doc_id", F.transform("tokens", term).alias("tokens")))
+
+
+def _planted_vectors(planted, rows):
+    """Counts over the vocabulary of ``rows``, for the given token lists."""
+    weights = stored_weights(terms.bag_of_words(rows, PLANTED_KEYS), rows.count(), 1, None)
+    return weights, vectors.document_vectors(planted, weights, PLANTED_KEYS, vectors.COUNT)
 
 
 @query("lda_topics", f"""
-SELECT CAST({PLANTED} AS BIGINT) AS topics, CAST({PLANTED} AS BIGINT) AS groups, CAST({PLANTED * PLANTED_TERMS} AS BIGINT) AS terms,
-  CAST(1 AS BIGINT) AS most_groups_of_a_topic""")
+SELECT CAST({PLANTED} AS BIGINT) AS topics, CAST({PLANTED} AS BIGINT) AS planted, true AS pure""")
 def lda_topics(spark, folder):
-    """Planted topics are found: documents with even and with odd ids get words of their own.
+    """Planted topics are found: eight, over 514 terms, overlapping, and mixed in every text.
 
-    Each word of a text becomes one of five terms of its document's group, by its length. A
-    topic's five heaviest terms must be those of one group, and both groups must be found.
+    Of a topic's 20 heaviest terms at least 16 must be of one planted topic, another one for each topic.
+    As a fit can end with two planted topics in one, there are three, and that of the best bound counts.
     """
-    group = F.col("doc_id") % PLANTED
-    planted = inputs.tokens(spark, folder).select("doc_id", F.transform(
-        "tokens", lambda word: F.concat(F.lit("g"), group.cast("string"), F.lit("_"), (F.length(word) % PLANTED_TERMS).cast("string"))
-    ).alias("tokens"))
-    weights = stored_weights(terms.bag_of_words(planted, ["doc_id"]), planted.count(), 1, None)
-    made = vectors.document_vectors(planted, weights, ["doc_id"], vectors.COUNT)
-    model = topics.fit(made, ["doc_id"], PLANTED, PERIOD_ITERATIONS, SEED)
-    best = topics.topic_terms(model, weights, PLANTED_TERMS).withColumn("group", F.substring("term", 1, 2))
-    by_topic = best.groupBy("topic").agg(F.count_distinct("group").alias("groups"))
-    most = by_topic.agg(F.max("groups").alias("most_groups_of_a_topic"))
-    return best.agg(
-        F.count_distinct("topic").alias("topics"), F.count_distinct("group").alias("groups"), F.count_distinct("term").alias("terms"),
-    ).withColumn("most_groups_of_a_topic", most.scalar())
+    planted = _planted(spark, folder)
+    weights, made = _planted_vectors(planted, planted)
+    prepared = topics.prepare(made, PLANTED_KEYS, SEED, PLANTED_RATE)
+
+    def fitted(seed):
+        model = topics.fit_prepared(prepared, PLANTED, PLANTED_ITERATIONS, seed, *PLANTED_LEARNING)
+        return topics.log_perplexity(model, made), seed, model
+
+    model = min(side_by_side(spark, fitted, PLANTED_SEEDS, PARALLELISM), key=lambda one: one[:2])[2]
+    number = F.floor(F.substring("term", 2, 9).cast("int") / PLANTED_STEP)
+    best = topics.topic_terms(model, weights, 20).withColumn("planted", F.least(number, F.lit(PLANTED - 1)))
+    by_topic = best.groupBy("topic").agg(F.mode("planted", deterministic=True).alias("most"), F.collect_list("planted").alias("all"))
+    own = F.size(F.filter("all", lambda one: one == F.col("most")))
+    return by_topic.agg(
+        F.count("topic").alias("topics"), F.count_distinct("most").alias("planted"), (F.min(own) >= 16).alias("pure"),
+    )
+
+
+@query("held_out_perplexity", inputs.with_corpus("""
+SELECT true AS better_than_one_topic, true AS better_than_too_few FROM corpus LIMIT 1"""))
+def held_out_perplexity(spark, folder):
+    """Texts that no fit has seen: their words are likelier under as many topics as were planted than under one or three.
+
+    A tenth of the texts is kept back by a hash; their topics come from one half of the terms, the other is scored.
+    """
+    planted = _planted(spark, folder).withColumn("unseen", topics.held_out(PLANTED_KEYS, seed=SEED))
+    seen, unseen = planted.where("NOT unseen").drop("unseen"), planted.where("unseen").drop("unseen")
+    weights, made = _planted_vectors(seen, seen)
+    others = vectors.document_vectors(unseen, weights, PLANTED_KEYS, vectors.COUNT)
+    prepared = topics.prepare(made, PLANTED_KEYS, SEED, PLANTED_RATE)
+
+    def score(k):
+        return topics.held_out_log_perplexity(topics.fit_prepared(prepared, k, PLANTED_ITERATIONS, SEED, *PLANTED_LEARNING), others)
+
+    one, few, as_planted = side_by_side(spark, score, (1, 3, PLANTED), PARALLELISM)
+    return spark.createDataFrame([(as_planted < one, as_planted < few)], "better_than_one_topic boolean, better_than_too_few boolean")
 
 
 @query("topic_terms", f"""

@@ -34,9 +34,9 @@ DISTRIBUTION = "topicDistribution"
 BLOCK_ENTRIES = 1 << 17
 LEAST_BLOCKS = 16
 
-# The usual learning rate (offset + iteration) ** -exponent, and the start of the weights.
-RATE_OFFSET = 1024
-RATE_EXPONENT = 0.51
+# The usual learning rate (offset + iteration) ** -decay, and the start of the weights.
+LEARNING_OFFSET = 1024.0
+LEARNING_DECAY = 0.51
 START_SHAPE = 100.0
 
 #: A row's topic weights are found when they change by less than this on average.
@@ -155,7 +155,8 @@ def _alpha_step(alpha: np.ndarray, log_shares: np.ndarray, rows: int, rate: floa
 
 
 def fit(
-    vectors: DataFrame, keys: Sequence[str], k: int, max_iter: int, seed: int, subsampling_rate: float = 0.05
+    vectors: DataFrame, keys: Sequence[str], k: int, max_iter: int, seed: int, subsampling_rate: float = 0.05,
+    learning_offset: float = LEARNING_OFFSET, learning_decay: float = LEARNING_DECAY,
 ) -> TopicModel:
     """Online LDA over ``features``; the same seed and rows give the same model.
 
@@ -163,22 +164,25 @@ def fit(
     """
     path = new_table_path(vectors.sparkSession)
     with intermediate_tables(vectors.sparkSession):
-        return _fit(prepare(vectors, keys, seed, subsampling_rate), k, max_iter, seed, path)
+        return _fit(prepare(vectors, keys, seed, subsampling_rate), k, max_iter, seed, learning_offset, learning_decay, path)
 
 
-def fit_prepared(prepared: Prepared, k: int, max_iter: int, seed: int) -> TopicModel:
+def fit_prepared(
+    prepared: Prepared, k: int, max_iter: int, seed: int,
+    learning_offset: float = LEARNING_OFFSET, learning_decay: float = LEARNING_DECAY,
+) -> TopicModel:
     """A fit over vectors that are dealt already."""
     spark = prepared.docs.sparkSession
     path = new_table_path(spark)
     with intermediate_tables(spark):
-        return _fit(prepared, k, max_iter, seed, path)
+        return _fit(prepared, k, max_iter, seed, learning_offset, learning_decay, path)
 
 
-def _fit(prepared: Prepared, k: int, max_iter: int, seed: int, path: str) -> TopicModel:
+def _fit(prepared: Prepared, k: int, max_iter: int, seed: int, offset: float, exponent: float, path: str) -> TopicModel:
     spark, slices, terms, corpus = prepared.docs.sparkSession, len(prepared.rows), prepared.terms, sum(prepared.rows)
     eta, alpha = 1.0 / k, np.full(k, 1.0 / k)
     above = _start_totals(spark, terms, k, seed) - terms * eta  # sums of what weights have above eta
-    rates = [(RATE_OFFSET + t) ** -RATE_EXPONENT for t in range(1, max_iter + 1)]
+    rates = [(offset + t) ** -exponent for t in range(1, max_iter + 1)]
     tables: list[str] = []
 
     def decay(first: int, last: int) -> float:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..functions.cleaning import clean
 from ..operators import coherence, terms, topics, vectors
@@ -80,6 +81,7 @@ def sweep(
     window: int = coherence.WINDOW,
     subsampling_rate: float = 0.05,
     parallelism: int = 1,
+    results: str | None = None,
 ) -> DataFrame:
     """One row per trial; see ``SCORES``.
 
@@ -89,16 +91,46 @@ def sweep(
     show, share a fit. Only scores and topic terms reach the driver. ``parallelism`` runs, or
     fits of a single run, are under way at a time; each run keeps its token table cached.
     Intermediate tables are deleted at the end.
+
+    ``results`` names a folder that keeps the row of each trial, written as soon as its model is
+    scored (each model then has a pass over the tokens of its own). A sweep that was stopped
+    goes on where it was: trials found there, with the same settings and seed, are not run
+    again. A folder belongs to one corpus; `stored_results` reads it.
     """
+    spark = corpus.sparkSession
+    settings = (key, seed, terms_per_topic, window, vocabulary_size, subsampling_rate)
+    places = {trial: f"{results.rstrip('/')}/{_digest(trial, settings)}" for trial in trials} if results else {}
+    rows = {trial: tuple(row) for trial, place in places.items() if (row := _found(spark, place))}
     runs: dict[tuple, list[Trial]] = {}
     for trial in trials:
-        runs.setdefault(_inputs(trial), []).append(trial)
+        if trial not in rows:
+            runs.setdefault(_inputs(trial), []).append(trial)
     beside = max(1, parallelism // len(runs)) if runs else 1
-    settings = (key, seed, terms_per_topic, window, vocabulary_size, subsampling_rate, beside)
-    with intermediate_tables(corpus.sparkSession):
-        scored = side_by_side(corpus.sparkSession, lambda run: _run(corpus, run, *settings), list(runs.values()), parallelism)
-    rows = {trial: row for run, found in zip(runs.values(), scored) for trial, row in zip(run, found)}
-    return corpus.sparkSession.createDataFrame([rows[trial] for trial in trials], SCORES)
+
+    def keep(trial: Trial, row: tuple) -> None:
+        spark.createDataFrame([row], SCORES).coalesce(1).write.mode("overwrite").parquet(places[trial])
+
+    with intermediate_tables(spark):
+        scored = side_by_side(spark, lambda run: _run(corpus, run, *settings, beside, keep if results else None), list(runs.values()), parallelism)
+    rows |= {trial: row for run, found in zip(runs.values(), scored) for trial, row in zip(run, found)}
+    return spark.createDataFrame([rows[trial] for trial in trials], SCORES)
+
+
+def _digest(trial: Trial, settings: tuple) -> str:
+    return hashlib.sha256(repr((trial, settings)).encode()).hexdigest()[:32]
+
+
+def _found(spark: SparkSession, place: str) -> Row | None:
+    """The row written to a folder, if it was written to its end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        return None
+    return spark.read.schema(SCORES).parquet(place).first()
+
+
+def stored_results(spark: SparkSession, results: str) -> DataFrame:
+    """Rows of all trials that are done; see ``SCORES``."""
+    return spark.read.schema(SCORES).parquet(f"{results.rstrip('/')}/*")
 
 
 def _inputs(trial: Trial) -> tuple:
@@ -106,7 +138,12 @@ def _inputs(trial: Trial) -> tuple:
     return trial.cleaning, replace(trial.tokens, cleanup=SHRINK)
 
 
-def _run(corpus, trials, key, seed, terms_per_topic, window, vocabulary_size, subsampling_rate, beside) -> list[tuple]:
+def _setting(trial: Trial) -> tuple[int, int, int]:
+    """What a trial's model depends on besides its tokens."""
+    return trial.min_df, trial.k, trial.max_iter
+
+
+def _run(corpus, trials, key, seed, terms_per_topic, window, vocabulary_size, subsampling_rate, beside, keep: Callable | None) -> list[tuple]:
     cleaning, tokens = _inputs(trials[0])
     table = token_table(clean(nonempty(corpus), cleaning), tokens, [key]).persist(StorageLevel.MEMORY_AND_DISK)
     inputs = {}
@@ -118,24 +155,32 @@ def _run(corpus, trials, key, seed, terms_per_topic, window, vocabulary_size, su
             vectored = vectors.document_vectors(table, weights, [key])
             inputs[min_df] = (weights, weights.count(), vectored, topics.prepare(vectored, [key], seed, subsampling_rate))
 
-        def fit(setting: tuple[int, int, int]) -> tuple[list[list[str]], float]:
+        def fit(setting: tuple[int, int, int]) -> tuple[list[list[str]], float, float | None]:
             min_df, k, max_iter = setting
             weights, _, vectored, prepared = inputs[min_df]
             model = topics.fit_prepared(prepared, k, max_iter, seed)
             best = topics.topic_terms(model, weights, terms_per_topic).collect()
             ranked = sorted((row["topic"], row["rank"], row["term"]) for row in best)
             by_topic = [[term for topic, _, term in ranked if topic == number] for number in range(k)]
-            return by_topic, topics.log_perplexity(model, vectored)
-
-        settings = list(dict.fromkeys((trial.min_df, trial.k, trial.max_iter) for trial in trials))
+            perplexity = topics.log_perplexity(model, vectored)
+            if keep:
+                (mean,) = _mean_coherence(table, [by_topic], key, window)
+                for trial in trials:
+                    if _setting(trial) == setting:
+                        keep(trial, row(trial, by_topic, perplexity, mean))
+                return by_topic, perplexity, mean
+            return by_topic, perplexity, None
+
+        def row(trial: Trial, by_topic: list[list[str]], perplexity: float, mean: float | None) -> tuple:
+            return trial.config, trial.k, trial.min_df, documents, inputs[trial.min_df][1], perplexity, mean, by_topic
+
+        settings = list(dict.fromkeys(map(_setting, trials)))
         fitted = side_by_side(corpus.sparkSession, fit, settings, beside)
-        means = _mean_coherence(table, [by_topic for by_topic, _ in fitted], key, window)
-        found = {setting: (*fit, mean) for setting, fit, mean in zip(settings, fitted, means)}
-        rows = []
-        for trial in trials:
-            by_topic, perplexity, mean = found[trial.min_df, trial.k, trial.max_iter]
-            rows.append((trial.config, trial.k, trial.min_df, documents, inputs[trial.min_df][1], perplexity, mean, by_topic))
-        return rows
+        if not keep:
+            means = _mean_coherence(table, [by_topic for by_topic, _, _ in fitted], key, window)
+            fitted = [(by_topic, perplexity, mean) for (by_topic, perplexity, _), mean in zip(fitted, means)]
+        found = dict(zip(settings, fitted))
+        return [row(trial, *found[_setting(trial)]) for trial in trials]
     finally:
         table.unpersist()
 
