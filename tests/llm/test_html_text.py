@@ -5,7 +5,7 @@ from topicdrift.llm.html_text import extracted, main_text
 PROSE = "This paragraph is long enough to be the text of a page and it says so at some length."
 
 CASES = [
-    (None, ""), ("", ""), ("plain words", ""), (f"<p>{PROSE}</p>", PROSE),
+    (None, ""), ("", ""), ("plain words", "plain words"), (f"<p>{PROSE}</p>", PROSE),
     ("<nav>x</nav><article><h1>T</h1><p>a &amp; b\n <b>c</b><br>d</p><p>&eacute;&#233;&nbsp;z</p></article><footer>f</footer>", "T\na & b c d\néé z"),
     ("<article><header><h1>T</h1></header><p>x</p><aside>no</aside><form>no</form><ul><li>i</li><li>j</li></ul><footer>no</footer></article>", "T\nx\ni\nj"),
     ("<main><p>x</p><script>var a='</p><p>no';</script><style>p{}</style><!-- <p>no</p> --><p>y</p></main>", "x\ny"),
@@ -74,3 +74,14 @@ def test_no_block_between_or_after_is_lost(sizes):
 ])
 def test_nothing_else_is_dropped(page, expected):
     assert main_text(page) == expected
+
+
+@pytest.mark.parametrize(("page", "expected"), [
+    ("<p>Hello world, a short note.</p>", "Hello world, a short note."),
+    ("<h2>Note</h2><p>A paragraph of about fifty characters, not more.</p>", "Note\nA paragraph of about fifty characters, not more."),
+    ("<div><a>Home</a></div><p>Hello world, a short note.</p>", "Hello world, a short note."),
+    (f"<div><a>Home</a> <a>News</a></div><div><a>More</a></div><p>{LONG}</p>", LONG),
+    ("<nav>menu</nav><p>x</p>", "x"), ("<nav>menu</nav>", ""),
+])
+def test_short_pages_and_menus_before_the_text(page, expected):
+    assert main_text(page) == expected

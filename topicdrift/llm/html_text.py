@@ -171,17 +171,24 @@ def _lines(page: str, kept: set[int]) -> tuple[list[tuple[str, int, int]], list[
 
 
 def _runs(weights: list[int]) -> list[tuple[int, int]]:
-    """First line and last but one of each run from a surge to a dive point; gaps of up to a window are closed."""
+    """First line and last but one of each run from a surge to a dive point; gaps of up to a window are closed.
+
+    A page whose windows all stay below the surge level has its surge where its fullest window is.
+    """
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+    surge = min(SURGE, max(sums, default=0))
+    dive = min(DIVE, surge)
     runs: list[tuple[int, int]] = []
     i = 0
     while i < len(sums):
-        if sums[i] < SURGE:
+        if sums[i] < surge:
             i += 1
             continue
         begin = i
-        while i < len(sums) and sums[i] >= DIVE:
+        while i < len(sums) and sums[i] >= dive:
             i += 1
+        # the window reaches ahead: the surge is at the first of its lines that is no short one
+        begin = next((k for k in range(begin, min(begin + WINDOW, i)) if weights[k] >= dive), begin)
         if runs and begin - runs[-1][1] <= WINDOW:
             begin = runs.pop()[0]
         runs.append((begin, i))
