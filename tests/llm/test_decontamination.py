@@ -1,9 +1,10 @@
+import random
 import re
 
 import pytest
 from conftest_llm import EDGES, prose, words
 
-from topicdrift.llm.decontamination import clean, contaminated
+from topicdrift.llm.decontamination import _found, clean, contaminated, shard
 
 ITEMS = [
     (1, "A train leaves Boston at 5 pm and travels 60 miles per hour for 3 hours to reach the old harbor where Alice waits for it"),
@@ -50,3 +51,61 @@ def test_stage_and_empty_tables(make, spark):
     assert clean(docs, benchmark(spark).limit(0)).count() == len(DOCS)
     assert clean(docs.limit(0), benchmark(spark)).count() == 0
     assert contaminated(docs, benchmark(spark).limit(0)).count() == 0
+
+
+def found_in(item, text):
+    import pyarrow as pa
+
+    return [more[-1] for _, _, *more in _found(pa.array([text]), shard([(1, item)]))]
+
+
+@pytest.mark.parametrize(("item", "text"), [
+    ("Tom had 3 apples. Tom gave 2 to Ann. How many apples does Tom have now?", "Bob had 7 apples. Bob gave 4 to Sue. How many apples does Bob have now?"),
+    ("Alice has 5 pens and loses two of them", "Bob has 9 pens and loses three of them"),
+    ("a parcel of 5kg and another one of 7kg were sent to the same old house", "a parcel of 6kg and another one of 9kg were sent to the same old house"),
+    ("on the 3rd day she met Łukasz near the old mill and they spoke for long", "on the 5th day she met Émile near the old mill and they spoke for long"),
+    ("when Ольга left the town she had 12 coins and gave 5 of them to the poor", "when Иван left the town she had 30 coins and gave 8 of them to the poor"),
+])
+def test_other_names_and_numbers(item, text):
+    assert found_in(item, "well then. " + text + " and so on") == [False]
+    assert found_in(item, "well then. " + item + " and so on") == [True]
+
+
+@pytest.mark.parametrize(("item", "text"), [
+    ("Tom had 3 apples. Tom gave 2 to Ann. How many apples does Tom have now?", "Bob had 7 apples. Jim gave 4 to Sue. How many apples does Bob have now?"),
+    ("Alice has 5 pens and loses two of them", "Bob has 9 cows and sells three of those"),
+    ("Alice has 5 pens", "Bob has 7 pens"),
+])
+def test_other_questions(item, text):
+    assert found_in(item, text) == []
+
+
+def test_recall_on_changed_questions():
+    """Questions made from templates: those with other names, numbers and units of one word are found, others are not."""
+    rng = random.Random(4)
+    names, units = ["Ann", "Bob", "Cleo", "Dan", "Eve", "Zoë", "Łukasz", "Olga"], ["miles", "kg", "hours", "dollars", "meters"]
+    verbs = [f"verb{i}" for i in range(60)]
+    nouns = [f"noun{i}" for i in range(60)]
+    items, changed = [], []
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randrange(3, 7)):
+            parts.append(rng.choice([
+                "{a} " + rng.choice(verbs) + " {n} " + rng.choice(nouns) + " for {b}.", "Then {a} " + rng.choice(verbs) + " the " + rng.choice(nouns) + " by {m} {u}.",
+                "The " + rng.choice(nouns) + " of {b} was " + rng.choice(verbs) + " and cost {m}.", "How many " + rng.choice(nouns) + " does {a} " + rng.choice(verbs) + " now?",
+            ]))
+        template = " ".join(parts)
+
+        def filled():
+            a, b = rng.sample(names, 2)
+            n, m = rng.sample(range(2, 99), 2)
+            return template.format(a=a, b=b, n=n, m=m, u=rng.choice(units))
+
+        items.append(filled())
+        changed.append(filled())
+    index = shard(list(enumerate(items)))
+    import pyarrow as pa
+
+    hits = {(text, item) for text, item, *_ in _found(pa.array(["some words " + x + " more words" for x in changed]), index)}
+    assert sum((i, i) in hits for i in range(len(items))) >= 0.9 * len(items)
+    assert not list(_found(pa.array([prose(i, 400) for i in range(50)]), index))

@@ -80,7 +80,7 @@ def test_short_texts_alone_in_a_batch(n, spark):
     import pyarrow as pa
 
     items = [(1, prose(3, 40)), (2, "five small words only here"), (3, prose(4, 9))]
-    index = decontamination.shard(items, decontamination.WINDOW, decontamination.LITERALS)
+    index = decontamination.shard(items)
     for text in (prose(5, n), prose(4, 9) + " " + prose(5, n), "five small words only here"):
-        found = list(decontamination._found(pa.array([text]), index, decontamination.LITERALS))
+        found = list(decontamination._found(pa.array([text]), index))
         assert [item for _, item, *_ in found] == [k for k, (_, t) in enumerate(items) if f" {t} " in f" {text} "]

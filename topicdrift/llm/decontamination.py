@@ -1,9 +1,11 @@
 """Benchmark decontamination by canonical templates.
 
-Words become template tokens: numbers (digits or number words), units and names (capitalised
-words inside a sentence) become typed placeholders, other words lose case and punctuation at
-their edges. Windows of `WINDOW` template tokens with at least `LITERALS` literal ones are hashed
-and joined with the windows of the benchmark; a shorter item is one window.
+Words become template tokens: numbers (digits, number words, digits with up to three letters after
+them, as in 5kg), units and names (capitalised words) become typed placeholders, other words lose
+case and punctuation at their edges. A capital at the start of a sentence can be a name or not, so
+there are two readings of each text. Windows of `WINDOW` template tokens, half of them or more
+literal ones, are hashed and joined with the windows of the benchmark in the same reading; a
+shorter item is one window, and one of fewer than `LEAST_TEMPLATE` words must be cited word for word.
 
 Windows of the words themselves, without case and edges, are hashed and joined too: they find
 what was cited word for word, however names stand in it.
@@ -32,7 +34,7 @@ from topicdrift.llm.exchange import where_text
 from topicdrift.llm.words import Words, member, mix, pieces, window_hashes
 
 WINDOW = 13
-LITERALS = 7
+LEAST_TEMPLATE = 8
 #: Text of a shard of the benchmark.
 SHARD_BYTES = 16 << 20
 
@@ -58,6 +60,14 @@ _EDGE[[ord(c) for c in ".,!?;:\"'()[]{}"]] = True
 _CLOSES = np.zeros(256, dtype=bool)
 _CLOSES[[ord(c) for c in ".!?:"]] = True
 
+# Capitals of two bytes of all scripts, by their first and second byte, and the bytes of the small letter.
+_CAPITAL = np.zeros((256, 256), dtype=bool)
+_SMALL = np.zeros((256, 256, 2), dtype=np.uint8)
+for _letter in map(chr, range(0x80, 0x800)):
+    if _letter.isupper() and len(_letter.lower().encode()) == 2:
+        _CAPITAL[tuple(_letter.encode())] = True
+        _SMALL[tuple(_letter.encode())] = list(_letter.lower().encode())
+
 
 def _hashes(words: str) -> np.ndarray:
     data = np.frombuffer(words.encode(), dtype=np.uint8)
@@ -67,21 +77,29 @@ def _hashes(words: str) -> np.ndarray:
 _NUMBER_WORDS, _UNIT_WORDS = _hashes(NUMBERS), _hashes(UNITS)
 
 
+PLAIN = 2
+
+
 @dataclass
 class Templates:
-    """Template tokens of a run of texts; `value` is the hash of each word without case and edges."""
+    """Template tokens of a run of texts in two readings; `value` is the hash of each word without case and edges.
+
+    `inner` takes capitals inside a sentence as names, `token` all of them; a placeholder's token is not its value.
+    """
 
     words: Words
     token: np.ndarray
+    inner: np.ndarray
     value: np.ndarray
-    literal: np.ndarray
 
-    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """Place and hash of the windows of `size` tokens with enough literals."""
-        hashes = window_hashes(self.token, size)
-        total = np.r_[0, np.cumsum(self.literal)]
+    def windows(self, token: np.ndarray, size: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place and hash of the windows of `size` tokens, half of them literal."""
+        if size < LEAST_TEMPLATE:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        hashes = window_hashes(token, size, salt)
+        total = np.r_[0, np.cumsum(token == self.value)]
         at = np.flatnonzero(self.words.inside(size))
-        at = at[total[at + size] - total[at] >= min(literals, size)]
+        at = at[2 * (total[at + size] - total[at]) >= size]
         return at, hashes[at]
 
     def plain(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,16 +107,19 @@ class Templates:
         at = np.flatnonzero(self.words.inside(size))
         return at, window_hashes(self.value, size, 2)[at]
 
-    def views(self, size: int, literals: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
-        yield False, *self.windows(size, literals)
-        yield True, *self.plain(size)
+    def views(self, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(view, places, hashes): both readings, and the words as they are (`PLAIN`)."""
+        yield 0, *self.windows(self.inner, size, 1)
+        yield 1, *self.windows(self.token, size, 1)
+        yield PLAIN, *self.plain(size)
 
 
 def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
-    # upper-case letters of two bytes (U+00C0 to U+00DE) are lowered, too
-    wide = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    wide = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] < 0xE0))
+    wide = wide[_CAPITAL[data[wide], data[wide + 1]]]
     lowered = data.copy()
-    lowered[wide] += 0x20
+    small = _SMALL[data[wide], data[wide + 1]]
+    lowered[wide], lowered[wide + 1] = small[:, 0], small[:, 1]
     words = Words(lowered, offsets, lower=True)
     start, end = words.start.copy(), words.end.copy()
     for _ in range(3):
@@ -106,35 +127,35 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
         end = end - (_EDGE[data[end - 1]] & (end - start > 1))
     value = mix(words.range_hash(start, end))
     digits, numeric = (np.r_[0, np.cumsum(x[data])] for x in (_DIGIT, _NUMERIC))
-    number = (digits[end] > digits[start]) & (numeric[end] - numeric[start] == end - start) | member(value, _NUMBER_WORDS)
-    unit = member(value, _UNIT_WORDS)
+    more = end - start - (numeric[end] - numeric[start])
     first = data[start]
-    second = np.r_[data, 0][start + 1]
-    capital = (first >= 65) & (first <= 90) | (first == 0xC3) & (second >= 0x80) & (second <= 0x9E)
+    number = (digits[end] > digits[start]) & ((more == 0) | _DIGIT[first] & (more <= 3)) | member(value, _NUMBER_WORDS)
+    unit = member(value, _UNIT_WORDS)
+    capital = (first >= 65) & (first <= 90) | _CAPITAL[first, np.r_[data, 0][start + 1]]
     opens = np.ones(len(words), dtype=bool)
     if len(words):
         opens[1:] = (words.doc[1:] != words.doc[:-1]) | _CLOSES[data[words.end[:-1] - 1]]
-    name = capital & ~opens & ~number & ~unit
+    name = capital & ~number & ~unit
     token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
-    return Templates(words, token, value, ~(number | unit | name))
+    return Templates(words, token, np.where(name & opens, value, token), value)
 
 
 @dataclass
 class Shard:
-    """Benchmark windows sorted by hash, with their item, place and size; template tokens of the items."""
+    """Benchmark windows sorted by hash, with their item, place, size and view; template tokens of the items."""
 
     sizes: list[int]
     hash: np.ndarray
     item: np.ndarray
     place: np.ndarray
     size: np.ndarray
-    plain: np.ndarray
+    view: np.ndarray
     value: np.ndarray
     token: np.ndarray
     ids: list
 
 
-def shard(items: list[tuple], window: int, literals: int) -> Shard:
+def shard(items: list[tuple], window: int = WINDOW) -> Shard:
     """Index of items (item_id, text)."""
     text = pa.array([text or "" for _, text in items], pa.string())
     rows, value, token, total = [], [], [], 0
@@ -144,10 +165,10 @@ def shard(items: list[tuple], window: int, literals: int) -> Shard:
         value.append(found.value)
         token.append(found.token)
         for size in sorted({window, *words.per_doc[(words.per_doc < window) & (words.per_doc > 0)].tolist()}):
-            for plain, at, hashes in found.views(size, literals):
+            for view, at, hashes in found.views(size):
                 own = words.per_doc[words.doc[at]] >= window if size == window else words.per_doc[words.doc[at]] == size
                 at, hashes = at[own], hashes[own]
-                rows.append((hashes, begin + words.doc[at], at + total, np.full(len(at), size), np.full(len(at), plain)))
+                rows.append((hashes, begin + words.doc[at], at + total, np.full(len(at), size), np.full(len(at), view)))
         total += len(words)
     columns = [np.concatenate([row[i] for row in rows]) if rows else np.zeros(0, dtype=np.int64) for i in range(5)]
     order = np.argsort(columns[0], kind="stable")
@@ -162,18 +183,18 @@ def _consistent(ours: np.ndarray, theirs: np.ndarray) -> bool:
     return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
-def matches(found: Templates, index: Shard, literals: int) -> Iterator[tuple[int, int, int, int, bool]]:
+def matches(found: Templates, index: Shard) -> Iterator[tuple[int, int, int, int, bool]]:
     """(text, item, first word, words, same values) of every consistent alignment."""
     hits = []
     for size in index.sizes:
-        for plain, at, hashes in found.views(size, literals):
+        for view, at, hashes in found.views(size):
             known = member(hashes, index.hash)
             at, hashes = at[known], hashes[known]
             low, high = np.searchsorted(index.hash, hashes, "left"), np.searchsorted(index.hash, hashes, "right")
             many = high - low
             entry = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
             ours = np.repeat(at, many)
-            right = (index.size[entry] == size) & (index.plain[entry] == plain)
+            right = (index.size[entry] == size) & (index.view[entry] == view)
             hits.append((ours[right], entry[right]))
     ours, entry = (np.concatenate([hit[i] for hit in hits]) if hits else np.zeros(0, dtype=np.int64) for i in range(2))
     text, item, away = found.words.doc[ours], index.item[entry], index.place[entry] - ours
@@ -182,9 +203,9 @@ def matches(found: Templates, index: Shard, literals: int) -> Iterator[tuple[int
     new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (away[1:] != away[:-1])] if len(ours) else np.zeros(0, dtype=bool)
     starts = np.flatnonzero(new)
     for a, b in zip(starts, np.r_[starts, len(ours)][1:], strict=True):
-        cited = index.plain[entry[a:b]].astype(bool)
+        cited = index.view[entry[a:b]] == PLAIN
         places = np.unique(np.concatenate([x + np.arange(n) for x, n in zip(ours[a:b].tolist(), index.size[entry[a:b]].tolist(), strict=True)]))
-        slots = places[~found.literal[places]]
+        slots = places[found.token[places] != found.value[places]]
         own, other = found.value[slots], index.value[slots + away[a]]
         kind = found.token[slots]
         if cited.any() or _consistent(own ^ kind, other ^ kind):
@@ -192,7 +213,7 @@ def matches(found: Templates, index: Shard, literals: int) -> Iterator[tuple[int
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, shard_bytes: int = SHARD_BYTES,
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """Documents and the benchmark items they hold: doc_id, item_id, first_word, n_words, same_values.
 
@@ -208,26 +229,26 @@ def contaminated(
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, own = batch.column("doc_id").to_pylist(), index.value.ids
-                result = [(ids[text], own[item], *more) for text, item, *more in _found(batch.column("text"), index.value, literals)]
+                result = [(ids[text], own[item], *more) for text, item, *more in _found(batch.column("text"), index.value)]
                 columns = list(zip(*result, strict=True)) if result else [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds.values(), strict=True)], list(kinds))
 
         return rows.mapInArrow(find, "doc_id long, item_id long, first_word long, n_words long, same_values boolean")
 
-    out = [against(index) for index in _shards(benchmark, window, literals, shard_bytes)]
+    out = [against(index) for index in _shards(benchmark, window, shard_bytes)]
     result = out[0]
     for more in out[1:]:
         result = result.union(more)
     return result
 
 
-def _found(texts: pa.Array, index: Shard, literals: int) -> Iterator[tuple[int, int, int, int, bool]]:
+def _found(texts: pa.Array, index: Shard) -> Iterator[tuple[int, int, int, int, bool]]:
     for first, data, offsets in pieces(texts):
-        for text, *more in matches(templates(data, offsets), index, literals):
+        for text, *more in matches(templates(data, offsets), index):
             yield first + text, *more
 
 
-def _shards(benchmark: DataFrame, window: int, literals: int, shard_bytes: int) -> Iterator:
+def _shards(benchmark: DataFrame, window: int, shard_bytes: int) -> Iterator:
     """Broadcast indexes of the benchmark, one at a time, in order of items; at least one."""
     context = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
@@ -236,25 +257,25 @@ def _shards(benchmark: DataFrame, window: int, literals: int, shard_bytes: int)
         held.append((item, text))
         size += len(text) + 64
         if size >= shard_bytes:
-            yield context.broadcast(shard(held, window, literals))
+            yield context.broadcast(shard(held, window))
             held, size, done = [], 0, done + 1
     if held or not done:
-        yield context.broadcast(shard(held, window, literals))
+        yield context.broadcast(shard(held, window))
 
 
 def clean(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, shard_bytes: int = SHARD_BYTES,
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """Rows that hold no benchmark item; same columns. Every row is judged by its own text."""
 
     def without(rows: DataFrame, index) -> DataFrame:
         def judge(texts: pa.Array) -> np.ndarray:
             keep = np.ones(len(texts), dtype=bool)
-            keep[[text for text, *_ in _found(texts, index.value, literals)]] = False
+            keep[[text for text, *_ in _found(texts, index.value)]] = False
             return keep
 
         return where_text(rows, judge)
 
-    for index in _shards(benchmark, window, literals, shard_bytes):
+    for index in _shards(benchmark, window, shard_bytes):
         docs = without(docs, index)
     return docs
