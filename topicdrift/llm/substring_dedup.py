@@ -1,6 +1,7 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of all reference blocks.
+"""Substring dedup by window lookups in an index of all reference blocks.
 
-Every document is factored greedily against the documents with smaller ids. The reference is
+Windows of every document are looked up among those of documents with smaller ids. This is not a
+Lempel-Ziv parse: no match is extended, and no place in the source is kept. The reference is
 indexed by blocks in two steps, so that only text which occurs again costs anything:
 
 1. Anchors. Each window of `window` words has the least of its 5-gram hashes as its anchor;
@@ -9,9 +10,9 @@ indexed by blocks in two steps, so that only text which occurs again costs anyth
 2. Windows. Blocks send the fingerprints (96 bits) of windows with such an anchor, together
    with the least document that has them. The index answers with the least document of all.
 
-A window that a smaller document has too is a match. Consecutive matches with one source form
-a factor. The words of factors of at least `window` words are duplicates; windows across the
-boundary of two factors are looked up like all others, so nothing hides at a boundary.
+A window that a smaller document has too is a match, and its words are duplicates. Consecutive
+matches with the same least document are reported as a factor; windows across the boundary of
+two factors are looked up like all others, so nothing hides at a boundary.
 
 Each key crosses the network once for each block that has it: a passage in a third of all rows
 costs as much as any other. Texts are shuffled once, by block.
