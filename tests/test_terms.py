@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from dataclasses import replace
 
 import pyarrow as pa
 import pytest
@@ -8,6 +9,7 @@ from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.sql import functions as F
 
 from topicdrift.operators import terms, vectors
+from topicdrift.plans.text import TokenConfig, form_of, form_table, token_table, tokens_of_form
 from topicdrift.runtime import new_table_path, stored
 
 DOCS = [(1, "b a b c".split()), (2, "a".split()), (3, []), (4, "c c d a".split()), (5, None), (6, ["zz"])]
@@ -148,3 +150,25 @@ def test_an_empty_vocabulary_is_refused(spark, documents):
     weights = stored(terms.idf(terms.vocabulary(statistics, min_df=99, size=None), F.lit(6)))
     with pytest.raises(ValueError, match="empty"):
         vectors.stored_vectors(bag, weights, ["doc_id"])
+
+
+def test_statistics_of_many_settings_are_those_of_each(spark):
+    rows = [(1, "The cat saw the Cat and the cats"), (2, "cat THE cat"), (3, ""), (4, "Running runs the cat"), (5, None)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, content string")
+    base = TokenConfig(stop_words=("and",))
+    configs = [
+        replace(base, ngrams=sizes, distinct=distinct, lowercase=lowercase, stem=stem)
+        for sizes, distinct, lowercase, stem in [
+            ((1, 2), True, True, False), ((1, 2), True, False, False), ((2,), False, True, False),
+            ((1, 2, 3), True, True, False), ((2,), False, False, True), ((1,), False, True, True),
+        ]
+    ]
+    forms = form_table(texts, configs, ["doc_id"])
+    shared = terms.ngram_statistics(forms, [(form_of(config), size) for config in configs for size in config.ngrams])
+    assert plan_of(shared).count("Exchange hashpartitioning") == 1
+    for config in configs:
+        alone = token_table(texts, config, ["doc_id"])
+        assert sorted(tokens_of_form(forms, config, ["doc_id"]).collect()) == sorted(alone.collect())
+        wanted = terms.term_statistics(terms.bag_of_words(alone, ["doc_id"]))
+        found = terms.setting_statistics(shared, form_of(config), config.ngrams, config.distinct)
+        assert sorted(found.collect()) == sorted(wanted.collect()) and wanted.count()

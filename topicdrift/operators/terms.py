@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lemmas import lemmas_of
+from ..functions.tokens import ngrams
 from ..runtime import BROADCAST_LIMIT_BYTES, broadcast_if_small, size_in_bytes, stored
 from .corpus import running_total
 
@@ -44,6 +45,38 @@ def term_statistics(bag: DataFrame) -> DataFrame:
     return bag.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
 
 
+def ngram_statistics(lists: DataFrame, wanted: Sequence[tuple[str, int]]) -> DataFrame:
+    """``(term, size, counts)``: statistics of the n-grams of several token lists, for many settings at once.
+
+    ``wanted`` names pairs of a list column and a size. ``counts`` has, for each list column, a struct
+    of occurrences ``n`` and documents ``df``, NULL where the list has no such term. All pairs
+    share a pass over the rows and a shuffle, in which a term that several lists hold is one row. See
+    `setting_statistics`.
+    """
+    pairs = [
+        F.struct(F.lit(form).alias("form"), F.lit(size).alias("size"), ngrams(F.col(form), size).alias("tokens"))
+        for form, size in dict.fromkeys(wanted)
+    ]
+    bag = bag_of_words(lists.select(F.inline(F.array(*pairs))), ["form", "size"])
+
+    def counted(form: str) -> Column:
+        own = F.col("form") == form
+        df = F.count_if(own)
+        return F.when(df > 0, F.struct(F.sum(F.when(own, F.col("tf"))).alias("n"), df.alias("df"))).alias(form)
+
+    forms = dict.fromkeys(form for form, _ in wanted)
+    return bag.groupBy("term", "size").agg(F.struct(*map(counted, forms)).alias("counts"))
+
+
+def setting_statistics(shared: DataFrame, form: str, sizes: Sequence[int], distinct: bool = False) -> DataFrame:
+    """`term_statistics` of one setting: n-grams of ``sizes`` of one list, out of those of all settings.
+
+    ``distinct``: an entry counts once in a row, so occurrences are documents.
+    """
+    own = shared.where(F.col("size").isin(*sizes) & F.col(f"counts.{form}").isNotNull())
+    return own.select("term", F.col(f"counts.{form}.{'df' if distinct else 'n'}").alias("n"), F.col(f"counts.{form}.df").alias("df"))
+
+
 def vocabulary(statistics: DataFrame, min_df: int = 1, *, size: int | None) -> DataFrame:
     """Terms in at least ``min_df`` documents: ``(term_id, term, n, df)``.
 

@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..functions.cleaning import clean
@@ -14,7 +13,7 @@ from ..operators import coherence, terms, topics, vectors
 from ..operators.corpus import nonempty
 from ..functions.tokens import SHRINK
 from ..runtime import intermediate_tables, side_by_side, stored
-from .text import TokenConfig, token_table
+from .text import TokenConfig, form_of, form_table, plain_form, tokens_of_form
 
 SCORES = (
     "config string, k int, min_df int, documents bigint, vocabulary bigint, "
@@ -85,11 +84,12 @@ def sweep(
 ) -> DataFrame:
     """One row per trial; see ``SCORES``.
 
-    Texts are cleaned and cut once for all trials with the same cleaning and tokens, vectors
-    are built once per vocabulary, and their topics are scored together in one pass over
-    the tokens. Trials that differ in nothing but the clean-up of blanks, which tokens do not
+    Texts are cleaned and cut once for all trials that differ in case, stems and n-grams only, and
+    one pass and one shuffle count the n-grams of all of them (`terms.ngram_statistics`). Vectors
+    are built once per vocabulary, and topics of trials with the same tokens are scored together in
+    one pass over these. Trials that differ in nothing but the clean-up of blanks, which tokens do not
     show, share a fit. Only scores and topic terms reach the driver. ``parallelism`` runs, or
-    fits of a single run, are under way at a time; each run keeps its token table cached.
+    fits of a single run, are under way at a time; words are a written table, n-grams are made when they are read.
     Intermediate tables are deleted at the end.
 
     ``results`` names a folder that keeps the row of each trial, written as soon as its model is
@@ -110,8 +110,16 @@ def sweep(
     def keep(trial: Trial, row: tuple) -> None:
         spark.createDataFrame([row], SCORES).coalesce(1).write.mode("overwrite").parquet(places[trial])
 
+    families: dict[tuple, list[TokenConfig]] = {}
+    for listed in runs.values():
+        families.setdefault(_family(listed[0]), []).append(listed[0].tokens)
+
     with intermediate_tables(spark):
-        scored = side_by_side(spark, lambda run: _run(corpus, run, *settings, beside, keep if results else None), list(runs.values()), parallelism)
+        made = side_by_side(spark, lambda one: _counted(corpus, one[0][0], one[1], key), list(families.items()), parallelism)
+        counted = dict(zip(families, made))
+        scored = side_by_side(
+            spark, lambda run: _run(counted[_family(run[0])], run, *settings, beside, keep if results else None), list(runs.values()), parallelism
+        )
     rows |= {trial: row for run, found in zip(runs.values(), scored) for trial, row in zip(run, found)}
     return spark.createDataFrame([rows[trial] for trial in trials], SCORES)
 
@@ -138,51 +146,62 @@ def _inputs(trial: Trial) -> tuple:
     return trial.cleaning, replace(trial.tokens, cleanup=SHRINK)
 
 
+def _family(trial: Trial) -> tuple:
+    """What trials have in common that share their words and the count of their n-grams."""
+    return trial.cleaning, plain_form(trial.tokens)
+
+
+def _counted(corpus: DataFrame, cleaning: str, configs: Sequence[TokenConfig], key: str) -> tuple[DataFrame, DataFrame, int]:
+    """Words of all forms and statistics of all n-grams of a family, both written tables; its number of texts."""
+    forms = stored(form_table(clean(nonempty(corpus), cleaning), configs, [key]))
+    wanted = [(form_of(config), size) for config in configs for size in config.ngrams]
+    return forms, stored(terms.ngram_statistics(forms, wanted)), forms.count()
+
+
 def _setting(trial: Trial) -> tuple[int, int, int]:
     """What a trial's model depends on besides its tokens."""
     return trial.min_df, trial.k, trial.max_iter
 
 
-def _run(corpus, trials, key, seed, terms_per_topic, window, vocabulary_size, subsampling_rate, beside, keep: Callable | None) -> list[tuple]:
-    cleaning, tokens = _inputs(trials[0])
-    table = token_table(clean(nonempty(corpus), cleaning), tokens, [key]).persist(StorageLevel.MEMORY_AND_DISK)
+def _run(
+    counted, trials, key, seed, terms_per_topic, window, vocabulary_size, subsampling_rate, beside, keep: Callable | None
+) -> list[tuple]:
+    forms, shared, documents = counted
+    config = trials[0].tokens
+    table = tokens_of_form(forms, config, [key])
+    statistics = terms.setting_statistics(shared, form_of(config), config.ngrams, config.distinct)
     inputs = {}
-    try:
-        documents = table.count()
-        statistics = stored(terms.term_statistics(terms.bag_of_words(table, [key])))
-        for min_df in {trial.min_df for trial in trials}:
-            weights = stored(terms.idf(terms.vocabulary(statistics, min_df, size=vocabulary_size), F.lit(documents)))
-            vectored = vectors.document_vectors(table, weights, [key])
-            inputs[min_df] = (weights, weights.count(), vectored, topics.prepare(vectored, [key], seed, subsampling_rate))
-
-        def fit(setting: tuple[int, int, int]) -> tuple[list[list[str]], float, float | None]:
-            min_df, k, max_iter = setting
-            weights, _, vectored, prepared = inputs[min_df]
-            model = topics.fit_prepared(prepared, k, max_iter, seed)
-            best = topics.topic_terms(model, weights, terms_per_topic).collect()
-            ranked = sorted((row["topic"], row["rank"], row["term"]) for row in best)
-            by_topic = [[term for topic, _, term in ranked if topic == number] for number in range(k)]
-            perplexity = topics.log_perplexity(model, vectored)
-            if keep:
-                (mean,) = _mean_coherence(table, [by_topic], key, window)
-                for trial in trials:
-                    if _setting(trial) == setting:
-                        keep(trial, row(trial, by_topic, perplexity, mean))
-                return by_topic, perplexity, mean
-            return by_topic, perplexity, None
-
-        def row(trial: Trial, by_topic: list[list[str]], perplexity: float, mean: float | None) -> tuple:
-            return trial.config, trial.k, trial.min_df, documents, inputs[trial.min_df][1], perplexity, mean, by_topic
-
-        settings = list(dict.fromkeys(map(_setting, trials)))
-        fitted = side_by_side(corpus.sparkSession, fit, settings, beside)
-        if not keep:
-            means = _mean_coherence(table, [by_topic for by_topic, _, _ in fitted], key, window)
-            fitted = [(by_topic, perplexity, mean) for (by_topic, perplexity, _), mean in zip(fitted, means)]
-        found = dict(zip(settings, fitted))
-        return [row(trial, *found[_setting(trial)]) for trial in trials]
-    finally:
-        table.unpersist()
+    for min_df in {trial.min_df for trial in trials}:
+        weights = stored(terms.idf(terms.vocabulary(statistics, min_df, size=vocabulary_size), F.lit(documents)))
+        vectored = vectors.document_vectors(table, weights, [key])
+        inputs[min_df] = (weights, weights.count(), vectored, topics.prepare(vectored, [key], seed, subsampling_rate))
+
+    def fit(setting: tuple[int, int, int]) -> tuple[list[list[str]], float, float | None]:
+        min_df, k, max_iter = setting
+        weights, _, vectored, prepared = inputs[min_df]
+        model = topics.fit_prepared(prepared, k, max_iter, seed)
+        best = topics.topic_terms(model, weights, terms_per_topic).collect()
+        ranked = sorted((row["topic"], row["rank"], row["term"]) for row in best)
+        by_topic = [[term for topic, _, term in ranked if topic == number] for number in range(k)]
+        perplexity = topics.log_perplexity(model, vectored)
+        if keep:
+            (mean,) = _mean_coherence(table, [by_topic], key, window)
+            for trial in trials:
+                if _setting(trial) == setting:
+                    keep(trial, row(trial, by_topic, perplexity, mean))
+            return by_topic, perplexity, mean
+        return by_topic, perplexity, None
+
+    def row(trial: Trial, by_topic: list[list[str]], perplexity: float, mean: float | None) -> tuple:
+        return trial.config, trial.k, trial.min_df, documents, inputs[trial.min_df][1], perplexity, mean, by_topic
+
+    settings = list(dict.fromkeys(map(_setting, trials)))
+    fitted = side_by_side(forms.sparkSession, fit, settings, beside)
+    if not keep:
+        means = _mean_coherence(table, [by_topic for by_topic, _, _ in fitted], key, window)
+        fitted = [(by_topic, perplexity, mean) for (by_topic, perplexity, _), mean in zip(fitted, means)]
+    found = dict(zip(settings, fitted))
+    return [row(trial, *found[_setting(trial)]) for trial in trials]
 
 
 def _mean_coherence(table: DataFrame, models: list[list[list[str]]], key: str, window: int) -> list[float | None]:

@@ -64,6 +64,38 @@ def tokens_of(df: DataFrame, config: TokenConfig, content: str, tokens: str) ->
     return _finished(df.withColumn(tokens, words.remove_stop_words(cut, config.stop_list())), config, tokens)
 
 
+def plain_form(config: TokenConfig) -> TokenConfig:
+    """What settings that can share their token lists have in common: all but case, stems and n-grams."""
+    return replace(config, cleanup=words.SHRINK, lowercase=False, stem=False, ngrams=(1,), distinct=False)
+
+
+def form_of(config: TokenConfig) -> str:
+    """Name of the column of `form_table` that has a setting's single words."""
+    return ("lower" if config.lowercase else "cased") + ("_stem" if config.stem else "")
+
+
+def form_table(df: DataFrame, configs: Sequence[TokenConfig], keys: Sequence[str], content: str = "content") -> DataFrame:
+    """``(keys, a column per form)``: the single words of settings with the same `plain_form`.
+
+    Texts are cut once. Lower case and stems are made of the words already cut; stop words are
+    matched ignoring case, so they are the same for all forms.
+    """
+    cut = tokens_of(df.select(*keys, F.col(content).alias("cased")), plain_form(configs[0]), "cased", "cased")
+    cut = cut.withColumn("lower", F.transform("cased", F.lower))
+    forms = dict.fromkeys(map(form_of, configs))
+    for form in forms:
+        if form.endswith("_stem"):
+            plain = form.removesuffix("_stem")
+            cut = cut.withColumn(form, F.col(plain)).withColumn(form, stem_tokens(form))
+    return cut.select(*keys, *forms)
+
+
+def tokens_of_form(forms: DataFrame, config: TokenConfig, keys: Sequence[str]) -> DataFrame:
+    """``(keys, tokens)`` of one setting, out of the words of its form."""
+    tokens = words.combined_ngrams(F.col(form_of(config)), config.ngrams, config.distinct)
+    return forms.select(*keys, tokens.alias("tokens"))
+
+
 def _finished(df: DataFrame, config: TokenConfig, tokens: str) -> DataFrame:
     if config.stem:
         df = df.withColumn(tokens, stem_tokens(tokens))
