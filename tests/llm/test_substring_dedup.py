@@ -1,10 +1,11 @@
 import hashlib
 
+import numpy as np
 import pytest
 from conftest_llm import EDGES, prose, words
 from pyspark.sql import functions as F
 
-from topicdrift.llm.substring_dedup import deduplicated, factored
+from topicdrift.llm.substring_dedup import deduplicated, factored, parse
 
 
 def brute(rows, size=13):
@@ -56,6 +57,51 @@ def test_factors_cover_what_is_removed(make):
             assert all(" ".join(own[k : k + 13]) in source for k in range(f.first, f.first + f.words - 12))
 
 
+def test_factors_are_copies_of_their_place(make):
+    rows = copies()
+    text = {i: words(t) for i, t in rows}
+    boundaries = 0
+    for per_block in (4, 2048):
+        for row in factored(make(rows), rows_per_block=per_block).collect():
+            done = 0
+            for f in row.factors:
+                assert text[row.id][f.first : f.first + f.words] == text[f.source][f.source_first : f.source_first + f.words]
+                if not f.boundary:
+                    assert f.first >= done
+                    done = f.first + f.words
+            boundaries += sum(f.boundary for f in row.factors)
+    assert boundaries
+
+
+def test_parse_against_word_by_word():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, window = int(rng.integers(0, 60)), int(rng.integers(1, 6))
+        at = np.flatnonzero(rng.random(n) < 0.7)
+        doc = at // 20
+        inside = (at + window - 1) // 20 == doc
+        at, doc = at[inside], doc[inside]
+        source = rng.integers(0, 2, len(at))
+        place = at + rng.integers(0, 2, len(at))
+        known = {int(i): (int(s), int(p), int(d)) for i, s, p, d in zip(at, source, place, doc, strict=True)}
+        wanted, i = [], 0
+        while i < n:
+            if i not in known:
+                i += 1
+                continue
+            s, p, d = known[i]
+            k = 1
+            while known.get(i + k) == (s, p + k, d):
+                k += 1
+            wanted.append((i, k - 1 + window, s, p))
+            i += k - 1 + window
+        first, length, sources, places, boundary = parse(at, source, place, doc, window)
+        found = list(zip(first.tolist(), length.tolist(), sources.tolist(), places.tolist(), strict=True))
+        assert [f for f, b in zip(found, boundary, strict=True) if not b] == wanted
+        covered = {i for f, words_of, *_ in found for i in range(f, f + words_of)}
+        assert covered == {j for i in at.tolist() for j in range(i, i + window)}
+
+
 def test_stage_keeps_layout_columns_and_clean_rows(make):
     rows = [(1, "alpha\n beta  gamma " + prose(1, 20)), (2, "own words\n\tkept " + prose(1, 20) + "\n the  end"), (3, prose(1, 20)), (4, None), (5, "")]
     docs = make(rows)

@@ -1,18 +1,22 @@
-"""Substring dedup by window lookups in an index of all reference blocks.
+"""Substring dedup by relative Lempel-Ziv parsing against an index of all reference blocks.
 
-Windows of every document are looked up among those of documents with smaller ids. This is not a
-Lempel-Ziv parse: no match is extended, and no place in the source is kept. The reference is
-indexed by blocks in two steps, so that only text which occurs again costs anything:
+A document is parsed into factors, copies of text in documents with smaller ids, and words between
+them. The reference is indexed by blocks in two steps, so that only text which occurs again costs
+anything:
 
 1. Anchors. Each window of `window` words has the least of its 5-gram hashes as its anchor;
    equal windows have equal anchors. Blocks send their distinct anchors to the index, which
    answers with a bit: does the anchor occur in two documents?
-2. Windows. Blocks send the fingerprints (96 bits) of windows with such an anchor, together
-   with the least document that has them. The index answers with the least document of all.
+2. Windows. Blocks send the fingerprints (96 bits) of windows with such an anchor, with the least
+   document of the block that has them and the word where they start there. The index answers with the
+   least document of all and that word: the window's place in the reference.
 
-A window that a smaller document has too is a match, and its words are duplicates. Consecutive
-matches with the same least document are reported as a factor; windows across the boundary of
-two factors are looked up like all others, so nothing hides at a boundary.
+The parse goes from left to right. Where a window has a place, the factor is extended as long as the
+next window's place is the next word of the same source; the parse goes on behind the factor's end.
+Then factor boundaries are checked: windows with a place that lie across the end of a factor become
+factors of their own, which overlap it, so nothing hides at a boundary. All factors have `window` words
+or more; their words are the duplicate spans. The index knows one place for a window, that in the
+smallest document, so a factor also ends where the text goes on in a still smaller one.
 
 Each key crosses the network once for each block that has it: a passage in a third of all rows
 costs as much as any other. Texts are shuffled once, by block.
@@ -36,7 +40,7 @@ _NO_ID = np.iinfo(np.int64).max
 
 RESULT = (
     "id long, n_words long, n_removed long, kept string, "
-    "factors array<struct<first: long, words: long, source: long>>"
+    "factors array<struct<first: long, words: long, source: long, source_first: long, boundary: boolean>>"
 )
 
 
@@ -77,12 +81,41 @@ def _windows(table: pa.Table, window: int, shared: np.ndarray):
         yield first, words, at, words.windows(window, 1)[at], (words.windows(window, 2)[at] >> np.uint64(32)).astype("u4")
 
 
-def factor(at: np.ndarray, source: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy factors of matching windows of one text: first word, words and source of each."""
-    new = np.r_[True, (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1])] if len(at) else np.zeros(0, dtype=bool)
-    starts = np.flatnonzero(new)
-    last = np.r_[starts[1:], len(at)] - 1 if len(at) else starts
-    return at[starts], at[last] - at[starts] + window, source[starts]
+def _copies(at: np.ndarray, source: np.ndarray, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of the runs of windows that are copied from one run of a source."""
+    if not len(at):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    follows = (at[1:] == at[:-1] + 1) & (place[1:] == place[:-1] + 1) & (source[1:] == source[:-1]) & (doc[1:] == doc[:-1])
+    starts = np.flatnonzero(np.r_[True, ~follows])
+    return starts, np.r_[starts[1:], len(at)] - 1
+
+
+def parse(
+    at: np.ndarray, source: np.ndarray, place: np.ndarray, doc: np.ndarray, window: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Factors of texts one after the other: first word, words, source, its first word, found at a boundary.
+
+    Given are the windows with a place, in order: their first word, the place (source and word) and the text.
+    """
+    starts, ends = _copies(at, source, place, doc)
+    chosen, skipped, done = [], [], -1
+    for run, (low, high) in enumerate(zip(at[starts].tolist(), at[ends].tolist(), strict=True)):
+        if high >= done:
+            chosen.append(run)
+            skipped.append(max(0, done - low))
+            done = high + window
+    chosen, skipped = np.array(chosen, dtype=np.int64), np.array(skipped, dtype=np.int64)
+    begin, last = starts[chosen] + skipped, ends[chosen]
+    first, words = at[begin], at[last] - at[begin] + window
+    # Windows across a boundary: those that no factor holds.
+    holder = np.searchsorted(first, at, "right") - 1
+    across = np.flatnonzero(at + window > (first + words)[holder]) if len(at) else begin
+    low, high = _copies(at[across], source[across], place[across], doc[across])
+    low, high = across[low], across[high]
+    every = np.r_[begin, low]
+    order = np.argsort(at[every], kind="stable")
+    every, until, boundary = every[order], np.r_[last, high][order], np.r_[np.zeros(len(begin), dtype=bool), np.ones(len(low), dtype=bool)][order]
+    return at[every], at[until] - at[every] + window, source[every], place[every], boundary
 
 
 def _kept_text(words: Words, removed: np.ndarray, layout: str) -> pa.Array:
@@ -126,11 +159,14 @@ def factored(
 ) -> DataFrame:
     """Documents without the spans of `window` or more words that a document with a smaller id has too.
 
-    Result: id, n_words, n_removed, kept (the text left), factors (first word, words, source id) and
-    carried: a struct of `no_text` (the text is null) and `columns`, a struct of those named in `carry`.
+    Result: id, n_words, n_removed, kept (the text left), factors (first word, words, source id, the first
+    word there, whether it was found at the boundary of another; in order of their first words) and carried: a struct of `no_text` (the text is null) and `columns`, a struct of those named in `carry`.
     Windows are judged on the input, not on what is left. layout "words" joins the kept words by
     one space; "original" cuts spans out and leaves the rest as it is.
 
+    The words removed are those of the factors. Where rows share an id, a factor's source is that id, and its
+    place can be in either row's text.
+
     Null text: no words, kept is empty. Empty and short texts: nothing removed. Rows that share an
     id never match each other. Null ids are larger than any id and match no other null id; their
     id stays null. Other columns are ignored, whatever their names. An empty table gives none.
@@ -156,7 +192,7 @@ def factored(
 
     def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return to_parts(0, np.zeros(0, "u8"), blocks, check=np.zeros(0, "u4"), least=np.zeros(0, "i8"), several=np.zeros(0, "u1"))
+            return to_parts(0, np.zeros(0, "u8"), blocks, check=np.zeros(0, "u4"), least=np.zeros(0, "i8"), place=np.zeros(0, "u4"), several=np.zeros(0, "u1"))
         keys, _ = _block_anchors(table, window)
         bounds, shared = part_bounds(keys, blocks), np.zeros(len(keys), dtype=bool)
         for part, bits in zip(answers["part"].to_pylist(), answers["bits"].to_pylist(), strict=True):
@@ -164,58 +200,65 @@ def factored(
             shared[a:b] = np.unpackbits(np.frombuffer(bits, "u1"), count=b - a)
         ids, found = _ids(table), []
         for first, words, at, key, check in _windows(table, window, keys[shared]):
-            found.append((key, check, ids[first + words.doc[at]]))
-        key, check, owner = (joined([x[i] for x in found], t) for i, t in enumerate(("u8", "u4", "i8")))
-        order = np.lexsort((owner, check, key))
-        key, check, owner = key[order], check[order], owner[order]
+            doc = words.doc[at]
+            found.append((key, check, ids[first + doc], (at - words.first[doc]).astype("u4")))
+        key, check, owner, place = (joined([x[i] for x in found], t) for i, t in enumerate(("u8", "u4", "i8", "u4")))
+        order = np.lexsort((place, owner, check, key))
+        key, check, owner, place = key[order], check[order], owner[order], place[order]
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])]) if len(key) else np.zeros(0, "i8")
         ends = np.r_[starts[1:], len(key)].astype("i8") - 1 if len(key) else starts
         return to_parts(
             table["block"][0].as_py(), key[starts], blocks,
-            check=check[starts], least=owner[starts], several=(owner[starts] != owner[ends]).astype("u1"),
+            check=check[starts], least=owner[starts], place=place[starts], several=(owner[starts] != owner[ends]).astype("u1"),
         )
 
     def least_of_all(table: pa.Table) -> pa.Table:
         asked = cells(table["keys"], "u8")
         key, check = joined(asked, "u8"), joined(cells(table["check"], "u4"), "u4")
         least, several = joined(cells(table["least"], "i8"), "i8"), joined(cells(table["several"], "u1"), "u1") > 0
-        order = np.lexsort((least, check, key))
+        place = joined(cells(table["place"], "u4"), "u4")
+        order = np.lexsort((place, least, check, key))
         new = np.r_[True, (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])] if len(key) else several
         group = np.cumsum(new) - 1
-        first = np.empty(len(key), "i8")
-        first[order] = least[order][np.flatnonzero(new)][group] if len(key) else first
+        smallest = np.empty(len(key), "i8")
+        smallest[order] = order[np.flatnonzero(new)][group]
+        first, place = least[smallest], place[smallest]
         hit = (first < least) | several
         bounds, rows = np.cumsum([0, *map(len, asked)]), []
         for block, a, b in zip(table["block"].to_pylist(), bounds, bounds[1:], strict=False):
             if hit[a:b].any():
-                rows.append((block, key[a:b][hit[a:b]].tobytes(), first[a:b][hit[a:b]].tobytes()))
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "least": pa.array([r[2] for r in rows], pa.binary())})
+                rows.append((block, *(x[a:b][hit[a:b]].tobytes() for x in (key, first, place))))
+        binary = {name: pa.array([r[i] for r in rows], pa.binary()) for i, name in enumerate(("keys", "least", "place"), 1)}
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32())} | binary)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
-        key, least = joined(cells(answers["keys"], "u8"), "u8"), joined(cells(answers["least"], "i8"), "i8")
-        order = np.lexsort((least, key))
-        key, least = key[order], least[order]
+        key, least, place = (joined(cells(answers[name], t), t) for name, t in (("keys", "u8"), ("least", "i8"), ("place", "u4")))
+        order = np.lexsort((place, least, key))
+        key, least, place = key[order], least[order], place[order].astype("i8")
         ids, out = _ids(table), []
         for first, data, offsets in pieces(table["text"]):
             words = Words(data, offsets)
             at = np.flatnonzero(words.inside(window))
             if len(key) and len(at):
                 mine = words.windows(window, 1)[at]
-                place = np.minimum(np.searchsorted(key, mine), len(key) - 1)
-                match = (key[place] == mine) & (least[place] < ids[first + words.doc[at]])
-                at, source = at[match], least[place[match]]
+                answer = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+                match = (key[answer] == mine) & (least[answer] < ids[first + words.doc[at]])
+                at, answer = at[match], answer[match]
             else:
-                at, source = at[:0], at[:0]
+                at, answer = at[:0], at[:0]
+            begin, length, source, there, boundary = parse(at, least[answer], place[answer], words.doc[at], window)
             steps = np.zeros(len(words) + 1, dtype=np.int64)
-            np.add.at(steps, at, 1)
-            np.add.at(steps, at + window, -1)
+            np.add.at(steps, begin, 1)
+            np.add.at(steps, begin + length, -1)
             removed = np.cumsum(steps[:-1]) > 0
             texts = len(offsets) - 1
-            begin, length, source = factor(at, source, window)
             doc = words.doc[begin]
             factors = pa.ListArray.from_arrays(
                 pa.array(np.searchsorted(doc, np.arange(texts + 1)), pa.int32()),
-                pa.StructArray.from_arrays([pa.array(begin - words.first[doc]), pa.array(length), pa.array(source)], ["first", "words", "source"]),
+                pa.StructArray.from_arrays(
+                    [pa.array(x) for x in (begin - words.first[doc], length, source, there, boundary)],
+                    ["first", "words", "source", "source_first", "boundary"],
+                ),
             )
             out.append(pa.table({
                 "id": table["id"].combine_chunks().slice(first, texts),
@@ -230,8 +273,8 @@ def factored(
     by_block = blocked.groupBy("block")
     asked = by_block.applyInArrow(announce, "part int, block int, keys binary, several binary")
     shared = asked.groupBy("part").applyInArrow(in_two, "part int, block int, bits binary")
-    windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(ask, "part int, block int, keys binary, check binary, least binary, several binary")
-    first = windows.groupBy("part").applyInArrow(least_of_all, "block int, keys binary, least binary")
+    windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(ask, "part int, block int, keys binary, check binary, least binary, place binary, several binary")
+    first = windows.groupBy("part").applyInArrow(least_of_all, "block int, keys binary, least binary, place binary")
     return by_block.cogroup(first.groupBy("block")).applyInArrow(cut, result)
 
 
