@@ -1,3 +1,7 @@
+import html
+import random
+import re
+
 import pytest
 
 from topicdrift.llm.html_text import extracted, main_text
@@ -85,3 +89,55 @@ def test_nothing_else_is_dropped(page, expected):
 ])
 def test_short_pages_and_menus_before_the_text(page, expected):
     assert main_text(page) == expected
+
+
+@pytest.mark.parametrize(("page", "expected"), [
+    (f"<ul><li><a>Home</a><li><a>{PROSE}</a><li><a>{PROSE}</a></ul><p>{LONG}</p><p>See <a>this</a></p>", f"{LONG}\nSee this"),
+    (f"<div><a>Home</a> | <a>News</a> | <a>About us</a></div><div><p>{LONG}</p></div><div><a>Next page of this site</a></div>", LONG),
+    (f"<article><p>x</p><ul><li><a>{PROSE}</a></li></ul></article>", f"x\n{PROSE}"),
+    ("<p><a>Only a link</a></p>", "Only a link"),
+    (f"<div class='social-science'>{LONG}</div><p>{PROSE}</p>", f"{LONG}\n{PROSE}"),
+    (f"<article><p>x</p><section class='login guide'><h2>T</h2><p>{LONG}</p></section></article>", f"x\nT\n{LONG}"),
+    (f"<article><p>x</p><div class='login guide'>Go</div><div class='login'>{LONG}</div><div class='social-links box'>{LONG}</div></article>", "x"),
+    (f"<article><p>x</p><div class='share this'><a>{LONG}</a></div></article>", "x"),
+])
+def test_links_and_classes_that_name_a_subject(page, expected):
+    assert main_text(page) == expected
+
+
+def generated(seed):
+    """A page and its main text: an article or a plain holder of blocks, among all kinds of other parts."""
+    rng = random.Random(seed)
+
+    def sentence(least):
+        return " ".join(rng.choice(["alpha", "be&amp;ta", "&eacute;t&#233;", "<b>gamma</b>", "<a href=x>delta</a>", "\n eps ", "one", "5 &lt; 6"]) for _ in range(rng.randrange(least, least + 30)))
+
+    def plain(markup):
+        return " ".join(html.unescape(re.sub("<[^>]*>", "", markup)).split())
+
+    def other():
+        name, attributes = rng.choice([
+            ("nav", ""), ("footer", ""), ("aside", ""), ("form", ""), ("script", ""), ("style", ""), ("div", " class='cookie-notice'"), ("div", " id=comments"),
+            ("section", " class='ad large'"), ("ul", " role='navigation'"), ("p", " style='display: none'"), ("div", " class=\"sidebar left\""),
+        ])
+        body = " ".join(["unwanted"] * rng.randrange(1, 60))
+        return f"<{name}{attributes}>{body if name in ('script', 'style', 'p') else f'<p>{body}</p>' if name != 'ul' else f'<li><a>{body}</a></li>'}</{name}>"
+
+    marked, out, wanted = rng.random() < 0.5, [], []
+    for i in range(rng.randrange(1, 8)):
+        kind = "p" if not i else rng.choice(["p", "p", "h2", "li", "blockquote", "pre"])
+        text = sentence(40 if not i else 1 if marked else 3)
+        out.append(f"<ul><li>{text}</li></ul>" if kind == "li" else f"<{kind}>{text}</{kind}>")
+        wanted.append(plain(text))
+        if rng.random() < 0.3:
+            out.append(rng.choice([other(), "<!-- <p>no</p> -->", "<hr>"]))
+    holder = rng.choice(["article", "main"]) if marked else "div"
+    around = [other() for _ in range(rng.randrange(4))], [other() for _ in range(rng.randrange(4))]
+    return f"<html><head><title>no</title></head><body>{''.join(around[0])}<{holder}>{''.join(out)}</{holder}>{''.join(around[1])}</body></html>", "\n".join(wanted)
+
+
+@pytest.mark.parametrize("first", range(0, 400, 50))
+def test_generated_pages_with_known_text(first):
+    for seed in range(first, first + 50):
+        page, expected = generated(seed)
+        assert main_text(page) == expected, seed

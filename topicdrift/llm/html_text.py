@@ -5,7 +5,8 @@ they stand in an article. Scripts, styles, forms, menus, headers, footers, sideb
 adverts, comments and hidden elements give no line. The lengths of the lines are then summed
 over sliding windows: a text begins at a surge point, where the sums rise above a level, and ends
 at a dive point, where they fall to nearly nothing. A line of an article weighs as much as the
-level, so short headings and last paragraphs belong to it. All runs and short gaps between them are
+level, so short headings and last paragraphs belong to it; a line outside articles that is mostly links
+weighs nothing, so a menu without any mark starts no text. All runs and short gaps between them are
 kept; where the page marks articles, all lines from the first to the last of theirs are one run.
 """
 
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE = 80
 DIVE = 20
+#: Share of a line's characters in links from which it counts as a line of links.
+LINKED = 0.6
+#: A part with an unwanted class is the wrapper of the page if it holds this many times the text beside it.
+WRAPPER = 10
 
 # Elements by their role, and words of classes, ids and roles of unwanted parts.
 RAW = "script style noscript template svg math iframe object select option textarea button title canvas audio video map"
@@ -38,13 +43,22 @@ UNWANTED = (
     "header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related "
     "replies respond share sharing sidebar signup social sponsor sponsored subscribe tags teaser toolbar widget"
 )
+#: Unwanted words that can also say what a text is about, and words that say nothing about it. A part whose class
+#: holds one of the first and any word but the second (`login guide`, `social-science`) is left out only if
+#: it is short or dense in links.
+TOPICS = frozenset("header login menu navigation share sharing signup social tags toolbar".split())
+LAYOUT = frozenset(
+    "area bar block bottom box button buttons col column container content desktop fixed global group icon icons inline inner "
+    "item items left link links list main media mobile outer panel primary right row secondary section site small sticky top unit "
+    "wrap wrapper".split()
+)
 #: Elements whose end tag may be missing, and the start tags that end them; the end of what holds them does, too.
 ENDED_BY = {
     "p": frozenset(BLOCKS.split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
     "td": frozenset("td th tr tbody tfoot".split()), "th": frozenset("td th tr tbody tfoot".split()), "tr": frozenset("tr tbody tfoot".split()),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HOLDERS = frozenset("div section body td th center blockquote aside".split())
+HOLDERS = frozenset("div section body td th center aside".split())
 _RAW, _PARTS, _ARTICLES, _BLOCKS, _VOID, _UNWANTED = (frozenset(x.split()) for x in (RAW, PARTS, ARTICLES, BLOCKS, VOID, UNWANTED))
 
 _TOKEN = re.compile(
@@ -63,6 +77,12 @@ def _named(attributes: str) -> bool:
     return any(_UNWANTED & set(_WORD.findall(_BESIDE.sub(" ", x).lower())) for x in _NAMES.findall(attributes))
 
 
+def _about(attributes: str) -> bool:
+    """Whether the unwanted words of a class, id or role may be the subject of a text."""
+    found = {word for x in _NAMES.findall(attributes) for word in _WORD.findall(_BESIDE.sub(" ", x).lower())}
+    return found & _UNWANTED <= TOPICS and bool(found - _UNWANTED - LAYOUT)
+
+
 def _unwanted(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element is one of the parts that are left out. An article's own header stays."""
     if name in _PARTS:
@@ -72,42 +92,61 @@ def _unwanted(name: str, attributes: str, inside: bool) -> bool:
     return bool(_HIDDEN.search(attributes)) or name not in HEADINGS and _named(attributes)
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, number of the article or 0, number of the innermost holder) of each block with text, in order.
+def _is_prose(part: str) -> bool:
+    """Whether the text of a part is neither short nor dense in links."""
+    lines = _lines(part, {0})[0]
+    size = sum(len(line) for line, *_ in lines)
+    return size > SURGE and sum(len(line) * share for line, _, _, share in lines) < size * LINKED / 2
+
 
-    A part left out for its class that holds more text than all lines beside it is a wrapper, and is kept;
-    where lines of an article are left, no other part is.
+def lines_of(page: str) -> list[tuple[str, int, int, float]]:
+    """(text, number of the article or 0, number of the innermost holder, share in links) of each block with text, in order.
+
+    A part left out for its class is a wrapper, and is kept, if the lines beside it are no text (up to the surge
+    level, without links) or it holds `WRAPPER` times as much; where lines of an article are left, no other part is. A part whose class may be its subject is kept if it is prose.
     """
     kept: set[int] = set()
     while True:
         lines, parts = _lines(page, kept)
-        if not parts or any(article for _, article, _ in lines):
+        prose = {a for a, b, about in parts if about and _is_prose(page[a:b])}
+        if prose:
+            kept |= prose
+            continue
+        if not parts or any(article for _, article, *_ in lines):
             return lines
-        size, begin = max((sum(len(line) for line, _, _ in _lines(page[a:b], {0})[0]), -a) for a, b in parts)
-        if size <= SURGE or size <= sum(len(line) for line, _, _ in lines):
+        size, begin = max((sum(len(line) for line, *_ in _lines(page[a:b], {0})[0]), -a) for a, b, _ in parts)
+        rest = sum(len(line) for line, _, _, share in lines if share < LINKED)
+        if size <= max(SURGE, rest if rest <= SURGE else WRAPPER * rest):
             return lines
         kept.add(-begin)
 
 
-def _lines(page: str, kept: set[int]) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
-    """Lines, and where parts left out for their class begin and end; those that begin at `kept` are not left out."""
-    out: list[tuple[str, int, int]] = []
-    parts: list[tuple[int, int]] = []
+def _lines(page: str, kept: set[int]) -> tuple[list[tuple[str, int, int, float]], list[tuple[int, int, bool]]]:
+    """Lines, and the parts left out for their class; those that begin at `kept` are not left out.
+
+    A part is (begin, end, whether its class may be its subject).
+    """
+    out: list[tuple[str, int, int, float]] = []
+    parts: list[tuple[int, int, bool]] = []
     text: list[str] = []
     articles, open_articles, article = 0, [], 0
-    holders, holder, named = 0, [("", 0)], -1
+    holders, holder, named, about = 0, [("", 0)], -1, False
+    link, linked = False, 0
     skip, depth, inner, place = "", 0, 0, 0
 
     def close() -> None:
+        nonlocal linked
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                out.append((line, article, holder[-1][1]))
+                out.append((line, article, holder[-1][1], min(1.0, linked / len(line))))
             text.clear()
+            linked = 0
 
     for token in _TOKEN.finditer(page):
         if not skip:
             text.append(page[place : token.start()])
+            linked += len(html.unescape(text[-1]).strip()) if link else 0
         place = token.end()
         name = (token[2] or token[5] or "").lower()
         if not name:
@@ -129,7 +168,7 @@ def _lines(page: str, kept: set[int]) -> tuple[list[tuple[str, int, int]], list[
             if depth and not ended and not (name in _ARTICLES and not closing and skip not in _RAW and not _unwanted(name, attributes, False)):
                 continue
             if named >= 0:
-                parts.append((named, token.start()))
+                parts.append((named, token.start(), about))
             skip, named = "", -1
             if not depth:
                 continue
@@ -141,8 +180,12 @@ def _lines(page: str, kept: set[int]) -> tuple[list[tuple[str, int, int]], list[
                 close()
             skip, depth, inner = name, 1, 0
             if name not in _RAW and name not in _PARTS and name not in _ARTICLES and not _HIDDEN.search(attributes):
-                named = token.start()
+                named, about = token.start(), _about(attributes)
             continue
+        if name == "a":
+            link = not closing
+        elif closing and name in _BLOCKS:
+            link = False  # its own end may be missing
         if name == "br" or name in ("td", "th"):
             text.append(" ")
         if name in _BLOCKS:
@@ -165,7 +208,7 @@ def _lines(page: str, kept: set[int]) -> tuple[list[tuple[str, int, int]], list[
     if not skip:
         text.append(page[place:])
     elif named >= 0:
-        parts.append((named, len(page)))
+        parts.append((named, len(page), about))
     close()
     return out, parts
 
@@ -198,22 +241,22 @@ def _runs(weights: list[int]) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     """Main text, blocks joined by newlines; empty if the page has none."""
     lines = lines_of(page or "")
-    marked = [i for i, (_, article, _) in enumerate(lines) if article]
-    weights = [len(line) for line, _, _ in lines]
+    marked = [i for i, (_, article, *_) in enumerate(lines) if article]
+    weights = [0 if share >= LINKED else len(line) for line, _, _, share in lines]
     if marked:
         for i in range(marked[0], marked[-1] + 1):
             weights[i] = max(weights[i], SURGE)
     out, done = [], 0
     for begin, end in _runs(weights):
-        # short blocks around a run belong to it if they stand in the same holder as its edge
+        # short blocks around a run belong to it if they stand in the same holder as its edge and are no links
         if end <= done:
             continue
         begin = max(begin, done)
-        while begin > done and lines[begin - 1][2] == lines[begin][2]:
+        while begin > done and lines[begin - 1][2] == lines[begin][2] and weights[begin - 1]:
             begin -= 1
-        while 0 < end < len(lines) and lines[end][2] == lines[end - 1][2]:
+        while 0 < end < len(lines) and lines[end][2] == lines[end - 1][2] and weights[end]:
             end += 1
-        out += [line for line, _, _ in lines[begin:end]]
+        out += [line for line, *_ in lines[begin:end]]
         done = max(done, end)
     return "\n".join(out)
 
