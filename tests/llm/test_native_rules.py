@@ -93,3 +93,32 @@ def test_reputation_shrinks_and_bounds(spark):
 def test_single_groups(spark, rows):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert url_reputation.judged(pages(spark, rows), labels).count() == len(rows)
+
+
+HOSTS = {
+    "a.co.uk": ("co.uk", "a.co.uk"), "x.y.a.co.uk": ("co.uk", "a.co.uk"), "co.uk": ("co.uk", "co.uk"), "b.uk": ("uk", "b.uk"),
+    "www.c.com": ("com", "c.com"), "d.e.f.kobe.jp": ("f.kobe.jp", "e.f.kobe.jp"), "notco.uk": ("uk", "notco.uk"), "localhost": ("localhost", "localhost"), "": ("", ""),
+}
+
+
+def test_suffixes_of_several_labels(spark):
+    hosts = spark.createDataFrame([(host, i) for i, host in enumerate(HOSTS)], "host string, n int")
+    table = spark.createDataFrame([("co.uk", 1), (" Co.Uk ", 2), ("uk", 3), (".f.kobe.jp", 4), ("kobe.jp", 5), (None, 6), ("", 7)], "suffix string, host int")
+    named = url_reputation.with_domains(hosts, table)
+    assert not re.search("Python|Arrow|Pandas|Cartesian", plan(named))
+    assert {r.host: (r.suffix, r.domain) for r in named.collect()} == HOSTS
+    for few in (None, table.limit(0)):
+        found = {r.host: (r.suffix, r.domain) for r in url_reputation.with_domains(hosts, few).collect()}
+        assert found["x.y.a.co.uk"] == ("uk", "co.uk") and found["www.c.com"] == ("com", "c.com")
+
+
+def test_neighbours_under_a_public_suffix_are_apart(spark):
+    rows = [(i, f"http://h{i % 9}.bad.co.uk/") for i in range(90)] + [(100 + i, f"http://h{i % 9}.good.co.uk/") for i in range(90)] + [(500, "http://new.bad.co.uk/"), (501, "http://new.good.co.uk/")]
+    labels = spark.createDataFrame([(i, int(i >= 100), 0) for i, _ in rows if i < 500], "doc_id long, quality int, toxic int")
+    suffixes = spark.createDataFrame([("co.uk",)], "suffix string")
+
+    def verdicts(*more):
+        return {r.host: r.verdict for r in url_reputation.judged(pages(spark, rows), labels, (), *more).collect()}
+
+    assert verdicts(suffixes)["new.bad.co.uk"] == "block" and verdicts(suffixes)["new.good.co.uk"] == "allow"
+    assert verdicts()["new.bad.co.uk"] == verdicts()["new.good.co.uk"]

@@ -1,7 +1,8 @@
 """Host reputation from labelled pages, by empirical Bayes; URL rules come first.
 
 Labelled outcomes (bad or not) are counted by host. Counts of hosts add up to registered domains
-(the last two labels) and to suffixes (the last label). A suffix's bad rate shrinks towards the
+and to suffixes. A suffix is the longest of a given table that ends the host (`co.uk`), or else its
+last label; a domain has one label more. A suffix's bad rate shrinks towards the
 rate of all pages, a domain's towards its suffix's, a host's towards its domain's: each is the
 mean of a beta posterior whose prior has the upper level's mean. How strong the prior is, is
 estimated on each level from the spread of the rates (moments of the beta-binomial). A host is
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicdrift.runtime import stored
+from topicdrift.runtime import broadcast_if_small, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Standard deviations between the posterior mean and its bound.
@@ -52,12 +53,24 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(raw, UPPER, LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def with_domains(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """`hosts` (distinct values of host) with suffix and domain; `suffixes` has a column suffix.
 
-
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    Case and dots in front do not count in the table; nulls and repeated rows do not matter. A host that
+    is itself a suffix is its own domain; one without a dot is both.
+    """
+    last = F.substring_index("host", ".", -1)
+    if suffixes is None:
+        return hosts.withColumn("suffix", last).withColumn("domain", F.substring_index("host", ".", -2))
+    known = suffixes.select(F.ltrim(F.translate(F.trim("suffix"), UPPER, LOWER), F.lit(".")).alias("suffix"))
+    known = known.where("suffix <> ''").distinct()
+    labels = F.size(F.split("suffix", r"\."))
+    most = known.agg(F.coalesce(F.max(labels), F.lit(0))).first()[0]
+    ends = F.array_distinct(F.array(*[F.substring_index("host", ".", -i) for i in range(1, most + 1)])).cast("array<string>")
+    found = hosts.select("host", F.explode(ends).alias("suffix")).join(broadcast_if_small(known), "suffix")
+    longest = found.groupBy("host").agg(F.max_by("suffix", F.length("suffix")).alias("found"))
+    named = hosts.join(longest, "host", "left").withColumn("suffix", F.coalesce("found", last)).drop("found")
+    return named.withColumn("domain", F.call_function("substring_index", F.col("host"), F.lit("."), -1 - labels))
 
 
 def _strength(groups: DataFrame) -> float:
@@ -73,7 +86,7 @@ def _strength(groups: DataFrame) -> float:
     return MOST_STRENGTH if related <= 1 / (MOST_STRENGTH + 1) else max(LEAST_STRENGTH, 1 / related - 1)
 
 
-def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
+def reputations(pages: DataFrame, labels: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """host, n, bad, rate (posterior mean) and lower (bound) of every host of the pages.
 
     A label's outcome is bad if quality is 0 or toxic is 1. Labels without an id or without both
@@ -85,26 +98,28 @@ def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = labelled.groupBy("page_id").agg(F.max("outcome").alias("outcome"))
     seen = pages.select("page_id", host.alias("host")).join(labelled, "page_id", "left")
     counted = stored(seen.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).alias("bad")))
-    levels = counted.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    levels = with_domains(counted, suffixes)
+    if suffixes is not None:
+        levels = stored(levels)
     add = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = stored(levels.groupBy("suffix", "domain").agg(*add))
-    suffixes = stored(domains.groupBy("suffix").agg(*add))
-    pages_n, bad_n = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    endings = stored(domains.groupBy("suffix").agg(*add))
+    pages_n, bad_n = endings.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     overall = (bad_n + 0.5) / (pages_n + 1)
-    strength = {name: _strength(frame.where("n > 0")) for name, frame in (("suffix", suffixes), ("domain", domains), ("host", counted))}
+    strength = {name: _strength(frame.where("n > 0")) for name, frame in (("suffix", endings), ("domain", domains), ("host", counted))}
 
     def shrunk(name: str, prior: Column) -> Column:
         return (F.col("bad") + F.lit(strength[name]) * prior) / (F.col("n") + F.lit(strength[name]))
 
-    suffixes = suffixes.select("suffix", shrunk("suffix", F.lit(overall)).alias("suffix_rate"))
-    domains = domains.join(suffixes, "suffix").select("domain", shrunk("domain", F.col("suffix_rate")).alias("domain_rate"))
+    endings = endings.select("suffix", shrunk("suffix", F.lit(overall)).alias("suffix_rate"))
+    domains = domains.join(endings, "suffix").select("suffix", "domain", shrunk("domain", F.col("suffix_rate")).alias("domain_rate"))
     rate = shrunk("host", F.col("domain_rate"))
-    found = levels.join(domains, "domain").select("host", "n", "bad", rate.alias("rate"))
+    found = levels.join(domains, ["suffix", "domain"]).select("host", "n", "bad", rate.alias("rate"))
     deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(strength["host"] + 1)))
     return stored(found.withColumn("lower", F.col("rate") - BOUND * deviation))
 
 
-def judged(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judged(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, suffixes: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, and n, bad, rate and lower of the host.
 
     The longest rule that fits decides; otherwise the host is blocked if `lower` is above LIMIT.
@@ -117,6 +132,6 @@ def judged(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES)
     for one in sorted(rules, key=lambda x: len(x.pattern)):
         fits = one.fits(F.col("host"), F.col("path"))
         rule, verdict = F.when(fits, F.lit(one.pattern)).otherwise(rule), F.when(fits, F.lit(one.verdict)).otherwise(verdict)
-    found = rows.join(reputations(pages, labels), "host")
+    found = rows.join(reputations(pages, labels, suffixes), "host")
     learnt = F.when(F.col("lower") > LIMIT, "block").otherwise("allow")
     return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, learnt).alias("verdict"), "n", "bad", "rate", "lower")
