@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from topicdrift.llm import tokens
 from topicdrift.llm.packing import packed
 from topicdrift.llm.rans import CHECKPOINT_STEPS, LANES, Table, decode, encode
-from topicdrift.llm.token_files import read, write
+from topicdrift.llm.token_files import ids_between, read, write
 
 FILES = {"byte": public_tokenizers.path("byte_bpe_50k.json"), "word": public_tokenizers.path("word_bpe_49k.json")}
 ROWS = EDGES + [(20 + i, prose(i, 300 * i)) for i in range(12)]
@@ -120,9 +120,25 @@ def test_token_files(make, spark, tmp_path, monkeypatch, block):
         at += len(ids)
         got.append((repr(r.doc_id), ids.tolist()))
     assert sorted(got) == wanted
+    every = np.concatenate([np.frombuffer(r.ids, "<u2") for r in found])
+    for begin, end in ((0, at), (3, 7), (at // 3, at // 2), (at - 1, at + 10), (-5, 1), (at, at + 3), (7, 7), (9, 2)):
+        cut = ids_between(spark, folder, begin, end).orderBy("start").collect()
+        first = max(begin, 0)
+        assert np.array_equal(np.concatenate([np.zeros(0, "<u2"), *[np.frombuffer(r.ids, "<u2") for r in cut]]), every[first : max(end, first)])
+        assert [r.start for r in cut] == [first + sum(x.n_tokens for x in cut[:i]) for i in range(len(cut))]
+
+
+def test_a_range_starts_at_its_checkpoint(spark, make, tmp_path, monkeypatch):
+    folder, span = str(tmp_path / "ids"), LANES * CHECKPOINT_STEPS
+    write(make([(1, "ab cd " * (span // 2 + 900)), (2, "ef gh")], 1), folder, FILES["word"])
+    every = np.concatenate([np.frombuffer(r.ids, "<u2") for r in read(spark, folder).orderBy("start").collect()])
+    assert len(every) > span + 900
+    for begin, end in ((span - 3, span + 3), (span, span + 1), (span + 500, len(every)), (5, 6)):
+        (row,) = ids_between(spark, folder, begin, end).collect()
+        assert row.start == begin and np.array_equal(np.frombuffer(row.ids, "<u2"), every[begin:end])
 
 
 def test_token_files_of_nothing(make, spark, tmp_path):
     folder = str(tmp_path / "ids")
     write(make(ROWS).limit(0), folder, FILES["word"])
-    assert read(spark, folder).count() == 0
+    assert read(spark, folder).count() == 0 and ids_between(spark, folder, 0, 10).count() == 0

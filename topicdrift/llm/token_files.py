@@ -4,7 +4,8 @@ Writing: texts are range-partitioned by id and tokenised once into chunks of who
 the ids of all chunks are counted; every chunk becomes an independent block coded with the one
 shared frequency table (`rans`). A folder holds `table` (frequency of each id) and `blocks`:
 a row for each block with its place, its documents, their lengths and the coded frame. Blocks
-can be read in any order and in parallel; each has checkpoints and a checksum.
+can be read in any order and in parallel; each has checkpoints and a checksum. `ids_between` reads a range
+of ids from the checkpoint before it, so that a reader of one shard decodes that alone.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicdrift.llm.rans import Table, decode, encode
+from topicdrift.llm.rans import CHECKPOINT_STEPS, LANES, Table, decode, encode
 from topicdrift.llm.tokens import encoded
 from topicdrift.runtime import new_table_path
 
@@ -98,12 +99,42 @@ def _table(spark: SparkSession, folder: str) -> Table:
     return Table(counts)
 
 
+def _bases(blocks: DataFrame) -> DataFrame:
+    """part and base (ids in all parts before it); a row for each partition of the writer."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.groupBy("part").agg(F.sum("tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+
+
+def ids_between(spark: SparkSession, folder: str, begin: int, end: int) -> DataFrame:
+    """Ids at the places begin to end (not included) of all ids of a folder: start, n_tokens, ids (16-bit).
+
+    A row for each block that has some. Only these blocks are decoded, from the last checkpoint before the
+    range to the first behind it. Places that do not exist give nothing.
+    """
+    blocks = spark.read.schema(BLOCK).parquet(f"{folder}/blocks")
+    table = spark.sparkContext.broadcast(_table(spark, folder))
+    span = LANES * CHECKPOINT_STEPS
+    placed = blocks.join(_bases(blocks), "part").select((F.col("base") + F.col("first")).alias("at"), "tokens", "frame")
+    wanted = placed.where((F.col("at") < end) & (F.col("at") + F.col("tokens") > begin) & (F.lit(begin) < end))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                first, last = max(0, begin - row["at"]), min(row["tokens"], end - row["at"])
+                mark = first // span
+                ids = decode(row["frame"], table.value, mark, -(-last // span))[first - mark * span : last - mark * span]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["at"] + first]), pa.array([last - first], pa.int64()), pa.array([ids.tobytes()], pa.binary())], ["start", "n_tokens", "ids"]
+                )
+
+    return wanted.mapInArrow(cut, "start long, n_tokens long, ids binary")
+
+
 def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """Documents of a folder: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if wanted, ids (16-bit)."""
     blocks = spark.read.schema(BLOCK).parquet(f"{folder}/blocks")
     table = spark.sparkContext.broadcast(_table(spark, folder))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = blocks.groupBy("part").agg(F.sum("tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = _bases(blocks)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
