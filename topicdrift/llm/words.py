@@ -22,7 +22,7 @@ _BYTE_CODE = np.random.default_rng(7).integers(1, 2**64, 256, dtype=np.uint64) |
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 #: Bytes of text handled at a time; one longer document is handled alone.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
