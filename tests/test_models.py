@@ -199,6 +199,48 @@ def test_against_a_model_in_one_process(corpus):
     assert np.allclose(found, lam, rtol=1e-9) and np.allclose(model.totals, lam.sum(axis=0)) and np.allclose(model.alpha, alpha)
 
 
+def test_held_and_shuffled_fits_agree(spark, monkeypatch):
+    """Topics that are broadcast in each iteration, in one part and in several, and topics as tables."""
+    rows = [(i, " ".join(f"w{chr(97 + (i * j) % 23)}{chr(97 + (i + j * j) % 19)}" for j in range(i % 37))) for i in range(150)]
+    table = token_table(spark.createDataFrame(rows, "doc_id int, content string"), PLAIN, ["doc_id"])
+    weights = stored(terms.idf(terms.vocabulary(stored(terms.term_statistics(terms.bag_of_words(table, ["doc_id"]))), 1, size=None), F.lit(150)))
+    made = vectors.document_vectors(table, weights, ["doc_id"])
+    found = []
+    for limit, part in ((1 << 26, 1 << 20), (1 << 26, 512), (0, 512)):
+        monkeypatch.setattr(topics, "FIT_LIMIT_BYTES", limit)
+        monkeypatch.setattr(topics, "PART_BYTES", part)
+        found.append(topics.fit(made, ["doc_id"], 3, 5, 7, 0.4))
+    first, *others = [np.array([row["weights"] for row in model.topics.orderBy("term_id").collect()]) for model in found]
+    assert len(first) == found[0].terms > 100
+    for model, other in zip(found[1:], others):
+        assert np.allclose(first, other, rtol=1e-9) and np.allclose(found[0].totals, model.totals) and np.allclose(found[0].alpha, model.alpha)
+
+
+def test_an_iteration_over_few_terms_writes_no_table(corpus, monkeypatch):
+    made = topics_vectors(corpus, fit_topics(corpus, ["doc_id"], seed=3, vocabulary_size=None, tokens=PLAIN, k=2, max_iter=1).vocabulary)
+    paths, real = [], topics.new_table_path
+    monkeypatch.setattr(topics, "new_table_path", lambda spark: paths.append(1) or real(spark))
+    topics.fit(made, ["doc_id"], 2, 9, 3, 0.5)
+    assert len(paths) == 1
+
+
+def test_grouped_rows_have_the_weights_of_single_ones():
+    drawn = np.random.default_rng(5)
+    sizes = np.r_[drawn.integers(0, 60, 300), 0, 2500, 3000, 9]
+    starts = np.r_[0, np.cumsum(sizes)]
+    places, counts = drawn.integers(0, 400, starts[-1]), drawn.uniform(0, 5, starts[-1])
+    weights, alpha = drawn.uniform(1e-3, 1, (400, 7)), drawn.uniform(0.05, 0.3, 7)
+    groups = [len(rows) for rows in topics._groups(sizes, 7)]
+    assert max(groups) > 50 and sum(groups) == (sizes > 0).sum()
+    seen = set()
+    for row, *found in topics._infer_rows(places, starts, counts, weights, alpha):
+        own = slice(starts[row], starts[row + 1])
+        for one, other in zip(found, topics._infer(counts[own], weights[places[own]], alpha)):
+            assert np.allclose(one, other, rtol=1e-9)
+        seen.add(row)
+    assert seen == set(np.flatnonzero(sizes).tolist())
+
+
 def test_special_functions():
     x = np.array([0.01, 0.3, 1.0, 2.5, 10.0, 1000.0])
     assert np.allclose(special.log_gamma(x), [math.lgamma(one) for one in x], atol=1e-10)
