@@ -1,5 +1,6 @@
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from plan_text import plan_of
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
@@ -29,6 +30,15 @@ def test_rules(spark, text, tokens):
     assert all(text[one["begin"] : one["end"]] == one["token"] for one in found)
 
 
+def test_places_come_from_runs_that_follow_the_length(spark):
+    """Neither inside a run nor over the runs does the adding up grow with the square of a text."""
+    texts = ["ab, c " * n for n in (0, 1, 2, 7, 9, 27, 300)]
+    for text, found in zip(texts, cut(spark, texts)):
+        assert [text[one["begin"] : one["end"]] for one in found] == [one["token"] for one in found] == ["ab", ",", "c"] * (len(text) // 6)
+    rows = rule_tokens(spark.createDataFrame([(1, "a")], "id int, content string"))
+    assert rows.columns == ["id", "content", "tokens"] and "cbrt" in plan_of(rows).lower()
+
+
 def test_switches_and_nulls(spark):
     (found,) = cut(spark, ["well-known cannot cannots C++"], exceptions=["cannot", "C++", "C+"], hyphens="join")
     assert [one["token"] for one in found] == ["well-known", "cannot", "cannots", "C++"]
