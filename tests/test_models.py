@@ -224,6 +224,27 @@ def test_an_iteration_over_few_terms_writes_no_table(corpus, monkeypatch):
     assert len(paths) == 1
 
 
+def test_iterations_over_many_terms_write_packed_rows(spark, monkeypatch):
+    """Topics as tables: as many rows as parts and slices, not terms; the model does not depend on the parts."""
+    rows = [(i, " ".join(f"w{chr(97 + (i * j) % 23)}{chr(97 + (i + j * j) % 19)}" for j in range(i % 37))) for i in range(150)]
+    table = token_table(spark.createDataFrame(rows, "doc_id int, content string"), PLAIN, ["doc_id"])
+    weights = stored(terms.idf(terms.vocabulary(stored(terms.term_statistics(terms.bag_of_words(table, ["doc_id"]))), 1, size=None), F.lit(150)))
+    made = vectors.document_vectors(table, weights, ["doc_id"])
+    held = topics.fit(made, ["doc_id"], 3, 5, 7, 0.4)
+    monkeypatch.setattr(topics, "FIT_LIMIT_BYTES", 0)
+    wanted = np.array([row["weights"] for row in held.topics.orderBy("term_id").collect()])
+    for part_terms, least in ((1 << 18, 2), (5, 2), (1 << 18, 700)):
+        monkeypatch.setattr(topics, "PART_TERMS", part_terms, raising=False)
+        monkeypatch.setattr(topics, "LEAST_PARTS", least, raising=False)
+        paths, real = [], topics.new_table_path
+        with monkeypatch.context() as patch:
+            patch.setattr(topics, "new_table_path", lambda spark: paths.append(real(spark)) or paths[-1])
+            model = topics._fit(topics.prepare(made, ["doc_id"], 7, 0.4, 3), 3, 5, 7, 1024.0, 0.51, real(spark))
+        assert np.allclose(wanted, [row["weights"] for row in model.topics.orderBy("term_id").collect()], rtol=1e-9)
+        parts = max(least, -(-model.terms // part_terms))
+        assert len(paths) == 5 and all(spark.read.parquet(path).count() <= 2 * parts + 1 for path in paths)
+
+
 def test_grouped_rows_have_the_weights_of_single_ones():
     drawn = np.random.default_rng(5)
     sizes = np.r_[drawn.integers(0, 60, 300), 0, 2500, 3000, 9]
