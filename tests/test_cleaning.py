@@ -61,6 +61,15 @@ def test_word_rules(spark, rule):
     assert {row["id"]: row["c"] for row in found} == {i: re.sub(*PATTERNS[rule], text) for i, text in enumerate(TEXTS)}
 
 
+def test_only_references_leave_the_jvm(spark):
+    """The text itself is not sent; odd references are decoded as Python does."""
+    parts = ["&", "&amp", "&amp;", "&#65", "&#x1F600;", "&#0;", "&#xD800;", "&#99999999;", "&notin", "&notit;", "&é;", "&#", ";", "é😀", " ", "\t", "<", "x" * 40, "\n", "&#x;"]
+    texts = ["".join(parts[(i * 7 + j * (i % 11 + 1)) % len(parts)] for j in range(i % 23)) for i in range(300)]
+    found = clean(spark.createDataFrame(list(enumerate(texts)), "id int, content string"), "entities")
+    assert re.search(r"_unescape\(case when .{0,60}then regexp_extract_all\(", plan_of(found), re.IGNORECASE), plan_of(found)[250:600]
+    assert {row["id"]: row["content"] for row in found.collect()} == {i: html.unescape(text) for i, text in enumerate(texts)}
+
+
 def test_null_stays_null(spark):
     rows = spark.createDataFrame([(None,)], "content string")
     assert clean(rows, "wiki").first()["content"] is None
