@@ -172,3 +172,25 @@ def test_statistics_of_many_settings_are_those_of_each(spark):
         wanted = terms.term_statistics(terms.bag_of_words(alone, ["doc_id"]))
         found = terms.setting_statistics(shared, form_of(config), config.ngrams, config.distinct)
         assert sorted(found.collect()) == sorted(wanted.collect()) and wanted.count()
+
+
+def test_batches_are_counted_in_pieces(spark, monkeypatch):
+    """Rows stay whole; a piece has no more tokens than the limit, besides those of one row."""
+    monkeypatch.setattr(vectors, "PIECE_TOKENS", 10)
+    sizes = [3, 0, None, 4, 9, 25, 0, 1, 2, 8, 0]
+    lists = [None if size is None else ["a"] * size for size in sizes]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array(lists, pa.list_(pa.string()))], ["key", "tokens"])
+    pieces = list(vectors._pieces(batch, 1))
+    assert pa.Table.from_batches(pieces).to_pylist() == batch.to_pylist() and len(pieces) > 3
+    for piece in pieces:
+        counts = [len(one or ()) for one in piece.column(1).to_pylist()]
+        assert sum(counts) - max(counts) <= 10
+    assert not list(vectors._pieces(batch.slice(0, 0), 1))
+    found = []
+    for limit in (1 << 20, 3):
+        monkeypatch.setattr(vectors, "PIECE_TOKENS", limit)
+        rows = [(i, ["a", "b", "c", "a"][: i % 5]) for i in range(20)]
+        weights = spark.createDataFrame([(0, "a", 0.5), (1, "c", 2.0)], "term_id int, term string, idf double")
+        made = vectors.document_vectors(spark.createDataFrame(rows, "doc_id int, tokens array<string>").coalesce(1), weights, ["doc_id"])
+        found.append(sorted(made.collect()))
+    assert found[0] == found[1] and len(found[0]) == 20
