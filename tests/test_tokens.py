@@ -1,4 +1,5 @@
 import pytest
+from plan_text import plan_of
 from pyspark.sql import functions as F
 
 from topicdrift.functions import tokens as words
@@ -82,3 +83,11 @@ def test_lemmas(spark):
     lemmas = spark.createDataFrame([("mice", "mouse"), ("mice", "mouse"), ("ran", "run")], "form string, lemma string")
     found = {row["id"]: row["tokens"] for row in lemmatize(rows, lemmas, ["id"]).collect()}
     assert found == {1: ["mouse", "run", "mouse"], 2: [], 3: ["x"]}
+
+
+def test_ngrams_join_plainly_and_pass_over_missing_words(spark):
+    rows = spark.createDataFrame([(0, ["a", None, "b c", "d"]), (1, [None, None]), (2, ["a"]), (3, None)], "id int, tokens array<string>")
+    made = rows.select("id", words.ngrams(F.col("tokens"), 2).alias("two"), words.ngrams(F.col("tokens"), 3).alias("three"))
+    assert "coalesce(concat(" in plan_of(made)
+    found = {row["id"]: (row["two"], row["three"]) for row in made.collect()}
+    assert found == {0: (["a", "b c", "b c d"], ["a b c", "b c d"]), 1: ([""], []), 2: ([], []), 3: (None, None)}
