@@ -262,11 +262,43 @@ def test_grouped_rows_have_the_weights_of_single_ones():
     assert seen == set(np.flatnonzero(sizes).tolist())
 
 
+def test_slow_rows_of_all_groups_share_their_rounds(monkeypatch):
+    """Rounds are paid for by full matrices: a group's last rows go on beside the next group."""
+    drawn = np.random.default_rng(3)
+    monkeypatch.setattr(topics, "GROUP_NUMBERS", 1 << 13)
+    sizes = drawn.integers(20, 60, 1500)
+    starts = np.r_[0, np.cumsum(sizes)]
+    places, counts = drawn.integers(0, 400, starts[-1]), drawn.uniform(0, 5, starts[-1])
+    # Terms of few topics settle at once, those of topics that hardly differ late: one row of 30 is slow.
+    weights, alpha = np.where(np.arange(400)[:, None] % 7 == np.arange(7), 1.0, 1e-6), np.full(7, 0.1)
+    weights[350:] = drawn.uniform(0.5, 0.6, (50, 7))
+    slow = np.repeat(drawn.integers(0, 30, 1500) == 0, sizes)
+    places = np.where(slow, 350 + places % 50, places % 350)
+    alone = 0
+    rounds, real = [], topics.exp_digamma
+    monkeypatch.setattr(topics, "exp_digamma", lambda x: rounds.append(len(x)) or real(x))
+    for rows in topics._groups(sizes, 7):
+        rounds.clear()
+        own = np.concatenate([np.arange(starts[row], starts[row + 1]) for row in rows])
+        topics._infer_all(places[own], np.r_[0, np.cumsum(sizes[rows])], counts[own], weights, alpha)
+        alone += len(rounds)
+    rounds.clear()
+    added, logs = topics._learned(places, starts, counts, weights, alpha)
+    assert 0 < 2 * len(rounds) < alone
+    wanted, wanted_logs = np.zeros_like(weights), np.zeros(7)
+    for row, gamma, share, norm in topics._infer_rows(places, starts, counts, weights, alpha):
+        own = slice(starts[row], starts[row + 1])
+        np.add.at(wanted, places[own], np.outer(counts[own] / norm, share))
+        wanted_logs += special.digamma(gamma) - special.digamma(gamma.sum(keepdims=True))
+    assert np.allclose(added, wanted * weights, rtol=1e-9) and np.allclose(logs, wanted_logs, rtol=1e-9)
+
+
 def test_special_functions():
     x = np.array([0.01, 0.3, 1.0, 2.5, 10.0, 1000.0])
     assert np.allclose(special.log_gamma(x), [math.lgamma(one) for one in x], atol=1e-10)
     step = 1e-5 * x
     assert np.allclose(special.digamma(x), (special.log_gamma(x + step) - special.log_gamma(x - step)) / (2 * step), rtol=1e-5)
+    assert np.allclose(special.exp_digamma(x), np.exp(special.digamma(x)), rtol=1e-12)
     assert np.allclose(special.trigamma(x), (special.digamma(x + step) - special.digamma(x - step)) / (2 * step), rtol=1e-5)
     drawn = special.gamma_drawn(np.arange(200_000), 100.0)
     assert abs(drawn.mean() - 1) < 0.002 and abs(drawn.std() - 0.1) < 0.002 and np.array_equal(drawn[:9], special.gamma_drawn(np.arange(9), 100.0))
