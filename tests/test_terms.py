@@ -8,6 +8,7 @@ from plan_text import plan_of
 from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.sql import functions as F
 
+from topicdrift.catalog import counts
 from topicdrift.operators import terms, vectors
 from topicdrift.plans.text import TokenConfig, form_of, form_table, token_table, tokens_of_form
 from topicdrift.runtime import new_table_path, stored
@@ -194,3 +195,16 @@ def test_batches_are_counted_in_pieces(spark, monkeypatch):
         made = vectors.document_vectors(spark.createDataFrame(rows, "doc_id int, tokens array<string>").coalesce(1), weights, ["doc_id"])
         found.append(sorted(made.collect()))
     assert found[0] == found[1] and len(found[0]) == 20
+
+
+def test_tfidf_cuts_the_texts_once(spark, tmp_path, monkeypatch):
+    """Vocabulary and weights read the same bag, also with missing texts and ids that repeat."""
+    rows = [(1, "a b b", "en", "s"), (1, "a b b", "en", "s"), (2, "a c", "en", "s"), (None, "c", "en", "s"), (3, None, "en", "s"), (4, "", "de", "s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    cuts, real = [], counts.inputs.bag
+    monkeypatch.setattr(counts.inputs, "bag", lambda *where: cuts.append(1) or real(*where))
+    found = sorted((row["doc_id"] or 0, row["term"], row["tfidf"]) for row in counts.tfidf(spark, str(tmp_path)).collect())
+    assert len(cuts) == 1
+    a, b, c = (round(math.log(7 / (df + 1)), 6) for df in (3, 2, 2))
+    twice = round(2 * math.log(7 / 3), 6)
+    assert found == [(0, "c", c), (1, "a", a), (1, "a", a), (1, "b", twice), (1, "b", twice), (2, "a", a), (2, "c", c)]

@@ -16,13 +16,14 @@ KEYS = ["doc_id"]
 THRESHOLDS = tuple(trial.min_df for trial in MIN_DF_TRIALS)
 
 
-def _statistics(spark, folder):
-    return stored(terms.term_statistics(inputs.bag(spark, folder)))
+def _statistics(bag):
+    return stored(terms.term_statistics(bag))
 
 
-def _weights(spark, folder, min_df=1):
+def _weights(spark, folder, min_df=1, bag=None):
     documents = terms.document_count(inputs.table(spark, folder, "documents"))
-    return stored(terms.idf(terms.vocabulary(_statistics(spark, folder), min_df, size=None), documents))
+    statistics = _statistics(inputs.bag(spark, folder) if bag is None else bag)
+    return stored(terms.idf(terms.vocabulary(statistics, min_df, size=None), documents))
 
 
 def _wide_ids(listed):
@@ -36,12 +37,12 @@ def bag_of_words(spark, folder):
 
 @query("vocabulary", inputs.with_corpus(inputs.vocabulary_sql(1) + "\nSELECT * FROM vocabulary"))
 def vocabulary(spark, folder):
-    return _wide_ids(terms.vocabulary(_statistics(spark, folder), size=None))
+    return _wide_ids(terms.vocabulary(_statistics(inputs.bag(spark, folder)), size=None))
 
 
 @query("vocabulary_mindf", inputs.with_corpus(inputs.vocabulary_sql(10) + "\nSELECT * FROM vocabulary"))
 def vocabulary_mindf(spark, folder):
-    return _wide_ids(terms.vocabulary(_statistics(spark, folder), min_df=10, size=None))
+    return _wide_ids(terms.vocabulary(_statistics(inputs.bag(spark, folder)), min_df=10, size=None))
 
 
 SIZES_SQL = " UNION ALL ".join(
@@ -67,7 +68,9 @@ def idf(spark, folder):
 @query("tfidf", inputs.with_corpus(inputs.vocabulary_sql(1) + f"""
 SELECT doc_id, term, round(tf * {IDF_SQL}, 6) AS tfidf FROM bag JOIN vocabulary USING (term)"""))
 def tfidf(spark, folder):
-    weighted = terms.tfidf(inputs.bag(spark, folder), _weights(spark, folder), KEYS)
+    # Both the vocabulary and the weights read the bag; texts are cut and counted once.
+    bag = stored(inputs.bag(spark, folder))
+    weighted = terms.tfidf(bag, _weights(spark, folder, bag=bag), KEYS)
     return weighted.withColumn("tfidf", F.round("tfidf", 6))
 
 
