@@ -3,9 +3,9 @@ import math
 import numpy as np
 import pytest
 from plan_text import plan_of
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from topicdrift import sinks
+from topicdrift import runtime, sinks
 from topicdrift.functions import special
 from topicdrift.operators import evolution, terms, topics, vectors
 from topicdrift.plans import sweep
@@ -306,3 +306,65 @@ def test_special_functions():
 
 def test_grids():
     assert [len(grid) for grid in (sweep.CLEANING_TRIALS, sweep.TOKEN_TRIALS, sweep.NGRAM_TRIALS, sweep.MIN_DF_TRIALS, sweep.TOPIC_TRIALS)] == [10, 3, 6, 5, 8]
+
+
+def _tables(spark):
+    """Intermediate tables there are just now."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(runtime.shared_folder(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {one.getPath().getName() for one in files.listStatus(path) if one.getPath().getName().startswith("topicdrift-")}
+
+
+def test_texts_stay_out_of_the_executors_memory(spark, corpus, monkeypatch):
+    """Tokens are a written table, which is deleted when vocabulary and vectors are made."""
+    def refuse(*_):
+        raise AssertionError("kept in memory")
+
+    monkeypatch.setattr(DataFrame, "persist", refuse)
+    monkeypatch.setattr(type(corpus), "persist", refuse)
+    before = _tables(spark)
+    fitted = fit_topics(corpus, ["doc_id"], seed=3, vocabulary_size=None, tokens=PLAIN, k=2, max_iter=1)
+    assert fitted.vectors.count() == 80
+    made = [spark.read.parquet(f"{runtime.shared_folder(spark)}/{name}").columns for name in _tables(spark) - before]
+    assert made and not any("tokens" in columns for columns in made)
+
+
+def _wide(spark):
+    rows = [(i, " ".join(f"w{chr(97 + (i * j) % 23)}{chr(97 + (i + j * j) % 19)}" for j in range(i % 37))) for i in range(150)]
+    table = token_table(spark.createDataFrame(rows, "doc_id int, content string"), PLAIN, ["doc_id"])
+    weights = stored(terms.idf(terms.vocabulary(stored(terms.term_statistics(terms.bag_of_words(table, ["doc_id"]))), 1, size=None), F.lit(150)))
+    return vectors.document_vectors(table, weights, ["doc_id"])
+
+
+def test_weights_are_written_in_small_rows_and_deleted_when_read(spark, monkeypatch):
+    made = _wide(spark)
+    wanted = np.array([row["weights"] for row in topics.fit(made, ["doc_id"], 3, 6, 7, 0.5).topics.orderBy("term_id").collect()])
+    monkeypatch.setattr(topics, "FIT_LIMIT_BYTES", 0)
+    monkeypatch.setattr(topics, "LEAST_PARTS", 2)
+    monkeypatch.setattr(topics, "ROW_BYTES", 8 * 3 * 10, raising=False)
+    prepared, paths, longest, there, real = topics.prepare(made, ["doc_id"], 7, 0.5, 3), [], [], [], topics.new_table_path
+
+    def path(spark):
+        if paths:
+            rows = spark.read.parquet(paths[-1]).where("next >= 0")
+            longest.append(rows.agg(F.max(F.octet_length("m"))).first()[0])
+        there.append(len(_tables(spark) & {one.rpartition("/")[2] for one in paths}))
+        paths.append(real(spark))
+        return paths[-1]
+
+    with runtime.intermediate_tables(spark):
+        final = real(spark)
+        monkeypatch.setattr(topics, "new_table_path", path)
+        model = topics._fit(prepared, 3, 6, 7, 1024.0, 0.51, final)
+        assert np.allclose(wanted, [row["weights"] for row in model.topics.orderBy("term_id").collect()], rtol=1e-9)
+    assert len(paths) == 6 and max(longest) <= 8 * 3 * 10
+    assert max(there) <= 2 + 1
+
+
+def test_only_terms_of_the_slice_are_broadcast(spark, monkeypatch):
+    made, sizes, real = _wide(spark), [], topics._held_step
+    prepared = topics.prepare(made, ["doc_id"], 7, 0.1, 3)
+    monkeypatch.setattr(topics, "_held_step", lambda held, *more: sizes.append(len(held.value[0])) or real(held, *more))
+    topics.fit_prepared(prepared, 3, len(prepared.rows), 7)
+    own = prepared.docs.select("slice", F.explode("indices").alias("term")).groupBy("slice").agg(F.count_distinct("term").alias("n"))
+    assert sizes == [row["n"] for row in own.orderBy("slice").collect()] and max(sizes) < prepared.terms

@@ -208,3 +208,14 @@ def test_tfidf_cuts_the_texts_once(spark, tmp_path, monkeypatch):
     a, b, c = (round(math.log(7 / (df + 1)), 6) for df in (3, 2, 2))
     twice = round(2 * math.log(7 / 3), 6)
     assert found == [(0, "c", c), (1, "a", a), (1, "a", a), (1, "b", twice), (1, "b", twice), (2, "a", a), (2, "c", c)]
+
+
+def test_vectors_over_a_large_vocabulary_are_row_by_row(spark):
+    """Missing, repeated and unknown things; a row is a vector also if its key comes again."""
+    rows = [(1, ["a", "b", "a"]), (1, ["c", "x"]), (None, ["b", None, "b"]), (2, []), (3, None), (4, ["x", "y"]), (5, ["c", "a", "c", "x"])]
+    weights = spark.createDataFrame([(0, "a", 0.5), (1, "b", 2.0), (2, "c", 0.25)], "term_id int, term string, idf double")
+    table = spark.createDataFrame(rows, "doc_id int, tokens array<string>").coalesce(1)
+    for weighting, binary in ((vectors.TFIDF, False), (vectors.COUNT, True)):
+        small, large = (vectors.document_vectors(table, weights, ["doc_id"], weighting, binary, limit).collect() for limit in (1 << 26, 0))
+        assert sorted(map(str, large)) == sorted(map(str, small)) and len(large) == 7
+    assert {str(row["features"]) for row in large if row["doc_id"] == 1} == {"(3,[0,1],[1.0,1.0])", "(3,[2],[1.0])"}
