@@ -6,9 +6,10 @@ from plan_text import plan_of
 from pyspark.sql import DataFrame, functions as F
 
 from topicdrift import runtime, sinks
+from topicdrift.catalog import models
 from topicdrift.functions import special
 from topicdrift.operators import evolution, terms, topics, vectors
-from topicdrift.plans import sweep
+from topicdrift.plans import modelling, sweep
 from topicdrift.plans.modelling import fit_topics, fit_topics_per_period
 from topicdrift.plans.text import TokenConfig, token_table
 from topicdrift.runtime import stored
@@ -368,3 +369,17 @@ def test_only_terms_of_the_slice_are_broadcast(spark, monkeypatch):
     topics.fit_prepared(prepared, 3, len(prepared.rows), 7)
     own = prepared.docs.select("slice", F.explode("indices").alias("term")).groupBy("slice").agg(F.count_distinct("term").alias("n"))
     assert sizes == [row["n"] for row in own.orderBy("slice").collect()] and max(sizes) < prepared.terms
+
+
+def test_both_models_of_log_perplexity_share_the_dealt_rows(spark, tmp_path, monkeypatch):
+    first, second = "sun moon star sky night ".split(), "bread milk egg salt oven ".split()
+    rows = [(i, " ".join((first if i % 2 else second)[(i + j) % 5] for j in range(20 + i % 9)), "en", "s") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    dealt, fits, prepare, fit = [], [], topics.prepare, topics._fit
+    monkeypatch.setattr(models, "FINAL_ITERATIONS", 3)
+    monkeypatch.setattr(modelling, "FINAL_ITERATIONS", 3)
+    monkeypatch.setattr(topics, "prepare", lambda *more, **named: dealt.append(1) or prepare(*more, **named))
+    monkeypatch.setattr(topics, "_fit", lambda prepared, k, *more: fits.append(k) or fit(prepared, k, *more))
+    found = models.log_perplexity(spark, str(tmp_path)).first()
+    assert len(dealt) == 1 and sorted(fits) == [2, 16]
+    assert found["documents"] == 60 and found["vocabulary"] > 10
