@@ -371,6 +371,15 @@ def test_only_terms_of_the_slice_are_broadcast(spark, monkeypatch):
     assert sizes == [row["n"] for row in own.orderBy("slice").collect()] and max(sizes) < prepared.terms
 
 
+def test_a_cleaning_leaves_no_table_to_the_next(spark, corpus, monkeypatch):
+    trials = [sweep.Trial(name, name, PLAIN, 1, 2, 1) for name in ("none", "urls", "files")]
+    there, real = [], sweep._counted
+    monkeypatch.setattr(sweep, "_counted", lambda *more: there.append(len(_tables(spark))) or real(*more))
+    rows = sweep.sweep(corpus, trials, "doc_id", seed=2, vocabulary_size=None, terms_per_topic=4, window=10).collect()
+    assert [row["config"] for row in rows] == ["none", "urls", "files"]
+    assert len(there) == 3 and len(set(there)) == 1
+
+
 def test_both_models_of_log_perplexity_share_the_dealt_rows(spark, tmp_path, monkeypatch):
     first, second = "sun moon star sky night ".split(), "bread milk egg salt oven ".split()
     rows = [(i, " ".join((first if i % 2 else second)[(i + j) % 5] for j in range(20 + i % 9)), "en", "s") for i in range(60)]
